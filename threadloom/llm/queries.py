@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, dac, exact, html, lines, packing, substrings, topk, toxicity
+from . import bpe, dac, exact, html, lines, minhash, packing, substrings, topk, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -53,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe_round_trip, op3_html_text, op4_exact_topk, op6_toxicity, op7_token_files, op8_line_dedup, op9_substring_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe_round_trip, op3_html_text, op4_exact_topk, op5_minhash_dedup, op6_toxicity, op7_token_files, op8_line_dedup, op9_substring_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op1_exact_dedup": """
