@@ -134,22 +134,23 @@ def common_lines(rows: DataFrame, min_docs: int, min_chars: int, log_bits: int,
     return scratch.keep(found.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(F.struct("id", "line")).alias("first")).where(F.col("n_docs") >= min_docs))
 
 
-def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", log_bits: int = LOG_BITS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, carry: list[str] = (), id_col: str = "doc_id", text_col: str = "text", log_bits: int = LOG_BITS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each document without the lines that at least min_docs documents have.
 
     A text is cut at \\n (null and empty: one empty line). A line's key is the line without `[\\x20\\x09-\\x0D]` at both
     ends, A-Z in lower case; keys of fewer than min_chars code points always stay. A document counts once for a key
     however often it has it; rows that repeat an id count as documents. With keep_first the first such line, by
-    id and place, stays. Returns a row per row: id, n_lines, n_dropped, kept_sha256 and text (what stays, joined by
-    \\n). An empty table gives an empty result; columns other than the two are not read.
+    id and place, stays. Returns a row per row: id, n_lines, n_dropped, kept_sha256, text (what stays, joined by \\n) and
+    row (a struct of the columns to carry along). An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    rows = pick(docs, id=id_col, text=text_col)
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
+    rows = rows.select("id", "text", F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry))).alias("row")) if carry else rows.withColumn("row", F.lit(None).cast("int"))
+    kind, row_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "row"))
     common = common_lines(rows, min_docs, min_chars, log_bits, scratch)
     size = common.agg(F.coalesce(F.sum(F.octet_length("key") + 24), F.lit(0)).alias("n")).first().n
-    schema = f"id {kind}, n_lines long, n_dropped long, kept_sha256 string, text string"
+    schema = f"id {kind}, n_lines long, n_dropped long, kept_sha256 string, text string, row {row_kind}"
 
     def cut(batch: pa.RecordBatch, stays) -> pa.RecordBatch:
         n, dropped, shas, kept = [], [], [], []
@@ -159,7 +160,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_
             dropped.append(len(lines) - len(left))
             kept.append(b"\n".join(left))
             shas.append(hashlib.sha256(kept[-1]).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_lines", "n_dropped", "kept_sha256", "text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(2)], ["id", "n_lines", "n_dropped", "kept_sha256", "text", "row"])
 
     if size <= most_bytes:
         held = spark.sparkContext.broadcast({bytes(r.key): (r.first.id, r.first.line) for r in common.toLocalIterator()})
@@ -173,21 +174,21 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_
                 else:
                     yield cut(batch, lambda i, j, x: line_key(x) not in gone)
 
-        return rows.select("id", "text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        return rows.select("id", "text", "row").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
     # Too many common lines for each task to hold: the lines join them, and the numbers of those to drop go to their documents.
-    whole = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    whole = rows.select(F.monotonically_increasing_id().alias("nr"), "id", "text", "row")
     whole = scratch.keep(whole)  # so that row numbers don't change between its two uses
-    lines = whole.select("row", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "x"))
+    lines = whole.select("nr", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "x"))
     key = F.translate(F.regexp_replace("x", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     hit = lines.withColumn("key", F.encode(key, "UTF-8")).join(common, "key")
     if keep_first:
         hit = hit.where(~(F.col("first") == F.struct("id", "line")))
-    gone = hit.groupBy("row").agg(F.collect_list("line").alias("gone"))
+    gone = hit.groupBy("nr").agg(F.collect_list("line").alias("gone"))
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drop = [set(x or ()) for x in batch.column(2).to_pylist()]
+            drop = [set(x or ()) for x in batch.column(3).to_pylist()]
             yield cut(batch, lambda i, j, x, drop=drop: j not in drop[i])
 
-    return whole.join(gone, "row", "left").select("id", "text", "gone").mapInArrow(run_joined, schema).withColumnRenamed("id", id_col)
+    return whole.join(gone, "nr", "left").select("id", "text", "row", "gone").mapInArrow(run_joined, schema).withColumnRenamed("id", id_col)

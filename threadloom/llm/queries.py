@@ -46,11 +46,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.drop_lines(table(spark, sf_dir, "documents")).drop("text")
+    return lines.drop_lines(table(spark, sf_dir, "documents")).drop("text", "row")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep=None).drop("kept", "row")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

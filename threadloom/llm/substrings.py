@@ -310,20 +310,23 @@ def _string(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     return np.ascontiguousarray(view).view(f"V{k}").ravel() if len(place) else np.zeros(0, f"V{k}")
 
 
-def remove_repeats(docs: DataFrame, *, k: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, k: int = 50, keep: str | None = "bytes", carry: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document without the bytes of every k-byte string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes, null is empty; strings don't cross documents and are judged on the input. Returns a row
-    per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (the bytes that stay). Rows
+    per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes that stay; with
+    keep="text" as text without characters of which only some bytes stay; with None null) and row (a struct of the
+    columns to carry along). Rows
     that repeat an id are not smaller than each other, so they keep what only they share; a null id is smaller than
-    all others. An empty table gives an empty result; columns other than the two are not read.
+    all others. An empty table gives an empty result; other columns are not read.
     """
     if k < SEED + 1:
         raise ValueError(f"k must be over {SEED}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    rows = pick(docs, id=id_col, text=text_col)
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
+    rows = rows.select("id", "text", F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry))).alias("row")) if carry else rows.withColumn("row", F.lit(None).cast("int"))
+    kind, row_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "row"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = max(8, min(1 << 20, -(-size // BUCKET)))
 
@@ -344,16 +347,17 @@ def remove_repeats(docs: DataFrame, *, k: int = 50, id_col: str = "doc_id", text
     by_doc = found.groupBy(F.col("id").alias("number")).agg(F.collect_list(F.struct("name", "first", "last")).alias("found"))
     touched = maybe_broadcast(found.select(F.col("id").alias("number")).distinct(), docs.count(), 16)
 
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    changed = numbered.join(touched, "number", "left_semi").join(by_doc, "number").select("id", "text", "found").mapInArrow(_cut(k), schema)
+    kept_kind = "string" if keep == "text" else "binary"
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kept_kind}, row {row_kind}"
+    changed = numbered.join(touched, "number", "left_semi").join(by_doc, "number").select("id", "text", "found", "row").mapInArrow(_cut(k, keep), schema)
     same = numbered.join(touched, "number", "left_anti")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     text = F.coalesce("text", F.lit(""))
-    same = same.select("id", n.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), F.encode(text, "UTF-8").alias("kept"))
+    same = same.select("id", n.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.encode(text, "UTF-8") if keep == "bytes" else text if keep else F.lit(None).cast("binary")).alias("kept"), "row")
     return changed.unionByName(same).withColumnRenamed("id", id_col)
 
 
-def _cut(k: int):
+def _cut(k: int, keep: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(2)
@@ -368,7 +372,7 @@ def _cut(k: int):
                     gone = np.cumsum(marks.pop(i)[:-1]) > 0
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                    for to, v in zip(out, (len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    for to, v in zip(out, (len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept if keep == "bytes" else kept.decode("utf-8", "ignore") if keep else None), strict=True):
                         to.append(v)
                 done = upto
 
@@ -397,6 +401,6 @@ def _cut(k: int):
                         np.add.at(marks[d], stop, -1)
                 finish(parts[-1][0])
             finish(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary()), strict=True)), batch.column(3)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
     return run
