@@ -1,8 +1,72 @@
-"""Stages that turn documents into packed training data."""
+"""Documents to packed training data: each stage calls one operator of threadloom.llm.
 
-STAGES: list = []
+Every stage takes and, but for the last, returns documents with all their columns; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.llm import lines, minhash, packing, substrings, toxicity
+from threadloom.llm.common import Scratch, maybe_broadcast, table
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    """The carried rows with the new text, in the columns of docs."""
+    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return changed.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't scored as toxic."""
+    field = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return toxicity.score(rows, field, id_col="row").where("predicted = 0").select("row.*")
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that at least 10 of them have."""
+    return _with_text(docs, lines.drop_lines(docs, carry=docs.columns), "text")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates; of rows that are equal in id and text, one."""
+    found = minhash.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
+    found = Scratch(spark, "gone").keep(found)
+    left = docs.join(maybe_broadcast(found, found.count(), 16), F.col("doc_id") == F.col("gone"), "left_anti")
+    again = Scratch(spark, "again").keep(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
+    if not again.limit(1).count():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    again = maybe_broadcast(again, again.count(), 16)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes that a document with a smaller id has."""
+    return _with_text(docs, substrings.remove_repeats(docs, keep="text", carry=docs.columns), "kept")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document, or each piece of a long one, goes in bins of 8192 words."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_common_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_substrings),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can't express the stages; tests hold each against a plain Python version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
