@@ -25,7 +25,7 @@ from .common import Scratch, maybe_broadcast, pick
 from .hashing import Ranges, U, mix, words8
 
 #: Bytes whose hash chooses a place. Bytes of text handled at once, and bytes whose records make one run.
-SEED, CHUNK, RUN = 16, 1 << 21, 1 << 25
+SEED, CHUNK, RUN = 16, 1 << 19, 1 << 24
 #: Bits of a position within a chunk, of a seed's hash and of a span's hash.
 POS, KEY, SPAN = 26, 40, 48
 #: Bytes of text for each range of seeds, about.
