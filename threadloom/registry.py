@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
