@@ -4,7 +4,7 @@ Labels are of documents. Counts over all documents to learn from show which word
 label; in toxic documents those words are the toxic tokens, and a bounded sample of lines with such labels
 trains the field. Its states are toxic and plain. A token's features are its word, beginnings and ending; transitions
 link a token with the one before it in its line. Forward-backward marginals of a document's tokens are summed up in
-three figures, and a logistic function of these, fitted on a bounded sample, is its score.
+a few figures, and a logistic function of these, fitted on a bounded sample, is its score.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ class Field:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, np.float32))
     bias: float = -3.0
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # from, to: plain 0, toxic 1
-    score: np.ndarray = field(default_factory=lambda: np.array([-4.0, 4.0, 1.0, 0.0]))
+    score: np.ndarray = field(default_factory=lambda: np.array([-4.0, 4.0, 1.0]))
 
 
 def _messages(e: np.ndarray, n: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +174,9 @@ class Tagger:
 
 
 def figures(p: np.ndarray) -> np.ndarray:
-    """What a document's score is made of: 1, the largest marginal, and the logs of their sum and of the length."""
-    return np.array([1.0, p.max(), np.log1p(p.sum()), np.log1p(len(p))]) if len(p) else np.array([1.0, 0.0, 0.0, 0.0])
+    """What a document's score is made of: 1, the largest marginal, and the log of the sum of those over a half. The small
+    marginals of a long text don't add up."""
+    return np.array([1.0, p.max(), np.log1p(p[p > 0.5].sum())]) if len(p) else np.array([1.0, 0.0, 0.0])
 
 
 _TAGGERS: dict = {}
