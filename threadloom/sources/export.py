@@ -95,5 +95,5 @@ def visible_messages(branch: DataFrame) -> DataFrame:
     rows = branch.where(get("$.message", "variant").isNotNull())
     return rows.select(
         "external_id", "pos", role.alias("role"), content.alias("content"), F.coalesce(get("$.message.id", "string"), get("$.id", "string")).alias("source_message_id"),
-        get("$.message.create_time", "double").alias("created"), type_.alias("content_type"), both.alias("attachments"), ~F.coalesce(shown, F.lit(False)).alias("skipped"),
+        get("$.message.create_time", "double").alias("created"), type_.alias("content_type"), both.alias("attachments"), (~F.coalesce(shown, F.lit(False))).alias("skipped"),
     )
