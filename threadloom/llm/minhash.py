@@ -25,8 +25,8 @@ from .hashing import Ranges, U, mix
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
-#: In buckets of up to this many texts every pair is a candidate; in larger ones each text and CENTRES others.
-SMALL, CENTRES = 8, 4
+#: In buckets of up to this many texts every pair is a candidate; in larger ones each text and CENTRES others, dealt by hash.
+SMALL, CENTRES = 8, 3
 #: Rounds of new centres at most, for large buckets whose texts aren't all linked yet.
 ROUNDS = 4
 
@@ -189,12 +189,14 @@ def _verify(pairs: DataFrame, bags_: DataFrame, least: float, kind: str) -> Data
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_overlap(least), f"a {kind}, b {kind}, similarity double")
 
 
-def _centres(large: DataFrame, seed: int) -> DataFrame:
-    """Candidate pairs of the texts of large buckets with some centres: those first by a hash that is the same in all
-    buckets, so that buckets of the same group choose the same centres and few pairs are different."""
-    order = [F.xxhash64("id", F.lit(seed * CENTRES + i)) for i in range(CENTRES)]
-    chosen = large.groupBy("key").agg(*(F.min_by("id", o).alias(f"c{i}") for i, o in enumerate(order)))
-    chosen = chosen.withColumn("c", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES)))))).select("key", "c")
+def _centres(large: DataFrame, popular: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs of the texts of large buckets with a few centres. Texts that share many and large buckets with others
+    are in the middle of their group, and few of the others' links bypass them; so they come first, from the second turn on
+    in an order that changes a little."""
+    chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
+    rows = large.join(popular, "id").withColumn("order", F.struct(-F.col("popularity") * (0.5 + chance if turn else F.lit(1.0)), F.xxhash64("id"), "id"))
+    chosen = rows.groupBy("key").agg(F.min_by("id", "order").alias("c0"), *(F.min_by(F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CENTRES)) == i, F.col("id")), F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CENTRES)) == i, F.col("order"))).alias(f"c{i + 1}") for i in range(CENTRES)))
+    chosen = chosen.withColumn("c", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES + 1)))))).select("key", "c")
     return large.join(chosen, "key").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
@@ -209,7 +211,8 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
 
     A link shows as a candidate if any of the bands agree: at a similarity of 0.8 all but 5 in 10**8. In buckets of
     over SMALL texts not all pairs are compared, which would grow with the square of a group: each text is compared with
-    CENTRES others, and texts that are not yet of their bucket's class again with other centres, up to ROUNDS times.
+    the CENTRES that share most with others, and where a bucket isn't one class yet with other centres, up to ROUNDS times. A link
+    between two texts of a large bucket that no centre is linked to can be lost.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -230,14 +233,18 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
     # an id that repeats with another text has its representative's text only
     bags_ = some.mapInArrow(_elements(shingle), f"id {kind}, bag binary").groupBy("id").agg(F.first("bag").alias("bag"))
     bags_ = scratch.keep(bags_)
-    links = scratch.keep(_verify(pairs.unionByName(_centres(large, 0)).distinct(), bags_, least, kind))
+    popular = scratch.keep(cand.where(F.col("n") > SMALL).groupBy("id").agg(F.sum("n").alias("popularity")))
+    tried = scratch.keep(pairs.unionByName(_centres(large, popular, 0)).distinct())
+    links = scratch.keep(_verify(tried, bags_, least, kind))
     parts = components(links, scratch)
     for turn in range(1, ROUNDS):
         known = large.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        pairs = _centres(scratch.keep(known.join(open_, "key")), turn)
+        pairs = _centres(scratch.keep(known.join(open_, "key").select("key", "id")), popular, turn)
         of = parts.select(F.col("node"), "component")
         pairs = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
+        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
         more = scratch.keep(_verify(pairs, bags_, least, kind))
         if not more.limit(1).count():
             break

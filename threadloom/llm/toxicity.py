@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, pick
+from .common import Scratch, maybe_broadcast, pick
 
-#: Bounds of what is learned from: features that mark toxic tokens, lines of each label, documents of each label.
+#: Bounds of what is learned from: features that mark toxic tokens, lines with and without a mark, and documents of each
+#: label, about, from which the lines come too.
 MARKS, LINES, DOCS = 4096, 3000, 2500
 #: Feature slots, words in a sequence at most (a longer line goes on in the next sequence), words a worker keeps.
 SLOTS, LENGTH, CACHE = 1 << 18, 128, 1_000_000
 #: Toxic documents that must have a feature, and the share of its documents that must be toxic.
-LEAST, SHARE = 8, 0.9
+LEAST, SHARE = 4, 0.9
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _TOKEN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
@@ -236,8 +237,8 @@ def _spans(text: str, p: np.ndarray, least: float) -> list[dict]:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """Learns from the labelled documents that aren't held out.
 
-    Counts are of all of them. The field is trained on at most LINES lines with and LINES without a mark, the score on at
-    most DOCS documents of each label, both the first by a hash. An id with labels of both kinds counts as toxic; null
+    Counts are of all of them. The score is fitted on about DOCS documents of each label, chosen by a hash of the id, and the
+    field on at most LINES of their lines with and LINES without a mark. An id with labels of both kinds counts as toxic; null
     labels and ids are left out. Without toxic documents every score is small.
     """
     known = pick(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").cast("int").alias("y")).where(~held_out(F.col("id")))
@@ -273,17 +274,19 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                             got.append((any(tags), zlib.crc32(" ".join(ws[i : i + LENGTH]).encode()), ws[i : i + LENGTH], tags))
                 if len(seen) > CACHE:
                     seen.clear()
-            got.sort(key=lambda g: g[:2])
-            for label in (True, False):  # of each batch only the first by the hash can be among the first of all
-                some = [g for g in got if g[0] == label][:LINES]
+            for label in (True, False):
+                some = [g for g in got if g[0] == label]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in some], pa.bool_()), pa.array([g[1] for g in some], pa.int64()), pa.array([g[2] for g in some], pa.list_(pa.string())), pa.array([g[3] for g in some], pa.list_(pa.int32()))], ["toxic", "hash", "words", "tags"])
 
-    lines = rows.select("y", "text").mapInArrow(mark, "toxic boolean, hash long, words array<string>, tags array<int>")
+    # The sample is cut by a hash at each row, so nothing of it meets in one task.
+    n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    share_of = F.when(F.col("y") == 1, F.lit(DOCS / max(DOCS, n.get(1, 0)))).otherwise(F.lit(DOCS / max(DOCS, n.get(0, 0))))
+    rows = Scratch(spark, "toxicity").keep(rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < share_of * (1 << 24)).select("y", "text"))
+    lines = rows.mapInArrow(mark, "toxic boolean, hash long, words array<string>, tags array<int>")
     sample = [x for label in (True, False) for x in lines.where(F.col("toxic") == label).orderBy("hash", F.xxhash64("words")).limit(LINES).collect()]
     f = train_field([(r.words, r.tags) for r in sample])
 
-    some = [rows.where(F.col("y") == y).select("y", F.xxhash64("id").alias("h"), "text").orderBy("h").limit(DOCS) for y in (0, 1)]
-    got = _tagged(some[0].unionByName(some[1]).drop("h"), f, lambda t, ls, p, f: (figures(p).tolist(),), [("y", "int"), ("x", "array<double>")]).collect()
+    got = _tagged(rows, f, lambda t, ls, p, f: (figures(p).tolist(),), [("y", "int"), ("x", "array<double>")]).collect()
     f.score = fit_score(np.array([r.x for r in got]), np.array([float(r.y) for r in got]))
     share = known.agg(F.avg("y")).first()[0] or 0.5  # the sample holds the labels in other shares than all rows
     own = float(np.mean([r.y for r in got]))
