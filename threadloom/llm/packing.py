@@ -2,14 +2,16 @@
 
 Documents are dealt into shards of bounded size by a hash of their id, so a source or a group of copies of any size is
 spread evenly; each shard is packed by itself. Bins are ordered by what is left in them. Each carries a bitmap of
-its duplicate clusters and bitmaps of its sources (the k-th for sources that it holds k times). A document goes to
-the successor of its length in that order, and on to the next until a bin has no conflict: the tightest that fits.
+its duplicate clusters and bitmaps of its sources (the k-th for sources that it holds k times), with a bit for each
+cluster that repeats in the shard and for each source. A document goes to the successor of its length in that order,
+and on to the next until a bin has no conflict: the tightest that fits.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +20,17 @@ from .common import pick
 
 #: Documents in a shard, about.
 SHARD = 8192
-#: Bits of a bitmap; clusters and sources that share a bit count as the same, so a conflict is never missed.
-BITS = 1024
 
 
 def best_fit(items: list[tuple[int, int, int, int]], capacity: int, source_limit: int) -> list[tuple[int, int]]:
-    """Items (length, key, cluster, source), longest first. Returns the bin and the offset of each."""
+    """Items (length, key, bit of the cluster, bit of the source), longest first; a bit of -1 conflicts with nothing.
+    Returns the bin and the offset of each."""
     left: list[tuple[int, int]] = []  # what is left of each open bin, and its number, in order
     clusters: list[int] = []
     sources: list[list[int]] = []
     out = []
     for length, _, cluster, source in items:
-        c, s = 1 << cluster % BITS, 1 << source % BITS
+        c, s = 1 << cluster if cluster >= 0 else 0, 1 << source if source >= 0 else 0
         k = bisect_left(left, (length, -1))
         while k < len(left) and (clusters[left[k][1]] & c or sources[left[k][1]][-1] & s):
             k += 1
@@ -72,9 +73,8 @@ def pack(docs: DataFrame, *, capacity: int = 8192, source_limit: int = 16, shard
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(rest=pdf["n"] - pdf["full"] * capacity, key=pdf["id"].astype(str)).sort_values(["rest", "key", "cluster", "n"], ascending=[False, True, True, True], na_position="last")
-        clusters = [None if pd.isna(c) else int(c) for c in pdf["cluster"]]
-        items = [(int(r), i, c, int(s)) for i, (r, c, s) in enumerate(zip(pdf["rest"], clusters, pdf["source"], strict=True))]
-        placed = _pack(items, capacity, source_limit)
+        items = list(zip(pdf["rest"].tolist(), range(len(pdf)), _bits(pdf["cluster"], 1), _bits(pdf["source"], source_limit), strict=True))
+        placed = best_fit(items, capacity, source_limit)
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "piece": pdf["full"].to_numpy(), "start": (pdf["full"] * capacity).to_numpy(), "n_tokens": pdf["rest"].to_numpy(), "bin": [f"{s}-{b}" for s, (b, _) in zip(pdf["shard"], placed, strict=True)], "bin_offset": [o for _, o in placed]})
 
     schema = f"id {kind}, piece long, start long, n_tokens long, bin string, bin_offset long"
@@ -84,7 +84,8 @@ def pack(docs: DataFrame, *, capacity: int = 8192, source_limit: int = 16, shard
     return rest.unionByName(whole).withColumnRenamed("id", id_col)
 
 
-def _pack(items, capacity, source_limit):
-    """As best_fit; an item of cluster None gets a number that no other in the shard has."""
-    alone = iter(range(len(items)))
-    return best_fit([(r, k, next(alone) if c is None else c, s) for r, k, c, s in items], capacity, source_limit)
+def _bits(values: pd.Series, limit: int) -> list[int]:
+    """A bit for each value that is there more than `limit` times; -1 for the others and null, which can't conflict."""
+    code, distinct = pd.factorize(values)
+    often = np.append(np.bincount(code[code >= 0], minlength=len(distinct)) > limit, False)
+    return np.where(often, np.cumsum(often) - 1, -1)[code].tolist()
