@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import minhash, topk, toxicity
 from threadloom.llm.common import Scratch
@@ -62,9 +63,12 @@ def test_signatures_are_unbiased():
     assert abs((got - np.array(want)).mean()) < 0.012
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_near_duplicates(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("small,rounds,block", [(8, 4, 256), (2, 4, 256), (2, 0, 4), (1, 1, 2)])
+def test_near_duplicates(spark, monkeypatch, small, rounds, block):
+    for name, v in (("SMALL", small), ("ROUNDS", rounds), ("BLOCK", block)):
+        monkeypatch.setattr(minhash, name, v)
+    if not rounds:  # all links of large buckets come from the comparison in blocks
+        monkeypatch.setattr(minhash, "_centres", lambda large, popular, turn: large.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     rng = random.Random(3)
     base = sentence(rng, 120).split()
     given = []

@@ -27,8 +27,10 @@ SHINGLE, BANDS, ROWS = 5, 32, 4
 CHUNK = 1 << 20
 #: In buckets of up to this many texts every pair is a candidate; in larger ones each text and CENTRES others, dealt by hash.
 SMALL, CENTRES = 8, 3
-#: Rounds of new centres at most, for large buckets whose texts aren't all linked yet.
+#: Rounds of centres at most, for large buckets whose texts aren't all linked yet.
 ROUNDS = 4
+#: Texts in a block of a large bucket, about. Of two texts of similarity 0.8, all but 1 in 10**9 agree in ALIKE registers of 128.
+BLOCK, ALIKE = 256, 74
 
 
 NONE, TIME = U(0xFFFFFFFFFFFFFFFF), U(0xFFFFFFFFFF000000)
@@ -137,11 +139,13 @@ def _sign(shingle: int, bands: int, rows: int):
         for batch in batches:
             for first, some in _chunks(batch, 1):
                 doc, sh, count = bags(some, shingle)
-                keys = band_keys(signatures(len(some), doc, sh, count, bands * rows), bands, rows)
+                sig = signatures(len(some), doc, sh, count, bands * rows)
+                keys = band_keys(sig, bands, rows)
+                short = [x.tobytes() for x in (mix(sig) >> U(48)).astype("<u2")]
                 sizes = np.bincount(doc, count, len(some)).astype(np.int64)
                 digests = [hashlib.blake2b(t, digest_size=16).digest() for t in some]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(digests, pa.binary()), pa.array(sizes), lists], ["id", "digest", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(digests, pa.binary()), pa.array(sizes), lists, pa.array(short, pa.binary())], ["id", "digest", "size", "keys", "sig"])
 
     return run
 
@@ -200,25 +204,66 @@ def _centres(large: DataFrame, popular: DataFrame, turn: int) -> DataFrame:
     return large.join(chosen, "key").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
+def _open(large: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, component) of the large buckets that are not of one component; of buckets of the same texts one."""
+    known = large.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of")).where("low <> high")
+    return scratch.keep(known.join(open_.groupBy("n", "of").agg(F.min("key").alias("key")).select("key"), "key"))
+
+
+def _rest(members: DataFrame, signed: DataFrame, kind: str, alike: int, scratch: Scratch) -> DataFrame:
+    """Pairs of texts of different components of a bucket whose signatures agree enough for a link, all of them.
+
+    A bucket's texts are put in blocks, those of a large component apart from all others, and two blocks are compared in
+    one step, unless both are of the same component. So what is left to compare in a bucket of n texts, of which all
+    but r are linked, is r * n in blocks."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    small = sizes.where(F.col("c") < BLOCK).groupBy("key").agg(F.sum("c").alias("small"))
+    sig = signed.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("sig").alias("sig"))
+    own = F.col("c") >= BLOCK
+    rows = members.join(sizes, ["key", "component"]).join(small, "key", "left").join(sig, "id")
+    rows = rows.select("key", "id", "component", "sig", F.when(own, F.col("component")).alias("owner"), F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / BLOCK))).alias("nr"))
+    blocks = scratch.keep(rows.groupBy("key", "owner", "nr").agg(F.collect_list("id").alias("ids"), F.collect_list("component").alias("components"), F.collect_list("sig").alias("sigs")).withColumn("block", F.xxhash64("key", F.col("owner").isNull(), "owner", "nr")))
+    names = blocks.select("key", "owner", "block")
+    cells = names.join(names.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b")), "key").where("block <= block_b").where(~F.coalesce(F.col("owner") == F.col("owner_b"), F.lit(False))).select("block", "block_b")
+    data = blocks.select("block", "ids", "components", "sigs")
+    cells = cells.join(data, "block").join(data.toDF("block_b", "ids_b", "components_b", "sigs_b"), "block_b").drop("block", "block_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, of, sigs, ids_b, of_b, sigs_b = (batch.column(c)[i].values for c in range(6))
+                x, y = (np.frombuffer(b"".join(s.to_pylist()), "<u2").reshape(len(s), -1) for s in (sigs, sigs_b))
+                of, of_b = (np.unique(np.concatenate([of.to_pylist(), of_b.to_pylist()]), return_inverse=True)[1][k] for k in (slice(len(of)), slice(len(of), None)))
+                hits = [(j, k) for j in range(len(x)) for k in np.flatnonzero((of_b != of[j]) & (np.count_nonzero(y == x[j], axis=1) >= alike)).tolist()]
+                a, b = (pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids.take(a), ids_b.take(b)], ["a", "b"])
+
+    found = cells.mapInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of near duplicates of each document: id, class_id (its smallest id), class_size, n_links, kept.
 
     Two texts are linked when the weighted Jaccard similarity of their shingles is at least `least`; classes are what links
     connect. Texts are compared in lower case with one space between words; texts that are then equal are of one class,
-    empty and null ones too, and are compared with others once. n_links: links of the document's text to different
-    texts. kept: the row with the smallest id of its class. Rows that repeat an id are one document here; null ids are
+    empty and null ones too, and are compared with others once. n_links: links found of the document's text to
+    different texts. kept: the row with the smallest id of its class. Rows that repeat an id are one document here; null ids are
     a class each text of their own. An empty table gives an empty result.
 
     A link shows as a candidate if any of the bands agree: at a similarity of 0.8 all but 5 in 10**8. In buckets of
-    over SMALL texts not all pairs are compared, which would grow with the square of a group: each text is compared with
-    the CENTRES that share most with others, and where a bucket isn't one class yet with other centres, up to ROUNDS times. A link
-    between two texts of a large bucket that no centre is linked to can be lost.
+    over SMALL texts pairs are not listed one by one, which would grow with the square of a group: each text is compared
+    with the CENTRES that share most with others, and where a bucket isn't one class yet with other centres, up to
+    ROUNDS times. Then the texts of a bucket that are still of different classes are compared, all of them, by the
+    agreement of their signatures in blocks. So classes are those of all links; n_links counts the links that were
+    looked at, which in a large bucket need not be those within a class.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     given = pick(docs, id=id_col, text=text_col)
     kind = given.schema["id"].dataType.simpleString()
-    signed = scratch.keep(given.mapInArrow(_sign(shingle, bands, rows), f"id {kind}, digest binary, size long, keys array<long>"))
+    signed = scratch.keep(given.mapInArrow(_sign(shingle, bands, rows), f"id {kind}, digest binary, size long, keys array<long>, sig binary"))
     reps = scratch.keep(signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.first("keys").alias("keys")))
 
     flat = reps.where("size > 0").select("id", F.explode("keys").alias("key"))
@@ -238,9 +283,7 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
     links = scratch.keep(_verify(tried, bags_, least, kind))
     parts = components(links, scratch)
     for turn in range(1, ROUNDS):
-        known = large.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        pairs = _centres(scratch.keep(known.join(open_, "key").select("key", "id")), popular, turn)
+        pairs = _centres(_open(large, parts, scratch).select("key", "id"), popular, turn)
         of = parts.select(F.col("node"), "component")
         pairs = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
@@ -250,6 +293,13 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
             break
         links = scratch.keep(links.unionByName(more).dropDuplicates(["a", "b"]))
         parts = components(links, scratch)
+    members = _open(large, parts, scratch)
+    if members.limit(1).count():
+        pairs = scratch.keep(_rest(members, signed, kind, ALIKE * bands * rows // 128, scratch).join(tried, ["a", "b"], "left_anti"))
+        more = scratch.keep(_verify(pairs, bags_, least, kind))
+        if more.limit(1).count():
+            links = scratch.keep(links.unionByName(more).dropDuplicates(["a", "b"]))
+            parts = components(links, scratch)
 
     per = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     classes = reps.select("digest", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").join(per, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
