@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates as D
+from threadloom.functions import labels as L
 from threadloom.functions import text as T
 from threadloom.operators import evidence as E
 from threadloom.operators import findings, guards, joins, ranking, sessions, stats, units
-from threadloom.plans import admission, concepts, context_pack, observations
+from threadloom.plans import admission, concepts, context_pack, observations, review
 from threadloom.sources import export, payloads, sinks, transcript
 
 
@@ -269,3 +270,83 @@ def test_stream_appends_once(spark, tmp_path):
     for n in range(2):
         stream_insert_if_absent(spark.readStream.schema("id int, x string").parquet(src), out, ["id"], str(tmp_path / f"ck{n}")).awaitTermination()
         assert spark.read.parquet(out).count() == 2
+
+
+def _ev(session, day="2024-01-01", role="user", quote="q", validated=True, reason=None):
+    return ("m", quote, validated, reason, role, "1", session, day)
+
+
+def test_review_sections_are_judged_and_limited(spark):
+    two, one_ = [_ev("a"), _ev("b", "2024-01-05")], [_ev("a")]
+    bad = [_ev("a", validated=False, reason="quote_not_found")]
+    rows = [
+        (1, "themes", 0, "A plain theme", two, None, None, None, None), (1, "themes", 1, "Too few", one_, None, None, None, None), (1, "themes", 3, "over the limit", two, None, None, None, None),
+        (1, "insights", 0, "a plain theme and more", two, None, None, None, None), (1, "insights", 1, "A plain theme", two, None, None, None, None), (1, "shifts", 0, "later", two, None, None, one_, [_ev("b", "2024-01-05")]),
+        (1, "shifts", 1, "earlier", two, None, None, [_ev("b", "2024-01-05")], one_), (1, "open_questions", 0, "why", bad, None, None, None, None), (2, "insights", 0, "A plain theme", two, None, None, None, None),
+    ]
+    ddl = f"review_id int, section string, pos int, text string, evidence array<{E.EVIDENCE}>, " + ", ".join(f"{c} array<{E.EVIDENCE}>" for c in ("side_a", "side_b", "before", "after"))
+    sess = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "review_id int, session_id string, session_no int")
+    judged = review.judge(spark.createDataFrame(rows, ddl), sess)
+    got = {(r.review_id, r.section, r.pos): r for r in judged.collect()}
+    assert {k: r.invalid_reason for k, r in got.items()} == {
+        (1, "themes", 0): None, (1, "themes", 1): "insufficient_distinct_sessions", (1, "insights", 0): got[1, "insights", 0].invalid_reason, (1, "insights", 1): "duplicate_interpretation", (1, "shifts", 0): None,
+        (1, "shifts", 1): "invalid_chronology", (1, "open_questions", 0): "invalid_evidence_ref", (2, "insights", 0): None,
+    }
+    assert got[1, "themes", 0].distinct_session_count == 2 and got[1, "open_questions", 0].distinct_session_count is None
+    assert got[1, "shifts", 0].support_type == "direct" and got[1, "themes", 0].support_type == "cross_session_interpretation"
+    assert {r.review_id for r in review.metrics(judged).collect()} == {1, 2}
+    assert review.evidence_rows(judged).count() == sum(len(r.evidence) for r in got.values())
+    assert {(r.review_id, r.section): (r.visible, r.hidden_hard) for r in review.shown(judged).collect()}[1, "shifts"] == (1, 1)
+
+
+def test_refs_keep_their_first_place(spark):
+    r = one(spark, review.ordered_refs(F.lit([" S02:M001:E01 ", "", "M1"]), F.lit(None).cast("array<string>"), F.lit(["S01:M001:E01", "M1"])).alias("a"))
+    assert r.a == ["S02:M001:E01", "M1", "S01:M001:E01"]
+    assert one(spark, review.ref_sessions(F.lit(r.a)).alias("s")).s == ["S02", "S01"]
+
+
+def test_admission_decisions_are_checked_in_order(spark):
+    cands = spark.createDataFrame([("C01", 0), ("C02", 1)], "ref string, pos int")
+
+    def fail(*rows):
+        got = admission.admission_failure(cands, spark.createDataFrame([(r, i, d, w) for i, (r, d, w) in enumerate(rows)], "candidate_ref string, pos int, decision string, reason_code string")).collect()
+        return tuple(got[0]) if got else None
+
+    good = ("C01", "admit", "stable_topic")
+    assert fail(good, ("C02", "reject", "pii")) is None
+    assert fail(good) == ("missing_candidate_ref", "C02")
+    assert fail(good, good, ("X", "admit", "pii")) == ("duplicate_candidate_ref", "C01")
+    assert fail(("X", "admit", "pii"), good) == ("unknown_candidate_ref", "X")
+    assert fail(("C01", "maybe", "pii")) == ("invalid_decision", "C01")
+    assert fail(("C01", "admit", "nice")) == ("invalid_reason_code", "C01")
+    assert fail(("C01", "admit", "pii")) == ("invalid_decision_reason", "C01")
+
+
+def test_evidence_without_text_is_dropped(spark):
+    c = spark.createDataFrame([("C1", [("s", "M001:E01", "d", "old")]), ("C2", [("s", "M009:E01", "d", "old")]), ("C3", [])], "ref string, representative_evidence array<struct<session_id:string,evidence_ref:string,occurred_at:string,short_text:string>>")
+    texts = spark.createDataFrame([("s", "M001:E01", " new  text "), ("s", "M009:E01", " ")], "session_id string, evidence_ref string, text string")
+    got = admission.resolved_evidence(c, texts)
+    assert {r.ref: [e.short_text.strip() for e in r.representative_evidence] for r in got.collect()} == {"C1": ["new text"], "C2": [], "C3": []}
+    assert tuple(admission.evidence_integrity(got).first()) == (3, 1, 2)
+    judged = spark.createDataFrame([("A", "C1", 0, "admit"), ("A", "C2", 1, "defer")], "canonical_label string, candidate_ref string, pos int, decision string")
+    marks = spark.createDataFrame([("A",), ("B",)], "label string")
+    assert {r.label: (r.decision, r.found) for r in admission.important_decisions(judged, marks).collect()} == {"A": ("defer", True), "B": (None, False)}
+
+
+def test_review_candidates_and_their_text(spark):
+    reviews = spark.createDataFrame([(1, "sum")], "review_id int, summary string")
+    items = spark.createDataFrame([(1, "shifts", 0, "hidden", False), (1, "shifts", 1, "seen", None), (1, "themes", 0, "theme", True)], "review_id int, section string, pos int, text string, semantic_valid boolean")
+    got = context_pack.review_candidates(reviews, items, {"shifts": "SHIFT", "themes": "THEME"}, "P", "Q")
+    assert {r.ref: (r.type, r.text) for r in got.collect()} == {"C:PROJECT_NAME": ("current_context", "P"), "C:CORE_PURPOSE": ("current_context", "Q"), "R:SUMMARY": ("summary", "sum"), "R:SHIFT:02": ("shift", "seen"), "R:THEME:01": ("theme", "theme")}
+    text = context_pack.candidate_text(got.where("ref LIKE 'R:SH%'").withColumn("before", F.lit("old")), ["ref"]).first().candidate_text
+    assert text == "[R:SHIFT:02] type=shift support=confirmed\nseen\nbefore: old"
+
+
+def test_labels(spark):
+    r = one(
+        spark, L.support_label(F.lit("openQuestion"), F.lit("direct")).alias("a"), L.support_label(F.lit("nextQuestion"), F.lit("direct")).alias("b"), L.support_label(F.lit("theme"), F.lit("x")).alias("c"), L.evidence_metric(F.lit(1), F.lit(8), F.lit(0.125)).alias("d"),
+        L.evidence_metric(F.lit(0), F.lit(0), F.lit(0.0)).alias("e"), L.interpretation_metric(F.lit(None), F.lit(0), F.lit(None)).alias("f"), L.question_preview(F.lit(" " + "x" * 60), "none").alias("g"), L.question_preview(F.lit(None), "none").alias("h"), L.relation_label(F.lit("contrast")).alias("i"),
+        L.kind_label(F.lit("shift")).alias("j"), L.spotlight_label(F.lit("?")).alias("k"),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e) == (L.OPEN_DIRECT, None, None, "根拠 1/8（13%）", None)
+    assert r.f == "横断解釈 0/0（0%）" and r.g == "x" * 48 + "…" and r.h == "none" and r.i == "対比" and r.j == "変化" and r.k is None

@@ -77,3 +77,36 @@ def labelled_transcript(units: DataFrame, keys: list[str]) -> DataFrame:
     line = F.concat(F.lit("["), F.col("ref"), F.lit("] "), F.col("role"), F.lit(": "), F.col("unit_text"))
     lines = F.array_sort(F.collect_list(F.struct("message_no", "unit_no", line.alias("line"))))
     return units.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
+
+
+def review_transcript(sessions: DataFrame, units: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """What an annotator reads of a review: its sessions in order, each with title, day and labelled units.
+
+    sessions: review_id, session_no, title, occurred_at; units: review_id, session_no, message_no, unit_no, ref, role,
+    unit_text and optionally attached (whether the message has attachments, told after its last unit); notes: review_id,
+    session_no, note (an analysis that is no evidence). Sessions without units are left out.
+    """
+    keys = ["review_id", "session_no"]
+    attached = F.col("attached") if "attached" in units.columns else F.lit(False)
+    last = F.col("unit_no") == F.max("unit_no").over(Window.partitionBy(*keys, "message_no"))
+    line = F.concat(F.lit("["), "ref", F.lit("]["), F.upper("role"), F.lit("]\n"), "unit_text", F.lit("\n"), F.when(attached & last, "\n（添付ファイルあり）\n").otherwise(""))
+    lines = units.withColumn("_line", line).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_no", "unit_no", "_line"))), lambda x: x["_line"]), "\n").alias("_body"))
+    number = F.format_string("S%02d", "session_no")
+    head = F.concat(F.lit("====================\nSESSION "), number, F.lit("\n===========\n\nTitle:\n"), "title", F.lit("\n\nDate:\n"), F.replace("occurred_at", F.lit("-"), F.lit("/")), F.lit("\n\n"))
+    rows = sessions.join(lines, keys)
+    tail = F.lit("")
+    if notes is not None:
+        rows = rows.join(notes, keys, "left")
+        tail = F.when(F.col("note").isNotNull(), F.concat(F.lit("\n----- SessionAnalysis (reference only / NOT evidence) -----\n"), "note", F.lit("\n"))).otherwise("")
+    block = F.concat(head, "_body", tail).alias("_b")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session_no", block))), lambda x: x["_b"]), "\n")
+    return rows.groupBy("review_id").agg(F.regexp_replace(whole, r"\s+\z", "").alias("transcript"), F.count("*").alias("session_count"))
+
+
+def context_note(sessions: DataFrame) -> DataFrame:
+    """A line on the newest session of each review, and one on the oldest if it is another."""
+    name = lambda s: F.concat(F.format_string("S%02d", s["session_no"]), F.lit("（"), F.replace(s["occurred_at"], F.lit("-"), F.lit("/")), F.lit(" / "), s["title"], F.lit("）。"))
+    rows = sessions.groupBy("review_id").agg(F.max(F.struct("session_no", "occurred_at", "title")).alias("n"), F.min(F.struct("session_no", "occurred_at", "title")).alias("o"))
+    newest = F.concat(F.lit("最も新しいSessionは "), name(F.col("n")))
+    oldest = F.when(F.col("o.session_no") != F.col("n.session_no"), F.concat(F.lit("最も古いSessionは "), name(F.col("o"))))
+    return rows.select("review_id", F.concat_ws("\n", newest, oldest).alias("note"))

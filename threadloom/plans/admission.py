@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shorten
+from ..functions.text import shorten, trim
 from ..operators import ranking
 
 #: Forms, the reasons of those always refused, and the admission rules of each policy in order: id, forms,
@@ -73,6 +73,67 @@ def assessment_failure(candidates_: DataFrame, assessments: DataFrame) -> DataFr
     return bad.unionByName(gone).orderBy("later").limit(1).drop("later")
 
 
+#: The reasons that each decision of the first admission version may have.
+REASONS = {
+    "admit": ["stable_topic", "specific_named_concept", "longitudinal_value"],
+    "reject": ["generic", "clause", "episodic", "temporary_state", "task_or_action", "relation_or_claim", "pii"], "defer": ["insufficient_context"],
+}
+
+
+def admission_failure(candidates_: DataFrame, decisions: DataFrame) -> DataFrame:
+    """As assessment_failure for decisions (candidate_ref, pos, decision, reason_code); of missing refs the first, by the
+    candidates' pos, is told."""
+    known = candidates_.select(F.col("ref").alias("candidate_ref"), F.col("pos").alias("place"))
+    again = F.row_number().over(Window.partitionBy("candidate_ref").orderBy("pos")) > 1
+    rows = decisions.withColumn("again", again).join(known, "candidate_ref", "left")
+    allowed = F.lit(False)
+    for d, reasons in REASONS.items():
+        allowed = allowed | (F.col("decision") == d) & F.col("reason_code").isin(reasons)
+    rules = {
+        "unknown_candidate_ref": F.col("place").isNull(), "duplicate_candidate_ref": F.col("again"), "invalid_decision": ~F.col("decision").isin(list(REASONS)),
+        "invalid_reason_code": ~F.col("reason_code").isin([r for rs in REASONS.values() for r in rs]), "invalid_decision_reason": ~allowed,
+    }
+    reason = F.coalesce(*(F.when(F.coalesce(c, F.lit(True)), k) for k, c in rules.items()))
+    bad = rows.withColumn("reason", reason).where("reason IS NOT NULL").select("reason", F.col("candidate_ref").alias("detail"), F.lit(0).alias("later"), "pos")
+    gone = known.join(decisions, "candidate_ref", "left_anti").select(F.lit("missing_candidate_ref").alias("reason"), F.col("candidate_ref").alias("detail"), F.lit(1).alias("later"), F.col("place").alias("pos"))
+    return bad.unionByName(gone).orderBy("later", "pos").limit(1).select("reason", "detail")
+
+
+def report_totals(judged: DataFrame, reasons: list[str] = [r for k in ("admit", "reject", "defer") for r in REASONS[k]]) -> DataFrame:
+    """One row: candidates, those of each decision, and a count for each reason, also of those that never came."""
+    d = F.col("decision")
+    counts = {"admitted": d == "admit", "deferred": d == "defer", "rejected": ~d.isin("admit", "defer")} | {f"reason_{r}": F.col("reason_code") == r for r in reasons}
+    return judged.agg(F.count("*").alias("total_candidates"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+def report_sessions(judged: DataFrame) -> DataFrame:
+    """For each session the candidates that occur in it, by decision."""
+    d = F.col("decision")
+    rows = judged.select("decision", F.explode("session_ids").alias("session_id"))
+    return rows.groupBy("session_id").agg(F.count("*").alias("candidate_count"), F.count_if(d == "admit").alias("admitted_count"), F.count_if(d == "defer").alias("deferred_count"), F.count_if(~d.isin("admit", "defer")).alias("rejected_count"))
+
+
+def important_decisions(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (label) with the decision on each; of candidates that share a label the last (by pos) counts."""
+    last = ranking.top_n(judged, ["canonical_label"], [F.desc("pos")], 1).select(F.col("canonical_label").alias("label"), "candidate_ref", "decision")
+    return labels.join(last, "label", "left").withColumn("found", F.col("candidate_ref").isNotNull())
+
+
+def resolved_evidence(candidates_: DataFrame, unit_texts: DataFrame) -> DataFrame:
+    """Candidates with only that representative evidence whose unit has a text, shortened, and whether any is left."""
+    flat = candidates_.select("ref", F.posexplode("representative_evidence").alias("n", "e")).select("ref", "n", "e", F.col("e.session_id").alias("session_id"), F.col("e.evidence_ref").alias("evidence_ref"))
+    found = flat.join(unit_texts, ["session_id", "evidence_ref"]).where(F.length(trim(F.col("text"))) > 0)
+    kind = candidates_.schema["representative_evidence"].dataType.simpleString()
+    kept = found.groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("e").withField("short_text", shorten(F.col("text"))).alias("e")))), lambda x: x["e"]).alias("_kept"))
+    out = candidates_.join(kept, "ref", "left").withColumn("representative_evidence", F.coalesce("_kept", F.array().cast(kind)))
+    return out.drop("_kept").withColumn("evidence_resolved", F.size("representative_evidence") > 0)
+
+
+def evidence_integrity(resolved: DataFrame) -> DataFrame:
+    """One row: candidates, those with evidence, those without."""
+    return resolved.agg(F.count("*").alias("total_candidates"), F.count_if("evidence_resolved").alias("resolved_candidates"), F.count_if(~F.col("evidence_resolved")).alias("unresolved_candidates"))
+
+
 def signals(form: Column, role: Column, potential: Column, sessions: Column, kinds: Column) -> Column:
     found = {
         "specific_named_concept": form == "specific_named_concept", "stable_topic": form == "stable_topic", "longitudinal_high": potential == "high", "evidence_central": role == "central",

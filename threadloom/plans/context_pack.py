@@ -30,6 +30,39 @@ def analysis_candidates(items: DataFrame) -> DataFrame:
     return rows.select("review_id", ref.alias("ref"), "type", "text")
 
 
+#: Sections of a review in order, with their type, ref and support.
+REVIEW_TYPES = {
+    "shifts": ("shift", "confirmed"), "themes": ("theme", "cross_session_interpretation"), "tensions": ("tension", "cross_session_interpretation"),
+    "insights": ("insight", "cross_session_interpretation"), "hypotheses": ("hypothesis", "hypothesis"), "open_questions": ("open_question", "open_question"), "next_questions": ("next_question", "open_question"),
+}
+
+
+def review_candidates(reviews: DataFrame, items: DataFrame, refs: dict[str, str], project: str, purpose: str) -> DataFrame:
+    """The two constants, the summary and the visible items of each review: review_id, ref, type, text, support_type.
+
+    reviews: review_id, summary; items: review_id, section, pos (from 0, hidden ones counted), text, semantic_valid; refs: the
+    word of each section in refs (R:WORD:01).
+    """
+    fixed = [(CONSTANTS[0], "current_context", F.lit(project)), (CONSTANTS[1], "current_context", F.lit(purpose)), ("R:SUMMARY", "summary", F.col("summary"))]
+    heads = [reviews.select("review_id", F.lit(r).alias("ref"), F.lit(t).alias("type"), x.alias("text"), F.lit("confirmed").alias("support_type")) for r, t, x in fixed]
+    at = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in REVIEW_TYPES.items() for x in (k, v[i]))), F.col("section"))
+    word = F.element_at(F.create_map(*(F.lit(x) for kv in refs.items() for x in kv)), F.col("section"))
+    rows = items.where(F.coalesce("semantic_valid", F.lit(True)) & F.col("section").isin(list(REVIEW_TYPES)))
+    out = rows.select("review_id", F.format_string("R:%s:%02d", word, F.col("pos") + 1).alias("ref"), at(0).alias("type"), "text", at(1).alias("support_type"))
+    for h in heads:
+        out = out.unionByName(h)
+    return out
+
+
+def candidate_text(candidates: DataFrame, order: list[str]) -> DataFrame:
+    """What an annotator reads of each review's candidates: a head line, then what each has, blank lines between."""
+    some = lambda c, label: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c))) if c in candidates.columns else F.lit(None).cast("string")
+    head = F.concat(F.lit("["), "ref", F.lit("] type="), "type", F.lit(" support="), "support_type")
+    nested = [some(c, f"{label}: ") for c, label in (("before", "before"), ("after", "after"), ("side_a", "sideA"), ("side_b", "sideB"), ("rationale", "rationale"), ("validation_idea", "validationIdea"))]
+    text = F.concat_ws("\n", head, some("occurred_at", "occurredAt="), some("session_title", "session="), F.coalesce("text", F.lit("")), *nested)
+    return candidates.groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("_t")))), lambda x: x["_t"]), "\n\n").alias("candidate_text"))
+
+
 def select(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
     """The chosen candidates by section, in order: review_id, section, place, ref, type, text, and what the type has besides.
 

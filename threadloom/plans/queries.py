@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import labels as L
 from ..functions import text as T
 from ..operators import joins, ranking, sessions, stats, units
 from ..sources import export
@@ -376,3 +377,76 @@ def recent_list(spark, sf_dir):
     """The first five of an ordered list."""
     best = _table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(5)
     return best.select("c_nationkey", "c_custkey", "c_acctbal", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank"))
+
+
+_JUDGED_SQL = """
+    WITH j AS (
+        SELECT doc_id, lang, source, CASE WHEN n_chars > 2000 THEN 'admit' WHEN n_chars > 500 THEN 'defer' ELSE 'reject' END AS d,
+            CASE WHEN n_chars > 2000 THEN 'stable_topic' WHEN n_chars > 500 THEN 'insufficient_context' WHEN doc_id % 2 = 0 THEN 'generic' ELSE 'clause' END AS r FROM documents
+    )"""
+
+
+def _judged(spark, sf_dir):
+    n = F.col("n_chars")
+    d = _table(spark, sf_dir, "documents")
+    decision = F.when(n > 2000, "admit").when(n > 500, "defer").otherwise("reject")
+    reason = F.when(n > 2000, "stable_topic").when(n > 500, "insufficient_context").when(F.col("doc_id") % 2 == 0, "generic").otherwise("clause")
+    return d.select("doc_id", decision.alias("decision"), reason.alias("reason_code"), F.array("lang", "source").alias("session_ids"))
+
+
+@query(_JUDGED_SQL + " SELECT count(*) AS total_candidates, count(*) FILTER (d = 'admit') AS admitted, count(*) FILTER (d = 'defer') AS deferred, count(*) FILTER (d = 'reject') AS rejected, " + ", ".join(f"count(*) FILTER (r = '{r}') AS reason_{r}" for k in ("admit", "reject", "defer") for r in admission.REASONS[k]) + " FROM j")
+def admission_totals(spark, sf_dir):
+    return admission.report_totals(_judged(spark, sf_dir))
+
+
+@query(_JUDGED_SQL + """, s AS (SELECT d, unnest([lang, source]) AS session_id FROM j)
+    SELECT session_id, count(*) AS candidate_count, count(*) FILTER (d = 'admit') AS admitted_count, count(*) FILTER (d = 'defer') AS deferred_count, count(*) FILTER (d = 'reject') AS rejected_count FROM s GROUP BY session_id""")
+def admission_sessions(spark, sf_dir):
+    return admission.report_sessions(_judged(spark, sf_dir))
+
+
+_REVIEW_SQL = """
+    WITH c AS (SELECT DISTINCT conv_id FROM conversations), s AS (
+        SELECT conv_id % 20 AS review_id, conv_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id) AS n, 'Conversation ' || conv_id AS title, printf('2024-01-%02d', 1 + conv_id % 28) AS day FROM c
+    )"""
+
+
+def _reviews(spark, sf_dir):
+    i = F.col("conv_id")
+    c = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    c = c.select((i % 20).alias("review_id"), "conv_id", F.concat(F.lit("Conversation "), i.cast("string")).alias("title"), F.format_string("2024-01-%02d", 1 + i % 28).alias("occurred_at"))
+    return c.withColumn("session_no", F.row_number().over(Window.partitionBy("review_id").orderBy("conv_id")))
+
+
+@query(_REVIEW_SQL + """, m AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant')
+    ), b AS (
+        SELECT review_id, n, string_agg('[' || printf('S%02d:M%03d:E01', n, k) || '][' || upper(role) || ']' || chr(10) || text || chr(10), chr(10) ORDER BY k) AS body, any_value(title) AS title, any_value(day) AS day
+        FROM s JOIN m USING (conv_id) GROUP BY review_id, n
+    )
+    SELECT review_id, rtrim(string_agg(repeat('=', 20) || chr(10) || 'SESSION ' || printf('S%02d', n) || chr(10) || repeat('=', 11) || chr(10) || chr(10) || 'Title:' || chr(10) || title || chr(10) || chr(10) || 'Date:' || chr(10)
+        || replace(day, '-', '/') || chr(10) || chr(10) || body, chr(10) ORDER BY n), ' ' || chr(10)) AS transcript, count(*) AS session_count FROM b GROUP BY review_id""")
+def review_transcripts(spark, sf_dir):
+    """The conversations of each review as one labelled text; here a message is one unit."""
+    s = _reviews(spark, sf_dir)
+    m = units.numbered_messages(_table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")), ["conv_id"], ["turn"])
+    u = m.join(s.select("review_id", "session_no", "conv_id"), "conv_id").select("review_id", "session_no", "message_no", F.lit(1).alias("unit_no"), F.format_string("S%02d:M%03d:E01", "session_no", "message_no").alias("ref"), "role", F.col("text").alias("unit_text"))
+    return units.review_transcript(s, u)
+
+
+@query(_REVIEW_SQL + """, e AS (SELECT review_id, min(n) AS a, max(n) AS b FROM s GROUP BY review_id)
+    SELECT review_id, '最も新しいSessionは ' || printf('S%02d', y.n) || '（' || replace(y.day, '-', '/') || ' / ' || y.title || '）。'
+        || CASE WHEN a <> b THEN chr(10) || '最も古いSessionは ' || printf('S%02d', x.n) || '（' || replace(x.day, '-', '/') || ' / ' || x.title || '）。' ELSE '' END AS note
+    FROM e JOIN s x USING (review_id) JOIN s y USING (review_id) WHERE x.n = a AND y.n = b""")
+def review_context_notes(spark, sf_dir):
+    return units.context_note(_reviews(spark, sf_dir))
+
+
+@query("""
+    WITH c AS (SELECT lang, count(*) AS total, count(*) FILTER (quality = 1) AS valid FROM documents JOIN labels USING (doc_id) GROUP BY lang)
+    SELECT lang, '根拠 ' || valid || '/' || total || '（' || CAST(floor(valid / total * 100 + 0.5) AS BIGINT) || '%）' AS evidence, '横断解釈 ' || valid || '/' || total || '（' || CAST(floor(valid / total * 100 + 0.5) AS BIGINT) || '%）' AS interpretation, total - valid AS excluded FROM c""")
+def metric_labels(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang").join(_table(spark, sf_dir, "labels"), "doc_id")
+    c = d.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("valid"))
+    v, t, none = F.col("valid"), F.col("total"), F.lit(None)
+    return c.select("lang", L.evidence_metric(v, t, v / t).alias("evidence"), L.interpretation_metric(v, t, none).alias("interpretation"), L.hard_excluded(none, t, v).alias("excluded"))
