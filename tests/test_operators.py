@@ -350,3 +350,21 @@ def test_labels(spark):
     )
     assert (r.a, r.b, r.c, r.d, r.e) == (L.OPEN_DIRECT, None, None, "根拠 1/8（13%）", None)
     assert r.f == "横断解釈 0/0（0%）" and r.g == "x" * 48 + "…" and r.h == "none" and r.i == "対比" and r.j == "変化" and r.k is None
+
+
+def test_pilot(spark):
+    from threadloom.plans import pilot
+
+    texts = [("o", "s1", 0, "user", "Bouldering is what I like most of all."), ("o", "s1", 1, "assistant", "Good to hear."), ("o", "s1", 2, "user", "A chess club meets on Fridays here."), ("o", "s2", 0, "user", "More Bouldering with friends this week."), ("o", "s3", 0, "user", "Not covered at all by anyone.")]
+    c = "array<struct<action:string,surface_form:string,canonical_label:string>>"
+    new = lambda s: [{"action": "new", "surface_form": s, "canonical_label": s}]
+    notes = [("o", "s1", "M001:E01", 0, "extracted", new("Bouldering")), ("o", "s1", "M003:E01", 1, "extracted", new("tennis")), ("o", "s2", "M001:E01", 0, "extracted", new("Bouldering"))]
+    p = pilot.run(
+        spark.createDataFrame(texts, "owner string, session_id string, turn int, role string, content string"), spark.createDataFrame([("o", "s1", "2026-01-01"), ("o", "s2", "2026-01-02"), ("o", "s3", "2026-01-03")], "owner string, session_id string, occurred_at string"),
+        spark.createDataFrame(notes, f"owner string, session_id string, evidence_ref string, pos int, disposition string, concepts {c}"),
+    )
+    assert [(r.session_id, r.reason) for r in p.failures.collect()] == [("s3", "missing_unit")]
+    assert sorted((r.session_id, r.resolved_as or "", r.reason or "") for r in p.outcomes.collect()) == [("s1", "", "surface_not_in_unit"), ("s1", "new", ""), ("s2", "match", "")]
+    got = p.candidates.collect()
+    assert [(r.ref, r.occurrence_count, r.distinct_session_count, r.first_seen_at, r.last_seen_at) for r in got] == [("o:C01", 2, 2, "2026-01-01", "2026-01-02")]
+    assert {r.reason: r.n for r in pilot.reasons(p.outcomes).collect()} == {"surface_not_in_unit": 1}
