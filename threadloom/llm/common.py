@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,10 @@ class Scratch:
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcasts df if its counted rows fit; else leaves the join to a shuffle."""
     return F.broadcast(df) if rows * row_bytes <= most else df
+
+
+def release_memory() -> None:
+    """In a Python worker: gives freed memory back to the system, as its next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)

@@ -21,17 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast, pick
+from .common import Scratch, maybe_broadcast, pick, release_memory
 from .hashing import Ranges, U, mix, words8
 
 #: Bytes whose hash chooses a place. Bytes of text handled at once, and bytes whose records make one run.
-SEED, CHUNK, RUN = 16, 1 << 19, 1 << 24
+SEED, CHUNK, RUN = 16, 1 << 18, 1 << 23
 #: Bits of a position within a chunk, of a seed's hash and of a span's hash.
 POS, KEY, SPAN = 26, 40, 48
 #: Bytes of text for each range of seeds, about.
 BUCKET = 12 << 20
 #: A document of more bytes is handled in overlapping parts.
-PART = 1 << 24
+PART = 1 << 18
 
 
 @dataclass
@@ -82,7 +82,8 @@ def spans(parts: list[tuple[int, int, bytes]], k: int) -> Spans | None:
     docs, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
     begin = (np.cumsum(sizes) - sizes)[doc_at]
     span = mix(Ranges(data[:n]).hash(lo, hi) ^ (seed - lo).astype(U)) >> U(64 - SPAN)
-    return Spans(data, docs[doc_at], lo, hi, seed, h[seed] >> U(64 - KEY), span, lo - begin + offsets[doc_at])
+    key = mix(h[seed] ^ U(0xD1B54A32D192ED03)) >> U(64 - KEY)  # anew: the hashes of chosen places are small ones
+    return Spans(data, docs[doc_at], lo, hi, seed, key, span, lo - begin + offsets[doc_at])
 
 
 def chunks(texts: Iterator[tuple[int, bytes]], k: int) -> Iterator[tuple[list[tuple[int, int, bytes]], int]]:
@@ -125,6 +126,18 @@ def _first(*sorted_columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Rows by key and then by the other columns. The sort by key merges the sorted runs that it finds; only rows that are
+    known to have the same key are compared further, and from there on."""
+    order = np.argsort(key, kind="stable")
+    tie = ~_first(key[order])
+    tie[:-1] |= tie[1:]
+    rows = order[tie]
+    if len(rows):
+        order[tie] = rows[np.lexsort((*(c[rows] for c in reversed(more)), key[rows]))]
+    return order
+
+
 def _cut48(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -145,7 +158,7 @@ def _runs(k: int, buckets: int):
         rank[order_of_ids] = np.cumsum(_first(ids[order_of_ids])) - 1
         doc = rank[doc]
         distinct = np.unique(ids)
-        order = np.lexsort((doc, span, key))
+        order = _order(key, span, doc)
         doc, key, span = doc[order], key[order], span[order]
         new_doc = _first(key, span, doc)
         doc, key, span = doc[new_doc], key[new_doc], span[new_doc]
@@ -175,9 +188,11 @@ def _runs(k: int, buckets: int):
                 if size >= RUN and doc:
                     yield from flush(np.concatenate(ids), doc, key, span)
                     doc, key, span, size = [], [], [], 0
+                    release_memory()
             base += batch.num_rows
         if doc:
             yield from flush(np.concatenate(ids), doc, key, span)
+        release_memory()
 
     return run
 
@@ -211,7 +226,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
         where = np.frombuffer(blob, "<u4", n, at + 6 * n)
         ids.append(np.frombuffer(blob, "<i8", some, at + 10 * n)[where])
     key, span, id_ = map(np.concatenate, (keys, span_s, ids))
-    order = np.lexsort((id_, span, key))  # a merge of sorted runs: the key sort is stable and natural
+    order = _order(key, span, id_)
     key, span, id_ = key[order], span[order], id_[order]
     new = _first(key, span)
     group = np.cumsum(_first(key)) - 1
@@ -222,6 +237,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     np.maximum.at(largest, group[new], id_[new])
     ask = new & (np.bincount(group, new) > 1)[group] & (smallest < largest)[group]
     keep = covered | ask
+    release_memory()
     return pd.DataFrame({"id": id_[keep], "name": name(key[keep], span[keep]), "ask": ask[keep]})
 
 
@@ -299,6 +315,7 @@ def _compare(k: int):
             start = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)))
             stop = np.append(start[1:], len(hit)) - 1
             out.append(pd.DataFrame({"id": id_[row[hit[start]]], "name": own[row[hit[start]]], "first": nth[hit[start]], "last": nth[hit[stop]]}))
+        release_memory()
         return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "name", "first", "last")})
 
     return run
