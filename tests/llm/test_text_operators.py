@@ -145,9 +145,9 @@ def _substrings_by_hand(given, k=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("chunk,part", [(1 << 19, 1 << 24), (3000, 1000)])
-def test_remove_repeats(spark, monkeypatch, chunk, part):
-    for name, v in (("CHUNK", chunk), ("PART", part), ("RUN", 9000), ("BUCKET", 4000)):
+@pytest.mark.parametrize("chunk,part,hot", [(1 << 19, 1 << 24, 512), (3000, 1000, 512), (3000, 1000, 2), (1 << 19, 1 << 24, 4)])
+def test_remove_repeats(spark, monkeypatch, chunk, part, hot):
+    for name, v in (("CHUNK", chunk), ("PART", part), ("RUN", 9000), ("BUCKET", 4000), ("HOT", hot)):
         monkeypatch.setattr(substrings, name, v)
     df = substrings.remove_repeats(table(spark).repartition(3), carry=["row"])
     assert sorted_rows(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _substrings_by_hand(texts())

@@ -6,7 +6,9 @@ theirs. A record stands for all strings that share a place: the hash of the seed
 cover together. Each task sorts its records by seed, keeps the smallest document of equal ones and sends front-coded
 runs by range of the seed. There the runs are merged. A span that a smaller document has too is covered as
 a whole. Where one seed has different spans (the ends of a passage, mostly) their bytes are sent in a second
-exchange, and their strings are compared one by one.
+exchange, and their strings are compared one by one. A seed of very many spans, as at the ends of a passage that a third
+of all documents have, is told by its number in one run already, or when runs are merged. Its strings are compared as rows,
+which Spark aggregates before it exchanges them, so they never meet in one task.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SEED, CHUNK, RUN = 16, 1 << 18, 1 << 23
 POS, KEY, SPAN = 26, 40, 48
 #: Bytes of text for each range of seeds, about.
 BUCKET = 12 << 20
+#: Spans of a seed from which on, in a run or a bucket, its strings are compared as rows; what stands for them in a run.
+HOT, MANY = 512, (1 << 48) - 1
 #: A document of more bytes is handled in overlapping parts.
 PART = 1 << 18
 
@@ -81,7 +85,7 @@ def spans(parts: list[tuple[int, int, bytes]], k: int) -> Spans | None:
     doc_at = np.searchsorted(np.cumsum(sizes), lo, "right")
     docs, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
     begin = (np.cumsum(sizes) - sizes)[doc_at]
-    span = mix(Ranges(data[:n]).hash(lo, hi) ^ (seed - lo).astype(U)) >> U(64 - SPAN)
+    span = np.minimum(mix(Ranges(data[:n]).hash(lo, hi) ^ (seed - lo).astype(U)) >> U(64 - SPAN), U(MANY - 1))
     key = mix(h[seed] ^ U(0xD1B54A32D192ED03)) >> U(64 - KEY)  # anew: the hashes of chosen places are small ones
     return Spans(data, docs[doc_at], lo, hi, seed, key, span, lo - begin + offsets[doc_at])
 
@@ -166,6 +170,11 @@ def _runs(k: int, buckets: int):
         covered = ~new
         yield _rows(buckets, distinct[doc[covered]], name(key[covered], span[covered]))
         doc, key, span = doc[new], key[new], span[new]
+        hot, head = _hot(key)
+        if hot.any():  # one record stands for all of such a seed
+            yield _rows(buckets, distinct[doc[hot]], name(key[hot], span[hot]), hot=True)
+            span = np.where(hot, U(MANY), span)
+            doc, key, span = doc[~hot | head], key[~hot | head], span[~hot | head]
         bucket = (key * U(buckets) >> U(KEY)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -205,18 +214,28 @@ def _ids(col: pa.Array) -> np.ndarray:
     return col.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def _rows(bucket: int, ids: np.ndarray, names: np.ndarray, blob: bytes | None = None) -> pa.RecordBatch:
-    """One run of a bucket; or covered spans, dealt out by document to four times as many groups as there are buckets."""
+def _rows(bucket: int, ids: np.ndarray, names: np.ndarray, blob: bytes | None = None, hot: bool = False) -> pa.RecordBatch:
+    """One run of a bucket; or spans that are covered or hot, dealt out by document to four times as many groups as there are
+    buckets."""
+    columns = ["bucket", "id", "name", "ask", "run"]
     if blob is None:
         dealt = -1 - (mix(ids.astype(U)) % U(4 * bucket)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(ids.astype("<i8")), pa.array(names), pa.nulls(len(ids), pa.binary())], ["bucket", "id", "name", "run"])
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob])], ["bucket", "id", "name", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(ids.astype("<i8")), pa.array(names), pa.array(np.full(len(ids), 2 * hot, np.int32)), pa.nulls(len(ids), pa.binary())], columns)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([blob])], columns)
+
+
+def _hot(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys, one for each span: whether the key has HOT or more, and whether it is the key's first row."""
+    head = _first(key)
+    group = np.cumsum(head) - 1
+    return np.bincount(group)[group] >= HOT if len(key) else head, head
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merges the runs of a bucket: (id, name, ask). ask: the span's bytes must be compared with others of its seed."""
+    """Merges the runs of a bucket: (id, name, ask). ask: 0 the span is covered, 1 its bytes must be compared with others of
+    its seed, 2 as rows."""
     if pdf["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"id": pdf["id"].astype(np.int64), "name": pdf["name"].astype(np.int64), "ask": False})
+        return pd.DataFrame({"id": pdf["id"].astype(np.int64), "name": pdf["name"].astype(np.int64), "ask": pdf["ask"].astype(np.int32)})
     keys, span_s, ids = [], [], []
     for blob in pdf["run"]:
         n, some, size = np.frombuffer(blob, "<u4", 3).tolist()
@@ -235,12 +254,50 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     smallest, largest = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
     np.minimum.at(smallest, group[new], id_[new])
     np.maximum.at(largest, group[new], id_[new])
-    ask = new & (np.bincount(group, new) > 1)[group] & (smallest < largest)[group]
-    keep = covered | ask
+    n = np.bincount(group, new)[group]
+    ask = new & (n > 1) & (smallest < largest)[group]
+    hot = (n >= HOT) | np.bincount(group, span == U(MANY)).astype(bool)[group]
+    ask = np.where(hot, 2 * ~covered, ask).astype(np.int32)  # a covered one needs no more than that
+    keep = (covered | (ask > 0)) & (span != U(MANY))
     release_memory()
     return pd.DataFrame({"id": id_[keep], "name": name(key[keep], span[keep]), "ask": ask[keep]})
 
 
+def _asked(s: Spans, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The names of spans, and the places of those whose document asks for them, each once a document."""
+    own = s.name
+    wanted = np.zeros(len(own), bool)
+    bounds = np.flatnonzero(np.append(_first(s.doc), True))
+    for i, j in zip(bounds, bounds[1:], strict=False):
+        names = np.sort(np.asarray(asked[int(s.doc[i])].values, np.int64))
+        found = names[np.minimum(np.searchsorted(names, own[i:j]), len(names) - 1)] == own[i:j]
+        once = np.zeros(j - i, bool)
+        once[np.unique(own[i:j], return_index=True)[1]] = True
+        wanted[i:j] = found & once
+    return own, np.flatnonzero(wanted)
+
+
+def _strings(k: int):
+    """Rows (id, text, names) to the strings of the named spans: seed, place of the seed and hash, id, name and place in the
+    span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _ids(batch.column(0))
+            for parts, n in chunks(_texts(batch.column(1)), k):
+                if (s := spans(parts, k)) is None:
+                    continue
+                own, at = _asked(s, batch.column(2))
+                count = (s.hi - s.lo)[at] - k + 1
+                row = np.repeat(at, count)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = s.lo[row] + nth
+                hash_ = Ranges(s.data[:n]).hash(start, start + k).astype(np.int64) if len(row) else nth
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s.key[row].astype(np.int64), s.seed[row] - start, hash_, ids[s.doc[row]], own[row], nth)], ["key", "seed", "hash", "id", "name", "first"])
+
+    return run
+
+
 def _contexts(k: int, buckets: int):
     """Rows (id, text, names) to the bytes of the named spans, by bucket of their seed."""
 
@@ -250,16 +307,7 @@ def _contexts(k: int, buckets: int):
             for parts, _ in chunks(_texts(batch.column(1)), k):
                 if (s := spans(parts, k)) is None:
                     continue
-                own = s.name
-                wanted = np.zeros(len(own), bool)
-                bounds = np.flatnonzero(np.append(_first(s.doc), True))
-                for i, j in zip(bounds, bounds[1:], strict=False):
-                    names = np.sort(np.asarray(asked[int(s.doc[i])].values, np.int64))
-                    found = names[np.minimum(np.searchsorted(names, own[i:j]), len(names) - 1)] == own[i:j]
-                    once = np.zeros(j - i, bool)
-                    once[np.unique(own[i:j], return_index=True)[1]] = True
-                    wanted[i:j] = found & once
-                at = np.flatnonzero(wanted)
+                own, at = _asked(s, asked)
                 bucket = (s.key[at] * U(buckets) >> U(KEY)).astype(np.int64)
                 order = np.lexsort((s.key[at], bucket))
                 at, bucket = at[order], bucket[order]
@@ -347,22 +395,29 @@ def remove_repeats(docs: DataFrame, *, k: int = 50, keep: str | None = "bytes",
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = max(8, min(1 << 20, -(-size // BUCKET)))
 
-    runs = rows.select("id", "text").mapInArrow(_runs(k, buckets), "bucket long, id long, name long, run binary")
-    merged = scratch.keep(runs.groupBy("bucket").applyInPandas(_merge, "id long, name long, ask boolean"))
+    runs = rows.select("id", "text").mapInArrow(_runs(k, buckets), "bucket long, id long, name long, ask int, run binary")
+    merged = scratch.keep(runs.groupBy("bucket").applyInPandas(_merge, "id long, name long, ask int"))
 
     number = F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID))
-    asks = merged.where("ask").groupBy("id").agg(F.collect_set("name").alias("names"))
     numbered = rows.withColumn("number", number)
-    asking = merged.where("ask").select(F.col("id").alias("number")).distinct()
-    with_asks = numbered.join(maybe_broadcast(asking, docs.count(), 16), "number", "left_semi")
-    with_asks = with_asks.join(asks.withColumnRenamed("id", "number"), "number").select("number", "text", "names")
-    contexts = with_asks.mapInArrow(_contexts(k, buckets), "bucket long, run binary")
-    edges = contexts.groupBy("bucket").applyInPandas(_compare(k), "id long, name long, first long, last long")
+    n_docs = docs.count()
+
+    def asking(ask: int) -> DataFrame:
+        some = merged.where(F.col("ask") == ask)
+        names = some.groupBy(F.col("id").alias("number")).agg(F.collect_set("name").alias("names"))
+        few = numbered.join(maybe_broadcast(some.select(F.col("id").alias("number")).distinct(), n_docs, 16), "number", "left_semi")
+        return few.join(names, "number").select("number", "text", "names")
+
+    edges = asking(1).mapInArrow(_contexts(k, buckets), "bucket long, run binary").groupBy("bucket").applyInPandas(_compare(k), "id long, name long, first long, last long")
+    if merged.where("ask = 2").limit(1).count():
+        strings = scratch.keep(asking(2).mapInArrow(_strings(k), "key long, seed long, hash long, id long, name long, first long"))
+        least = strings.groupBy("key", "seed", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+        edges = edges.unionByName(strings.join(least, ["key", "seed", "hash"]).where("id > least").select("id", "name", "first", F.col("first").alias("last")))
 
-    found = merged.where("NOT ask").select("id", "name", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
+    found = merged.where("ask = 0").select("id", "name", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
     found = scratch.keep(found.unionByName(edges))
     by_doc = found.groupBy(F.col("id").alias("number")).agg(F.collect_list(F.struct("name", "first", "last")).alias("found"))
-    touched = maybe_broadcast(found.select(F.col("id").alias("number")).distinct(), docs.count(), 16)
+    touched = maybe_broadcast(found.select(F.col("id").alias("number")).distinct(), n_docs, 16)
 
     kept_kind = "string" if keep == "text" else "binary"
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kept_kind}, row {row_kind}"
