@@ -63,12 +63,12 @@ def test_signatures_are_unbiased():
     assert abs((got - np.array(want)).mean()) < 0.012
 
 
-@pytest.mark.parametrize("small,rounds,block", [(8, 4, 256), (2, 4, 256), (2, 0, 4), (1, 1, 2)])
-def test_near_duplicates(spark, monkeypatch, small, rounds, block):
-    for name, v in (("SMALL", small), ("ROUNDS", rounds), ("BLOCK", block)):
+@pytest.mark.parametrize("small,centres,block,best", [(8, True, 256, 4), (2, True, 2, 1), (2, False, 4, None), (1, False, 8, 1)])
+def test_near_duplicates(spark, monkeypatch, small, centres, block, best):
+    for name, v in (("SMALL", small), ("BLOCK", block), ("BEST", best)):
         monkeypatch.setattr(minhash, name, v)
-    if not rounds:  # all links of large buckets come from the comparison in blocks
-        monkeypatch.setattr(minhash, "_centres", lambda large, popular, turn: large.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    if not centres:  # all links of large buckets come from the comparison in blocks
+        monkeypatch.setattr(minhash, "_centres", lambda large, popular: large.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
     rng = random.Random(3)
     base = sentence(rng, 120).split()
     given = []

@@ -26,11 +26,10 @@ SHINGLE, BANDS, ROWS = 5, 32, 4
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 #: In buckets of up to this many texts every pair is a candidate; in larger ones each text and CENTRES others, dealt by hash.
-SMALL, CENTRES = 8, 3
-#: Rounds of centres at most, for large buckets whose texts aren't all linked yet.
-ROUNDS = 4
+SMALL, CENTRES = 8, 2
 #: Texts in a block of a large bucket, about. Of two texts of similarity 0.8, all but 1 in 10**9 agree in ALIKE registers of 128.
-BLOCK, ALIKE = 256, 74
+#: Pairs of a text that are tried first in each block.
+BLOCK, ALIKE, BEST = 256, 74, 4
 
 
 NONE, TIME = U(0xFFFFFFFFFFFFFFFF), U(0xFFFFFFFFFF000000)
@@ -193,13 +192,12 @@ def _verify(pairs: DataFrame, bags_: DataFrame, least: float, kind: str) -> Data
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_overlap(least), f"a {kind}, b {kind}, similarity double")
 
 
-def _centres(large: DataFrame, popular: DataFrame, turn: int) -> DataFrame:
+def _centres(large: DataFrame, popular: DataFrame) -> DataFrame:
     """Candidate pairs of the texts of large buckets with a few centres. Texts that share many and large buckets with others
-    are in the middle of their group, and few of the others' links bypass them; so they come first, from the second turn on
-    in an order that changes a little."""
-    chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
-    rows = large.join(popular, "id").withColumn("order", F.struct(-F.col("popularity") * (0.5 + chance if turn else F.lit(1.0)), F.xxhash64("id"), "id"))
-    chosen = rows.groupBy("key").agg(F.min_by("id", "order").alias("c0"), *(F.min_by(F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CENTRES)) == i, F.col("id")), F.when(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CENTRES)) == i, F.col("order"))).alias(f"c{i + 1}") for i in range(CENTRES)))
+    are in the middle of their group, and few of the others' links bypass them; so they come first."""
+    rows = large.join(popular, "id").withColumn("order", F.struct(-F.col("popularity"), F.xxhash64("id"), "id"))
+    part = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(CENTRES))
+    chosen = rows.groupBy("key").agg(F.min_by("id", "order").alias("c0"), *(F.min_by(F.when(part == i, F.col("id")), F.when(part == i, F.col("order"))).alias(f"c{i + 1}") for i in range(CENTRES)))
     chosen = chosen.withColumn("c", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES + 1)))))).select("key", "c")
     return large.join(chosen, "key").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
@@ -211,8 +209,15 @@ def _open(large: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(known.join(open_.groupBy("n", "of").agg(F.min("key").alias("key")).select("key"), "key"))
 
 
-def _rest(members: DataFrame, signed: DataFrame, kind: str, alike: int, scratch: Scratch) -> DataFrame:
-    """Pairs of texts of different components of a bucket whose signatures agree enough for a link, all of them.
+def _widest(members: DataFrame) -> DataFrame:
+    """Of the open buckets those that are some component's largest."""
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    return members.join(sized.groupBy("component").agg(F.max(F.struct("n", "key"))["key"].alias("key")).select("key").distinct(), "key", "left_semi")
+
+
+def _rest(members: DataFrame, signed: DataFrame, kind: str, alike: int, best: int | None, scratch: Scratch) -> DataFrame:
+    """Pairs of texts of different components of a bucket whose signatures agree enough for a link: all of them, or the
+    `best` ones of each text, or of two components, in each block.
 
     A bucket's texts are put in blocks, those of a large component apart from all others, and two blocks are compared in
     one step, unless both are of the same component. So what is left to compare in a bucket of n texts, of which all
@@ -225,9 +230,11 @@ def _rest(members: DataFrame, signed: DataFrame, kind: str, alike: int, scratch:
     rows = rows.select("key", "id", "component", "sig", F.when(own, F.col("component")).alias("owner"), F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / BLOCK))).alias("nr"))
     blocks = scratch.keep(rows.groupBy("key", "owner", "nr").agg(F.collect_list("id").alias("ids"), F.collect_list("component").alias("components"), F.collect_list("sig").alias("sigs")).withColumn("block", F.xxhash64("key", F.col("owner").isNull(), "owner", "nr")))
     names = blocks.select("key", "owner", "block")
-    cells = names.join(names.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b")), "key").where("block <= block_b").where(~F.coalesce(F.col("owner") == F.col("owner_b"), F.lit(False))).select("block", "block_b")
+    cells = names.join(names.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b")), "key").where("block <= block_b").where(~F.coalesce(F.col("owner") == F.col("owner_b"), F.lit(False)))
+    turned = F.col("owner").isNotNull() & F.col("owner_b").isNull()  # texts of small components come first
+    cells = cells.select(F.when(turned, F.col("block_b")).otherwise(F.col("block")).alias("block"), F.when(turned, F.col("block")).otherwise(F.col("block_b")).alias("block_b"), (F.col("owner").isNotNull() & F.col("owner_b").isNotNull()).alias("both"))
     data = blocks.select("block", "ids", "components", "sigs")
-    cells = cells.join(data, "block").join(data.toDF("block_b", "ids_b", "components_b", "sigs_b"), "block_b").drop("block", "block_b")
+    cells = cells.join(data, "block").join(data.toDF("block_b", "ids_b", "components_b", "sigs_b"), "block_b").select("ids", "components", "sigs", "ids_b", "components_b", "sigs_b", "both")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,8 +242,16 @@ def _rest(members: DataFrame, signed: DataFrame, kind: str, alike: int, scratch:
                 ids, of, sigs, ids_b, of_b, sigs_b = (batch.column(c)[i].values for c in range(6))
                 x, y = (np.frombuffer(b"".join(s.to_pylist()), "<u2").reshape(len(s), -1) for s in (sigs, sigs_b))
                 of, of_b = (np.unique(np.concatenate([of.to_pylist(), of_b.to_pylist()]), return_inverse=True)[1][k] for k in (slice(len(of)), slice(len(of), None)))
-                hits = [(j, k) for j in range(len(x)) for k in np.flatnonzero((of_b != of[j]) & (np.count_nonzero(y == x[j], axis=1) >= alike)).tolist()]
-                a, b = (pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1))
+                hits: list[tuple[int, int, int]] = []
+                for j in range(len(x)):
+                    agree = np.count_nonzero(y == x[j], axis=1)
+                    mine = np.flatnonzero((of_b != of[j]) & (agree >= alike))
+                    if best:
+                        mine = mine[np.argsort(-agree[mine], kind="stable")[:best]]
+                    hits += [(-int(agree[k]), j, int(k)) for k in mine]
+                if best and batch.column(6)[i].as_py():
+                    hits = sorted(hits)[:best]
+                a, b = (pa.array([h[k] for h in hits], pa.int64()) for k in (1, 2))
                 yield pa.RecordBatch.from_arrays([ids.take(a), ids_b.take(b)], ["a", "b"])
 
     found = cells.mapInArrow(run, f"a {kind}, b {kind}")
@@ -254,9 +269,9 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
 
     A link shows as a candidate if any of the bands agree: at a similarity of 0.8 all but 5 in 10**8. In buckets of
     over SMALL texts pairs are not listed one by one, which would grow with the square of a group: each text is compared
-    with the CENTRES that share most with others, and where a bucket isn't one class yet with other centres, up to
-    ROUNDS times. Then the texts of a bucket that are still of different classes are compared, all of them, by the
-    agreement of their signatures in blocks. So classes are those of all links; n_links counts the links that were
+    with the CENTRES that share most with others. Then the texts of a bucket that are still of different classes are
+    compared by the agreement of their signatures in blocks; first the best pairs of each text in its largest bucket are
+    verified, and of what then still is of different classes all that agree enough. So classes are those of all links; n_links counts the links that were
     looked at, which in a large bucket need not be those within a class.
     """
     spark = docs.sparkSession
@@ -279,23 +294,17 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
     bags_ = some.mapInArrow(_elements(shingle), f"id {kind}, bag binary").groupBy("id").agg(F.first("bag").alias("bag"))
     bags_ = scratch.keep(bags_)
     popular = scratch.keep(cand.where(F.col("n") > SMALL).groupBy("id").agg(F.sum("n").alias("popularity")))
-    tried = scratch.keep(pairs.unionByName(_centres(large, popular, 0)).distinct())
+    tried = scratch.keep(pairs.unionByName(_centres(large, popular)).distinct())
     links = scratch.keep(_verify(tried, bags_, least, kind))
     parts = components(links, scratch)
-    for turn in range(1, ROUNDS):
-        pairs = _centres(_open(large, parts, scratch).select("key", "id"), popular, turn)
-        of = parts.select(F.col("node"), "component")
-        pairs = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left").where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
-        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        more = scratch.keep(_verify(pairs, bags_, least, kind))
-        if not more.limit(1).count():
+    for best in (BEST, None):
+        members = _open(large, parts, scratch)
+        if not members.limit(1).count():
             break
-        links = scratch.keep(links.unionByName(more).dropDuplicates(["a", "b"]))
-        parts = components(links, scratch)
-    members = _open(large, parts, scratch)
-    if members.limit(1).count():
-        pairs = scratch.keep(_rest(members, signed, kind, ALIKE * bands * rows // 128, scratch).join(tried, ["a", "b"], "left_anti"))
+        if best:
+            members = scratch.keep(_widest(members))
+        pairs = scratch.keep(_rest(members, signed, kind, ALIKE * bands * rows // 128, best, scratch).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
         more = scratch.keep(_verify(pairs, bags_, least, kind))
         if more.limit(1).count():
             links = scratch.keep(links.unionByName(more).dropDuplicates(["a", "b"]))
