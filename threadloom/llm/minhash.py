@@ -27,7 +27,7 @@ SHINGLE, BANDS, ROWS = 5, 32, 4
 CHUNK = 1 << 20
 #: In buckets of up to this many texts every pair is a candidate; in larger ones each text and CENTRES others, dealt by hash.
 SMALL, CENTRES = 8, 2
-#: Texts in a block of a large bucket, about. Of two texts of similarity 0.8, all but 1 in 10**9 agree in ALIKE registers of 128.
+#: Texts in a block of a large bucket, about. Of two texts of similarity 0.8, all but 3 in 10**9 agree in ALIKE registers of 128.
 #: Pairs of a text that are tried first in each block.
 BLOCK, ALIKE, BEST = 256, 74, 4
 
