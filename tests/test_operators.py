@@ -9,8 +9,8 @@ from threadloom.functions import dates as D
 from threadloom.functions import labels as L
 from threadloom.functions import text as T
 from threadloom.operators import evidence as E
-from threadloom.operators import findings, guards, joins, ranking, sessions, stats, units
-from threadloom.plans import admission, concepts, context_pack, observations, review
+from threadloom.operators import containment, findings, guards, joins, ranking, sessions, stats, units
+from threadloom.plans import admission, concepts, context_pack, observations, queries, review
 from threadloom.sources import export, payloads, sinks, transcript
 
 
@@ -368,3 +368,23 @@ def test_pilot(spark):
     got = p.candidates.collect()
     assert [(r.ref, r.occurrence_count, r.distinct_session_count, r.first_seen_at, r.last_seen_at) for r in got] == [("o:C01", 2, 2, "2026-01-01", "2026-01-02")]
     assert {r.reason: r.n for r in pilot.reasons(p.outcomes).collect()} == {"surface_not_in_unit": 1}
+
+
+def test_text_containment(spark):
+    long = "".join(chr(0x4E00 + i * i % 5000) for i in range(300))
+    texts = [long, long, long[40:280], long[:30], "😀" + long[100:200], long[100:200], "a", "ab", "xaby", "a" * 90, "a" * 40, "", None, "abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwx", "cdefghijklmnopqrstuvwxyz", long[:30]]
+    given = list(enumerate(texts, 1)) + [(1, long)]
+    got = sorted(tuple(r) for r in containment.text_containment(spark.createDataFrame(given, "id long, k string"), "id", "k").collect())
+    first = {}
+    for i, t in given:
+        first.setdefault(t, i)
+    keys = {t: i for t, i in first.items() if t}
+    want = {("contained", i, j) for a, i in keys.items() for b, j in keys.items() if a != b and a in b} | {("equal", i, first[t]) for i, t in given if t and i != first[t]}
+    assert got == sorted(want)
+
+
+def test_near_duplicate_documents_have_no_length_limit(spark, tmp_path):
+    words = " ".join(f"word{i}、" for i in range(100))
+    spark.createDataFrame([(1, words), (2, words.replace("、", "")), (3, words[80:600]), (4, "other")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries.near_duplicate_documents(spark, str(tmp_path)).collect()}
+    assert got == {("equal", 2, 1), ("contained", 3, 1)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import labels as L
 from ..functions import text as T
-from ..operators import joins, ranking, sessions, stats, units
+from ..operators import containment, joins, ranking, sessions, stats, units
 from ..sources import export
 from . import admission, concepts
 
@@ -176,6 +176,13 @@ def near_duplicate_text(spark, sf_dir):
     return joins.key_containment(d, "doc_id", "k").select("inner_id", "outer_id")
 
 
+@query()
+def near_duplicate_documents(spark, sf_dir):
+    """Near duplicates of any length, as classes and links of classes; tests hold them against all pairs."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(T.compact(F.col("text")), "[。、．，]", "").alias("k"))
+    return containment.text_containment(d, "doc_id", "k")
+
+
 @query("""
     WITH k AS (SELECT min(p_partkey) AS id, lower(replace(p_name, ' ', '')) AS k FROM part GROUP BY ALL)
     SELECT a.id AS inner_id, b.id AS outer_id, a.k AS inner_key, b.k AS outer_key FROM k a JOIN k b ON a.id <> b.id AND contains(b.k, a.k) WHERE length(a.k) >= 2""")
