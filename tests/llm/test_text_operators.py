@@ -225,3 +225,22 @@ def test_empty_tables(spark):
     assert lines.drop_lines(empty).count() == 0
     assert substrings.remove_repeats(empty).count() == 0
     assert packing.pack(empty).count() == 0
+
+
+@pytest.mark.parametrize("inside", ['<span class="share">x</span>', '<i aria-hidden="true"></i>', '<a class="nav-link" href="/">x</a>', "<span hidden>x <span>y</span> <b>z</b></span>", '<a role="menu"><div>x</div></a>'])
+def test_html_text_after_dropped_inline_elements(inside):
+    found, main = html.blocks(f"<article><p>A {inside} B</p><p>C</p></article>")
+    assert " ".join(found) == "A B C" and main
+    assert " ".join(html.blocks(f"<article><p>wo{inside}rd</p></article>")[0]) in ("word", "wo rd")
+
+
+def test_html_dropped_inline_elements_end_with_their_block():
+    assert html.blocks("<article><div>A <span hidden>x</div>B</article>") == (["A", "B"], True)
+    assert html.blocks("<article>wo<i hidden></i>rd <span><span class=share>x</span>y</span></article>") == (["word y"], True)
+
+
+def test_html_pages_with_equal_text_keep_it(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    pages = [(1, "http://h/a", f"<p>{text}</p>"), (2, "http://h/b", f"<div>{text}</div>"), (3, "http://g/a", f"<p>{text}</p>"), (4, "http://g/b", f"<p>{text}</p><p>other</p>")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: text, 2: text, 3: "", 4: "other"}

@@ -49,8 +49,8 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if piece:
             text = _SPACE.sub(" ", html.unescape("".join(piece))).strip()
             piece.clear()
-            if text and zone() != "drop":
-                marked[zone()].append(text)
+            if text:  # never written in a dropped element, but one may have begun within the block
+                marked[next((z for _, z in reversed(stack) if z != "drop"), "")].append(text)
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -72,6 +72,14 @@ def blocks(page: str) -> tuple[list[str], bool]:
         name = m["name"].lower()
         if m["end"]:
             if name in _INLINE:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        if stack[i][1] != "drop":
+                            close()
+                        del stack[i:]
+                        break
+                    if stack[i][0] not in _INLINE:
+                        break
                 continue
             close()
             for i in range(len(stack) - 1, -1, -1):
@@ -99,8 +107,11 @@ def blocks(page: str) -> tuple[list[str], bool]:
             elif (name == "main" or role == "main") and inner != "article":
                 inner = "main"
         if name in _INLINE and inner == zone():
+            if any(n == name for n, _ in stack):
+                stack.append((name, inner))  # so that its end isn't taken for the other's
             continue
-        close()
+        if name not in _INLINE or inner != "drop":
+            close()
         if not m["attrs"].endswith("/") or inner == zone():
             if name not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "option") or inner != zone():
                 stack.append((name, inner))
@@ -123,7 +134,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     Blocks keep their order and are joined by one space. Null, empty and broken pages give what text they have, empty
     if none. On pages without article or main element a block is dropped when at least half of its words lie in runs
-    that another page of the host has too. Rows that repeat are pages of their own, but of one page id; an empty
+    that another page of the host, with another text, has too. Rows that repeat are pages of their own, but of one page id; an empty
     table gives an empty result; other columns are not read.
     """
     rows = pick(pages, id=id_col, url=url_col, html=html_col)
@@ -163,7 +174,10 @@ def _by_host(rows: DataFrame, kind: str, schema: str, joined) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([row] * len(got), pa.int64()), pa.array([name] * len(got)), pa.array(b, pa.int32()), pa.array(w, pa.int32()), pa.array(h, pa.int64())], ["row", "host", "block", "word", "hash"])
 
     cut = kept.select("row", "host", "blocks").mapInArrow(suffixes, "row long, host string, block int, word int, hash long")
-    shared = cut.join(kept.select("row", "id"), "row").groupBy("host", "hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("host", "hash")
+    # Two of the pages differ in id and in text exactly when neither is the same for all.
+    whole = F.sha2(F.to_json(F.struct("blocks")), 256)
+    ends = [f(c).alias(f.__name__ + c) for c in ("id", "whole") for f in (F.min, F.max)]
+    shared = cut.join(kept.select("row", "id", whole.alias("whole")), "row").groupBy("host", "hash").agg(*ends).where("minid < maxid AND minwhole < maxwhole").select("host", "hash")
     spots = cut.join(shared, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("block", "word")).alias("spots"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
