@@ -388,3 +388,11 @@ def test_near_duplicate_documents_have_no_length_limit(spark, tmp_path):
     spark.createDataFrame([(1, words), (2, words.replace("、", "")), (3, words[80:600]), (4, "other")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in queries.near_duplicate_documents(spark, str(tmp_path)).collect()}
     assert got == {("equal", 2, 1), ("contained", 3, 1)}
+
+
+def test_long_branches(spark):
+    long = [("a", i, i - 1, i == 300) for i in range(301)]
+    others = [("b", 1, 2, True), ("b", 2, 3, False), ("b", 3, 1, False), ("c", 5, 4, True), ("d", 1, None, False), ("d", 2, 1, True), ("d", 2, 1, True), ("d", 3, 1, True), ("e", 1, None, False)]
+    got = sorted(tuple(r) for r in export.branch_by_joins(spark.createDataFrame(long + others, "conv string, node int, parent int, is_current boolean")).collect())
+    want = [("a", i, 300 - i) for i in range(301)] + [("b", 1, 0), ("b", 2, 1), ("b", 3, 2), ("c", 5, 0), ("d", 1, 1), ("d", 1, 1), ("d", 2, 0), ("d", 3, 0)]
+    assert got == want

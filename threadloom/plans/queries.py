@@ -336,7 +336,7 @@ def branch_recursive(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
     edges = c.join(last, "conv_id").select(F.col("conv_id").alias("conv"), F.col("turn").alias("node"), (F.col("turn") - 1).alias("parent"), (F.col("turn") == F.col("last")).alias("is_current"))
-    return export.branch_by_recursion(edges)
+    return export.branch_by_joins(edges)
 
 
 @query("""

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..shared import kept
+
 #: Content types that are shown, and the title of a conversation without one.
 VISIBLE_TYPES, NO_TITLE = ["text", "multimodal_text"], "無題のConversation"
 
@@ -62,16 +64,25 @@ def live_branch(convs: DataFrame) -> DataFrame:
     return rows.select("external_id", F.posexplode("ids").alias("pos", "node_id"), "nodes").select("external_id", "pos", "node_id", F.element_at("nodes", F.col("node_id")).alias("node"))
 
 
-def branch_by_recursion(edges: DataFrame, name: str = "edges") -> DataFrame:
-    """The same with a recursive query, for (conv, node, parent, is_current) rows: conv, node, depth from the current node."""
-    edges.createOrReplaceTempView(name)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(conv, node, parent, depth) AS (
-            SELECT conv, node, parent, 0 FROM {name} WHERE is_current
-            UNION ALL
-            SELECT e.conv, e.node, e.parent, up.depth + 1 FROM up JOIN {name} e ON e.conv = up.conv AND e.node = up.parent
-        )
-        SELECT conv, node, depth FROM up""")
+def branch_by_joins(edges: DataFrame) -> DataFrame:
+    """The same by joins, for (conv, node, parent, is_current) rows: conv, node, depth from the current node.
+
+    Each round the nodes found so far are looked up in pointers that are twice as long as in the round before, so the rounds grow with
+    the logarithm of the longest branch. A node is one row of a conversation: rows that repeat are one. A branch ends at an
+    unknown node or one seen before; a conversation of several current nodes has the branch of each.
+    """
+    node = edges.select("conv", "node", "parent").distinct()
+    known = node.select("conv", F.col("node").alias("parent")).distinct()
+    up = kept(node.where("node IS NOT NULL").join(known, ["conv", "parent"], "left_semi").select("conv", "node", F.col("parent").alias("to")), "up")
+    found = kept(edges.where("is_current").select("conv", F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct(), "branch")
+    step = 1
+    while True:
+        more = found.join(up, ["conv", "node"]).select("conv", "start", F.col("to").alias("node"), F.col("depth") + step)
+        after = kept(found.union(more).groupBy("conv", "start", "node").agg(F.min("depth").alias("depth")), "branch")
+        if not after.where(F.col("depth") >= step).limit(1).count():
+            return after.select("conv", "node", "depth")
+        found, step = after, 2 * step
+        up = kept(up.alias("a").join(up.alias("b"), (F.col("a.conv") == F.col("b.conv")) & (F.col("a.to") == F.col("b.node"))).select("a.conv", "a.node", "b.to"), "up")
 
 
 def visible_messages(branch: DataFrame) -> DataFrame:
