@@ -396,3 +396,14 @@ def test_long_branches(spark):
     got = sorted(tuple(r) for r in export.branch_by_joins(spark.createDataFrame(long + others, "conv string, node int, parent int, is_current boolean")).collect())
     want = [("a", i, 300 - i) for i in range(301)] + [("b", 1, 0), ("b", 2, 1), ("b", 3, 2), ("c", 5, 0), ("d", 1, 1), ("d", 1, 1), ("d", 2, 0), ("d", 3, 0)]
     assert got == want
+
+
+def test_many_quotes_are_found_like_few(spark, tmp_path, monkeypatch):
+    docs = ["a short text", "abc", "nothing of it 😀 here", "exactly twelve and more", None, "", "exactly tw", "abc abc"]
+    quotes = ["abc", " abc ", "short", "exactly twelve and", "exactly tw", "a", "😀", "exactly twel", "here and", " ", None]
+    for name, id_, given in (("documents", "doc_id", docs), ("benchmark", "item_id", quotes)):
+        spark.createDataFrame(list(enumerate(given)), f"{id_} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = sorted((i, j) for i, q in enumerate(quotes) for j, d in enumerate(docs) if q and d and q.strip() and q.strip() in d)
+    for most in (20_000, 0):
+        monkeypatch.setattr(queries, "BROADCAST_QUOTES", most)
+        assert sorted(tuple(r) for r in queries.quote_grounding(spark, str(tmp_path)).collect()) == want

@@ -12,6 +12,8 @@ from ..operators import containment, joins, ranking, sessions, stats, units
 from ..sources import export
 from . import admission, concepts
 
+#: Fixed value: more quotes than these are looked up by their first characters, with the same rows.
+BROADCAST_QUOTES = 20_000
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -161,11 +163,14 @@ def quote_grounding(spark, sf_dir):
     """Which documents have which quotes. The quotes are a small reference table, sent to all tasks only if it is one."""
     q = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).where(T.trim(F.col("text")) != "")
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    if q.count() <= 20_000:
+    if q.count() <= BROADCAST_QUOTES:
         return docs.join(F.broadcast(q), T.quote_found(F.col("content"), F.col("quote"))).select("item_id", "doc_id")
-    # Each quote is looked up by its first 12 characters, and only texts that have them are compared.
-    grams = docs.select("doc_id", "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - 11, F.lit(1))), lambda i: F.substring("content", i, F.lit(12))))).alias("start"))
-    return grams.join(q.withColumn("start", F.substring(T.trim(F.col("quote")), 1, 12)), "start").where(T.quote_found(F.col("content"), F.col("quote"))).select("item_id", "doc_id")
+    # Each quote is looked up by its first characters, 12 or all if it has fewer, and only texts that have them are compared.
+    q = q.withColumn("start", F.substring(T.trim(F.col("quote")), 1, 12))
+    sizes = sorted(r.n for r in q.select(F.length("start").alias("n")).distinct().collect())
+    windows = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - (n - 1), F.lit(1))), lambda i: F.substring("content", i, F.lit(n)))
+    grams = docs.select("doc_id", "content", F.explode(F.array_distinct(F.concat(*map(windows, sizes)))).alias("start"))
+    return grams.join(q, "start").where(T.quote_found(F.col("content"), F.col("quote"))).select("item_id", "doc_id")
 
 
 @query(r"""
