@@ -244,3 +244,16 @@ def test_html_pages_with_equal_text_keep_it(spark):
     pages = [(1, "http://h/a", f"<p>{text}</p>"), (2, "http://h/b", f"<div>{text}</div>"), (3, "http://g/a", f"<p>{text}</p>"), (4, "http://g/b", f"<p>{text}</p><p>other</p>")]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: text, 2: text, 3: "", 4: "other"}
+
+
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    given = ["<|endoftext|>", "a <|endoftext|> z", "a<|endoftext|>z <|endoftext|>", "plain <|endoftext|", " <|endoftext|>  x"]
+    c = bpe.codec(bpe.load_spec(P.path("byte_bpe_50k.json")))
+    want = [t.encode(x, add_special_tokens=False).ids for x in given]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode_many(given)] == want and want[0] == [50256]
+    rows_ = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    crc = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in dac.token_files(rows_, P.path("byte_bpe_50k.json")).collect()}
+    assert crc == {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(want)}

@@ -1,8 +1,8 @@
 """Byte-level BPE with the tokenizers library: encoding and decoding over Arrow batches.
 
 A text is cut at its single spaces. Where both neighbours of a space are no white space, a pre-token always
-begins at that space, so each piece can be encoded by itself and its ids kept for later texts. Any other text goes
-through the library as a whole. Ids are the same either way.
+begins at that space, so each piece can be encoded by itself and its ids kept for later texts. Any other text, and one with
+an added token of the file, goes through the library as a whole. Ids are the same either way.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,6 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         chars = byte_chars()
         self.to_char = {b: ord(c) for b, c in chars.items()}
@@ -64,7 +64,9 @@ class Codec:
         self.bytes_of = [b""] * (max(vocab.values(), default=-1) + 1)
         for t, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-        for i, t in self.whole.get_added_tokens_decoder().items():
+        added = self.whole.get_added_tokens_decoder()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
+        for i, t in added.items():
             self.bytes_of += [b""] * (i + 1 - len(self.bytes_of))
             self.bytes_of[i] = t.content.encode()
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
@@ -85,14 +87,15 @@ class Codec:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [t.split(" ") for t in some]
         firsts = [p[0] for p in parts]
-        parts = [p[1:] for p in parts]
+        special = [bool(self.added and self.added.search(t)) for t in some]
+        parts = [[] if s else p[1:] for p, s in zip(parts, special, strict=True)]
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         found = [list(map(self.pieces.get, p)) for p in parts]
         new = {p for ps, f in zip(parts, found, strict=True) if None in f for p, x in zip(ps, f, strict=True) if x is None}
         bad = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         self._learn(list(new - bad))
-        whole = [bool(f) and f[-1].isspace() or bool(bad) and not bad.isdisjoint(p) for f, p in zip(firsts, parts, strict=True)]
+        whole = [s or bool(f) and f[-1].isspace() or bool(bad) and not bad.isdisjoint(p) for f, p, s in zip(firsts, parts, special, strict=True)]
         heads = self.whole.encode_batch_fast([t if w else f for t, f, w in zip(some, firsts, whole, strict=True)], add_special_tokens=False)
         get = self.pieces.__getitem__
         return [np.array(h.ids, "<u4").tobytes() + (b"" if w else b"".join(map(get, p) if None in f else f)) for h, w, p, f in zip(heads, whole, parts, found, strict=True)]
