@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from threadloom.llm import lines, minhash, packing, substrings, toxicity
 from threadloom.llm.common import Scratch, maybe_broadcast, table
@@ -30,13 +31,23 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _with_text(docs, lines.drop_lines(docs, carry=docs.columns), "text")
 
 
+def _row_id(docs: DataFrame):
+    """A string for each pair of id and text, in the order of the ids; null for a null id."""
+    number = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    id_ = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0") if number else F.col("doc_id").cast("string")
+    return F.concat(id_, F.lit(" "), F.coalesce(F.sha2("text", 256), F.lit("")))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates; of rows that are equal in id and text, one."""
-    found = minhash.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
-    found = Scratch(spark, "gone").keep(found)
-    left = docs.join(maybe_broadcast(found, found.count(), 16), F.col("doc_id") == F.col("gone"), "left_anti")
+    """The document with the smallest id of each class of near duplicates; of rows that are equal in id and text, one. Where ids
+    repeat, each text of an id is a document of its own."""
     again = Scratch(spark, "again").keep(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
-    if not again.limit(1).count():
+    repeats = again.limit(1).count() > 0
+    own = docs.withColumn("_row", _row_id(docs) if repeats else F.col("doc_id"))
+    found = minhash.near_duplicates(own, id_col="_row").where("NOT kept AND _row IS NOT NULL").select(F.col("_row").alias("gone")).distinct()
+    found = Scratch(spark, "gone").keep(found)
+    left = own.join(maybe_broadcast(found, found.count(), 96 if repeats else 16), F.col("_row") == F.col("gone"), "left_anti").select(*docs.columns)
+    if not repeats:
         return left
     same = F.col("doc_id").eqNullSafe(F.col("again"))
     again = maybe_broadcast(again, again.count(), 16)
@@ -61,7 +72,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: SQL can't express the stages; tests hold each against a plain Python version.
+#: SQL can't express the stages; tests hold the operators against plain Python versions, but not run() as a whole.
 ORACLE_SQL = None
 
 

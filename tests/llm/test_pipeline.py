@@ -42,6 +42,14 @@ def test_near_duplicates_keep_one(spark):
     assert left.count(307) == 1 and sum(100 <= i < 300 for i in left) == 1 and len([i for i in left if i < 60]) == 60
 
 
+def test_texts_of_repeated_ids_stay_unless_they_have_a_copy(spark):
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abc")
+    given = [(1, a), (5, a), (5, b), (5, b), (-3, c), (7, c), (None, a), (8, None), (8, "")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    got = [tuple(r) for r in cp.drop_near_duplicates(spark, docs, SF).collect()]
+    assert {x for x in got if x[1]} == {(1, a), (5, b), (-3, c), (None, a)} and len([x for x in got if x[1]]) == 4
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
