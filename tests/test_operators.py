@@ -272,17 +272,17 @@ def test_stream_appends_once(spark, tmp_path):
         assert spark.read.parquet(out).count() == 2
 
 
-def _ev(session, day="2024-01-01", role="user", quote="q", validated=True, reason=None):
+def _row_ev(session, day="2024-01-01", role="user", quote="q", validated=True, reason=None):
     return ("m", quote, validated, reason, role, "1", session, day)
 
 
 def test_review_sections_are_judged_and_limited(spark):
-    two, one_ = [_ev("a"), _ev("b", "2024-01-05")], [_ev("a")]
-    bad = [_ev("a", validated=False, reason="quote_not_found")]
+    two, one_ = [_row_ev("a"), _row_ev("b", "2024-01-05")], [_row_ev("a")]
+    bad = [_row_ev("a", validated=False, reason="quote_not_found")]
     rows = [
         (1, "themes", 0, "A plain theme", two, None, None, None, None), (1, "themes", 1, "Too few", one_, None, None, None, None), (1, "themes", 3, "over the limit", two, None, None, None, None),
-        (1, "insights", 0, "a plain theme and more", two, None, None, None, None), (1, "insights", 1, "A plain theme", two, None, None, None, None), (1, "shifts", 0, "later", two, None, None, one_, [_ev("b", "2024-01-05")]),
-        (1, "shifts", 1, "earlier", two, None, None, [_ev("b", "2024-01-05")], one_), (1, "open_questions", 0, "why", bad, None, None, None, None), (2, "insights", 0, "A plain theme", two, None, None, None, None),
+        (1, "insights", 0, "a plain theme and more", two, None, None, None, None), (1, "insights", 1, "A plain theme", two, None, None, None, None), (1, "shifts", 0, "later", two, None, None, one_, [_row_ev("b", "2024-01-05")]),
+        (1, "shifts", 1, "earlier", two, None, None, [_row_ev("b", "2024-01-05")], one_), (1, "open_questions", 0, "why", bad, None, None, None, None), (2, "insights", 0, "A plain theme", two, None, None, None, None),
     ]
     ddl = f"review_id int, section string, pos int, text string, evidence array<{E.EVIDENCE}>, " + ", ".join(f"{c} array<{E.EVIDENCE}>" for c in ("side_a", "side_b", "before", "after"))
     sess = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "review_id int, session_id string, session_no int")
