@@ -30,15 +30,12 @@ def _classes(given, least=0.8):
     ids, parent = sorted(set(reps.values())), {}
     bags = {i: _bag(t) for t, i in ((t, i) for t, i in reps.items()) for t in [t.decode()]}
     find = lambda x: x if parent.get(x, x) == x else find(parent[x])
-    links = Counter()
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             if _jaccard(bags[a], bags[b]) >= least:
-                links[a] += 1
-                links[b] += 1
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return {(i, t): (find(reps[minhash.normal(t)]), links[reps[minhash.normal(t)]]) for i, t in given}
+    return {(i, t): find(reps[minhash.normal(t)]) for i, t in given}
 
 
 def test_bags_count_shingles():
@@ -63,12 +60,13 @@ def test_signatures_are_unbiased():
     assert abs((got - np.array(want)).mean()) < 0.012
 
 
-@pytest.mark.parametrize("small,centres,block,best", [(8, True, 256, 4), (2, True, 2, 1), (2, False, 4, None), (1, False, 8, 1)])
-def test_near_duplicates(spark, monkeypatch, small, centres, block, best):
-    for name, v in (("SMALL", small), ("BLOCK", block), ("BEST", best)):
+@pytest.mark.parametrize("stars,block,columns", [(True, 256, 2048), (True, 2, 16), (False, 4, 2048), (False, 8, 5)])
+def test_near_duplicates(spark, monkeypatch, stars, block, columns):
+    for name, v in (("BLOCK", block), ("COLUMNS", columns)):
         monkeypatch.setattr(minhash, name, v)
-    if not centres:  # all links of large buckets come from the comparison in blocks
-        monkeypatch.setattr(minhash, "_centres", lambda large, popular: large.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    if not stars:  # all links but those of buckets of two come from the comparison in blocks
+        two = minhash._stars
+        monkeypatch.setattr(minhash, "_stars", lambda cand, scratch: two(cand.where("n = 2"), scratch))
     rng = random.Random(3)
     base = sentence(rng, 120).split()
     given = []
@@ -80,13 +78,31 @@ def test_near_duplicates(spark, monkeypatch, small, centres, block, best):
     given += texts()
     rows = [("x", i, t, "", 0, 0, "", 0, "") for i, t in given]
     want = _classes(given)
-    sizes = Counter(c for c, _ in want.values()) if len(want) == len(given) else Counter(want[g][0] for g in given)
+    sizes = Counter(want[g] for g in given)
     for r in minhash.near_duplicates(table(spark, rows)).join(spark.createDataFrame(given, "doc_id long, text string").distinct(), "doc_id").collect():
-        assert r.class_id == want[(r.doc_id, r.text or "")][0]
+        assert r.class_id == want[(r.doc_id, r.text or "")]
         assert r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id)
     assert minhash.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_similarities_are_those_of_each_pair(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(6)
+    bags = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (30, 5, 60, 1, 0, 40)]
+    got = minhash.similarities(bags[:4], bags[2:])
+    for i, a in enumerate(bags[:4]):
+        for j, b in enumerate(bags[2:]):
+            assert got[i, j] == pytest.approx(len(set(a) & set(b)) / max(1, len(set(a) | set(b))))
+    assert minhash.similarities([], bags).shape == (0, 6)
+
+
+def test_an_id_with_two_texts_is_two_documents(spark):
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abc")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (9, b + " more"), (7, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 3, 2, True), (5, 3, 2, False), (5, 5, 3, True), (5, 5, 3, True), (7, 7, 1, True), (9, 5, 3, False)]
+
+
 def test_null_ids_are_classes_of_their_own(spark):
     rows = [("x", None, "a b c", "", 0, 0, "", 0, ""), ("x", None, "a b c", "", 0, 0, "", 0, ""), ("x", 4, "a b c", "", 0, 0, "", 0, "")]
     got = [(r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(table(spark, rows)).collect()]

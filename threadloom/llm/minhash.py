@@ -10,6 +10,7 @@ they can still be smaller than the largest register, so most shingles make one p
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,8 @@ from .hashing import Ranges, U, mix
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
-#: In buckets of up to this many texts every pair is a candidate; in larger ones each text and CENTRES others, dealt by hash.
-SMALL, CENTRES = 8, 2
-#: Texts in a block of a large bucket, about. Of two texts of similarity 0.8, all but 3 in 10**9 agree in ALIKE registers of 128.
-#: Pairs of a text that are tried first in each block.
-BLOCK, ALIKE, BEST = 256, 74, 4
+#: Texts in a block of a bucket and bytes of their bags, about; columns of a matrix of elements.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 2048
 
 
 NONE, TIME = U(0xFFFFFFFFFFFFFFFF), U(0xFFFFFFFFFF000000)
@@ -131,189 +129,228 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
         yield first, some
 
 
-def _sign(shingle: int, bands: int, rows: int):
-    import hashlib
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
 
+def _sign(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, some in _chunks(batch, 1):
                 doc, sh, count = bags(some, shingle)
                 sig = signatures(len(some), doc, sh, count, bands * rows)
                 keys = band_keys(sig, bands, rows)
-                short = [x.tobytes() for x in (mix(sig) >> U(48)).astype("<u2")]
                 sizes = np.bincount(doc, count, len(some)).astype(np.int64)
-                digests = [hashlib.blake2b(t, digest_size=16).digest() for t in some]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(digests, pa.binary()), pa.array(sizes), lists, pa.array(short, pa.binary())], ["id", "digest", "size", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(list(map(_digest, some)), pa.binary()), pa.array(sizes), lists], ["id", "digest", "size", "keys"])
 
     return run
 
 
 def _elements(shingle: int):
-    """Each text as a sorted array of numbers, one for each shingle and copy of it, so that bags compare as sets."""
+    """Rows (node, digest, text) to each text with that digest as a sorted array of numbers, one for each shingle and copy of it, so that
+    bags compare as sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, some in _chunks(batch, 1):
-                doc, sh, count = bags(some, shingle)
+            for first, some in _chunks(batch, 2):
+                mine = [i for i, (d, t) in enumerate(zip(batch.column(1).slice(first, len(some)).to_pylist(), some, strict=True)) if d == _digest(t)]
+                doc, sh, count = bags([some[i] for i in mine], shingle) if mine else bags([b""], shingle)
                 copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 each, owner = mix(np.repeat(sh, count) + copy.astype(U) * U(0xD1B54A32D192ED03)), np.repeat(doc, count)
                 order = np.lexsort((each, owner))
                 each = each[order]
-                ends = np.cumsum(np.bincount(doc, count, len(some))).astype(np.int64)
-                blobs = [each[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(blobs, pa.binary())], ["id", "bag"])
+                ends = np.cumsum(np.bincount(doc, count, len(mine))).astype(np.int64)
+                blobs = [each[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if mine else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)).take(pa.array(mine, pa.int64())), pa.array(blobs, pa.binary())], ["node", "bag"])
 
     return run
 
 
 def _overlap(least: float):
+    """Rows (a, b, x, y) of two nodes and their bags to (a, b) of those that are alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, values = [], []
+            keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 if not len(x) or not len(y) or min(len(x), len(y)) < least * max(len(x), len(y)):
                     continue
                 at = np.searchsorted(y, x)
                 same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                j = same / (len(x) + len(y) - same)
-                if j >= least:
+                if same / (len(x) + len(y) - same) >= least:
                     keep.append(i)
-                    values.append(j)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(values, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
     return run
 
 
-def _verify(pairs: DataFrame, bags_: DataFrame, least: float, kind: str) -> DataFrame:
-    a, b = bags_.select(F.col("id").alias("a"), F.col("bag").alias("x")), bags_.select(F.col("id").alias("b"), F.col("bag").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_overlap(least), f"a {kind}, b {kind}, similarity double")
+def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The similarity of each bag of x to each of y. Sizes of overlaps are products of 0/1 matrices whose columns are the elements that
+    both sides have, some columns at a time."""
+    n, m = (np.array([len(b) for b in s], np.int64) for s in (x, y))
+    (a, row_a), (b, row_b) = ((np.concatenate(s) if s else np.zeros(0, U), np.repeat(np.arange(len(s)), k)) for s, k in ((x, n), (y, m)))
+    shared = np.intersect1d(a, b)
+    same = np.zeros((len(x), len(y)), np.float32)
+    if len(shared):
+        sides = []
+        for e, row in ((a, row_a), (b, row_b)):
+            at = np.minimum(np.searchsorted(shared, e), len(shared) - 1)
+            hit = shared[at] == e
+            order = np.argsort(at[hit], kind="stable")
+            sides.append((at[hit][order], row[hit][order]))
+        for c in range(0, len(shared), COLUMNS):
+            part = []
+            for (at, row), size in zip(sides, (len(x), len(y)), strict=True):
+                i, j = np.searchsorted(at, (c, c + COLUMNS))
+                ones = np.zeros((size, min(COLUMNS, len(shared) - c)), np.float32)
+                ones[row[i:j], at[i:j] - c] = 1
+                part.append(ones)
+            same += part[0] @ part[1].T
+    return same / np.maximum(n[:, None] + m[None] - same, 1)
+
+
+def joining(x: list[np.ndarray], y: list[np.ndarray], of_x: np.ndarray, of_y: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of the links between x and y as many as join their components, most alike first: fewer than there are components."""
+    like = similarities(x, y)
+    i, j = np.nonzero((like >= least) & (of_x[:, None] != of_y[None]))
+    order = np.argsort(-like[i, j], kind="stable")
+    root = {c: c for c in (*of_x.tolist(), *of_y.tolist())}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = find(int(of_x[a])), find(int(of_y[b]))
+        if p != q:
+            root[p] = q
+            out.append((a, b))
+    return out
 
 
-def _centres(large: DataFrame, popular: DataFrame) -> DataFrame:
-    """Candidate pairs of the texts of large buckets with a few centres. Texts that share many and large buckets with others
-    are in the middle of their group, and few of the others' links bypass them; so they come first."""
-    rows = large.join(popular, "id").withColumn("order", F.struct(-F.col("popularity"), F.xxhash64("id"), "id"))
-    part = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(CENTRES))
-    chosen = rows.groupBy("key").agg(F.min_by("id", "order").alias("c0"), *(F.min_by(F.when(part == i, F.col("id")), F.when(part == i, F.col("order"))).alias(f"c{i + 1}") for i in range(CENTRES)))
-    chosen = chosen.withColumn("c", F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES + 1)))))).select("key", "c")
-    return large.join(chosen, "key").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+def _stars(cand: DataFrame, scratch: Scratch) -> DataFrame:
+    """A candidate pair of each text of a bucket with the one text of it that is in most company in all its buckets: it is in the middle
+    of its group, and the same for most of the group's buckets."""
+    company = cand.groupBy("node").agg(F.sum("n").alias("company"))
+    centres = cand.join(company, "node").groupBy("key").agg(F.min_by("node", F.struct(-F.col("company"), F.xxhash64("node"), "node")).alias("c"))
+    centres = scratch.keep(centres)
+    centres = maybe_broadcast(centres, centres.count(), 16)
+    return cand.join(centres, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def _open(large: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, component) of the large buckets that are not of one component; of buckets of the same texts one."""
-    known = large.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of")).where("low <> high")
-    return scratch.keep(known.join(open_.groupBy("n", "of").agg(F.min("key").alias("key")).select("key"), "key"))
+def _open(cand: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, component, bytes) of the buckets whose texts are not of one component; of buckets of the same texts one. In buckets
+    of two the one pair is tried already."""
+    known = cand.where("n > 2").join(parts, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    known = scratch.keep(known)
+    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("low <> high")
+    open_ = scratch.keep(open_.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return scratch.keep(known.join(maybe_broadcast(open_, open_.count(), 8), "key", "left_semi").select("key", "node", "component", (F.col("size") * 8).alias("bytes")))
 
 
 def _widest(members: DataFrame) -> DataFrame:
     """Of the open buckets those that are some component's largest."""
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-    return members.join(sized.groupBy("component").agg(F.max(F.struct("n", "key"))["key"].alias("key")).select("key").distinct(), "key", "left_semi")
-
-
-def _rest(members: DataFrame, signed: DataFrame, kind: str, alike: int, best: int | None, scratch: Scratch) -> DataFrame:
-    """Pairs of texts of different components of a bucket whose signatures agree enough for a link: all of them, or the
-    `best` ones of each text, or of two components, in each block.
-
-    A bucket's texts are put in blocks, those of a large component apart from all others, and two blocks are compared in
-    one step, unless both are of the same component. So what is left to compare in a bucket of n texts, of which all
-    but r are linked, is r * n in blocks."""
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    small = sizes.where(F.col("c") < BLOCK).groupBy("key").agg(F.sum("c").alias("small"))
-    sig = signed.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("sig").alias("sig"))
-    own = F.col("c") >= BLOCK
-    rows = members.join(sizes, ["key", "component"]).join(small, "key", "left").join(sig, "id")
-    rows = rows.select("key", "id", "component", "sig", F.when(own, F.col("component")).alias("owner"), F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / BLOCK))).alias("nr"))
-    blocks = scratch.keep(rows.groupBy("key", "owner", "nr").agg(F.collect_list("id").alias("ids"), F.collect_list("component").alias("components"), F.collect_list("sig").alias("sigs")).withColumn("block", F.xxhash64("key", F.col("owner").isNull(), "owner", "nr")))
-    names = blocks.select("key", "owner", "block")
-    cells = names.join(names.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b")), "key").where("block <= block_b").where(~F.coalesce(F.col("owner") == F.col("owner_b"), F.lit(False)))
-    turned = F.col("owner").isNotNull() & F.col("owner_b").isNull()  # texts of small components come first
-    cells = cells.select(F.when(turned, F.col("block_b")).otherwise(F.col("block")).alias("block"), F.when(turned, F.col("block")).otherwise(F.col("block_b")).alias("block_b"), (F.col("owner").isNotNull() & F.col("owner_b").isNotNull()).alias("both"))
-    data = blocks.select("block", "ids", "components", "sigs")
-    cells = cells.join(data, "block").join(data.toDF("block_b", "ids_b", "components_b", "sigs_b"), "block_b").select("ids", "components", "sigs", "ids_b", "components_b", "sigs_b", "both")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    keys = members.join(sizes, "key").groupBy("component").agg(F.max(F.struct("n", "key"))["key"].alias("key")).select("key").distinct()
+    return members.join(keys, "key", "left_semi")
+
+
+def _joined(members: DataFrame, bags_: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join components of the open buckets: between any two components of a bucket that a link joins.
+
+    A bucket's texts are put in blocks, those of a large component apart from all others. Two blocks meet in one step with all their
+    bags, unless both are of the same component; there all their texts are compared at once, and only links that join components come
+    out. So a bucket of n texts, of which all but r are joined already, takes r * n comparisons, and at most a row for each component of
+    each two blocks.
+    """
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
+    own = (F.col("c") >= BLOCK) | (F.col("b") >= BLOCK_BYTES)
+    small = sizes.where(~own).groupBy("key").agg(F.sum("c").alias("others"), F.sum("b").alias("other_bytes"))
+    rows = members.join(sizes, ["key", "component"]).join(small, "key", "left")
+    nr = F.when(own, F.pmod(F.xxhash64("node"), blocks_of(F.col("c"), F.col("b")))).otherwise(F.pmod(F.xxhash64("component"), blocks_of(F.col("others"), F.col("other_bytes"))))
+    rows = rows.select("node", "component", F.when(own, F.col("component")).alias("owner"), nr.alias("nr"), "key")
+    rows = rows.withColumn("block", F.xxhash64("key", F.col("owner").isNull(), "owner", "nr"))
+    names = scratch.keep(rows.select("key", "owner", "block").distinct())
+    other = names.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b"))
+    cells = names.join(other, "key").where("block <= block_b").where(~F.coalesce(F.col("owner") == F.col("owner_b"), F.lit(False)))
+    cells = scratch.keep(cells.select("block", "block_b"))
+    used = cells.select("block").union(cells.select("block_b")).distinct()
+    texts = rows.join(used, "block", "left_semi").join(bags_, "node").groupBy("block").agg(F.collect_list(F.struct("node", "component", "bag")).alias("texts"))
+    texts = scratch.keep(texts)
+    met = cells.join(texts, "block").join(texts.toDF("block_b", "texts_b"), "block_b").select("texts", "texts_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, of, sigs, ids_b, of_b, sigs_b = (batch.column(c)[i].values for c in range(6))
-                x, y = (np.frombuffer(b"".join(s.to_pylist()), "<u2").reshape(len(s), -1) for s in (sigs, sigs_b))
-                of, of_b = (np.unique(np.concatenate([of.to_pylist(), of_b.to_pylist()]), return_inverse=True)[1][k] for k in (slice(len(of)), slice(len(of), None)))
-                hits: list[tuple[int, int, int]] = []
-                for j in range(len(x)):
-                    agree = np.count_nonzero(y == x[j], axis=1)
-                    mine = np.flatnonzero((of_b != of[j]) & (agree >= alike))
-                    if best:
-                        mine = mine[np.argsort(-agree[mine], kind="stable")[:best]]
-                    hits += [(-int(agree[k]), j, int(k)) for k in mine]
-                if best and batch.column(6)[i].as_py():
-                    hits = sorted(hits)[:best]
-                a, b = (pa.array([h[k] for h in hits], pa.int64()) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([ids.take(a), ids_b.take(b)], ["a", "b"])
-
-    found = cells.mapInArrow(run, f"a {kind}, b {kind}")
+                sides = []
+                for column in (0, 1):
+                    rows = batch.column(column)[i].values
+                    node, of = (np.asarray(rows.field(c)) for c in (0, 1))
+                    sides.append((node, of, [np.frombuffer(x.as_buffer(), U) for x in rows.field(2)]))
+                (a, of_a, x), (b, of_b, y) = sides
+                hits = joining(x, y, of_a, of_b, least)
+                yield pa.RecordBatch.from_arrays([pa.array(a[[h[0] for h in hits]] if hits else a[:0]), pa.array(b[[h[1] for h in hits]] if hits else b[:0])], ["a", "b"])
+
+    found = met.mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The class of near duplicates of each document: id, class_id (its smallest id), class_size, n_links, kept.
+    """The class of near duplicates of each document: id, class_id (its smallest id), class_size, kept.
 
     Two texts are linked when the weighted Jaccard similarity of their shingles is at least `least`; classes are what links
     connect. Texts are compared in lower case with one space between words; texts that are then equal are of one class,
-    empty and null ones too, and are compared with others once. n_links: links found of the document's text to
-    different texts. kept: the row with the smallest id of its class. Rows that repeat an id are one document here; null ids are
-    a class each text of their own. An empty table gives an empty result.
-
-    A link shows as a candidate if any of the bands agree: at a similarity of 0.8 all but 5 in 10**8. In buckets of
-    over SMALL texts pairs are not listed one by one, which would grow with the square of a group: each text is compared
-    with the CENTRES that share most with others. Then the texts of a bucket that are still of different classes are
-    compared by the agreement of their signatures in blocks; first the best pairs of each text in its largest bucket are
-    verified, and of what then still is of different classes all that agree enough. So classes are those of all links; n_links counts the links that were
-    looked at, which in a large bucket need not be those within a class.
+    empty and null ones too, and are compared with others once. kept: the row with the smallest id of its class, and rows that repeat
+    it with an equal text or one of the same class. An id that comes with several texts is a document for each of them; null ids are
+    a class each text of their own. An empty table gives an empty result; other columns are not read.
+
+    A link shows as a candidate if any of the bands agree: at a similarity of 0.8 all but 5 in 10**8. Buckets of any size are
+    handled alike: each text is compared with one other of its bucket; then those buckets whose texts are still of different classes
+    are compared in blocks, of which only links that join two classes come out. First come the largest buckets of each class, as they
+    close most others. So classes are those of all links in any bucket, and no pairs of a group are listed.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     given = pick(docs, id=id_col, text=text_col)
     kind = given.schema["id"].dataType.simpleString()
-    signed = scratch.keep(given.mapInArrow(_sign(shingle, bands, rows), f"id {kind}, digest binary, size long, keys array<long>, sig binary"))
-    reps = scratch.keep(signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.first("keys").alias("keys")))
-
-    flat = reps.where("size > 0").select("id", F.explode("keys").alias("key"))
-    counts = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cand = scratch.keep(flat.join(counts, "key").select("key", "id", "n"))
-    few = cand.where(F.col("n") <= SMALL).select("key", "id")
-    large = cand.where(F.col("n") > SMALL).select("key", "id")
-    pairs = few.join(few.withColumnRenamed("id", "b"), "key").where("id < b").select(F.col("id").alias("a"), "b").distinct()
-
-    ids = cand.select("id").distinct()
-    some = given.join(maybe_broadcast(ids, signed.count(), 16), "id", "left_semi")
-    # an id that repeats with another text has its representative's text only
-    bags_ = some.mapInArrow(_elements(shingle), f"id {kind}, bag binary").groupBy("id").agg(F.first("bag").alias("bag"))
-    bags_ = scratch.keep(bags_)
-    popular = scratch.keep(cand.where(F.col("n") > SMALL).groupBy("id").agg(F.sum("n").alias("popularity")))
-    tried = scratch.keep(pairs.unionByName(_centres(large, popular)).distinct())
-    links = scratch.keep(_verify(tried, bags_, least, kind))
+    signed = scratch.keep(given.mapInArrow(_sign(shingle, bands, rows), f"id {kind}, digest binary, size long, keys array<long>"))
+    # A node is a text; equal texts are one.
+    reps = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.first("keys").alias("keys"))
+    reps = scratch.keep(reps.withColumn("node", F.monotonically_increasing_id()))
+
+    flat = reps.where("size > 0").select("node", "size", F.explode("keys").alias("key"))
+    counts = scratch.keep(flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    cand = scratch.keep(flat.join(maybe_broadcast(counts, counts.count(), 16), "key").select("key", "node", "size", "n"))
+
+    nodes = cand.select("node").distinct().join(reps.select("node", "id", "digest"), "node")
+    nodes = scratch.keep(nodes)
+    texts = given.join(maybe_broadcast(nodes, nodes.count(), 48), "id").select("node", "digest", "text")
+    bags_ = scratch.keep(texts.mapInArrow(_elements(shingle), "node long, bag binary").dropDuplicates(["node"]))
+
+    tried = scratch.keep(_stars(cand, scratch))
+    a, b = bags_.toDF("a", "x"), bags_.toDF("b", "y")
+    links = scratch.keep(tried.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_overlap(least), "a long, b long"))
     parts = components(links, scratch)
-    for best in (BEST, None):
-        members = _open(large, parts, scratch)
+    for some in (_widest, None):
+        members = _open(cand, parts, scratch)
         if not members.limit(1).count():
             break
-        if best:
-            members = scratch.keep(_widest(members))
-        pairs = scratch.keep(_rest(members, signed, kind, ALIKE * bands * rows // 128, best, scratch).join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        more = scratch.keep(_verify(pairs, bags_, least, kind))
+        more = scratch.keep(_joined(scratch.keep(some(members)) if some else members, bags_, least, scratch))
         if more.limit(1).count():
-            links = scratch.keep(links.unionByName(more).dropDuplicates(["a", "b"]))
+            links = scratch.keep(links.unionByName(more))
             parts = components(links, scratch)
 
-    per = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = reps.select("digest", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").join(per, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.select("id", "digest").join(classes, "digest", "left").select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = scratch.keep(out)
+    classes = reps.select("digest", "id", "node").join(parts, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
+    classes = scratch.keep(classes)
+    names = classes.groupBy("component").agg(F.min("id").alias("class_id"))
+    out = signed.select("id", "digest").join(classes.select("digest", "component").join(names, "component").drop("component"), "digest", "left")
+    out = scratch.keep(out.select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")))
     sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = out.join(sizes, "class_id", "left").select("id", "class_id", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = out.join(sizes, "class_id", "left").select("id", "class_id", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
     return out.withColumnRenamed("id", id_col)
