@@ -253,35 +253,31 @@ def _open(cand: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(known.join(maybe_broadcast(open_, open_.count(), 8), "key", "left_semi").select("key", "node", "component", (F.col("size") * 8).alias("bytes")))
 
 
-def _widest(members: DataFrame) -> DataFrame:
-    """Of the open buckets those that are some component's largest."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    keys = members.join(sizes, "key").groupBy("component").agg(F.max(F.struct("n", "key"))["key"].alias("key")).select("key").distinct()
-    return members.join(keys, "key", "left_semi")
-
-
 def _joined(members: DataFrame, bags_: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join components of the open buckets: between any two components of a bucket that a link joins.
 
-    A bucket's texts are put in blocks, those of a large component apart from all others. Two blocks meet in one step with all their
-    bags, unless both are of the same component; there all their texts are compared at once, and only links that join components come
-    out. So a bucket of n texts, of which all but r are joined already, takes r * n comparisons, and at most a row for each component of
-    each two blocks.
+    Each text is in one block, whatever its buckets: those of a large component have blocks of their own, and small components are put
+    with others that share a bucket with the same largest component. Two blocks meet once, with all their bags, if they share a bucket and aren't
+    both of one component; there all their texts are compared at once, and only links that join components come out. So a
+    group of n texts, of which all but r are joined already, takes r * n comparisons and r * n / BLOCK bags, and gives at most a row for
+    each component of each two blocks.
     """
-    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"))
+    sizes = scratch.keep(members.select("node", "component", "bytes").distinct().groupBy("component").agg(F.count("*").alias("c"), F.sum("bytes").alias("b")))
+    most = scratch.keep(members.select("key", "component").distinct().join(sizes, "component"))
+    largest = most.groupBy("key").agg(F.max(F.struct("c", "component")).alias("l"))
+    near = scratch.keep(most.join(largest, "key").groupBy("component", "c", "b").agg(F.max("l")["component"].alias("near")))
     own = (F.col("c") >= BLOCK) | (F.col("b") >= BLOCK_BYTES)
-    small = sizes.where(~own).groupBy("key").agg(F.sum("c").alias("others"), F.sum("b").alias("other_bytes"))
-    rows = members.join(sizes, ["key", "component"]).join(small, "key", "left")
+    around = near.where(~own).groupBy("near").agg(F.sum("c").alias("others"), F.sum("b").alias("other_bytes"))
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    rows = members.select("key", "node", "component").join(near.join(around, "near", "left"), "component")
     nr = F.when(own, F.pmod(F.xxhash64("node"), blocks_of(F.col("c"), F.col("b")))).otherwise(F.pmod(F.xxhash64("component"), blocks_of(F.col("others"), F.col("other_bytes"))))
-    rows = rows.select("node", "component", F.when(own, F.col("component")).alias("owner"), nr.alias("nr"), "key")
-    rows = rows.withColumn("block", F.xxhash64("key", F.col("owner").isNull(), "owner", "nr"))
+    rows = rows.withColumn("owner", F.when(own, F.col("component")))
+    rows = scratch.keep(rows.select("key", "node", "component", "owner", F.xxhash64(F.coalesce("owner", "near"), F.col("owner").isNull(), nr).alias("block")))
     names = scratch.keep(rows.select("key", "owner", "block").distinct())
     other = names.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b"))
     cells = names.join(other, "key").where("block <= block_b").where(~F.coalesce(F.col("owner") == F.col("owner_b"), F.lit(False)))
-    cells = scratch.keep(cells.select("block", "block_b"))
-    used = cells.select("block").union(cells.select("block_b")).distinct()
-    texts = rows.join(used, "block", "left_semi").join(bags_, "node").groupBy("block").agg(F.collect_list(F.struct("node", "component", "bag")).alias("texts"))
+    cells = scratch.keep(cells.select("block", "block_b").distinct())
+    texts = rows.select("node", "component", "block").distinct().join(bags_, "node").groupBy("block").agg(F.collect_list(F.struct("node", "component", "bag")).alias("texts"))
     texts = scratch.keep(texts)
     met = cells.join(texts, "block").join(texts.toDF("block_b", "texts_b"), "block_b").select("texts", "texts_b")
 
@@ -311,9 +307,9 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
     a class each text of their own. An empty table gives an empty result; other columns are not read.
 
     A link shows as a candidate if any of the bands agree: at a similarity of 0.8 all but 5 in 10**8. Buckets of any size are
-    handled alike: each text is compared with one other of its bucket; then those buckets whose texts are still of different classes
-    are compared in blocks, of which only links that join two classes come out. First come the largest buckets of each class, as they
-    close most others. So classes are those of all links in any bucket, and no pairs of a group are listed.
+    handled alike: each text is compared with one other of its bucket; then texts of different classes that still share a bucket
+    are compared in blocks, of which only links that join two classes come out. So classes are those of all links in any bucket, and no
+    pairs of a group are listed.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -337,14 +333,10 @@ def near_duplicates(docs: DataFrame, *, least: float = 0.8, shingle: int = SHING
     a, b = bags_.toDF("a", "x"), bags_.toDF("b", "y")
     links = scratch.keep(tried.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_overlap(least), "a long, b long"))
     parts = components(links, scratch)
-    for some in (_widest, None):
-        members = _open(cand, parts, scratch)
-        if not members.limit(1).count():
-            break
-        more = scratch.keep(_joined(scratch.keep(some(members)) if some else members, bags_, least, scratch))
-        if more.limit(1).count():
-            links = scratch.keep(links.unionByName(more))
-            parts = components(links, scratch)
+    members = _open(cand, parts, scratch)
+    if members.limit(1).count():
+        links = scratch.keep(links.unionByName(_joined(members, bags_, least, scratch)))
+        parts = components(links, scratch)
 
     classes = reps.select("digest", "id", "node").join(parts, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
     classes = scratch.keep(classes)
