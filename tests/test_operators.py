@@ -167,23 +167,90 @@ def test_refs_are_resolved(spark):
     assert (s.evidence_count, s.validated_count, s.validation_rate) == (4, 1, 0.25)
 
 
+ACTIONS = "reg string, session_id string, batch_no int, pos int, evidence_ref string, action string, surface_form string, existing_ref string, ground_reason string"
+
+
+def _resolved(spark, rows, seeds=None):
+    df = spark.createDataFrame([("r", "s", b, p, u, a, x, e, g) for p, b, u, a, x, e, g in rows], ACTIONS)
+    reg = spark.createDataFrame([("r", *x) for x in seeds], "reg string, concept_ref string, concept_id string, canonical_label string, aliases array<string>") if seeds else None
+    out = concepts.resolve(df, ["reg"], reg)
+    return df, out, sorted((r.pos, r.status, r.concept_ref, r.resolved_as, r.match_kind, r.reason, r.detail, r.candidate_ref) for r in out.collect())
+
+
 def test_concept_identities(spark):
-    rows = [(1, 0, "u1", "Apple"), (2, 0, "u1", "apple "), (3, 0, "u1", "今日"), (4, 0, "u1", "b"), (5, 0, "u1", "c"), (6, 0, "u1", "d"), (7, 1, "u2", "ＡＰＰＬＥ"), (8, 1, "u2", "田中さん")]
-    df = spark.createDataFrame([("r", "s", b, p, u, x) for p, b, u, x in rows], "reg string, session_id string, batch_no int, pos int, evidence_ref string, label string")
-    got = {r.pos: (r.concept_ref, r.resolved_as, r.match_kind, r.reason) for r in concepts.identities(df, ["reg"]).collect()}
+    new = lambda p, b, u, x: (p, b, u, "new", x, None, None)
+    rows = [new(1, 0, "u1", "Apple"), new(2, 0, "u1", "apple "), new(3, 0, "u1", "今日"), new(4, 0, "u1", "b"), new(5, 0, "u1", "c"), new(6, 0, "u1", "d"), new(7, 1, "u2", "ＡＰＰＬＥ"), new(8, 1, "u2", "田中さん")]
+    got = {p: (ref, as_, kind, why, more) for p, _, ref, as_, kind, why, more, _ in _resolved(spark, rows)[2]}
     assert got == {
-        1: ("C01", "new", None, None), 2: (None, None, None, "duplicate_concept_in_unit"), 3: (None, None, None, "generic_term"), 4: ("C02", "new", None, None), 5: ("C03", "new", None, None),
-        6: (None, None, None, "max_concepts_per_unit"), 7: ("C01", "match", "exact", None), 8: (None, None, None, "honorific_person"),
+        1: ("C01", "new", None, None, None), 2: (None, None, None, "duplicate_concept_in_unit", None), 3: (None, None, None, "invalid_candidate", "generic_term"), 4: ("C02", "new", None, None, None), 5: ("C03", "new", None, None, None),
+        6: (None, None, None, "max_concepts_per_unit", None), 7: ("C01", "match", "exact", None, None), 8: (None, None, None, "honorific_person", None),
     }
 
 
+def test_actions_resolve_against_a_registry(spark):
+    seeds = [("C01", "k1", "Apple", ["fruit", "Pome"]), ("C02", "k2", "Pear", ["fruit"]), ("C03", "k3", "今日", [])]
+    rows = [
+        (1, 0, "u1", "match", "apple", "C99", None), (2, 0, "u1", "new", "pome", None, None), (3, 0, "u2", "new", "pome", None, None), (4, 0, "u2", "match", "fruit", "C02", None), (5, 0, "u3", "match", "quince", "C05", None), (6, 0, "u3", "match", "quince", "C04", None),
+        (7, 0, "u4", "match", "今日", "C01", None), (8, 0, "u4", "new", "今日", None, None), (9, 1, "u5", "match", "fruit", "C77", None), (10, 1, "u6", "skip", "", None, None), (11, 1, "u7", "uncertain", "", None, None), (12, 1, "u8", "new", "zebra", None, "surface_not_in_unit"), (13, 1, "u9", "match", "quince", "C77", None), (14, 1, "u9", "match", "相談", "C04", None),
+    ]
+    df, out, got = _resolved(spark, rows, seeds)
+    assert got == [
+        (1, "accepted", "C01", "match", "exact", None, None, None), (2, "rejected", None, None, None, "duplicate_concept_in_unit", None, None), (3, "accepted", "C01", "match", "observed_alias", None, None, None),
+        (4, "accepted", "C04", "new", "semantic", None, None, None), (4, "provisional_match", None, None, "semantic", None, None, "C02"), (5, "rejected", None, None, None, "unknown_concept_ref", "C05", None),
+        (6, "accepted", "C05", "new", "semantic", None, None, None), (6, "provisional_match", None, None, "semantic", None, None, "C04"), (7, "accepted", "C03", "match", "exact", None, None, None), (8, "rejected", None, None, None, "invalid_candidate", "generic_term", None),
+        (9, "accepted", "C04", "match", "exact", None, None, None), (10, "skip", None, None, None, None, None, None), (11, "uncertain", None, None, None, None, None, None), (12, "rejected", None, None, None, "surface_not_in_unit", None, None),
+        (13, "accepted", "C05", "match", "exact", None, None, None), (14, "provisional_match", None, None, "semantic", None, None, "C04"), (14, "rejected", None, None, None, "invalid_candidate", "generic_term", None),
+    ]
+    m = concepts.metrics(out, ["reg"]).first()
+    assert (m.match, m.new, m.skip, m.uncertain, m.rejected, m.occurrences, m.unique_concepts, m.provisional_match) == (5, 2, 1, 1, 5, 7, 4, 3)
+    text = concepts.catalog_text(concepts.catalog(out, ["reg"], spark.createDataFrame([("r", *x) for x in seeds], "reg string, concept_ref string, concept_id string, canonical_label string, aliases array<string>")), ["reg"]).first().catalog_text
+    assert text == "C01 | Apple | aliases: fruit, Pome\nC02 | Pear | aliases: fruit\nC03 | 今日\nC04 | fruit\nC05 | quince"
+
+
+def _fold(rows):
+    """The same one action at a time, from an empty registry; (pos, status, ref)."""
+    keys, first, units, out = {}, {}, {}, []
+    for p, b, u, a, x, e, _ in rows:
+        k = x.lower()
+        if a == "match" and k not in keys:
+            if e not in keys.values():
+                out.append((p, "rejected", None))
+                continue
+            out.append((p, "provisional_match", None))
+        mine = units.setdefault(u, set())
+        if k in mine or len(mine) == 3:
+            out.append((p, "rejected", None))
+            continue
+        mine.add(k)
+        keys.setdefault(k, f"C{len(keys) + 1:02d}")
+        out.append((p, "accepted", keys[k]))
+    return sorted(out, key=str)
+
+
+def test_resolution_is_that_of_one_action_at_a_time(spark):
+    import random
+
+    rng = random.Random(8)
+    for _ in range(3):
+        rows = [(p, p // 9, f"u{p // 4}", rng.choice(["new", "match", "match"]), f"w{rng.randrange(12)}", f"C{rng.randrange(1, 12):02d}", None) for p in range(60)]
+        got = sorted(((p, status, ref) for p, status, ref, *_ in _resolved(spark, rows)[2]), key=str)
+        assert got == _fold(rows)
+
+
+def test_aliases_are_unique(spark):
+    df = spark.createDataFrame([("k", "Apple", a, i) for i, a in enumerate([" apple", "Fruit ", "ＦＲＵＩＴ", "", "Pome"])], "id string, label string, alias string, i int")
+    assert sorted(tuple(r) for r in concepts.unique_aliases(df, "id", "label", "alias", "i").collect()) == [("k", 1, "Fruit"), ("k", 2, "Pome")]
+    r = one(spark, concepts.concept_time(F.lit(" "), F.lit("d")).alias("a"), concepts.concept_time(F.lit(" t "), F.lit("d")).alias("b"))
+    assert tuple(r) == ("d", "t")
+
+
 def test_coverage(spark):
     want = spark.createDataFrame([("b1", "M1"), ("b1", "M2"), ("b2", "M1"), ("b3", "M1")], "b string, evidence_ref string")
-    c = "array<struct<action:string,surface_form:string,canonical_label:string>>"
-    some = [{"action": "new", "surface_form": "x", "canonical_label": "x"}]
+    c = "array<struct<action:string,surface_form:string,existing_ref:string>>"
+    some = [{"action": "new", "surface_form": "x", "existing_ref": None}]
     got = spark.createDataFrame([("b1", "M1", 0, "skip", []), ("b2", "M1", 0, "extracted", []), ("b2", "M7", 1, "skip", []), ("b3", "M1", 0, "extracted", some)], f"b string, evidence_ref string, pos int, disposition string, concepts {c}")
     assert {tuple(r) for r in concepts.coverage(want, got, ["b"]).collect()} == {("b1", "missing_unit", "M2"), ("b2", "extracted_concept_count", "M1")}
-    assert [r.action for r in concepts.flatten_actions(got).orderBy("b", "pos").collect()] == ["skip", "extracted" if False else None, "skip", "new"]
+    assert [r.action for r in concepts.flatten_actions(got).orderBy("b", "pos").collect()] == ["skip", "skip", "new"]
 
 
 def test_candidates_and_policy(spark):
@@ -356,8 +423,8 @@ def test_pilot(spark):
     from threadloom.plans import pilot
 
     texts = [("o", "s1", 0, "user", "Bouldering is what I like most of all."), ("o", "s1", 1, "assistant", "Good to hear."), ("o", "s1", 2, "user", "A chess club meets on Fridays here."), ("o", "s2", 0, "user", "More Bouldering with friends this week."), ("o", "s3", 0, "user", "Not covered at all by anyone.")]
-    c = "array<struct<action:string,surface_form:string,canonical_label:string>>"
-    new = lambda s: [{"action": "new", "surface_form": s, "canonical_label": s}]
+    c = "array<struct<action:string,surface_form:string,existing_ref:string>>"
+    new = lambda s: [{"action": "new", "surface_form": s, "existing_ref": None}]
     notes = [("o", "s1", "M001:E01", 0, "extracted", new("Bouldering")), ("o", "s1", "M003:E01", 1, "extracted", new("tennis")), ("o", "s2", "M001:E01", 0, "extracted", new("Bouldering"))]
     p = pilot.run(
         spark.createDataFrame(texts, "owner string, session_id string, turn int, role string, content string"), spark.createDataFrame([("o", "s1", "2026-01-01"), ("o", "s2", "2026-01-02"), ("o", "s3", "2026-01-03")], "owner string, session_id string, occurred_at string"),
@@ -368,6 +435,10 @@ def test_pilot(spark):
     got = p.candidates.collect()
     assert [(r.ref, r.occurrence_count, r.distinct_session_count, r.first_seen_at, r.last_seen_at) for r in got] == [("o:C01", 2, 2, "2026-01-01", "2026-01-02")]
     assert {r.reason: r.n for r in pilot.reasons(p.outcomes).collect()} == {"surface_not_in_unit": 1}
+    calls = spark.createDataFrame([("o", 5, None, 5), ("o", None, None, 2)], "owner string, input_tokens int, output_tokens int, total_tokens int")
+    t = pilot.totals(p, calls).first()
+    assert (t.processed_units, t.failed_sessions, t.match, t.new, t.rejected, t.occurrences, t.input_tokens, t.output_tokens, t.total_tokens) == (3, 1, 1, 1, 1, 2, 5, None, 7)
+    assert [(r.ref, r.occurrence_count, r.distinct_session_count) for r in p.concepts.collect()] == [("o:C01", 2, 2)]
 
 
 def test_text_containment(spark):

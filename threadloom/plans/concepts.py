@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import ranking
 from ..operators.units import parse_ref
+from ..shared import kept
 
 #: Fixed values.
 PER_UNIT, EXTRACTION_VERSION, SOURCE_ROLE, SOURCE_TYPE = 3, "concept-extract-v1", "user", "evidence_unit"
@@ -15,11 +17,11 @@ OCCURRENCE_KEY = ["extraction_version", "source_type", "message_id", "evidence_r
 
 
 def flatten_actions(units: DataFrame) -> DataFrame:
-    """Annotated units (keys, evidence_ref, pos, disposition, concepts array<struct<action, surface_form, canonical_label>>)
+    """Annotated units (keys, evidence_ref, pos, disposition, concepts array<struct<action, surface_form, existing_ref>>)
     to actions in order; units that were skipped or uncertain give one action of that name."""
     rows = units.select("*", F.posexplode_outer("concepts").alias("nth", "c"))
-    kept = F.when(F.col("disposition") == "extracted", F.col("c.action")).otherwise(F.col("disposition"))
-    return rows.withColumns({"action": kept, "surface_form": F.col("c.surface_form"), "canonical_label": F.col("c.canonical_label")}).drop("c", "concepts")
+    kept_ = F.when(F.col("disposition") == "extracted", F.col("c.action")).otherwise(F.col("disposition"))
+    return rows.withColumns({"action": kept_, "surface_form": F.coalesce("c.surface_form", F.lit("")), "existing_ref": F.col("c.existing_ref")}).where("action IS NOT NULL").drop("c", "concepts")
 
 
 def coverage(expected: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,30 +52,128 @@ def occurrence_reason() -> Column:
     return out.when(F.col("source_type") != SOURCE_TYPE, "unsupported_source_type").when(F.col("extraction_version") != EXTRACTION_VERSION, "unsupported_extraction_version")
 
 
-def identities(actions: DataFrame, registry: list[str], batch: str = "batch_no") -> DataFrame:
-    """Resolves "new" actions, in order of `pos` within each registry, to concepts.
+def concept_time(message_at: Column, session_day: Column) -> Column:
+    """When a concept was thought of: the message's own time, else the session's day."""
+    return F.coalesce(F.nullif(T.trim(message_at), F.lit("")), session_day)
 
-    From an empty registry a concept is its key: an action is accepted when its label can be a concept, its unit has fewer
-    than three others, and hasn't it already. The first accepted action makes the concept, numbered C01, C02 and so on;
-    it is "new" in the batch that made it and "match" later. actions: registry columns, batch, pos, evidence_ref,
-    session_id, label. Adds concept_id, concept_ref, resolved_as, match_kind, reason.
+
+def unique_aliases(rows: DataFrame, concept: str, canonical: str, alias: str, order: str) -> DataFrame:
+    """(concept, place, alias) of the aliases whose key isn't the concept's own nor that of an earlier alias, in order."""
+    label = T.concept_label(F.col(alias))
+    keyed = rows.select(concept, order, label.alias("alias"), T.concept_key(F.col(canonical)).alias("own")).withColumn("key", T.concept_key(F.col("alias"), True))
+    once = ranking.first_occurrence(keyed.where("key <> '' AND key <> own"), [concept, "key"], [order])
+    return once.withColumn("place", F.row_number().over(Window.partitionBy(concept).orderBy(order))).select(concept, "place", "alias")
+
+
+_SEEDS = "concept_ref string, concept_id string, canonical_label string, aliases array<string>"
+
+
+def _catalog(seeds: DataFrame, registry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(registry, key, seed) of the concepts' own keys, and of the aliases that only one concept has."""
+    entry = F.struct("concept_id", "concept_ref", "canonical_label")
+    own = seeds.select(*registry, T.concept_key(F.col("canonical_label")).alias("key"), entry.alias("seed"))
+    alias = seeds.select(*registry, entry.alias("seed"), F.explode("aliases").alias("alias")).withColumn("key", T.concept_key(F.col("alias"))).where("key <> ''")
+    alias = alias.groupBy(*registry, "key").agg(F.min("seed").alias("alias_seed"), F.max("seed").alias("other")).where("alias_seed = other").drop("other")
+    return own, alias
+
+
+def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = None, batch: str = "batch_no") -> DataFrame:
+    """Resolves an annotator's actions, in order of `pos` within each registry, to concepts: one outcome an action, and one more for
+    each provisional match.
+
+    actions: registry columns, batch, pos, session_id, evidence_ref, action (match, new, skip, uncertain), surface_form, existing_ref,
+    ground_reason (why the surface form isn't in its unit, null if it is) and optionally occurrence_reason; seeds: the registry as it
+    was before (registry columns, concept_ref C01.., concept_id, canonical_label, aliases), empty if not given.
+
+    A surface form is a concept's when it has its key, or an alias that only this concept has. Other "match" actions must name a concept
+    that is there at that point; they are noted as provisional and go on as "new", and never merge. A new concept's id is its key, its ref
+    the next number. A unit has three concepts at most, each once. Adds status, resolved_as, match_kind, concept_id, concept_ref,
+    canonical_label, candidate_ref, existing_label, reason and detail.
+
+    Which refs are known depends on what earlier actions made. So the order of creation is worked out in rounds, each from the last one's,
+    until it doesn't change: in each round at least the first action that was still wrong comes right.
     """
-    rows = actions.withColumn("label", T.concept_label(F.col("label")))
-    label = F.col("label")
-    rows = rows.withColumns({"key": T.concept_key(label, True), "refused": F.coalesce(T.candidate_reason(label), F.when(T.has_honorific(label), "honorific_person"))})
-    unit = [*registry, "session_id", "evidence_ref"]
-    fit = ranking.first_distinct(rows.where("refused IS NULL"), unit, "key", ["pos"], PER_UNIT)
+    null = F.lit(None).cast("string")
+    spark = actions.sparkSession
+    if seeds is None:
+        seeds = spark.createDataFrame([], StructType(actions.select(*registry).schema.fields + StructType.fromDDL(_SEEDS).fields))
+    label = T.concept_label(F.col("surface_form"))
+    rows = actions if "occurrence_reason" in actions.columns else actions.withColumn("occurrence_reason", null)
+    rows = rows.withColumn("label", label).withColumns({"key": T.concept_key(F.col("label"), True), "_bad": T.candidate_reason(F.col("label"))})
+    refused = F.when(F.col("_bad").isNotNull(), F.struct(F.lit("invalid_candidate").alias("reason"), F.col("_bad").alias("detail"))).when(T.has_honorific(F.col("label")), F.struct(F.lit("honorific_person").alias("reason"), null.alias("detail")))
+    own, alias = _catalog(seeds, registry)
+    fixed = seeds.groupBy(*registry).agg(F.count("*").alias("_seeds"))
+    by_ref = seeds.select(*registry, F.col("concept_ref").alias("existing_ref"), F.col("canonical_label").alias("_seed_label"))
+    rows = rows.withColumn("refused", refused).join(own, [*registry, "key"], "left").join(alias, [*registry, "key"], "left").join(fixed, registry, "left").join(by_ref, [*registry, "existing_ref"], "left")
+    rows = rows.withColumns({"_seeds": F.coalesce("_seeds", F.lit(0)), "known": F.coalesce("seed", "alias_seed")})
+    rows = kept(rows.drop("_bad", "alias_seed"), "actions")
+
+    acts = rows.where(F.col("action").isin("match", "new") & F.col("ground_reason").isNull())
+    made = None  # (registry, key, first_pos, first_batch, n, made_label) of the concepts that are created
+    while True:
+        now = acts
+        if made is None:
+            now = now.withColumns({"first_pos": F.lit(None).cast(actions.schema["pos"].dataType), "first_batch": F.lit(None).cast(actions.schema[batch].dataType), "n": F.lit(None).cast("long"), "made_label": null, "_ref_pos": F.col("pos"), "_ref_label": null})
+            there = F.col("existing_ref").isNotNull()
+        else:
+            refs = made.select(*registry, F.format_string("C%02d", "n").alias("existing_ref"), F.col("first_pos").alias("_ref_pos"), F.col("made_label").alias("_ref_label"))
+            now = now.join(made, [*registry, "key"], "left").join(refs, [*registry, "existing_ref"], "left")
+            there = F.col("_seed_label").isNotNull() | F.coalesce(F.col("_ref_pos") < F.col("pos"), F.lit(False))
+        exact = F.col("seed").isNotNull() | F.coalesce(F.col("first_pos") < F.col("pos"), F.lit(False))
+        served = exact | F.col("known").isNotNull()
+        is_match = F.col("action") == "match"
+        lost = is_match & ~served & ~there
+        why = F.when(lost, F.struct(F.lit("unknown_concept_ref").alias("reason"), F.col("existing_ref").alias("detail"))).when(~(is_match & served), F.col("refused"))
+        why = F.coalesce(why, F.when(F.col("occurrence_reason").isNotNull(), F.struct(F.lit("invalid_occurrence").alias("reason"), F.col("occurrence_reason").alias("detail"))))
+        now = now.withColumns({"why": why, "exact": exact, "provisional": is_match & ~served & there, "concept": F.coalesce("known.concept_id", F.concat(F.lit("virtual:"), F.col("key")))})
+        fit = ranking.first_distinct(now.where("why IS NULL"), [*registry, "session_id", "evidence_ref"], "concept", ["pos"], PER_UNIT).drop("slot")
+        fit = kept(fit, "fit")
+        new = fit.where("reason IS NULL AND known IS NULL").groupBy(*registry, "key", "_seeds").agg(F.min("pos").alias("first_pos"), F.min_by(batch, "pos").alias("first_batch"), F.min_by("label", "pos").alias("made_label"))
+        order = F.row_number().over(Window.partitionBy(*registry).orderBy("first_pos"))
+        new = kept(new.select(*registry, "key", "first_pos", "first_batch", (order + F.col("_seeds")).alias("n"), "made_label"), "made")
+        if made is not None and not new.join(made, [*registry, "key", "first_pos"], "left_anti").limit(1).count() and new.count() == made.count():
+            break
+        made = new
+
     names = {"duplicate": "duplicate_concept_in_unit", "over_limit": "max_concepts_per_unit"}
-    fit = fit.replace(names, subset=["reason"]).drop("slot")
-    made = fit.where("reason IS NULL").groupBy(*registry, "key").agg(F.min("pos").alias("first_pos"), F.min_by(batch, "pos").alias("first_batch"))
-    made = made.withColumn("concept_ref", F.format_string("C%02d", F.row_number().over(Window.partitionBy(*registry).orderBy("first_pos"))))
-    out = fit.join(made, [*registry, "key"], "left")
     ok = F.col("reason").isNull()
-    out = out.withColumns({
-        "concept_id": F.when(ok, F.concat(F.lit("virtual:"), F.col("key"))), "concept_ref": F.when(ok, F.col("concept_ref")),
-        "resolved_as": F.when(ok, F.when(F.col(batch) == F.col("first_batch"), "new").otherwise("match")), "match_kind": F.when(ok & (F.col("pos") > F.col("first_pos")), "exact"),
-    })
-    null = F.lit(None).cast("string")
-    bad = rows.where("refused IS NOT NULL").withColumns({c: null for c in ("concept_id", "concept_ref", "resolved_as", "match_kind")}).withColumn("reason", F.col("refused"))
-    cols = [*actions.columns, "key", "concept_id", "concept_ref", "resolved_as", "match_kind", "reason"]
-    return out.select(*cols).unionByName(bad.select(*cols))
+    fit = fit.replace(names, subset=["reason"])
+    created = F.col("known").isNull()
+    fresh = created & (F.col(batch) == F.coalesce("first_batch", batch))
+    accepted = fit.select(
+        *actions.columns, "key", F.when(ok, "accepted").otherwise("rejected").alias("status"), F.when(ok, F.when(fresh, "new").otherwise("match")).alias("resolved_as"),
+        F.when(ok, F.when(F.col("exact"), "exact").when(~created, "observed_alias").when(F.col("provisional"), "semantic")).alias("match_kind"), F.when(ok, F.col("concept")).alias("concept_id"),
+        F.when(ok, F.coalesce("known.concept_ref", F.format_string("C%02d", "n"))).alias("concept_ref"), F.when(ok, F.coalesce("known.canonical_label", "made_label", "label")).alias("canonical_label"), null.alias("candidate_ref"), null.alias("existing_label"), "reason", null.alias("detail"),
+    )
+    blank = {c: null for c in ("resolved_as", "match_kind", "concept_id", "concept_ref", "canonical_label", "candidate_ref", "existing_label", "reason", "detail")}
+    plain = lambda df, status, **more: df.select(*actions.columns, "key", status.alias("status"), *((more.get(c, v)).alias(c) for c, v in blank.items()))
+    bad = plain(now.where("why IS NOT NULL"), F.lit("rejected"), reason=F.col("why.reason"), detail=F.col("why.detail"))
+    idle = F.col("action").isin("skip", "uncertain")
+    left = plain(rows.where(idle | F.col("ground_reason").isNotNull()), F.when(F.col("ground_reason").isNull(), F.col("action")).otherwise("rejected"), reason=F.col("ground_reason"))
+    maybe = plain(now.where("provisional"), F.lit("provisional_match"), match_kind=F.lit("semantic"), candidate_ref=F.col("existing_ref"), existing_label=F.coalesce("_seed_label", "_ref_label"))
+    return accepted.unionByName(bad).unionByName(left).unionByName(maybe)
+
+
+def catalog(outcomes: DataFrame, registry: list[str], seeds: DataFrame | None = None) -> DataFrame:
+    """The registry after the outcomes: the seeds, then each concept that they made, with its aliases."""
+    made = outcomes.where("status = 'accepted' AND concept_id LIKE 'virtual:%'").groupBy(*registry, "concept_ref", "concept_id").agg(F.min("canonical_label").alias("canonical_label"))
+    made = made.withColumn("aliases", F.array().cast("array<string>"))
+    return made if seeds is None else seeds.unionByName(made.join(seeds.select(*registry, "concept_ref"), [*registry, "concept_ref"], "left_anti"))
+
+
+def metrics(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Outcomes of each kind: occurrences that match, concepts made, skips, uncertain ones, rejections, occurrences, concepts met and
+    provisional matches."""
+    s, n = F.col("status"), F.count_if
+    fresh = F.when((s == "accepted") & (F.col("resolved_as") == "new"), F.col("concept_id"))
+    return outcomes.groupBy(*keys).agg(
+        n((s == "accepted") & (F.col("resolved_as") == "match")).alias("match"), F.countDistinct(fresh).alias("new"), n(s == "skip").alias("skip"), n(s == "uncertain").alias("uncertain"), n(s == "rejected").alias("rejected"),
+        n(s == "accepted").alias("occurrences"), F.countDistinct(F.when(s == "accepted", F.col("concept_id"))).alias("unique_concepts"), n(s == "provisional_match").alias("provisional_match"),
+    )
+
+
+def catalog_text(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """What an annotator reads of a registry: a line `ref | label | aliases: a, b` for each concept, in order."""
+    line = F.concat_ws(" | ", "concept_ref", "canonical_label", F.when(F.size("aliases") > 0, F.concat(F.lit("aliases: "), F.array_join("aliases", ", "))))
+    number = F.regexp_extract("concept_ref", r"(\d+)", 1).cast("int")
+    return entries.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), line.alias("line")))), lambda x: x["line"]), "\n").alias("catalog_text"))

@@ -379,8 +379,9 @@ def reason_histogram(spark, sf_dir):
 def concept_identities(spark, sf_dir):
     """The first word of each user message as a concept of its conversation."""
     m = _table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("label", F.lower(F.regexp_extract("text", r"^\s*(\S+)", 1))).where("label <> ''")
-    a = m.select("conv_id", F.col("turn").alias("pos"), F.col("turn").alias("batch_no"), F.lit("S").alias("session_id"), F.format_string("M%03d:E01", "turn").alias("evidence_ref"), "label")
-    return concepts.identities(a, ["conv_id"]).select("conv_id", F.col("pos").alias("turn"), "concept_id", "concept_ref", "resolved_as")
+    null = F.lit(None).cast("string")
+    a = m.select("conv_id", F.col("turn").alias("pos"), F.col("turn").alias("batch_no"), F.lit("S").alias("session_id"), F.format_string("M%03d:E01", "turn").alias("evidence_ref"), F.lit("new").alias("action"), F.col("label").alias("surface_form"), null.alias("existing_ref"), null.alias("ground_reason"))
+    return concepts.resolve(a, ["conv_id"]).select("conv_id", F.col("pos").alias("turn"), "concept_id", "concept_ref", "resolved_as")
 
 
 @query("""
