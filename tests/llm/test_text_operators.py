@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -154,6 +156,41 @@ def test_remove_repeats(spark, monkeypatch, chunk, part, hot):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in df.collect())
 
 
+def test_loser_tree_merges_without_reading_known_prefixes():
+    rng = random.Random(5)
+    for n in (1, 2, 3, 7, 12):
+        runs = []
+        for _ in range(n):
+            some = sorted({bytes([9]) + bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) + b"." for _ in range(rng.randrange(1, 40))})
+            runs.append(([0] + [len(os.path.commonprefix([a, b])) for a, b in zip(some, some[1:], strict=False)], some))
+        want = sorted(x for _, r in runs for x in r)
+        place, got, last = [0] * n, [], b""
+        for r, know in substrings.merge(runs):
+            x = runs[r][1][place[r]]
+            place[r] += 1
+            assert know == len(os.path.commonprefix([last, x]))
+            got.append(x)
+            last = x
+        assert got == want
+
+
+def test_front_coding_round_trip():
+    texts_ = [(0, 0, ("the same words again and again in every line of it " * 3).encode()), (1, 0, ("another text with the same words again and again in every line of it " * 2).encode())]
+    s = substrings.spans(texts_, 50)
+    rows_, size = substrings.suffixes(s, np.arange(len(s.key)), 50)
+    whole = sorted({r[:n].tobytes() for r, n in zip(rows_, size, strict=True)})
+    flat = np.zeros((len(whole), rows_.shape[1]), np.uint8)
+    for i, w in enumerate(whole):
+        flat[i, : len(w)] = np.frombuffer(w, np.uint8)
+    shared, back = substrings.front_decode(substrings.front_code(flat, np.array(list(map(len, whole)))))
+    assert back == whole and shared == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(whole, whole[1:], strict=False)]
+
+
+def test_remove_repeats_wants_whole_numbers_as_ids(spark):
+    with pytest.raises(TypeError):
+        substrings.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_remove_repeats_cuts_characters(spark):
     passage = "é" * 30
     given = [("x", 1, "x" + passage, "", 0, 0, "", 0, ""), ("x", 2, passage + "tail", "", 0, 0, "", 0, ""), ("x", None, "null id " * 9, "", 0, 0, "", 0, ""), ("x", 3, "null id " * 9, "", 0, 0, "", 0, "")]

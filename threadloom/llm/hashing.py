@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: An odd base and its inverse.
+#: An odd base.
 BASE = 0x5851F42D4C957F2D
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,11 +19,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Ranges:
     """hash(start, end) of ranges of a byte array: equal bytes give equal values, wherever they stand."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * np.cumprod(np.full(n, BASE, U)), out=self.sums[1:])
-        self.back = np.cumprod(np.concatenate([[U(1)], np.full(n, INVERSE, U)]))
+        np.cumsum((data.astype(U) + U(1)) * np.cumprod(np.full(n, base, U)), out=self.sums[1:])
+        self.back = np.cumprod(np.concatenate([[U(1)], np.full(n, pow(base, -1, 1 << 64), U)]))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] ^ (end - start).astype(U) * U(0x9E3779B97F4A7C15))

@@ -1,14 +1,19 @@
-"""Removal of byte strings that an earlier document has, by an exchange of sorted, front-coded suffix runs.
-
-Not every suffix is exchanged. In each string of k bytes one place is chosen by its content alone (the smallest
-hash of the SEED bytes there), so equal strings choose the same place in them; neighbouring strings mostly share
-theirs. A record stands for all strings that share a place: the hash of the seed, and the hash of the span that they
-cover together. Each task sorts its records by seed, keeps the smallest document of equal ones and sends front-coded
-runs by range of the seed. There the runs are merged. A span that a smaller document has too is covered as
-a whole. Where one seed has different spans (the ends of a passage, mostly) their bytes are sent in a second
-exchange, and their strings are compared one by one. A seed of very many spans, as at the ends of a passage that a third
-of all documents have, is told by its number in one run already, or when runs are merged. Its strings are compared as rows,
-which Spark aggregates before it exchanges them, so they never meet in one task.
+"""Removal of byte strings that an earlier document has, by a merge sort of suffixes that knows common prefixes.
+
+Not every suffix takes part. In each string of k bytes one place is chosen by its content alone (the smallest hash of the
+SEED bytes there), so equal strings choose the same place in them; neighbouring strings mostly share theirs. A record
+stands for all strings that share a place: its span is all their bytes.
+
+1. Filter: each task sends the sorted hashes of its seeds, each once; only places whose seed another document has too go on.
+2. Merge sort: each task sorts its spans as suffixes from the seed on (then the bytes before it, backwards), keeps the smallest document
+   of equal ones and sends front-coded runs by range of the seed: of each span the length of the prefix that it shares with the one
+   before, and what follows. There a loser tree merges the runs. It knows how far each run's head agrees with the last one out, and only compares
+   from there on. Spans that are equal, byte by byte, are covered but for the smallest document.
+3. Where a seed has several different spans left (the ends of a passage, mostly), their strings are compared, byte by byte.
+
+A seed of very many different spans, as at the ends of a passage that a third of all documents have, would meet in one task. Such seeds
+are counted by the filter, and their strings go out one by one as 128-bit hashes, each once from a task with its smallest document, so they
+are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -22,20 +27,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import Scratch, maybe_broadcast, pick, release_memory
-from .hashing import Ranges, U, mix, words8
+from .common import BROADCAST_BYTES, Scratch, maybe_broadcast, pick, release_memory
+from .hashing import BASE, Ranges, U, mix, words8
 
 #: Bytes whose hash chooses a place. Bytes of text handled at once, and bytes whose records make one run.
 SEED, CHUNK, RUN = 16, 1 << 18, 1 << 23
-#: Bits of a position within a chunk, of a seed's hash and of a span's hash.
-POS, KEY, SPAN = 26, 40, 48
+#: Bits of a position within a chunk and of a seed's hash.
+POS, KEY = 26, 40
 #: Bytes of text for each range of seeds, about.
 BUCKET = 12 << 20
-#: Spans of a seed from which on, in a run or a bucket, its strings are compared as rows; what stands for them in a run.
-HOT, MANY = 512, (1 << 48) - 1
+#: Different spans of a seed, over all tasks, from which on its strings go out one by one.
+HOT = 512
 #: A document of more bytes is handled in overlapping parts.
 PART = 1 << 18
+#: Stands for a null id: smaller than all others.
+NULL_ID = -(1 << 63)
 
 
 @dataclass
@@ -53,12 +61,8 @@ class Spans:
 
     @property
     def name(self) -> np.ndarray:
-        return name(self.key, self.span)
-
-
-def name(key: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """One number for a seed and a span."""
-    return mix(key * U(0x9E3779B97F4A7C15) ^ span).astype(np.int64)
+        """One number for a seed and a span; tells the spans of a document apart."""
+        return mix(self.key * U(0x9E3779B97F4A7C15) ^ self.span).astype(np.int64)
 
 
 def spans(parts: list[tuple[int, int, bytes]], k: int) -> Spans | None:
@@ -85,7 +89,7 @@ def spans(parts: list[tuple[int, int, bytes]], k: int) -> Spans | None:
     doc_at = np.searchsorted(np.cumsum(sizes), lo, "right")
     docs, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
     begin = (np.cumsum(sizes) - sizes)[doc_at]
-    span = np.minimum(mix(Ranges(data[:n]).hash(lo, hi) ^ (seed - lo).astype(U)) >> U(64 - SPAN), U(MANY - 1))
+    span = mix(Ranges(data[:n]).hash(lo, hi) ^ (seed - lo).astype(U))
     key = mix(h[seed] ^ U(0xD1B54A32D192ED03)) >> U(64 - KEY)  # anew: the hashes of chosen places are small ones
     return Spans(data, docs[doc_at], lo, hi, seed, key, span, lo - begin + offsets[doc_at])
 
@@ -111,14 +115,8 @@ def _texts(col: pa.Array, start: int = 0) -> Iterator[tuple[int, bytes]]:
             yield start + i + j, t or b""
 
 
-def front_code(key: np.ndarray) -> bytes:
-    """Sorted keys by what each adds to the one before: leading bits that both share are not sent."""
-    step = np.diff(key, prepend=U(0))
-    return b"\4" + step.astype("<u4").tobytes() if len(key) and step.max() < 1 << 32 else b"\10" + step.astype("<u8").tobytes()
-
-
-def front_decode(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1).astype(U))
+def _ids(col: pa.Array) -> np.ndarray:
+    return col.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
 def _first(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -131,8 +129,7 @@ def _first(*sorted_columns: np.ndarray) -> np.ndarray:
 
 
 def _order(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    """Rows by key and then by the other columns. The sort by key merges the sorted runs that it finds; only rows that are
-    known to have the same key are compared further, and from there on."""
+    """Rows by key and then by the other columns; only rows of the same key are compared further."""
     order = np.argsort(key, kind="stable")
     tie = ~_first(key[order])
     tie[:-1] |= tie[1:]
@@ -142,47 +139,101 @@ def _order(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return order
 
 
-def _cut48(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _cuts(sorted_column: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each value begins and ends."""
+    at = np.flatnonzero(np.append(_first(sorted_column), True)) if len(sorted_column) else []
+    return zip(at, at[1:], strict=False)
+
+
+def _least(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The smallest value of each row's group."""
+    out = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(out, group, values)
+    return out[group]
+
+
+# What is sent is a row (bucket, bytes) for each task and range, not one for each record.
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    return np.array([len(columns[0])], "<u4").tobytes() + b"".join(c.tobytes() for c in columns)
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(blob, "<u4", 1)[0]), 4, []
+    for kind in kinds:
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _row(bucket: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "run"])
+
+
+def answers(shards: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Rows about documents, dealt by document to shards, which are numbered -1, -2 and so on."""
+    shard = (mix(ids.astype(U)) % U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    for i, j in _cuts(shard[order]):
+        w = order[i:j]
+        yield -1 - int(shard[w[0]]), pack(ids[w].astype("<i8"), *(c[w] for c in columns))
+
+
+def gather(*kinds: str):
+    """The answers of a shard to one row a document: (number, found)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, *columns = (np.concatenate(c) for c in zip(*(unpack(b, "<i8", *kinds) for b in pdf["run"]), strict=True))
+        order = np.argsort(ids, kind="stable")
+        ids, columns = ids[order], [c[order] for c in columns]
+        release_memory()
+        cuts = list(_cuts(ids))
+        return pd.DataFrame({"number": ids[[i for i, _ in cuts]], "found": [pack(*(c[i:j] for c in columns)) for i, j in cuts]})
+
+    return run
+
+
+def _frame(rows: Iterator[tuple[int, bytes]]) -> pd.DataFrame:
+    rows = list(rows)
+    release_memory()
+    return pd.DataFrame({"bucket": pd.Series([r[0] for r in rows], dtype="int64"), "run": [r[1] for r in rows]})
+
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and the rank of each row's."""
+    return np.unique(ids, return_inverse=True)
 
-def _join48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
 
+# The number of the bucket of seeds of very many spans.
+HOT_BUCKET = -(1 << 62)
 
-def _runs(k: int, buckets: int):
-    """Rows (id, text) to sorted runs by bucket, and (id, name) of spans that a smaller document of the same run has."""
+
+def _seeds(k: int, buckets: int):
+    """Rows (id, text) to sorted runs of seeds; documents that share a seed with another of their run are told at once."""
 
     def flush(ids: np.ndarray, doc, key, span) -> Iterator[pa.RecordBatch]:
-        doc, key, span = map(np.concatenate, (doc, key, span))
-        rank = np.empty(len(ids), np.int64)
-        order_of_ids = np.argsort(ids, kind="stable")
-        rank[order_of_ids] = np.cumsum(_first(ids[order_of_ids])) - 1
-        doc = rank[doc]
-        distinct = np.unique(ids)
-        order = _order(key, span, doc)
-        doc, key, span = doc[order], key[order], span[order]
-        new_doc = _first(key, span, doc)
-        doc, key, span = doc[new_doc], key[new_doc], span[new_doc]
-        new = _first(key, span)
-        covered = ~new
-        yield _rows(buckets, distinct[doc[covered]], name(key[covered], span[covered]))
-        doc, key, span = doc[new], key[new], span[new]
-        hot, head = _hot(key)
-        if hot.any():  # one record stands for all of such a seed
-            yield _rows(buckets, distinct[doc[hot]], name(key[hot], span[hot]), hot=True)
-            span = np.where(hot, U(MANY), span)
-            doc, key, span = doc[~hot | head], key[~hot | head], span[~hot | head]
+        distinct, rank = _ranked(ids)
+        doc, key, span = rank[np.concatenate(doc)], np.concatenate(key), np.concatenate(span)
+        order = _order(key, span)
+        n_spans = np.bincount(np.cumsum(_first(key[order])) - 1, _first(key[order], span[order]))
+        order = _order(key, doc)
+        doc, key = doc[order], key[order]
+        new = _first(key, doc)
+        doc, key = doc[new], key[new]
+        head = _first(key)
+        group = np.cumsum(head) - 1
+        shared = np.bincount(group) > 1
+        told = shared[group]
+        for row in answers(4 * buckets, distinct[doc[told]], key[told].astype("<u8")):
+            yield _row(*row)
+        doc, key, code = doc[head], key[head], (np.minimum(n_spans, 127).astype(np.uint8) | shared.astype(np.uint8) << np.uint8(7))
         bucket = (key * U(buckets) >> U(KEY)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if i < j:
-                some, where = np.unique(doc[i:j], return_inverse=True)
-                code = front_code(key[i:j])
-                blob = np.array([j - i, len(some), len(code)], "<u4").tobytes() + code + _cut48(span[i:j]) + where.astype("<u4").tobytes() + distinct[some].astype("<i8").tobytes()
-                yield _rows(b, np.zeros(0, np.int64), np.zeros(0, np.int64), blob)
+        for i, j in _cuts(bucket):
+            some, where = np.unique(doc[i:j], return_inverse=True)
+            step = np.diff(key[i:j], prepend=U(0))  # sorted: by what each adds to the one before
+            kind = "<u4" if step.max() < 1 << 32 else "<u8"
+            yield _row(bucket[i], kind[2].encode() + pack(distinct[some].astype("<i8")) + pack(step.astype(kind), where.astype("<u4"), code[i:j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, doc, key, span, size, base = [], [], [], [], 0, 0
@@ -206,173 +257,312 @@ def _runs(k: int, buckets: int):
     return run
 
 
-#: Stands for a null id: smaller than all others.
-NULL_ID = -(1 << 63)
-
-
-def _ids(col: pa.Array) -> np.ndarray:
-    return col.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+def _shared_seeds(shards: int):
+    """Merges the runs of a range: seeds that several documents have, told to those that don't know yet; and seeds of many spans."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] < 0:
+            return pdf[["bucket", "run"]]
+        keys, ids, codes = [], [], []
+        for blob in pdf["run"]:
+            (some,) = unpack(blob[1:], "<i8")
+            step, where, code = unpack(blob[5 + some.nbytes :], f"<u{blob[:1].decode()}", "<u4", "u1")
+            keys.append(np.cumsum(step.astype(U)))
+            ids.append(some[where])
+            codes.append(code)
+        key, id_, code = map(np.concatenate, (keys, ids, codes))
+        order = np.argsort(key, kind="stable")
+        key, id_, code = key[order], id_[order], code[order]
+        group = np.cumsum(_first(key)) - 1
+        alone = code < 128
+        several = (np.bincount(group, ~alone) > 0)[group] | (_least(group, id_) < -_least(group, ~id_) - 1)
+        ask = alone & several
+        n = np.bincount(group, code & 127)
+        hot = np.flatnonzero(n >= HOT)
+        rows = list(answers(shards, id_[ask], key[ask].astype("<u8")))
+        if len(hot):
+            rows.append((HOT_BUCKET, pack(key[_first(key)][hot].astype("<u8"), n[hot].astype("<i8"))))
+        return _frame(rows)
 
-def _rows(bucket: int, ids: np.ndarray, names: np.ndarray, blob: bytes | None = None, hot: bool = False) -> pa.RecordBatch:
-    """One run of a bucket; or spans that are covered or hot, dealt out by document to four times as many groups as there are
-    buckets."""
-    columns = ["bucket", "id", "name", "ask", "run"]
-    if blob is None:
-        dealt = -1 - (mix(ids.astype(U)) % U(4 * bucket)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(ids.astype("<i8")), pa.array(names), pa.array(np.full(len(ids), 2 * hot, np.int32)), pa.nulls(len(ids), pa.binary())], columns)
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([blob])], columns)
-
-
-def _hot(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted keys, one for each span: whether the key has HOT or more, and whether it is the key's first row."""
-    head = _first(key)
-    group = np.cumsum(head) - 1
-    return np.bincount(group)[group] >= HOT if len(key) else head, head
-
-
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merges the runs of a bucket: (id, name, ask). ask: 0 the span is covered, 1 its bytes must be compared with others of
-    its seed, 2 as rows."""
-    if pdf["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"id": pdf["id"].astype(np.int64), "name": pdf["name"].astype(np.int64), "ask": pdf["ask"].astype(np.int32)})
-    keys, span_s, ids = [], [], []
-    for blob in pdf["run"]:
-        n, some, size = np.frombuffer(blob, "<u4", 3).tolist()
-        at = 12 + size
-        keys.append(front_decode(blob[12:at]))
-        span_s.append(_join48(blob[at : at + 6 * n]))
-        where = np.frombuffer(blob, "<u4", n, at + 6 * n)
-        ids.append(np.frombuffer(blob, "<i8", some, at + 10 * n)[where])
-    key, span, id_ = map(np.concatenate, (keys, span_s, ids))
-    order = _order(key, span, id_)
-    key, span, id_ = key[order], span[order], id_[order]
-    new = _first(key, span)
-    group = np.cumsum(_first(key)) - 1
-    covered = ~new & (id_ > id_[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))])
-    # A seed with several spans in several documents: the smallest document of each span shows its bytes.
-    smallest, largest = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
-    np.minimum.at(smallest, group[new], id_[new])
-    np.maximum.at(largest, group[new], id_[new])
-    n = np.bincount(group, new)[group]
-    ask = new & (n > 1) & (smallest < largest)[group]
-    hot = (n >= HOT) | np.bincount(group, span == U(MANY)).astype(bool)[group]
-    ask = np.where(hot, 2 * ~covered, ask).astype(np.int32)  # a covered one needs no more than that
-    keep = (covered | (ask > 0)) & (span != U(MANY))
-    release_memory()
-    return pd.DataFrame({"id": id_[keep], "name": name(key[keep], span[keep]), "ask": ask[keep]})
+    return run
 
 
-def _asked(s: Spans, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The names of spans, and the places of those whose document asks for them, each once a document."""
-    own = s.name
-    wanted = np.zeros(len(own), bool)
-    bounds = np.flatnonzero(np.append(_first(s.doc), True))
-    for i, j in zip(bounds, bounds[1:], strict=False):
-        names = np.sort(np.asarray(asked[int(s.doc[i])].values, np.int64))
-        found = names[np.minimum(np.searchsorted(names, own[i:j]), len(names) - 1)] == own[i:j]
-        once = np.zeros(j - i, bool)
-        once[np.unique(own[i:j], return_index=True)[1]] = True
-        wanted[i:j] = found & once
-    return own, np.flatnonzero(wanted)
+def suffixes(s: Spans, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spans at some places as sortable rows of bytes: the seed's hash, the lengths after and before the seed, and the bytes after it and
+    then before it, backwards. Also how many bytes of each row count."""
+    x, y = (s.hi - s.seed)[at], (s.seed - s.lo)[at]
+    head = np.empty((len(at), HEAD), np.uint8)
+    head[:, :5] = s.key[at].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    head[:, 5:7], head[:, 7:] = (v.astype(">u2").view(np.uint8).reshape(-1, 2) for v in (x, y))
+    j = np.arange(2 * k - SEED)
+    from_ = np.where(j < x[:, None], s.seed[at][:, None] + j, s.seed[at][:, None] - 1 - j + x[:, None])
+    body = np.where(j < (x + y)[:, None], s.data[np.clip(from_, 0, len(s.data) - 1)], np.uint8(0))
+    return np.concatenate([head, body], 1), HEAD + x + y
+
+
+#: Bytes of a suffix row before its text.
+HEAD = 9
+
+
+def front_code(rows: np.ndarray, size: np.ndarray) -> bytes:
+    """Sorted, distinct rows: the length of the prefix that each shares with the one before, its own length, and what follows."""
+    shared = np.zeros(len(rows), np.int64)
+    shared[1:] = (rows[1:] != rows[:-1]).argmax(1)
+    j = np.arange(rows.shape[1])
+    rest = rows[(j >= shared[:, None]) & (j < size[:, None])].tobytes()
+    return pack(shared.astype("<u2"), size.astype("<u2")) + len(rest).to_bytes(4, "little") + pa.compress(rest, codec="zstd", asbytes=True)
+
+
+def front_decode(data: bytes) -> tuple[list[int], list[bytes]]:
+    shared, size = unpack(data, "<u2", "<u2")
+    at = 4 + shared.nbytes + size.nbytes
+    rest = pa.decompress(data[at + 4 :], int.from_bytes(data[at : at + 4], "little"), codec="zstd", asbytes=True)
+    out, last, at = [], b"", 0
+    shared = shared.tolist()
+    for h, n in zip(shared, size.tolist(), strict=True):
+        last = last[:h] + rest[at : at + n - h]
+        at += n - h
+        out.append(last)
+    return shared, out
+
+
+def merge(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int]]:
+    """Merges sorted runs of (common prefix with the one before, string) by a loser tree: for each string in order, the number of its run and
+    how far it agrees with the string before.
+
+    `know[r]` is how far the head of run r agrees with the last string out, or in a loser's place with the winner that beat it. The head that
+    agrees further comes first; only heads that agree equally far are compared, and from there on. No byte is compared twice."""
+    n = len(runs)
+    heads = [r[1][0] for r in runs]
+    know, place = [0] * n, [0] * n
+    tree = [-1] * n  # losers; -1: no one came by yet
+    for start in range(n):  # each run climbs until a place is free or it loses
+        w, i = start, (start + n) >> 1
+        while i:
+            if tree[i] < 0:
+                tree[i], w = w, -1
+                break
+            w, tree[i] = _play(w, tree[i], heads, know)
+            i >>= 1
+        if w >= 0:
+            tree[0] = w
+    winner = tree[0]
+    while know[winner] >= 0:
+        yield winner, know[winner]
+        shared, strings = runs[winner]
+        place[winner] = p = place[winner] + 1
+        if p < len(strings):
+            heads[winner], know[winner] = strings[p], shared[p]
+        else:
+            know[winner] = -1
+        w, i = winner, (winner + n) >> 1
+        while i:
+            other = tree[i]
+            a, b = know[w], know[other]
+            if b > a:
+                tree[i], w = w, other
+            elif a == b and a >= 0:
+                w, tree[i] = _play(w, other, heads, know)
+            i >>= 1
+        winner = w
+
+
+def _play(a: int, b: int, heads: list[bytes], know: list[int]) -> tuple[int, int]:
+    """Winner and loser of two heads that agree equally far with the last string; the loser's `know` becomes how far the two agree."""
+    if know[a] != know[b]:
+        return (a, b) if know[a] > know[b] else (b, a)
+    x, y, i = heads[a], heads[b], know[a]
+    n = min(len(x), len(y))
+    while i < n and x[i] == y[i]:
+        i += 1
+    if (len(x) <= len(y)) if i == n else x[i] < y[i]:
+        know[b] = i
+        return a, b
+    know[a] = i
+    return b, a
+
+
+def _wanted(s: Spans, asked: np.ndarray) -> np.ndarray:
+    """Which spans have a seed that their document is told of; asked holds each document's seeds."""
+    out = np.zeros(len(s.key), bool)
+    for i, j in _cuts(s.doc):
+        (keys,) = unpack(asked[int(s.doc[i])].as_buffer().to_pybytes(), "<u8")
+        out[i:j] = np.isin(s.key[i:j], keys)
+    return out
 
 
-def _strings(k: int):
-    """Rows (id, text, names) to the strings of the named spans: seed, place of the seed and hash, id, name and place in the
-    span."""
+def _runs(k: int, buckets: int, hot_keys: np.ndarray, base: int = 0xD6E8FEB86659FD93):
+    """Rows (number, text, found) to sorted, front-coded runs of the suffixes of shared seeds, and of the strings of hot ones; spans and
+    strings that a smaller document of the same run has are told at once."""
+
+    def flush(ids: np.ndarray, got: list, hot: list) -> Iterator[pa.RecordBatch]:
+        distinct, rank = _ranked(ids)
+        if got:
+            doc, key, name, rows, size = map(np.concatenate, zip(*got, strict=True))
+            doc = rank[doc]
+            wide = -(-(rows.shape[1] - 5) // 8) * 8
+            words = np.zeros((len(rows), wide), np.uint8)
+            words[:, : rows.shape[1] - 5] = rows[:, 5:]
+            words = words.view(">u8").astype(U)
+            order = _order(key, *(words[:, i] for i in range(words.shape[1])), doc)
+            doc, key, name, rows, size, words = (c[order] for c in (doc, key, name, rows, size, words))
+            new = _first(key, *(words[:, i] for i in range(words.shape[1])))
+            covered = ~new & (doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))])
+            yield from (_row(*r) for r in _found(4 * buckets, distinct[doc[covered]], name[covered]))
+            doc, key, name, rows, size = (c[new] for c in (doc, key, name, rows, size))
+            for i, j in _cuts((key * U(buckets) >> U(KEY)).astype(np.int64)):
+                yield _row(int(key[i]) * buckets >> KEY, pack(distinct[doc[i:j]].astype("<i8"), name[i:j].astype("<i8")) + front_code(rows[i:j], size[i:j]))
+        if hot:
+            doc, one, two, name, nth = map(np.concatenate, zip(*hot, strict=True))
+            doc = rank[doc]
+            order = _order(one, two, doc)
+            doc, one, two, name, nth = (c[order] for c in (doc, one, two, name, nth))
+            new = _first(one, two)
+            covered = ~new & (doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))])
+            yield from (_row(*r) for r in _found(4 * buckets, distinct[doc[covered]], name[covered], nth[covered], nth[covered]))
+            columns = [c[new].astype(t) for c, t in ((one, "<u8"), (two, "<u8"), (distinct[doc], "<i8"), (name, "<i8"), (nth, "<i2"))]
+            one = one[new]
+            for i, j in _cuts(((one >> U(32)) * U(buckets) >> U(32)).astype(np.int64)):
+                yield _row(buckets + (int(one[i] >> U(32)) * buckets >> 32), pack(*(c[i:j] for c in columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, got, hot, size, first = [], [], [], 0, 0
         for batch in batches:
-            ids = _ids(batch.column(0))
+            ids.append(_ids(batch.column(0)))
+            asked = batch.column(2)
             for parts, n in chunks(_texts(batch.column(1)), k):
                 if (s := spans(parts, k)) is None:
                     continue
-                own, at = _asked(s, batch.column(2))
-                count = (s.hi - s.lo)[at] - k + 1
-                row = np.repeat(at, count)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                start = s.lo[row] + nth
-                hash_ = Ranges(s.data[:n]).hash(start, start + k).astype(np.int64) if len(row) else nth
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s.key[row].astype(np.int64), s.seed[row] - start, hash_, ids[s.doc[row]], own[row], nth)], ["key", "seed", "hash", "id", "name", "first"])
+                at = np.flatnonzero(_wanted(s, asked))
+                burning = np.isin(s.key[at], hot_keys)
+                name = s.name
+                if burning.any():
+                    b = at[burning]
+                    count = (s.hi - s.lo)[b] - k + 1
+                    row = np.repeat(b, count)
+                    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                    start = s.lo[row] + nth
+                    one, two = (Ranges(s.data[:n], x).hash(start, start + k) for x in (BASE, base))
+                    hot.append((first + s.doc[row], one, two, name[row], nth))
+                    size += 40 * len(row)
+                at = at[~burning]
+                if len(at):
+                    rows, length = suffixes(s, at, k)
+                    got.append((first + s.doc[at], s.key[at], name[at], rows, length))
+                    size += rows.nbytes
+                if size >= 2 * RUN:
+                    yield from flush(np.concatenate(ids), got, hot)
+                    got, hot, size = [], [], 0
+                    release_memory()
+            first += batch.num_rows
+        if got or hot:
+            yield from flush(np.concatenate(ids), got, hot)
+        release_memory()
 
     return run
 
 
-def _contexts(k: int, buckets: int):
-    """Rows (id, text, names) to the bytes of the named spans, by bucket of their seed."""
+def _found(shards: int, ids: np.ndarray, names: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Answers that strings first to last of a span are covered; all of them if not given."""
+    first, last = (np.full(len(ids), v) if c is None else c for c, v in ((first, 0), (last, -1)))
+    return answers(shards, ids, names.astype("<i8"), first.astype("<i2"), last.astype("<i2"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, asked = _ids(batch.column(0)), batch.column(2)
-            for parts, _ in chunks(_texts(batch.column(1)), k):
-                if (s := spans(parts, k)) is None:
-                    continue
-                own, at = _asked(s, asked)
-                bucket = (s.key[at] * U(buckets) >> U(KEY)).astype(np.int64)
-                order = np.lexsort((s.key[at], bucket))
-                at, bucket = at[order], bucket[order]
-                cuts = np.flatnonzero(np.append(_first(bucket), True)) if len(at) else []
-                for i, j in zip(cuts, cuts[1:], strict=False):
-                    w = at[i:j]
-                    data = b"".join(s.data[a:b].tobytes() for a, b in zip(s.lo[w], s.hi[w], strict=True))
-                    blob = np.array([len(w)], "<u4").tobytes() + b"".join(x.tobytes() for x in (s.key[w].astype("<u8"), own[w].astype("<i8"), ids[s.doc[w]].astype("<i8"), (s.hi - s.lo)[w].astype("<u4"), (s.seed - s.lo)[w].astype("<u4"))) + data
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int64()), pa.array([blob])], ["bucket", "run"])
-
-    return run
 
+def _covered(k: int, buckets: int):
+    """Merges the runs of a range: which spans, and which strings of those that are left, a smaller document has too."""
 
-def _compare(k: int):
-    """The strings of the spans of a bucket, compared: (id, name, first, last) of covered strings within a span."""
+    def strings(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+        one, two, id_, name, nth = (np.concatenate(c) for c in zip(*(unpack(b, "<u8", "<u8", "<i8", "<i8", "<i2") for b in pdf["run"]), strict=True))
+        order = _order(one, two)
+        one, two, id_, name, nth = (c[order] for c in (one, two, id_, name, nth))
+        hit = id_ > _least(np.cumsum(_first(one, two)) - 1, id_)
+        yield from _found(4 * buckets, id_[hit], name[hit], nth[hit], nth[hit])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        data = []
+    def spans_(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+        ids, names, runs = [], [], []
         for blob in pdf["run"]:
-            n = int(np.frombuffer(blob, "<u4", 1)[0])
-            at = 4
-            for col, kind in zip(cols, ("<u8", "<i8", "<i8", "<u4", "<u4"), strict=True):
-                col.append(np.frombuffer(blob, kind, n, at))
-                at += n * int(kind[-1])
-            data.append(blob[at:])
-        key, own, id_, size, seed = map(np.concatenate, cols)
-        order = np.argsort(key, kind="stable")
-        begin = (np.cumsum(size.astype(np.int64)) - size)[order]
-        key, own, id_, size = key[order], own[order], id_[order], size[order].astype(np.int64)
-        bytes_ = np.frombuffer(b"".join(data), np.uint8)
-        out = []
-        # Seeds are taken together until their spans have some bytes; a seed's spans stay together.
-        bounds = np.flatnonzero(np.append(_first(key), True))
-        total = np.concatenate([[0], np.cumsum(size)])
+            i, n = unpack(blob, "<i8", "<i8")
+            ids.append(i)
+            names.append(n)
+            runs.append(front_decode(blob[4 + i.nbytes + n.nbytes :]))
+        base = np.cumsum([0, *map(len, ids)])
+        at, know = (np.fromiter(c, np.int64) for c in zip(*merge(runs), strict=True))
+        # the strings of a run come in order, so a run's n-th mention is its n-th string
+        turn = np.argsort(at, kind="stable")
+        place = np.empty(len(at), np.int64)
+        place[turn] = np.arange(len(at))  # runs follow one another in the joined columns too
+        id_, name = np.concatenate(ids)[place], np.concatenate(names)[place]
+        texts = [t for r in runs for t in r[1]]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))[place]
+        assert base[-1] == len(at)
+        same = know == size  # agrees with the one before in all of its bytes, and its length stands in them
+        klass = np.cumsum(~same) - 1
+        least = _least(klass, id_)
+        gone = id_ > least
+        yield from _found(4 * buckets, id_[gone], name[gone])
+        # Of each span the smallest document stays; spans of one seed that several documents have are compared string by string.
+        lead = np.flatnonzero(~same)
+        group = np.cumsum(know[lead] < 5) - 1  # 5 bytes of a row are the seed's hash
+        low = least[lead]
+        several = _least(group, low) < -_least(group, ~low) - 1
+        lead, group, low = lead[several], group[several], low[several]
+        bounds = np.flatnonzero(np.append(_first(group), True)) if len(lead) else np.zeros(1, np.int64)
+        total = np.concatenate([[0], np.cumsum(size[lead])])
         i = 0
         while i < len(bounds) - 1:
             j = max(i + 1, int(np.searchsorted(total[bounds], total[bounds[i]] + CHUNK, "right")) - 1)
-            a, b = bounds[i], bounds[j]
+            some = lead[bounds[i] : bounds[j]]
+            yield from _compare(k, 4 * buckets, [texts[place[x]] for x in some], least[some], name[some])
             i = j
-            n = size[a:b] - k + 1
-            row = np.repeat(np.arange(a, b), n)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            place = begin[row] + nth
-            # the string itself, as numbers: equal numbers are equal bytes
-            cols8 = _string(bytes_, place, k)
-            _, which = np.unique(cols8, return_inverse=True)
-            least = np.full(which.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, which, id_[row])
-            hit = np.flatnonzero(id_[row] > least[which])
-            if not len(hit):
-                continue
-            start = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)))
-            stop = np.append(start[1:], len(hit)) - 1
-            out.append(pd.DataFrame({"id": id_[row[hit[start]]], "name": own[row[hit[start]]], "first": nth[hit[start]], "last": nth[hit[stop]]}))
-        release_memory()
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "name", "first", "last")})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = pdf["bucket"].iloc[0]
+        return pdf[["bucket", "run"]] if bucket < 0 else _frame(strings(pdf) if bucket >= buckets else spans_(pdf))
 
     return run
 
 
-def _string(data: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-    """The k bytes from each place on, as one opaque value that compares by its bytes."""
-    view = np.lib.stride_tricks.sliding_window_view(data, k)[place]
-    return np.ascontiguousarray(view).view(f"V{k}").ravel() if len(place) else np.zeros(0, f"V{k}")
+def _compare(k: int, shards: int, rows: list[bytes], id_: np.ndarray, name: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The strings of some spans, compared by their bytes."""
+    data = []
+    for r in rows:
+        x = HEAD + int.from_bytes(r[5:7], "big")
+        data.append(r[x:][::-1] + r[HEAD:x])
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    n = size - k + 1
+    row = np.repeat(np.arange(len(data)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(np.cumsum(size) - size, n) + nth
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(data), np.uint8), k)[place]
+    _, which = np.unique(np.ascontiguousarray(view).view(f"V{k}").ravel(), return_inverse=True)
+    least = np.full(which.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, id_[row])
+    hit = np.flatnonzero(id_[row] > least[which])
+    if len(hit):
+        start = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)))
+        stop = np.append(start[1:], len(hit)) - 1
+        yield from _found(shards, id_[row[hit[start]]], name[row[hit[start]]], nth[hit[start]], nth[hit[stop]])
+
+
+def _hot_keys(rows: DataFrame) -> np.ndarray:
+    """Seeds of very many spans. If there are too many to send to all tasks, only those of yet more spans; the others meet in one task each,
+    with the same result."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                key, n = unpack(blob, "<u8", "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["key", "n"])
+
+    each = rows.select("run").mapInArrow(flat, "key long, n long")
+    sizes = each.groupBy(F.floor(F.log2("n")).alias("log")).count().orderBy(F.desc("log")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total * 16 > BROADCAST_BYTES:
+            break
+        least = 1 << r.log
+    return np.array(sorted(r.key for r in each.where(F.col("n") >= least).select("key").collect()), U) if least else np.zeros(0, U)
 
 
 def remove_repeats(docs: DataFrame, *, k: int = 50, keep: str | None = "bytes", carry: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +571,7 @@ def remove_repeats(docs: DataFrame, *, k: int = 50, keep: str | None = "bytes",
     Texts are UTF-8 bytes, null is empty; strings don't cross documents and are judged on the input. Returns a row
     per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes that stay; with
     keep="text" as text without characters of which only some bytes stay; with None null) and row (a struct of the
-    columns to carry along). Rows
+    columns to carry along). Ids are whole numbers. Rows
     that repeat an id are not smaller than each other, so they keep what only they share; a null id is smaller than
     all others. An empty table gives an empty result; other columns are not read.
     """
@@ -390,38 +580,33 @@ def remove_repeats(docs: DataFrame, *, k: int = 50, keep: str | None = "bytes",
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
+    if not isinstance(rows.schema["id"].dataType, IntegralType):
+        raise TypeError("ids must be whole numbers")
     rows = rows.select("id", "text", F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry))).alias("row")) if carry else rows.withColumn("row", F.lit(None).cast("int"))
     kind, row_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "row"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    size, n_docs = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(8, min(1 << 20, -(-size // BUCKET)))
+    numbered = rows.withColumn("number", F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)))
+    sent = "bucket long, run binary"
 
-    runs = rows.select("id", "text").mapInArrow(_runs(k, buckets), "bucket long, id long, name long, ask int, run binary")
-    merged = scratch.keep(runs.groupBy("bucket").applyInPandas(_merge, "id long, name long, ask int"))
-
-    number = F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID))
-    numbered = rows.withColumn("number", number)
-    n_docs = docs.count()
+    seeds = rows.select("id", "text").mapInArrow(_seeds(k, buckets), sent)
+    seeds = scratch.keep(seeds.groupBy("bucket").applyInPandas(_shared_seeds(4 * buckets), sent))
+    hot = _hot_keys(seeds.where(F.col("bucket") == HOT_BUCKET))
+    held = spark.sparkContext.broadcast(hot) if len(hot) else None
 
-    def asking(ask: int) -> DataFrame:
-        some = merged.where(F.col("ask") == ask)
-        names = some.groupBy(F.col("id").alias("number")).agg(F.collect_set("name").alias("names"))
-        few = numbered.join(maybe_broadcast(some.select(F.col("id").alias("number")).distinct(), n_docs, 16), "number", "left_semi")
-        return few.join(names, "number").select("number", "text", "names")
+    asked = seeds.where(F.col("bucket") > HOT_BUCKET).groupBy("bucket").applyInPandas(gather("<u8"), "number long, found binary")
+    some = numbered.select("number", "text").join(asked, "number")
 
-    edges = asking(1).mapInArrow(_contexts(k, buckets), "bucket long, run binary").groupBy("bucket").applyInPandas(_compare(k), "id long, name long, first long, last long")
-    if merged.where("ask = 2").limit(1).count():
-        strings = scratch.keep(asking(2).mapInArrow(_strings(k), "key long, seed long, hash long, id long, name long, first long"))
-        least = strings.groupBy("key", "seed", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-        edges = edges.unionByName(strings.join(least, ["key", "seed", "hash"]).where("id > least").select("id", "name", "first", F.col("first").alias("last")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _runs(k, buckets, held.value if held else np.zeros(0, U))(batches)
 
-    found = merged.where("ask = 0").select("id", "name", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
-    found = scratch.keep(found.unionByName(edges))
-    by_doc = found.groupBy(F.col("id").alias("number")).agg(F.collect_list(F.struct("name", "first", "last")).alias("found"))
-    touched = maybe_broadcast(found.select(F.col("id").alias("number")).distinct(), n_docs, 16)
+    found = scratch.keep(some.select("number", "text", "found").mapInArrow(run, sent).groupBy("bucket").applyInPandas(_covered(k, buckets), sent))
+    found = scratch.keep(found.groupBy("bucket").applyInPandas(gather("<i8", "<i2", "<i2"), "number long, found binary"))
+    touched = maybe_broadcast(found.select("number"), n_docs, 16)
 
     kept_kind = "string" if keep == "text" else "binary"
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kept_kind}, row {row_kind}"
-    changed = numbered.join(touched, "number", "left_semi").join(by_doc, "number").select("id", "text", "found", "row").mapInArrow(_cut(k, keep), schema)
+    changed = numbered.join(touched, "number", "left_semi").join(found, "number").select("id", "text", "found", "row").mapInArrow(_cut(k, keep), schema)
     same = numbered.join(touched, "number", "left_anti")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     text = F.coalesce("text", F.lit(""))
@@ -459,10 +644,9 @@ def _cut(k: int, keep: str | None):
                     bounds = np.flatnonzero(np.append(_first(s.doc), True))
                     for i, j in zip(bounds, bounds[1:], strict=False):
                         d = int(s.doc[i])
-                        f = found[d].values
-                        names, first, last = (np.asarray(f.field(c)) for c in range(3))
+                        names, first, last = unpack(found[d].as_buffer().to_pybytes(), "<i8", "<i2", "<i2")
                         order = np.argsort(names, kind="stable")
-                        names, first, last = names[order], first[order], last[order]
+                        names, first, last = names[order], first[order].astype(np.int64), last[order].astype(np.int64)
                         a, b = np.searchsorted(names, own[i:j]), np.searchsorted(names, own[i:j], "right")
                         n = b - a
                         span = np.repeat(np.arange(i, j), n)
