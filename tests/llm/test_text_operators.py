@@ -156,16 +156,27 @@ def test_remove_repeats(spark, monkeypatch, chunk, part, hot):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in df.collect())
 
 
+def test_a_string_in_several_spans_of_a_document(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(30))
+    other = lambda n: " ".join("".join(rng.choice("ijklmnopq") for _ in range(5)) for _ in range(n))
+    given = [(i, " ".join([other(9), passage, other(9), passage, other(9)][: 2 + i % 4])) for i in range(40)]
+    for name, v in (("RUN", 1500), ("BUCKET", 4000), ("HOT", 2)):
+        monkeypatch.setattr(substrings, name, v)
+    df = substrings.remove_repeats(spark.createDataFrame(given, "doc_id long, text string").repartition(3))
+    assert sorted_rows(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _substrings_by_hand(given)
+
+
 def test_loser_tree_merges_without_reading_known_prefixes():
     rng = random.Random(5)
     for n in (1, 2, 3, 7, 12):
         runs = []
         for _ in range(n):
-            some = sorted({bytes([9]) + bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) + b"." for _ in range(rng.randrange(1, 40))})
+            some = sorted({bytes([(m := rng.randrange(12))]) + bytes(rng.choice(b"ab") for _ in range(m)) for _ in range(rng.randrange(1, 40))})
             runs.append(([0] + [len(os.path.commonprefix([a, b])) for a, b in zip(some, some[1:], strict=False)], some))
         want = sorted(x for _, r in runs for x in r)
         place, got, last = [0] * n, [], b""
-        for r, know in substrings.merge(runs):
+        for r, know in zip(*substrings.merge(runs), strict=True):
             x = runs[r][1][place[r]]
             place[r] += 1
             assert know == len(os.path.commonprefix([last, x]))
@@ -177,12 +188,12 @@ def test_loser_tree_merges_without_reading_known_prefixes():
 def test_front_coding_round_trip():
     texts_ = [(0, 0, ("the same words again and again in every line of it " * 3).encode()), (1, 0, ("another text with the same words again and again in every line of it " * 2).encode())]
     s = substrings.spans(texts_, 50)
-    rows_, size = substrings.suffixes(s, np.arange(len(s.key)), 50)
-    whole = sorted({r[:n].tobytes() for r, n in zip(rows_, size, strict=True)})
-    flat = np.zeros((len(whole), rows_.shape[1]), np.uint8)
-    for i, w in enumerate(whole):
-        flat[i, : len(w)] = np.frombuffer(w, np.uint8)
-    shared, back = substrings.front_decode(substrings.front_code(flat, np.array(list(map(len, whole)))))
+    rows_ = np.unique(substrings.suffixes(s, np.arange(len(s.key)), 50), axis=0)
+    text = b"".join(t for _, _, t in texts_)
+    spans_ = {(text[a:b], c - a) for a, b, c in zip(s.lo.tolist(), s.hi.tolist(), s.seed.tolist(), strict=True)}
+    whole = [r[: substrings.HEAD + r[5]].tobytes() + r[substrings.HEAD + 50 : substrings.HEAD + 50 + r[6]].tobytes() for r in rows_]
+    assert {(w[substrings.HEAD + w[5] :][::-1] + w[substrings.HEAD : substrings.HEAD + w[5]], w[6]) for w in whole} == spans_
+    shared, back = substrings.front_decode(substrings.front_code(rows_, 50))
     assert back == whole and shared == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(whole, whole[1:], strict=False)]
 
 

@@ -89,7 +89,9 @@ def spans(parts: list[tuple[int, int, bytes]], k: int) -> Spans | None:
     doc_at = np.searchsorted(np.cumsum(sizes), lo, "right")
     docs, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
     begin = (np.cumsum(sizes) - sizes)[doc_at]
-    span = mix(Ranges(data[:n]).hash(lo, hi) ^ (seed - lo).astype(U))
+    span = (hi - lo).astype(U) << U(16) | (seed - lo).astype(U)
+    for t in range(0, 2 * k - SEED, SEED):  # all its bytes, SEED at a time
+        span = mix(span * U(0x9E3779B97F4A7C15) + h[np.minimum(lo + t, hi - SEED)])
     key = mix(h[seed] ^ U(0xD1B54A32D192ED03)) >> U(64 - KEY)  # anew: the hashes of chosen places are small ones
     return Spans(data, docs[doc_at], lo, hi, seed, key, span, lo - begin + offsets[doc_at])
 
@@ -156,14 +158,18 @@ def _least(group: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    return np.array([len(columns[0])], "<u4").tobytes() + b"".join(c.tobytes() for c in columns)
+    """Columns of one length, byte by byte (all first bytes, all second ones and so on, as most differ little), compressed."""
+    flat = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() if len(c) else b"" for c in columns)
+    return np.array([len(columns[0]), len(flat)], "<u4").tobytes() + pa.compress(flat, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, "<u4", 1)[0]), 4, []
+    n, size = np.frombuffer(blob, "<u4", 2).tolist()
+    flat, at, out = np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True), np.uint8), 0, []
     for kind in kinds:
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += out[-1].nbytes
+        w = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(flat[at : at + n * w].reshape(w, n).T).view(kind).ravel())
+        at += n * w
     return out
 
 
@@ -172,28 +178,41 @@ def _row(bucket: int, blob: bytes) -> pa.RecordBatch:
 
 
 def answers(shards: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Rows about documents, dealt by document to shards, which are numbered -1, -2 and so on."""
+    """Rows about documents, dealt by document to shards, which are numbered -1, -2 and so on; ids by what each adds to the one before."""
     shard = (mix(ids.astype(U)) % U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    order = np.lexsort((ids, shard))
     for i, j in _cuts(shard[order]):
         w = order[i:j]
-        yield -1 - int(shard[w[0]]), pack(ids[w].astype("<i8"), *(c[w] for c in columns))
+        yield -1 - int(shard[w[0]]), pack(np.diff(ids[w], prepend=0).astype("<i8"), *(c[w] for c in columns))
 
 
 def gather(*kinds: str):
     """The answers of a shard to one row a document: (number, found)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, *columns = (np.concatenate(c) for c in zip(*(unpack(b, "<i8", *kinds) for b in pdf["run"]), strict=True))
+        parts = [unpack(b, "<i8", *kinds) for b in pdf["run"]]
+        ids = np.concatenate([np.cumsum(p[0]) for p in parts])
+        columns = [np.concatenate([p[i + 1] for p in parts]) for i in range(len(kinds))]
         order = np.argsort(ids, kind="stable")
         ids, columns = ids[order], [c[order] for c in columns]
-        release_memory()
         cuts = list(_cuts(ids))
-        return pd.DataFrame({"number": ids[[i for i, _ in cuts]], "found": [pack(*(c[i:j] for c in columns)) for i, j in cuts]})
+        out = pd.DataFrame({"number": ids[[i for i, _ in cuts]], "found": [b"".join(c[i:j].tobytes() for c in columns) for i, j in cuts]})
+        release_memory()
+        return out
 
     return run
 
 
+def _columns(found: pa.Scalar, *kinds: str) -> list[np.ndarray]:
+    """What gather has for a document."""
+    data, at, out = found.as_buffer(), 0, []
+    n = data.size // sum(np.dtype(k).itemsize for k in kinds)
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
 def _frame(rows: Iterator[tuple[int, bytes]]) -> pd.DataFrame:
     rows = list(rows)
     release_memory()
@@ -231,9 +250,9 @@ def _seeds(k: int, buckets: int):
         bucket = (key * U(buckets) >> U(KEY)).astype(np.int64)
         for i, j in _cuts(bucket):
             some, where = np.unique(doc[i:j], return_inverse=True)
-            step = np.diff(key[i:j], prepend=U(0))  # sorted: by what each adds to the one before
-            kind = "<u4" if step.max() < 1 << 32 else "<u8"
-            yield _row(bucket[i], kind[2].encode() + pack(distinct[some].astype("<i8")) + pack(step.astype(kind), where.astype("<u4"), code[i:j]))
+            ids_, seeds = (np.diff(c, prepend=c.dtype.type(0)) for c in (distinct[some], key[i:j]))  # sorted: by what each adds to the one before
+            head_ = pack(ids_.astype("<i8"))
+            yield _row(bucket[i], len(head_).to_bytes(4, "little") + head_ + pack(seeds.astype("<u8"), where.astype("<u4"), code[i:j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, doc, key, span, size, base = [], [], [], [], 0, 0
@@ -265,10 +284,11 @@ def _shared_seeds(shards: int):
             return pdf[["bucket", "run"]]
         keys, ids, codes = [], [], []
         for blob in pdf["run"]:
-            (some,) = unpack(blob[1:], "<i8")
-            step, where, code = unpack(blob[5 + some.nbytes :], f"<u{blob[:1].decode()}", "<u4", "u1")
+            at = 4 + int.from_bytes(blob[:4], "little")
+            (some,) = unpack(blob[4:at], "<i8")
+            step, where, code = unpack(blob[at:], "<u8", "<u4", "u1")
             keys.append(np.cumsum(step.astype(U)))
-            ids.append(some[where])
+            ids.append(np.cumsum(some)[where])
             codes.append(code)
         key, id_, code = map(np.concatenate, (keys, ids, codes))
         order = np.argsort(key, kind="stable")
@@ -287,54 +307,65 @@ def _shared_seeds(shards: int):
     return run
 
 
-def suffixes(s: Spans, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spans at some places as sortable rows of bytes: the seed's hash, the lengths after and before the seed, and the bytes after it and
-    then before it, backwards. Also how many bytes of each row count."""
-    x, y = (s.hi - s.seed)[at], (s.seed - s.lo)[at]
-    head = np.empty((len(at), HEAD), np.uint8)
-    head[:, :5] = s.key[at].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-    head[:, 5:7], head[:, 7:] = (v.astype(">u2").view(np.uint8).reshape(-1, 2) for v in (x, y))
-    j = np.arange(2 * k - SEED)
-    from_ = np.where(j < x[:, None], s.seed[at][:, None] + j, s.seed[at][:, None] - 1 - j + x[:, None])
-    body = np.where(j < (x + y)[:, None], s.data[np.clip(from_, 0, len(s.data) - 1)], np.uint8(0))
-    return np.concatenate([head, body], 1), HEAD + x + y
+#: Bytes of a suffix row before its text.
+HEAD = 7
 
 
-#: Bytes of a suffix row before its text.
-HEAD = 9
+def suffixes(s: Spans, at: np.ndarray, k: int) -> np.ndarray:
+    """The spans at some places as sortable rows of bytes: the seed's hash, the lengths from the seed on and before it, k bytes for what
+    follows, and k - SEED for what stands before, backwards. Bytes beyond the lengths are 0."""
+    x, y = (s.hi - s.seed)[at], (s.seed - s.lo)[at]
+    rows = np.zeros((len(at), HEAD + 2 * k - SEED), np.uint8)
+    rows[:, :5] = s.key[at].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    rows[:, 5], rows[:, 6] = x, y
+    if len(at):
+        data = np.concatenate([np.zeros(k, np.uint8), s.data, np.zeros(k, np.uint8)])
+        rows[:, HEAD : HEAD + k] = np.lib.stride_tricks.sliding_window_view(data, k)[s.seed[at] + k]
+        rows[:, HEAD + k :] = np.lib.stride_tricks.sliding_window_view(data, k - SEED)[s.seed[at] + SEED][:, ::-1]
+        rows[:, HEAD:][~_real(rows, k)[:, HEAD:]] = 0
+    return rows
+
+
+def _real(rows: np.ndarray, k: int) -> np.ndarray:
+    """Which bytes of suffix rows count."""
+    j = np.arange(2 * k - SEED)
+    text = np.where(j < k, j < rows[:, 5:6], j - k < rows[:, 6:7])
+    return np.concatenate([np.ones((len(rows), HEAD), bool), text], 1)
 
 
-def front_code(rows: np.ndarray, size: np.ndarray) -> bytes:
-    """Sorted, distinct rows: the length of the prefix that each shares with the one before, its own length, and what follows."""
-    shared = np.zeros(len(rows), np.int64)
-    shared[1:] = (rows[1:] != rows[:-1]).argmax(1)
-    j = np.arange(rows.shape[1])
-    rest = rows[(j >= shared[:, None]) & (j < size[:, None])].tobytes()
-    return pack(shared.astype("<u2"), size.astype("<u2")) + len(rest).to_bytes(4, "little") + pa.compress(rest, codec="zstd", asbytes=True)
+def front_code(rows: np.ndarray, k: int) -> bytes:
+    """Sorted, distinct suffix rows: the length of the prefix that each shares with the one before, and what follows of it."""
+    column = np.zeros(len(rows), np.int64)
+    column[1:] = (rows[1:] != rows[:-1]).argmax(1)
+    shared = np.where(column < HEAD + k, column, column - k + rows[:, 5])  # of the bytes that count
+    rest = rows[_real(rows, k) & (np.arange(rows.shape[1]) >= column[:, None])].tobytes()
+    sizes = pack(shared.astype(np.uint8), (HEAD + rows[:, 5].astype(np.int64) + rows[:, 6]).astype(np.uint8))
+    return len(sizes).to_bytes(4, "little") + sizes + len(rest).to_bytes(4, "little") + pa.compress(rest, codec="zstd", asbytes=True)
 
 
-def front_decode(data: bytes) -> tuple[list[int], list[bytes]]:
-    shared, size = unpack(data, "<u2", "<u2")
-    at = 4 + shared.nbytes + size.nbytes
+def front_decode(data: bytes, start: int = 0) -> tuple[list[int], list[bytes]]:
+    """The runs of front_code: common prefixes, and rows without the bytes that don't count."""
+    at = start + 4 + int.from_bytes(data[start : start + 4], "little")
+    shared, length = (c.tolist() for c in unpack(data[start + 4 : at], "u1", "u1"))
     rest = pa.decompress(data[at + 4 :], int.from_bytes(data[at : at + 4], "little"), codec="zstd", asbytes=True)
     out, last, at = [], b"", 0
-    shared = shared.tolist()
-    for h, n in zip(shared, size.tolist(), strict=True):
-        last = last[:h] + rest[at : at + n - h]
-        at += n - h
+    for h, n in zip(shared, length, strict=True):
+        to = at + n - h
+        last = last[:h] + rest[at:to]
+        at = to
         out.append(last)
     return shared, out
 
 
-def merge(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int]]:
+def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[int], list[int]]:
     """Merges sorted runs of (common prefix with the one before, string) by a loser tree: for each string in order, the number of its run and
-    how far it agrees with the string before.
+    how far it agrees with the string before. No string is the beginning of another of its length or more, as lengths come first in them.
 
     `know[r]` is how far the head of run r agrees with the last string out, or in a loser's place with the winner that beat it. The head that
     agrees further comes first; only heads that agree equally far are compared, and from there on. No byte is compared twice."""
     n = len(runs)
-    heads = [r[1][0] for r in runs]
-    know, place = [0] * n, [0] * n
+    heads, place, ends = [r[1][0] for r in runs], [0] * n, [len(r[1]) for r in runs]
+    know = [0] * n
     tree = [-1] * n  # losers; -1: no one came by yet
     for start in range(n):  # each run climbs until a place is free or it loses
         w, i = start, (start + n) >> 1
@@ -346,36 +377,44 @@ def merge(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int]
             i >>= 1
         if w >= 0:
             tree[0] = w
-    winner = tree[0]
-    while know[winner] >= 0:
-        yield winner, know[winner]
-        shared, strings = runs[winner]
-        place[winner] = p = place[winner] + 1
-        if p < len(strings):
-            heads[winner], know[winner] = strings[p], shared[p]
+    w, out, agreed = tree[0], [], []
+    while know[w] >= 0:
+        out.append(w)
+        agreed.append(know[w])
+        shared, strings = runs[w]
+        place[w] = p = place[w] + 1
+        if p < ends[w]:
+            heads[w] = strings[p]
+            a = shared[p]
         else:
-            know[winner] = -1
-        w, i = winner, (winner + n) >> 1
-        while i:
+            a = -1
+        i = (w + n) >> 1
+        while i:  # a: how far w agrees with the last string out
             other = tree[i]
-            a, b = know[w], know[other]
+            b = know[other]
             if b > a:
-                tree[i], w = w, other
+                tree[i], know[w], w, a = w, a, other, b
             elif a == b and a >= 0:
-                w, tree[i] = _play(w, other, heads, know)
+                x, y = heads[w], heads[other]
+                top = min(len(x), len(y))
+                while a < top and x[a] == y[a]:
+                    a += 1
+                if a == top or x[a] < y[a]:  # all of them equal, or w is the smaller one
+                    know[other], a = a, b
+                else:
+                    tree[i], know[w], w, a = w, a, other, b
             i >>= 1
-        winner = w
+        know[w] = a
+    return out, agreed
 
 
 def _play(a: int, b: int, heads: list[bytes], know: list[int]) -> tuple[int, int]:
-    """Winner and loser of two heads that agree equally far with the last string; the loser's `know` becomes how far the two agree."""
-    if know[a] != know[b]:
-        return (a, b) if know[a] > know[b] else (b, a)
-    x, y, i = heads[a], heads[b], know[a]
+    """Winner and loser of two heads at the start; the loser's `know` becomes how far the two agree."""
+    x, y, i = heads[a], heads[b], 0
     n = min(len(x), len(y))
     while i < n and x[i] == y[i]:
         i += 1
-    if (len(x) <= len(y)) if i == n else x[i] < y[i]:
+    if i == n or x[i] < y[i]:
         know[b] = i
         return a, b
     know[a] = i
@@ -386,7 +425,7 @@ def _wanted(s: Spans, asked: np.ndarray) -> np.ndarray:
     """Which spans have a seed that their document is told of; asked holds each document's seeds."""
     out = np.zeros(len(s.key), bool)
     for i, j in _cuts(s.doc):
-        (keys,) = unpack(asked[int(s.doc[i])].as_buffer().to_pybytes(), "<u8")
+        (keys,) = _columns(asked[int(s.doc[i])], "<u8")
         out[i:j] = np.isin(s.key[i:j], keys)
     return out
 
@@ -398,28 +437,33 @@ def _runs(k: int, buckets: int, hot_keys: np.ndarray, base: int = 0xD6E8FEB86659
     def flush(ids: np.ndarray, got: list, hot: list) -> Iterator[pa.RecordBatch]:
         distinct, rank = _ranked(ids)
         if got:
-            doc, key, name, rows, size = map(np.concatenate, zip(*got, strict=True))
+            doc, key, name, rows = map(np.concatenate, zip(*got, strict=True))
+            got.clear()
             doc = rank[doc]
-            wide = -(-(rows.shape[1] - 5) // 8) * 8
-            words = np.zeros((len(rows), wide), np.uint8)
+            words = np.zeros((len(rows), -(-(rows.shape[1] - 5) // 8) * 8), np.uint8)
             words[:, : rows.shape[1] - 5] = rows[:, 5:]
-            words = words.view(">u8").astype(U)
-            order = _order(key, *(words[:, i] for i in range(words.shape[1])), doc)
-            doc, key, name, rows, size, words = (c[order] for c in (doc, key, name, rows, size, words))
-            new = _first(key, *(words[:, i] for i in range(words.shape[1])))
+            words = words.view(">u8")
+            order = _order(key, *words.T, doc)
+            doc, key, name, rows, words = (c[order] for c in (doc, key, name, rows, words))
+            new = _first(key)
+            same = np.flatnonzero(~new)
+            new[same] = (words[same] != words[same - 1]).any(1)
             covered = ~new & (doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))])
             yield from (_row(*r) for r in _found(4 * buckets, distinct[doc[covered]], name[covered]))
-            doc, key, name, rows, size = (c[new] for c in (doc, key, name, rows, size))
+            doc, key, name, rows = (c[new] for c in (doc, key, name, rows))
             for i, j in _cuts((key * U(buckets) >> U(KEY)).astype(np.int64)):
-                yield _row(int(key[i]) * buckets >> KEY, pack(distinct[doc[i:j]].astype("<i8"), name[i:j].astype("<i8")) + front_code(rows[i:j], size[i:j]))
+                least = int(distinct[doc[i:j]].min())
+                who = pack((distinct[doc[i:j]].astype(U) - U(least & (1 << 64) - 1)).astype("<u8"), name[i:j].astype("<i8"))
+                yield _row(int(key[i]) * buckets >> KEY, least.to_bytes(8, "little", signed=True) + len(who).to_bytes(4, "little") + who + front_code(rows[i:j], k))
         if hot:
             doc, one, two, name, nth = map(np.concatenate, zip(*hot, strict=True))
             doc = rank[doc]
-            order = _order(one, two, doc)
+            order = _order(one, two, doc, name)
             doc, one, two, name, nth = (c[order] for c in (doc, one, two, name, nth))
             new = _first(one, two)
-            covered = ~new & (doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))])
+            covered = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             yield from (_row(*r) for r in _found(4 * buckets, distinct[doc[covered]], name[covered], nth[covered], nth[covered]))
+            new = ~covered & _first(one, two, name)  # the smallest document may have the string in several spans
             columns = [c[new].astype(t) for c, t in ((one, "<u8"), (two, "<u8"), (distinct[doc], "<i8"), (name, "<i8"), (nth, "<i2"))]
             one = one[new]
             for i, j in _cuts(((one >> U(32)) * U(buckets) >> U(32)).astype(np.int64)):
@@ -447,9 +491,8 @@ def _runs(k: int, buckets: int, hot_keys: np.ndarray, base: int = 0xD6E8FEB86659
                     size += 40 * len(row)
                 at = at[~burning]
                 if len(at):
-                    rows, length = suffixes(s, at, k)
-                    got.append((first + s.doc[at], s.key[at], name[at], rows, length))
-                    size += rows.nbytes
+                    got.append((first + s.doc[at], s.key[at], name[at], suffixes(s, at, k)))
+                    size += got[-1][3].nbytes
                 if size >= 2 * RUN:
                     yield from flush(np.concatenate(ids), got, hot)
                     got, hot, size = [], [], 0
@@ -481,12 +524,12 @@ def _covered(k: int, buckets: int):
     def spans_(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
         ids, names, runs = [], [], []
         for blob in pdf["run"]:
-            i, n = unpack(blob, "<i8", "<i8")
-            ids.append(i)
+            at = 12 + int.from_bytes(blob[8:12], "little")
+            more, n = unpack(blob[12:at], "<u8", "<i8")
+            ids.append((more + np.frombuffer(blob, "<u8", 1)).astype(np.int64))
             names.append(n)
-            runs.append(front_decode(blob[4 + i.nbytes + n.nbytes :]))
-        base = np.cumsum([0, *map(len, ids)])
-        at, know = (np.fromiter(c, np.int64) for c in zip(*merge(runs), strict=True))
+            runs.append(front_decode(blob, at))
+        at, know = (np.array(c, np.int64) for c in merge(runs))
         # the strings of a run come in order, so a run's n-th mention is its n-th string
         turn = np.argsort(at, kind="stable")
         place = np.empty(len(at), np.int64)
@@ -494,7 +537,6 @@ def _covered(k: int, buckets: int):
         id_, name = np.concatenate(ids)[place], np.concatenate(names)[place]
         texts = [t for r in runs for t in r[1]]
         size = np.fromiter(map(len, texts), np.int64, len(texts))[place]
-        assert base[-1] == len(at)
         same = know == size  # agrees with the one before in all of its bytes, and its length stands in them
         klass = np.cumsum(~same) - 1
         least = _least(klass, id_)
@@ -526,7 +568,7 @@ def _compare(k: int, shards: int, rows: list[bytes], id_: np.ndarray, name: np.n
     """The strings of some spans, compared by their bytes."""
     data = []
     for r in rows:
-        x = HEAD + int.from_bytes(r[5:7], "big")
+        x = HEAD + r[5]
         data.append(r[x:][::-1] + r[HEAD:x])
     size = np.fromiter(map(len, data), np.int64, len(data))
     n = size - k + 1
@@ -575,8 +617,8 @@ def remove_repeats(docs: DataFrame, *, k: int = 50, keep: str | None = "bytes",
     that repeat an id are not smaller than each other, so they keep what only they share; a null id is smaller than
     all others. An empty table gives an empty result; other columns are not read.
     """
-    if k < SEED + 1:
-        raise ValueError(f"k must be over {SEED}")
+    if not SEED < k <= 128:
+        raise ValueError(f"k must be over {SEED} and at most 128")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
@@ -644,7 +686,7 @@ def _cut(k: int, keep: str | None):
                     bounds = np.flatnonzero(np.append(_first(s.doc), True))
                     for i, j in zip(bounds, bounds[1:], strict=False):
                         d = int(s.doc[i])
-                        names, first, last = unpack(found[d].as_buffer().to_pybytes(), "<i8", "<i2", "<i2")
+                        names, first, last = _columns(found[d], "<i8", "<i2", "<i2")
                         order = np.argsort(names, kind="stable")
                         names, first, last = names[order], first[order].astype(np.int64), last[order].astype(np.int64)
                         a, b = np.searchsorted(names, own[i:j]), np.searchsorted(names, own[i:j], "right")
@@ -658,5 +700,6 @@ def _cut(k: int, keep: str | None):
                 finish(parts[-1][0])
             finish(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary()), strict=True)), batch.column(3)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
+        release_memory()
 
     return run
