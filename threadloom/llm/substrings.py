@@ -61,8 +61,8 @@ class Spans:
 
     @property
     def name(self) -> np.ndarray:
-        """One number for a seed and a span; tells the spans of a document apart."""
-        return mix(self.key * U(0x9E3779B97F4A7C15) ^ self.span).astype(np.int64)
+        """48 bits for a seed and a span; tells the spans of one document apart."""
+        return (mix(self.key * U(0x9E3779B97F4A7C15) ^ self.span) >> U(16)).astype(np.int64)
 
 
 def spans(parts: list[tuple[int, int, bytes]], k: int) -> Spans | None:
@@ -340,7 +340,7 @@ def front_code(rows: np.ndarray, k: int) -> bytes:
     shared = np.where(column < HEAD + k, column, column - k + rows[:, 5])  # of the bytes that count
     rest = rows[_real(rows, k) & (np.arange(rows.shape[1]) >= column[:, None])].tobytes()
     sizes = pack(shared.astype(np.uint8), (HEAD + rows[:, 5].astype(np.int64) + rows[:, 6]).astype(np.uint8))
-    return len(sizes).to_bytes(4, "little") + sizes + len(rest).to_bytes(4, "little") + pa.compress(rest, codec="zstd", asbytes=True)
+    return len(sizes).to_bytes(4, "little") + sizes + len(rest).to_bytes(4, "little") + pa.Codec("zstd", compression_level=6).compress(rest, asbytes=True)
 
 
 def front_decode(data: bytes, start: int = 0) -> tuple[list[int], list[bytes]]:
