@@ -469,12 +469,10 @@ def test_long_branches(spark):
     assert got == want
 
 
-def test_many_quotes_are_found_like_few(spark, tmp_path, monkeypatch):
+def test_quotes_of_any_length_are_found(spark, tmp_path):
     docs = ["a short text", "abc", "nothing of it 😀 here", "exactly twelve and more", None, "", "exactly tw", "abc abc"]
-    quotes = ["abc", " abc ", "short", "exactly twelve and", "exactly tw", "a", "😀", "exactly twel", "here and", " ", None]
+    quotes = ["abc", " abc ", "short", "exactly twelve and", "exactly tw", "a", "😀", "exactly twel", "here and", " ", None, "exactly twelve and more"] + ["exactly twelve and more than that"[:n] for n in range(1, 12)]
     for name, id_, given in (("documents", "doc_id", docs), ("benchmark", "item_id", quotes)):
         spark.createDataFrame(list(enumerate(given)), f"{id_} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
     want = sorted((i, j) for i, q in enumerate(quotes) for j, d in enumerate(docs) if q and d and q.strip() and q.strip() in d)
-    for most in (20_000, 0):
-        monkeypatch.setattr(queries, "BROADCAST_QUOTES", most)
-        assert sorted(tuple(r) for r in queries.quote_grounding(spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in queries.quote_grounding(spark, str(tmp_path)).collect()) == want

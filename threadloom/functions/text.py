@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: White space as JavaScript's \s has it: Unicode's, and U+FEFF.
-SPACE = r"[\s\x{FEFF}]"
+#: White space as JavaScript's \s has it.
+SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _U = "(?U)"
 
 # Word lists and patterns of the rules.
@@ -55,7 +55,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility form; texts of plain ASCII are in it already and stay in the JVM's hands for all that follows."""
+    """Compatibility form. Spark has no such function, so this runs in Python, in Arrow batches."""
     return _normal("NFKC")(text)
 
 

@@ -75,17 +75,9 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def text_containment(rows: DataFrame, id_: str, key: str) -> DataFrame:
-    """(relation, inner_id, outer_id) of texts that aren't null or empty.
-
-    equal: a text and the smallest id of its class, for each other id of the class; contained: the smallest ids of two
-    classes, of which the outer's text has the inner's in it. So a pair of ids is near when both are of one class, or their
-    classes are a contained pair. Rows that repeat are one; ids must be unique otherwise.
-    """
-    spark = rows.sparkSession
-    mine = rows.select(F.col(id_).alias("id"), F.col(key).alias("k")).where("k <> ''").withColumn("d", F.unhex(F.sha2("k", 256)))
-    classes = kept(mine.groupBy("d").agg(F.min("id").alias("id"), F.first("k").alias("k")), "classes")
-    n = classes.count()
+def _anchors(texts: DataFrame) -> DataFrame:
+    """(d, h, off, size) of each text (d, k): the one of its SKETCH windows with the smallest hashes that the fewest texts have in theirs,
+    where it stands, and the text's length."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows()
@@ -99,10 +91,15 @@ def text_containment(rows: DataFrame, id_: str, key: str) -> DataFrame:
 
         yield from _out(each(), pa.schema([("d", pa.binary()), ("size", pa.int32()), ("h", pa.int64()), ("off", pa.int32())]))
 
-    sketches = kept(classes.select("d", "k").mapInArrow(sketch, "d binary, size int, h long, off int"), "sketches")
+    sketches = kept(texts.select("d", "k").mapInArrow(sketch, "d binary, size int, h long, off int"), "sketches")
     often = sketches.groupBy("h").agg(F.count("*").alias("n"))
-    best = sketches.join(often, "h").groupBy("d").agg(F.min_by(F.struct("h", "off", "size"), F.struct("n", "h")).alias("a"))
-    spots = kept(best.select("a.*").distinct(), "spots")
+    return sketches.join(often, "h").groupBy("d").agg(F.min_by(F.struct("h", "off", "size"), F.struct("n", "h")).alias("a")).select("d", "a.*")
+
+
+def _spots(texts: DataFrame, kind: str, anchors: DataFrame, whole: bool) -> DataFrame:
+    """(d, spots) of the texts (d, k): where a text of one of the anchors may stand; `whole`: also one as long as the text itself."""
+    spark = texts.sparkSession
+    spots = kept(anchors.select("h", "off", "size").distinct(), "spots")
     n_spots = spots.count()
     bits = min(MOST_BITS, 1 << max(20, (BITS * n_spots).bit_length()))
     lengths = sorted(r.n for r in spots.select(F.least("size", F.lit(GRAM)).alias("n")).distinct().collect())
@@ -111,13 +108,14 @@ def text_containment(rows: DataFrame, id_: str, key: str) -> DataFrame:
     for r in spots.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("b")).toLocalIterator():
         bitmap[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.b, np.uint8)
     held = spark.sparkContext.broadcast(bitmap.tobytes())
+    d_type = pa.binary() if kind == "binary" else pa.int64()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, known = _Windows(), np.frombuffer(held.value, np.uint8)
 
         def each():
             for d, k in _texts(batches, 0, 1):
-                for size, h in windows.of(k, lengths):
+                for size, h in windows.of(k or "", lengths):
                     b = h & (bits - 1)
                     at = np.flatnonzero((known[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
                     if size < GRAM:
@@ -125,12 +123,47 @@ def text_containment(rows: DataFrame, id_: str, key: str) -> DataFrame:
                     if len(at):
                         yield len(at), d, len(k), h[at], at.astype(np.int32)
 
-        yield from _out(each(), pa.schema([("d", pa.binary()), ("n", pa.int32()), ("h", pa.int64()), ("at", pa.int32())]))
+        yield from _out(each(), pa.schema([("d", d_type), ("n", pa.int32()), ("h", pa.int64()), ("at", pa.int32())]))
 
-    seen = classes.select("d", "k").mapInArrow(look, "d binary, n int, h long, at int").join(_small(spots, n_spots), "h")
+    seen = texts.select("d", "k").mapInArrow(look, f"d {kind}, n int, h long, at int").join(_small(spots, n_spots), "h")
     start = F.col("at") - F.col("off")
-    maybe = seen.where((start >= 0) & (start + F.col("size") <= F.col("n")) & (F.col("size") < F.col("n")))
-    maybe = maybe.groupBy("d").agg(F.collect_set(F.struct(start.alias("start"), "size")).alias("spots"))
+    shorter = F.lit(True) if whole else F.col("size") < F.col("n")
+    maybe = seen.where((start >= 0) & (start + F.col("size") <= F.col("n")) & shorter)
+    return maybe.groupBy("d").agg(F.collect_set(F.struct(start.alias("start"), "size")).alias("spots"))
+
+
+def quotes_in(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc, quote) ids of the quotes that stand in documents: docs (id, text), quotes (id, text). Quotes are looked for as they are; a quote
+    that stands in a text several times gives one row, rows that repeat are rows of their own. Null and empty quotes are in no text."""
+    q = quotes.toDF("quote", "k").where("k <> ''").withColumn("d", F.unhex(F.sha2("k", 256)))
+    classes = kept(q.select("d", "k").dropDuplicates(["d"]), "quotes")
+    rows = kept(docs.toDF("doc", "k").select(F.monotonically_increasing_id().alias("d"), "doc", "k"), "quoted")
+    maybe = kept(_spots(rows, "bigint", _anchors(classes), True), "maybe")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for nr, k, found in _texts(batches, 0, 1, 2):
+                for d in {hashlib.sha256(k[s["start"] : s["start"] + s["size"]].encode()).digest() for s in found}:
+                    yield 1, nr, d
+
+        yield from _out(each(), pa.schema([("nr", pa.int64()), ("d", pa.binary())]))
+
+    hits = rows.join(_small(maybe, maybe.count()), "d").select("d", "k", "spots").mapInArrow(cut, "nr long, d binary").join(q.select("quote", "d"), "d")
+    return rows.select(F.col("d").alias("nr"), "doc").join(hits.select("nr", "quote"), "nr").select("doc", "quote")
+
+
+def text_containment(rows: DataFrame, id_: str, key: str) -> DataFrame:
+    """(relation, inner_id, outer_id) of texts that aren't null or empty.
+
+    equal: a text and the smallest id of its class, for each other id of the class; contained: the smallest ids of two
+    classes, of which the outer's text has the inner's in it. So a pair of ids is near when both are of one class, or their
+    classes are a contained pair. Rows that repeat are one; ids must be unique otherwise.
+    """
+    mine = rows.select(F.col(id_).alias("id"), F.col(key).alias("k")).where("k <> ''").withColumn("d", F.unhex(F.sha2("k", 256)))
+    classes = kept(mine.groupBy("d").agg(F.min("id").alias("id"), F.first("k").alias("k")), "classes")
+    n = classes.count()
+
+    maybe = _spots(classes.select("d", "k"), "binary", _anchors(classes), False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():

@@ -12,7 +12,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 #: Fixed value: a unit ends at the first break at least so many characters on.
 MIN_CHARS = 20
 #: Breaks: after a newline or a full-width stop, and after . ! ? with the spaces that follow, but not within a number.
-_BREAK = re.compile(r"\n|[。！？]|(?:[!?]|(?<!\d)\.|(?<=\d)\.(?!\d)) *")
+_BREAK = re.compile(r"\n|[。！？]|(?:[!?]|(?<![0-9])\.|(?<=[0-9])\.(?![0-9])) *")
+#: White space by the wide definition of functions.text.
+_SPACE = "\t\n\x0b\x0c\r \xa0                　﻿"
 _UNIT = StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
 
 
@@ -20,13 +22,13 @@ def split_text(content: str) -> list[dict]:
     ends = [m.end() for m in _BREAK.finditer(content)]
     out, at, n = [], 0, 0
     while at < len(content):
-        if content[at].isspace() or content[at] == "﻿":
+        if content[at] in _SPACE:
             at += 1
             continue
         while n < len(ends) and ends[n] < at + MIN_CHARS:
             n += 1
         stop = ends[n] if n < len(ends) else len(content)
-        text = content[at:stop].rstrip().rstrip("﻿")
+        text = content[at:stop].rstrip(_SPACE)
         out.append({"text": text, "start": at, "end": at + len(text)})
         at = stop
     return out
@@ -72,11 +74,32 @@ def numbered_sessions(sessions: DataFrame, at: str = "occurred_at", created: str
     return sessions.withColumn("session_no", F.row_number().over(Window.partitionBy("review_id").orderBy(at, created, id_)))
 
 
-def labelled_transcript(units: DataFrame, keys: list[str]) -> DataFrame:
-    """What an annotator reads: a line `[ref] role: text` for each unit, in order."""
-    line = F.concat(F.lit("["), F.col("ref"), F.lit("] "), F.col("role"), F.lit(": "), F.col("unit_text"))
-    lines = F.array_sort(F.collect_list(F.struct("message_no", "unit_no", line.alias("line"))))
-    return units.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
+def _in_order(parts: list[str], line: Column) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(*parts, line.alias("_l")))), lambda x: x["_l"])
+
+
+def labelled_transcript(messages: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """What an annotator reads of a session: a head line for each numbered message, its units with their refs, and a line on attachments.
+
+    messages: keys, message_no, message_ref, role and optionally attached; units: keys, message_no, unit_no, ref, unit_text."""
+    role = F.upper("role")
+    lines = units.groupBy(*keys, "message_no").agg(F.array_join(_in_order(["unit_no"], F.concat(F.lit("["), "ref", F.lit("]["), role, F.lit("]\n"), "unit_text")), "\n\n").alias("_units"))
+    attached = F.when(F.col("attached"), "（添付ファイルあり）") if "attached" in messages.columns else F.lit(None).cast("string")
+    block = F.concat_ws("\n\n", F.concat(F.lit("["), role, F.lit(" MESSAGE "), "message_ref", F.lit("]")), "_units", attached)
+    return messages.join(lines, [*keys, "message_no"], "left").groupBy(*keys).agg(F.array_join(_in_order(["message_no"], block), "\n\n").alias("transcript"), F.count("*").alias("analyzable_count"))
+
+
+def plain_transcript(messages: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """The older form: a block `[S1:M001][ROLE]` with the whole text for each numbered message."""
+    note = F.when(F.col("attached"), "\n（添付ファイルあり）").otherwise("") if "attached" in messages.columns else F.lit("")
+    block = F.concat(F.lit("[S1:"), "message_ref", F.lit("]["), F.upper("role"), F.lit("]\n"), content, note)
+    return messages.groupBy(*keys).agg(F.array_join(_in_order(["message_no"], block), "\n\n").alias("transcript"))
+
+
+def user_units_text(units: DataFrame, keys: list[str]) -> DataFrame:
+    """The user's units as an annotator of concepts reads them."""
+    line = F.concat(F.lit("["), "ref", F.lit("][USER] "), "unit_text")
+    return units.groupBy(*keys).agg(F.array_join(_in_order(["message_no", "unit_no"], line), "\n\n").alias("units_text"))
 
 
 def review_transcript(sessions: DataFrame, units: DataFrame, notes: DataFrame | None = None) -> DataFrame:

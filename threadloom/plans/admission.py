@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shorten, trim
+from ..functions.text import shorten, squeeze, trim
 from ..operators import ranking
 
 #: Forms, the reasons of those always refused, and the admission rules of each policy in order: id, forms,
@@ -161,3 +161,81 @@ def decide(rows: DataFrame, policy: str) -> DataFrame:
     out = out.when(form.isin(ELIGIBLE), verdict("defer", "eligible_without_signal", "insufficient_positive_signal"))
     out = out.otherwise(verdict("reject", "default", "insufficient_positive_signal"))
     return rows.select("*", out.alias("_v")).select(*rows.columns, "_v.*")
+
+
+def duplicate_refs(candidates_: DataFrame) -> DataFrame:
+    """Candidate refs that come more than once; there should be none."""
+    return candidates_.groupBy("ref").count().where("count > 1").select("ref", F.lit("duplicate_candidate_ref").alias("reason"))
+
+
+def report_lists(judged: DataFrame) -> DataFrame:
+    """The refs of each decision, in order."""
+    return judged.groupBy("decision").agg(F.array_sort(F.collect_list("candidate_ref")).alias("refs"))
+
+
+def shares(judged: DataFrame) -> DataFrame:
+    """The first version's figures: shares of A and B, and of C and D, among labelled admissions; admitted A; rejected D. Null without cases."""
+    d, k, n = F.col("decision"), F.col("class"), F.count_if
+    out = judged.agg(n((d == "admit") & k.isin("A", "B")).alias("ab"), n((d == "admit") & k.isin("C", "D")).alias("cd"), n(k == "A").alias("a"), n((k == "A") & (d == "admit")).alias("aa"), n(k == "D").alias("dd"), n((k == "D") & (d == "reject")).alias("dr"))
+    r = lambda x, y: F.when(y > 0, x / y)
+    c = F.col
+    return out.select(r(c("ab"), c("ab") + c("cd")).alias("admitted_ab_share"), r(c("cd"), c("ab") + c("cd")).alias("admitted_cd_share"), r(c("aa"), c("a")).alias("class_a_admit_rate"), r(c("dr"), c("dd")).alias("class_d_reject_rate"))
+
+
+NONE = "（なし）"
+
+
+def candidate_lines(candidates_: DataFrame) -> DataFrame:
+    """What an annotator of admissions reads of each candidate: (ref, text)."""
+    some = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NONE))
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(NONE)
+    shown = F.transform("representative_evidence", lambda e: F.concat(F.lit("- ["), e["session_id"], F.lit("]["), e["evidence_ref"], F.lit("] "), e["short_text"]))
+    evidence = F.when(F.size(F.coalesce("representative_evidence", F.array().cast(candidates_.schema["representative_evidence"].dataType))) > 0, F.array_join(shown, "\n")).otherwise("- " + NONE)
+    label = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    lines = [
+        F.concat(F.lit("## "), "ref"), label("canonicalLabel", F.col("canonical_label")), label("occurrenceCount", F.col("occurrence_count").cast("string")), label("distinctSessionCount", F.col("distinct_session_count").cast("string")),
+        label("firstSeenAt", some("first_seen_at")), label("lastSeenAt", some("last_seen_at")), label("sessionIds", listed("session_ids")), label("suspiciousFlags", listed("suspicious_flags")), F.lit("representativeEvidence:"), evidence,
+    ]
+    return candidates_.select("ref", F.concat_ws("\n", *lines).alias("text"))
+
+
+def assessment_lines(candidates_: DataFrame, unit_texts: DataFrame) -> DataFrame:
+    """What an annotator of assessments reads of each candidate: its label and the whole units that represent it, lettered."""
+    flat = candidates_.select("ref", F.posexplode("representative_evidence").alias("n", "e")).select("ref", "n", "e.session_id", "e.evidence_ref")
+    found = flat.join(unit_texts, ["session_id", "evidence_ref"]).withColumn("text", squeeze(F.col("text"))).where("text <> ''")
+    nth = F.row_number().over(Window.partitionBy("ref").orderBy("n"))
+    lettered = found.withColumn("nth", nth).withColumn("line", F.concat(F.lit("Evidence "), F.char(F.lit(64) + F.col("nth")), F.lit(":\n"), "text"))
+    shown = lettered.groupBy("ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n\n").alias("evidence"))
+    out = candidates_.select("ref", "canonical_label").join(shown, "ref", "left")
+    return out.select("ref", F.concat(F.lit("## "), "ref", F.lit("\ncanonicalLabel: "), "canonical_label", F.lit("\nrepresentativeEvidence:\n"), F.coalesce("evidence", F.lit("- " + NONE))).alias("text"))
+
+
+def batches(candidates_: DataFrame, seed: str, target: int = 6) -> DataFrame:
+    """Candidates with the batch in which an annotator assesses them."""
+    return ranking.balanced_batches(candidates_.withColumn("_all", F.lit(0)), ["_all"], "ref", seed, target).drop("_all")
+
+
+def reassemble(candidates_: DataFrame, assessments: DataFrame) -> DataFrame:
+    """The assessments of all batches joined to their candidates, whose order (pos) stays; only after assessment_failure found none."""
+    return candidates_.join(assessments.withColumnRenamed("candidate_ref", "ref").drop("pos"), "ref")
+
+
+def merge_usage(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Token figures, the later ones where they are known."""
+    names = ["input_tokens", "output_tokens", "total_tokens"]
+    return before.join(after.select(key, *(F.col(n).alias(f"_{n}") for n in names)), key, "left").select(key, *(F.coalesce(f"_{n}", n).alias(n) for n in names))
+
+
+def admit(candidates_: DataFrame, unit_texts: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
+    """The admission pilot: candidates with evidence that is there, joined with an annotator's decisions, and its report. Check failures first:
+    duplicate_refs, evidence_integrity (none may be unresolved) and admission_failure."""
+    resolved = resolved_evidence(candidates_, unit_texts)
+    judged = resolved.withColumnRenamed("ref", "candidate_ref").join(decisions.select("candidate_ref", "decision", "reason_code"), "candidate_ref")
+    return {"integrity": evidence_integrity(resolved), "judged": judged, "totals": report_totals(judged), "lists": report_lists(judged), "sessions": report_sessions(judged)}
+
+
+def assess(candidates_: DataFrame, unit_texts: DataFrame, assessments: DataFrame, policy: str) -> dict[str, DataFrame]:
+    """The assessment pilot: as admit, with decisions by a policy on an annotator's assessments."""
+    resolved = resolved_evidence(candidates_, unit_texts)
+    judged = decide(reassemble(resolved, assessments), policy).withColumnRenamed("ref", "candidate_ref")
+    return {"integrity": evidence_integrity(resolved), "judged": judged, "totals": report_totals(judged), "lists": report_lists(judged), "sessions": report_sessions(judged)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import lists
 from ..operators.evidence import has_invalid_ref, has_user
 from ..operators.joins import resolve_refs
 
@@ -19,17 +20,22 @@ TITLES = {"current_state": "現在地", "confirmed_context": "これまでに確
 def analysis_candidates(items: DataFrame) -> DataFrame:
     """Decisions with the user's own evidence, and up to three facts a session about the user's constraints and tools.
 
-    items: review_id, session_no, pos, kind, subject, text, evidence, unsupported_claim, semantic_valid.
+    items: review_id, session_no, pos, kind, subject, text, evidence, unsupported_claim, semantic_valid, and optionally the session's
+    session_id, session_title and occurred_at, which go along.
     """
+    more = [c for c in ("session_id", "session_title", "occurred_at") if c in items.columns]
     ok = F.coalesce("semantic_valid", F.lit(True)) & ~F.coalesce("unsupported_claim", F.lit(False)) & ~has_invalid_ref(F.col("evidence")) & has_user(F.col("evidence"))
     fact = (F.col("kind") == "fact") & (F.coalesce("subject", F.lit("user")) == "user") & F.exists(F.array(*map(F.lit, FACT_HINTS)), lambda h: F.col("text").contains(h))
     rows = items.where(ok & ((F.col("kind") == "decision") | fact)).withColumn("type", F.when(F.col("kind") == "decision", "decision").otherwise("user_fact"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("review_id", "session_no", "type").orderBy("pos")))
     rows = rows.where((F.col("type") == "decision") | (F.col("nth") <= MAX_FACTS))
     ref = F.format_string("%s:S%02d:%02d", F.when(F.col("type") == "decision", "D").otherwise("F"), "session_no", "nth")
-    return rows.select("review_id", ref.alias("ref"), "type", "text")
+    return rows.select("review_id", ref.alias("ref"), "type", "text", F.lit("confirmed").alias("support_type"), *more)
 
 
+#: What items of some sections have besides their text, and the word of each section in refs.
+NESTED = ["before", "after", "side_a", "side_b", "rationale", "validation_idea"]
+WORDS = {"shifts": "SHIFT", "themes": "THEME", "tensions": "TENSION", "insights": "INSIGHT", "hypotheses": "HYPOTHESIS", "open_questions": "OPEN", "next_questions": "NEXT"}
 #: Sections of a review in order, with their type, ref and support.
 REVIEW_TYPES = {
     "shifts": ("shift", "confirmed"), "themes": ("theme", "cross_session_interpretation"), "tensions": ("tension", "cross_session_interpretation"),
@@ -48,12 +54,33 @@ def review_candidates(reviews: DataFrame, items: DataFrame, refs: dict[str, str]
     at = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in REVIEW_TYPES.items() for x in (k, v[i]))), F.col("section"))
     word = F.element_at(F.create_map(*(F.lit(x) for kv in refs.items() for x in kv)), F.col("section"))
     rows = items.where(F.coalesce("semantic_valid", F.lit(True)) & F.col("section").isin(list(REVIEW_TYPES)))
-    out = rows.select("review_id", F.format_string("R:%s:%02d", word, F.col("pos") + 1).alias("ref"), at(0).alias("type"), "text", at(1).alias("support_type"))
+    shift = F.col("section") == "shifts"
+    have = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
+    text = F.when(shift, F.coalesce(have("interpretation"), "text")).otherwise(F.col("text"))
+    more = [F.when(shift, have(c)).alias(c) for c in ("before", "after")] + [F.when(~shift, have(c)).alias(c) for c in ("side_a", "side_b", "rationale", "validation_idea")]
+    out = rows.select("review_id", F.format_string("R:%s:%02d", word, F.col("pos") + 1).alias("ref"), at(0).alias("type"), text.alias("text"), at(1).alias("support_type"), *(m for m, c in zip(more, NESTED, strict=True) if c in items.columns))
     for h in heads:
-        out = out.unionByName(h)
+        out = out.unionByName(h, allowMissingColumns=True)
     return out
 
 
+def candidates(reviews: DataFrame, items: DataFrame, analysed: DataFrame, project: str, purpose: str) -> DataFrame:
+    """All candidates of each review: constants, summary, its visible items, and decisions and facts from its sessions' analyses."""
+    return review_candidates(reviews, items, WORDS, project, purpose).unionByName(analysis_candidates(analysed), allowMissingColumns=True)
+
+
+def source_checks(texts: DataFrame) -> DataFrame:
+    """Adds whether a review's candidates are too long to choose from, in UTF-16 units as the limit is."""
+    return texts.withColumn("too_long", F.octet_length(F.encode("candidate_text", "UTF-16BE")) / 2 > lists.MAX_PACK_CHARS)
+
+
+def pack_title(sessions: DataFrame) -> DataFrame:
+    """A title for each review's pack, from the days of its sessions."""
+    from ..operators.stats import date_span
+
+    return date_span(sessions, ["review_id"], "occurred_at").select("review_id", F.concat(F.lit("Context Pack "), "label").alias("title"))
+
+
 def candidate_text(candidates: DataFrame, order: list[str]) -> DataFrame:
     """What an annotator reads of each review's candidates: a head line, then what each has, blank lines between."""
     some = lambda c, label: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c))) if c in candidates.columns else F.lit(None).cast("string")

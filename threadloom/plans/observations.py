@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from ..functions import labels as L
+from ..functions.dates import thought_date
 from ..operators import joins, ranking
+from ..sources.payloads import parse_strict
 
 #: Versions that project, the version of the projection, and the kinds.
 PROJECTABLE, PROJECTION_VERSION = ["integrated-review-v5"], "review-observation-v1"
@@ -69,6 +73,45 @@ def backfill_counts(reviews: DataFrame, projected: DataFrame, existing: DataFram
     return a.join(F.broadcast(b)).join(F.broadcast(c))  # three single rows
 
 
+SUPPORTS = ["direct", "cross_session_interpretation", "hypothesis"]
+_SIDE = StructType([StructField("text", StringType())])
+_TEXTS = ["text", "interpretation", "before", "after", "relationType", "supportType"]
+_PAYLOAD = StructType([StructField(c, StringType()) for c in _TEXTS] + [StructField("semanticValid", BooleanType()), StructField("sideA", _SIDE), StructField("sideB", _SIDE)])
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """Stored observations to what pages show: adds `item`, the payload. Records of other kinds, with a payload that is not valid JSON or lacks
+    what its kind needs, and hidden ones are left out; a missing support type is that of the record, if it is one."""
+    shift = F.col("kind") == "shift"
+    item = F.when(shift, parse_strict(F.col("payload"), _PAYLOAD, {"interpretation", "before", "after"})).otherwise(parse_strict(F.col("payload"), _PAYLOAD, {"text"}))
+    rows = records.where(F.col("kind").isin("shift", "connection", "tension")).withColumn("item", item)
+    rows = rows.where(F.col("item").isNotNull() & F.coalesce("item.semanticValid", F.lit(True)))
+    own = F.when(F.col("support_type").isin(SUPPORTS), F.col("support_type"))
+    return rows.withColumn("support_type", F.coalesce("item.supportType", own)).drop("payload")
+
+
+def cards(observations: DataFrame) -> DataFrame:
+    """The card of each observation with an item: labels, dates, and a struct for what its kind has."""
+    kind, item = F.col("kind"), F.col("item")
+    of = lambda name, **fields: F.when(kind == name, F.struct(*(v.alias(k) for k, v in fields.items()))).alias(name)
+    return observations.select(
+        "id", "kind", L.kind_label(kind).alias("kind_label"), L.spotlight_label(kind).alias("spotlight_label"), "title", "body", thought_date(F.col("last_seen_at"), F.col("first_seen_at")).alias("thought_date"), "first_seen_at", "last_seen_at", "review_id",
+        *(c for c in ("review_title", "sessions", "spotlight") if c in observations.columns), of("shift", before=item["before"], after=item["after"], interpretation=item["interpretation"]),
+        of("connection", text=item["text"], relation_type=item["relationType"], relation_label=L.relation_label(item["relationType"])), of("tension", text=item["text"], side_a=item["sideA"]["text"], side_b=item["sideB"]["text"]),
+    )
+
+
+def home_model(observations: DataFrame, sessions: DataFrame, reviews: DataFrame, now: Column) -> DataFrame:
+    """The cards of a home page: the latest five of each kind, and the one that deserves to be shown first (spotlight is true), which may
+    be one of them."""
+    listed = home(observations, sessions, reviews)
+    named = observations.withColumn("id", F.concat_ws("/", *IDENTITY))
+    best = ranking.spotlight(named, now, 1).select("id", F.lit(True).alias("spotlight"))
+    one = named.join(F.broadcast(best), "id", "left_semi")  # a single row
+    alone = home(one.drop("id"), sessions, reviews).join(listed.select("id"), "id", "left_anti")
+    return cards(listed.unionByName(alone).join(F.broadcast(best), "id", "left").withColumn("spotlight", F.coalesce("spotlight", F.lit(False))))
+
+
 def home(observations: DataFrame, sessions: DataFrame, reviews: DataFrame) -> DataFrame:
     """The latest five of each kind, with the titles of their sessions and review; unknown sessions are left out."""
     o = observations.where(F.col("kind").isin("shift", "connection", "tension"))

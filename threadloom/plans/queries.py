@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -12,8 +12,6 @@ from ..operators import containment, joins, ranking, sessions, stats, units
 from ..sources import export
 from . import admission, concepts
 
-#: Fixed value: more quotes than these are looked up by their first characters, with the same rows.
-BROADCAST_QUOTES = 20_000
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -160,32 +158,34 @@ def spotlight_rank(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE trim(benchmark.text) <> ''")
 def quote_grounding(spark, sf_dir):
-    """Which documents have which quotes. The quotes are a small reference table, sent to all tasks only if it is one."""
-    q = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).where(T.trim(F.col("text")) != "")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    if q.count() <= BROADCAST_QUOTES:
-        return docs.join(F.broadcast(q), T.quote_found(F.col("content"), F.col("quote"))).select("item_id", "doc_id")
-    # Each quote is looked up by its first characters, 12 or all if it has fewer, and only texts that have them are compared.
-    q = q.withColumn("start", F.substring(T.trim(F.col("quote")), 1, 12))
-    sizes = sorted(r.n for r in q.select(F.length("start").alias("n")).distinct().collect())
-    windows = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - (n - 1), F.lit(1))), lambda i: F.substring("content", i, F.lit(n)))
-    grams = docs.select("doc_id", "content", F.explode(F.array_distinct(F.concat(*map(windows, sizes)))).alias("start"))
-    return grams.join(q, "start").where(T.quote_found(F.col("content"), F.col("quote"))).select("item_id", "doc_id")
-
-
-@query(r"""
-    WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s', '', 'g'), '[。、．，]', '', 'g') AS k FROM documents WHERE length(text) < 200)
-    SELECT a.doc_id AS inner_id, b.doc_id AS outer_id FROM d a JOIN d b ON a.doc_id <> b.doc_id AND contains(b.k, a.k) WHERE length(a.k) >= 2""")
+    """Which documents have which quotes: looked up by hashes of windows, and decided by the characters."""
+    q = _table(spark, sf_dir, "benchmark").select("item_id", T.trim(F.col("text")).alias("quote"))
+    found = containment.quotes_in(_table(spark, sf_dir, "documents").select("doc_id", "text"), q)
+    return found.select(F.col("quote").alias("item_id"), F.col("doc").alias("doc_id"))
+
+
+_COMPACT = r"regexp_replace(regexp_replace(text, '\s', '', 'g'), '[。、．，]', '', 'g')"
+_NEAR_SQL = """
+    c AS (SELECT k, min(id) AS id FROM d WHERE k <> '' GROUP BY k)
+    SELECT 'equal' AS relation, d.id AS inner_id, c.id AS outer_id FROM d JOIN c USING (k) WHERE d.id <> c.id
+    UNION ALL SELECT 'contained', a.id, b.id FROM c a JOIN c b ON length(a.k) < length(b.k) AND contains(b.k, a.k)"""
+
+
+def _compact(df: DataFrame, id_: Column) -> DataFrame:
+    return df.select(id_.alias("id"), F.regexp_replace(T.compact(F.col("text")), "[。、．，]", "").alias("k"))
+
+
+@query(f"WITH d AS (SELECT doc_id AS id, {_COMPACT} AS k FROM documents UNION ALL SELECT -1 - item_id, {_COMPACT} FROM benchmark)," + _NEAR_SQL)
 def near_duplicate_text(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where(F.length("text") < 200).select("doc_id", F.regexp_replace(T.compact(F.col("text")), "[。、．，]", "").alias("k"))
-    return joins.key_containment(d, "doc_id", "k").select("inner_id", "outer_id")
+    """Texts of two tables that say the same as others or stand in them, as classes and links of classes."""
+    d = _compact(_table(spark, sf_dir, "documents"), F.col("doc_id")).unionByName(_compact(_table(spark, sf_dir, "benchmark"), -1 - F.col("item_id")))
+    return containment.text_containment(d, "id", "k")
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id AS id, {_COMPACT} AS k FROM documents)," + _NEAR_SQL)
 def near_duplicate_documents(spark, sf_dir):
-    """Near duplicates of any length, as classes and links of classes; tests hold them against all pairs."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(T.compact(F.col("text")), "[。、．，]", "").alias("k"))
-    return containment.text_containment(d, "doc_id", "k")
+    """The same of whole documents of any length."""
+    return containment.text_containment(_compact(_table(spark, sf_dir, "documents"), F.col("doc_id")), "id", "k")
 
 
 @query("""
@@ -196,19 +196,6 @@ def key_containment(spark, sf_dir):
     return joins.key_containment(k, "id", "k").select("inner_id", "outer_id", "inner_key", "outer_key")
 
 
-@query()
-def evidence_units(spark, sf_dir):
-    """Units of the users' messages; tests hold them against a plain version."""
-    u = units.evidence_units(_table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], content="text", roles=("user",))
-    return u.select("conv_id", "turn", "ref", "unit_text", "unit_start", "unit_end")
-
-
-@query()
-def unit_stats(spark, sf_dir):
-    u = units.evidence_units(_table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], content="text")
-    return u.groupBy("conv_id", "role").agg(F.count("*").alias("n_units"), F.sum(F.length("unit_text")).alias("chars"), F.countDistinct("message_no").alias("n_messages"))
-
-
 @query("""
     WITH j AS (
         SELECT lang, CASE WHEN n_chars > 2000 THEN 'admit' WHEN n_chars > 500 THEN 'defer' ELSE 'reject' END AS d,
@@ -420,14 +407,14 @@ def admission_sessions(spark, sf_dir):
 
 _REVIEW_SQL = """
     WITH c AS (SELECT DISTINCT conv_id FROM conversations), s AS (
-        SELECT conv_id % 20 AS review_id, conv_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id) AS n, 'Conversation ' || conv_id AS title, printf('2024-01-%02d', 1 + conv_id % 28) AS day FROM c
+        SELECT conv_id // 20 AS review_id, conv_id, row_number() OVER (PARTITION BY conv_id // 20 ORDER BY conv_id) AS n, 'Conversation ' || conv_id AS title, printf('2024-01-%02d', 1 + conv_id % 28) AS day FROM c
     )"""
 
 
 def _reviews(spark, sf_dir):
     i = F.col("conv_id")
     c = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    c = c.select((i % 20).alias("review_id"), "conv_id", F.concat(F.lit("Conversation "), i.cast("string")).alias("title"), F.format_string("2024-01-%02d", 1 + i % 28).alias("occurred_at"))
+    c = c.select(F.floor(i / 20).alias("review_id"), "conv_id", F.concat(F.lit("Conversation "), i.cast("string")).alias("title"), F.format_string("2024-01-%02d", 1 + i % 28).alias("occurred_at"))
     return c.withColumn("session_no", F.row_number().over(Window.partitionBy("review_id").orderBy("conv_id")))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..operators import guards, stats
+from ..operators import evidence as E
 from ..operators.evidence import sessions_of
 
 #: Items of a section at most (the others have no limit), and what supports a section's items.
@@ -75,3 +77,32 @@ def shown(judged: DataFrame) -> DataFrame:
     seen, hard = F.coalesce("semantic_valid", F.lit(True)), F.coalesce(F.col("guard_type") == "hard", F.lit(False))
     count = lambda c: F.count_if(c)
     return judged.groupBy("review_id", "section").agg(count(seen).alias("visible"), count(~seen & hard).alias("hidden_hard"), count(~seen & ~hard).alias("hidden_interpretation"))
+
+
+def levels(judged: DataFrame) -> DataFrame:
+    """Which of the three levels of a review's page have anything to show: changes, what sessions have in common, what is open."""
+    seen = F.coalesce("semantic_valid", F.lit(True))
+    has = lambda *sections: F.count_if(seen & F.col("section").isin(*sections)) > 0
+    return judged.groupBy("review_id").agg(has("shifts").alias("level1"), has("themes", "tensions", "insights").alias("level2"), has("hypotheses", "open_questions", "next_questions").alias("level3"))
+
+
+def quality_line(figures: DataFrame) -> DataFrame:
+    """One line on the quality of each review, from its metrics; figures that don't apply are left out."""
+    c = F.col
+    excluded = L.hard_excluded(c("hard_excluded_count"), c("hard_item_count"), c("hard_valid_count"))
+    hard = F.when(excluded.isNotNull(), F.concat(F.lit("Hard Guard除外 "), excluded.cast("string"), F.lit("件")))
+    line = F.concat_ws(" · ", L.evidence_metric(c("validated_count"), c("evidence_count"), c("validation_rate")), L.interpretation_metric(c("interpretation_valid_count"), c("interpretation_item_count"), c("interpretation_validation_rate")), hard)
+    return figures.select("review_id", line.alias("quality"))
+
+
+def run(items: DataFrame, sessions: DataFrame, units: DataFrame, messages: DataFrame) -> DataFrame:
+    """Annotated items (review_id, section, pos, text, refs and for sections that have them side_a_refs, side_b_refs, before_refs, after_refs)
+    to judged ones. sessions: review_id, session_id, session_no, occurred_at; units (with refs that name the session) and messages as in
+    evidence.resolve_refs, with review_id."""
+    keyed = items.withColumn("item_id", F.concat_ws(":", "section", F.col("pos").cast("string")))
+    out = E.resolve_refs(keyed, units, messages, ["review_id"], most=E.MAX_REVIEW_REFS)
+    for part in ("side_a", "side_b", "before", "after"):
+        refs = F.coalesce(f"{part}_refs", F.array().cast("array<string>"))
+        one = E.resolve_refs(keyed.select("review_id", "item_id", refs.alias("refs")), units, messages, ["review_id"], most=E.MAX_REVIEW_REFS)
+        out = out.join(one.select("review_id", "item_id", F.col("evidence").alias(part)), ["review_id", "item_id"])
+    return judge(out.drop("item_id", "refs", *(f"{p}_refs" for p in ("side_a", "side_b", "before", "after"))), sessions)
