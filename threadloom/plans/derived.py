@@ -311,8 +311,8 @@ def label_rules(spark, sf_dir):
 _BIGRAMS = "CASE WHEN length({0}) > 1 THEN list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)) ELSE [] END"
 
 
-@query(f"""WITH p AS (SELECT p_partkey, lower(replace(p_name, ' ', '')) AS a, lower(replace(p_type, ' ', '')) AS b, lower(replace(p_name, ' ', '') || replace(p_type, ' ', '')) AS ab FROM part)
-    SELECT p_partkey, NOT contains(a, b) AND NOT contains(b, a) AND (greatest(length(a), length(b)) >= 4 AND greatest(length(a), length(b)) >= least(length(a), length(b)) * 1.8 OR NOT list_has_any({_BIGRAMS.format("a")}, {_BIGRAMS.format("b")})) AS divergent,
+@query(f"""WITH p AS (SELECT p_partkey, p_name, p_type, lower(replace(p_name, ' ', '')) AS a, lower(replace(p_type, ' ', '')) AS b, lower(replace(p_name, ' ', '') || replace(p_type, ' ', '')) AS ab FROM part)
+    SELECT p_partkey, NOT contains(a, b) AND NOT contains(b, a) AND (greatest(length(p_name), length(p_type)) >= 4 AND greatest(length(p_name), length(p_type)) >= least(length(p_name), length(p_type)) * 1.8 OR NOT list_has_any({_BIGRAMS.format("a")}, {_BIGRAMS.format("b")})) AS divergent,
         length(ab) - length(b) >= 2 AS over_general, contains(a, b) OR contains(b, a) AS near FROM p""")
 def label_divergence(spark, sf_dir):
     """How far names of parts are from their types, and whether a name with its type says more than the type."""
