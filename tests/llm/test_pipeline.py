@@ -1,18 +1,20 @@
 import os
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline as cp
-from threadloom.llm import queries
+from threadloom.llm import lines, queries
 
 from .fixtures import DDL, rows
+from .test_learned_and_similar import _classes as near_classes
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def documents(spark):
-    """The rows of the small table in the columns of documents, and one more."""
-    return spark.createDataFrame([r[1:] for r in rows()], DDL.split(", ", 1)[1])
+    """The rows of the small table in the columns of documents, and some more: one clashes with the text."""
+    return spark.createDataFrame(rows(), DDL)
 
 
 @pytest.mark.parametrize("stage", [s for _, s in cp.STAGES[1:-1]])
@@ -26,6 +28,67 @@ def test_stages_return_the_columns_of_documents(spark, stage):
         assert all(r.n_chars == len(r.text or "") for r in out.collect())
 
 
+def test_all_stages_take_clashing_columns(spark):
+    docs = documents(spark)
+    clean = cp.drop_toxic(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() > 0.9 * docs.count()
+    packed = cp.pack(spark, docs, SF)
+    assert sorted({r.doc_id for r in packed.collect()}) == sorted({r[1] for r in rows()})
+    assert cp.pack(spark, docs.limit(0), SF).count() == 0 and cp.drop_toxic(spark, docs.limit(0), SF).count() == 0
+
+
+def _chain(docs):
+    """The stages after toxicity on (id, source, text) in plain Python: what is left, by id."""
+    keys = lambda t: {k for x in t.encode().split(b"\n") if (k := lines.line_key(x))}
+    n = Counter(k for _, _, t in docs for k in keys(t))
+    docs = [(i, s, "\n".join(x for x in t.split("\n") if n[lines.line_key(x.encode())] < 10)) for i, s, t in docs]
+    classes = near_classes([(i, t) for i, _, t in docs])
+    docs = [d for d in docs if classes[d[0], d[2]] == d[0]]
+    first = {}
+    for i, _, t in docs:
+        b = t.encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    out = {}
+    for i, _, t in docs:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        out[i] = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_run_is_the_chain_of_plain_stages(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    sf = tmp_path / "sf"
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    table.write.parquet(str(sf / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(sf / "labels.parquet"))
+    clean = cp.drop_toxic(spark, table, SF).collect()
+    want = _chain([(r.doc_id, r.source, r.text or "") for r in clean])
+    tok = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    sizes = {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in want.items()}
+    got = cp.run(spark, str(sf)).collect()
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.n_tokens
+    assert dict(total) == sizes
+    sources, bins = {r.doc_id: r.source for r in clean}, {}
+    for r in got:
+        bins.setdefault(r.bin, []).append(r)
+    for rs in bins.values():
+        assert sum(r.n_tokens for r in rs) <= 8192 and max(Counter(sources[r.doc_id] for r in rs).values()) <= 16
+        assert len({want[r.doc_id] for r in rs}) == len(rs)
+        end = 0
+        for r in sorted(rs, key=lambda r: (r.bin_offset, r.n_tokens)):
+            assert r.bin_offset == end
+            end += r.n_tokens
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

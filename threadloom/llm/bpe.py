@@ -178,3 +178,18 @@ def encode_decode(docs: DataFrame, path: str, pattern: str | None = None, *, id_
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def token_counts(docs: DataFrame, path: str, pattern: str | None = None, *, carry: list[str] = (), text_col: str = "text") -> DataFrame:
+    """The number of tokens of each text, n_tokens, after the columns to carry along; the text itself only if it is one of them."""
+    held = docs.sparkSession.sparkContext.broadcast(load_spec(path, pattern))
+    rows = pick(docs, **{f"c{i}": c for i, c in enumerate(carry)}, text=text_col)
+    schema = "".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(carry))) + "n_tokens long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(held.value)
+        for batch in batches:
+            *first, text = batch.columns
+            yield pa.RecordBatch.from_arrays([*first, pa.array([len(x) // 4 for x in encoded(c, text)], pa.int64())], [*(f"c{i}" for i in range(len(first))), "n_tokens"])
+
+    return rows.mapInArrow(run, schema).toDF(*carry, "n_tokens")

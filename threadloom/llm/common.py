@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,15 +35,6 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return flat.select(*(F.col(f"_{at[c]}").alias(out) for out, c in wanted.items()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where none is set (tests, one machine) a local one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables in the shared folder: they cut the lineage and outlive any executor."""
 

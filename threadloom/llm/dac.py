@@ -93,13 +93,13 @@ class Reader:
 def write_tokens(docs: DataFrame, path: str, to: str, *, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encodes each text, appends end_id and writes the ids in ascending order of id_col (nulls first) to folder `to`.
 
-    Rows of the same id stay next to each other in no fixed order. Null and empty texts have only end_id. Range
+    Rows of the same id are in order of their text. Null and empty texts have only end_id. Range
     partitions follow the order, so files and the segments in them do too; a partition's text is never held whole.
     """
     held = docs.sparkSession.sparkContext.broadcast(load_spec(path))
     rows = pick(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.repartitionByRange(*([partitions] if partitions else []), "id").sortWithinPartitions("id").select(F.spark_partition_id().alias("part"), "id", "text")
+    rows = rows.repartitionByRange(*([partitions] if partitions else []), "id").sortWithinPartitions("id", "text").select(F.spark_partition_id().alias("part"), "id", "text")
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("data", pa.binary())])
     end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 

@@ -62,10 +62,10 @@ def pack(docs: DataFrame, *, capacity: int = 8192, source_limit: int = 16, shard
     packing, however it is partitioned. An empty table gives an empty result.
     """
     more = {"source": source_col} | ({"length": length_col} if length_col else {}) | ({"cluster": cluster_col} if cluster_col else {})
-    rows = pick(docs, id=id_col, text=text_col, **more)
+    rows = pick(docs, id=id_col, **({} if length_col and cluster_col else {"text": text_col}), **more)
     length = F.col("length") if length_col else F.regexp_count("text", F.lit(r"\S+"))
-    cluster = F.xxhash64("cluster") if cluster_col else F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = rows.select("id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"), F.when(F.col("cluster").isNotNull(), cluster).alias("cluster") if cluster_col else cluster.alias("cluster"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("source"))
+    cluster = F.when(F.col("cluster").isNotNull(), F.xxhash64("cluster")) if cluster_col else F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = rows.select("id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"), cluster.alias("cluster"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("source"))
     kind = rows.schema["id"].dataType.simpleString()
     shards = max(1, -(-docs.count() // shard))
     full = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
