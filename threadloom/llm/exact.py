@@ -1,8 +1,9 @@
 """Exact duplicates by a log-structured merge index, in DataFrame functions only.
 
-Each task is a memtable: it flushes its documents' digests as one sorted run. A compaction merges the runs and keeps
-one identifier a digest, and a bitmap filter of the digests that came more than once lets through only the
-texts that may have an equal. Those hits are compared byte for byte. Texts that come once never shuffle.
+Each task is a memtable: it flushes its documents' digests as one sorted run. A compaction merges the runs by digest and keeps one
+identifier and the number of documents of each; a bitmap filter of the digests that came more than once lets through only
+the texts that may have an equal. Of these hits the bytes are compared: where all texts of a digest are the same, the compacted
+identifier is final; where they differ, each text gets its own. Texts that come once never shuffle.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ def flush_runs(docs: DataFrame, scratch: Scratch, normalise, digest_bits: int) -
 
 
 def compact(runs: DataFrame, keep: str) -> DataFrame:
-    """Merges runs: one row a digest with the identifier that stays and the number of rows. Each task merges what
+    """Merges runs: one row a digest that came more than once, with the identifier that stays and the number of rows. Each task merges what
     it has read before anything is exchanged, so a digest of very many rows costs one row a task."""
-    return runs.groupBy("digest").agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return runs.groupBy("digest").agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
 
 
 def repeat_filter(repeated: DataFrame, slots: int) -> DataFrame:
@@ -66,27 +67,27 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "exact")
     rows = pick(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     runs = flush_runs(rows, scratch, normalise, digest_bits)
-    repeated = scratch.keep(compact(runs, keep).where("group_size > 1").select("digest"))
-    n = repeated.count()
+    compacted = scratch.keep(compact(runs, keep))
+    n = compacted.count()
 
     texts = rows.select("id", normalise(F.col("text")).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bits // 8))
     if n * BITS // 8 <= BROADCAST_BYTES:  # beyond that the texts are joined with the repeated digests by a shuffle
         slots = BITMAP * (1 + n * BITS // BITMAP)
-        hits = probe(texts, repeat_filter(repeated, slots), slots)
+        hits = probe(texts, repeat_filter(compacted, slots), slots)
     else:
-        hits = texts.join(repeated, "digest", "left_semi")
-    # Byte verification: rows are put together by their bytes, and again each task merges its own first.
-    groups = hits.groupBy("digest", "text").agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.count("*").alias("group_size"))
-    by_digest = groups.groupBy("digest").agg(F.count("*").alias("variants"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    by_digest = scratch.keep(by_digest.where("variants > 1 OR group_size > 1"))
-    counts = by_digest.agg(F.count("*").alias("n"), F.count_if(F.col("variants") > 1).alias("clashes")).first()
-
-    one = maybe_broadcast(by_digest.where("variants = 1").drop("variants"), counts.n, digest_bits // 8 + 32)
-    clashing = by_digest.where("variants > 1").select("digest")
-    plain = runs.join(F.broadcast(clashing) if counts.clashes < 10_000 else clashing, "digest", "left_anti") if counts.clashes else runs
+        hits = texts.join(compacted.select("digest"), "digest", "left_semi")
+    # Byte verification: each task compares its own texts of a digest first, so a large group meets as one row a task.
+    differ = hits.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
+    differ = scratch.keep(differ)
+    clashes = differ.count()
+    differ = maybe_broadcast(differ, clashes, digest_bits // 8 + 16)
+
+    final = compacted.join(differ, "digest", "left_anti") if clashes else compacted
+    plain = runs.join(differ, "digest", "left_anti") if clashes else runs
+    one = maybe_broadcast(final, n, digest_bits // 8 + 32)
     out = plain.join(one, "digest", "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
-    if counts.clashes:
-        own = hits.join(clashing, "digest", "left_semi")
+    if clashes:
+        own = hits.join(differ, "digest", "left_semi")
         agreed = own.groupBy("digest", "text").agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.count("*").alias("group_size"))
         own = own.join(agreed, ["digest", "text"]).select("id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
         out = out.unionByName(own)
