@@ -32,12 +32,14 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _DROP = frozenset("head nav footer aside form button select option svg math object canvas audio video dialog menu fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus footer header masthead newsletter subscribe subscription share sharing social related popup modal pagination pager toolbar widget skip".split())
+#: Words that within an article may also name a part of it.
+_WITHIN = frozenset(["header", "navbar", "masthead"])
 _LANDMARK = re.compile(r"(?i)<(?:article|main)\b|\brole\s*=\s*[\"']?(?:main|article)\b")
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
     """The blocks of text of a page, in order, and whether an element marks them as the main text."""
-    marked: dict[str, list[str]] = {"article": [], "main": [], "": []}
+    found: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # open elements that hold blocks: name and zone
     piece: list[str] = []
     at = 0
@@ -50,7 +52,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
             text = _SPACE.sub(" ", html.unescape("".join(piece))).strip()
             piece.clear()
             if text:  # never written in a dropped element, but one may have begun within the block
-                marked[next((z for _, z in reversed(stack) if z != "drop"), "")].append(text)
+                found.append((next((z for _, z in reversed(stack) if z != "drop"), ""), text))
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -100,7 +102,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if inner != "drop":
             role = attrs.get("role", "")
             words = set(re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}"))
-            if name in _DROP or name == "header" and not inner or role in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or words & _WORDS and name not in ("html", "body", "article", "main") or name == "article" and words & {"comment", "comments", "ad", "advert", "related"}:
+            if name in _DROP or name == "header" and not inner or role in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or words & (_WORDS - _WITHIN if inner == "article" else _WORDS) and name not in ("html", "body", "article", "main") or name == "article" and (inner == "article" or words & {"comment", "comments", "ad", "advert", "related", "teaser", "promo"}):
                 inner = "drop"
             elif name == "article" or role == "article":
                 inner = "article"
@@ -116,10 +118,8 @@ def blocks(page: str) -> tuple[list[str], bool]:
             if name not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "option") or inner != zone():
                 stack.append((name, inner))
     close()
-    for z in ("article", "main"):
-        if marked[z]:
-            return marked[z], True
-    return marked[""], bool(_LANDMARK.search(page))
+    marked = [text for z, text in found if z]
+    return (marked, True) if marked else ([text for _, text in found], bool(_LANDMARK.search(page)))
 
 
 def _windows(text: str) -> Iterator[tuple[int, int]]:
@@ -133,8 +133,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """The main text of each page: id, url, text, n_chars (code points).
 
     Blocks keep their order and are joined by one space. Null, empty and broken pages give what text they have, empty
-    if none. On pages without article or main element a block is dropped when at least half of its words lie in runs
-    that another page of the host, with another text, has too. Rows that repeat are pages of their own, but of one page id; an empty
+    if none. On pages without article or main element the words are dropped that lie in runs of RUN words (or in a whole
+    shorter block) that another page of the host, with another text, has too; what stands between stays. Rows that repeat are pages of their own, but of one page id; an empty
     table gives an empty result; other columns are not read.
     """
     rows = pick(pages, id=id_col, url=url_col, html=html_col)
@@ -187,7 +187,7 @@ def _by_host(rows: DataFrame, kind: str, schema: str, joined) -> DataFrame:
                 covered = [np.zeros(x.count(" ") + 1, bool) for x in found]
                 for s in spots or ():
                     covered[s["block"]][s["word"] : s["word"] + RUN] = True
-                texts.append(" ".join(x for x, c in zip(found, covered, strict=True) if 2 * c.sum() < len(c)))
+                texts.append(" ".join(w for x, c in zip(found, covered, strict=True) for w, gone in zip(x.split(" "), c, strict=True) if not gone))
             yield joined(batch.column(0), batch.column(1), texts)
 
     return kept.join(spots, "row", "left").select("id", "url", "blocks", "spots").mapInArrow(drop, schema)
