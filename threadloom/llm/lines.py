@@ -2,8 +2,9 @@
 
 Each task keeps a filter of the line hashes it has seen once and one of those it has seen again. Merged over all
 tasks, a line whose bits are set in the second filter may be repeated; all others are surely not. Only the suspected
-lines shuffle, and they are counted exactly. The filters have a fixed size; when they are too small for the data,
-more lines are suspected and shuffled, and the result is the same.
+lines shuffle, and they are counted exactly. The filters' size follows the number of lines up to a bound; when they are too small for the
+data, more lines are suspected and shuffled, and the result is the same. Filters are merged by piece in two steps, first those of some
+tasks, so that no task meets a piece of every other task.
 """
 
 from __future__ import annotations
@@ -14,19 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, pick
+from .common import BROADCAST_BYTES, Scratch, pick, release_memory
 
 #: Fixed value: the white space stripped from both ends of a line.
 STRIP = b" \t\n\x0b\x0c\r"
-#: Bits of each filter, as a power of two: 4 MB.
-LOG_BITS = 25
+#: Bits of each filter, as a power of two, at least and at most (16 MB); bits for each line.
+LEAST_LOG_BITS, MOST_LOG_BITS, LINE_BITS = 20, 27, 8
 #: Bits set for a line.
 HASHES = 3
-#: Bytes of a filter that are merged together.
-PIECE = 1 << 15
+#: Bytes of a filter that are merged together, and groups of tasks whose filters are merged first.
+PIECE, GROUPS = 1 << 15, 256
 
 
 def line_key(line: bytes) -> bytes:
@@ -57,8 +59,14 @@ def _documents(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
             yield (t or b"").split(b"\n")
 
 
+def filter_bits(rows: DataFrame) -> int:
+    """The size of a filter for the lines of the texts, as a power of two."""
+    n = rows.agg(F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1), F.lit(0)).alias("n")).first().n
+    return min(MOST_LOG_BITS, max(LEAST_LOG_BITS, (LINE_BITS * n).bit_length()))
+
+
 def repeat_filter(rows: DataFrame, min_chars: int, log_bits: int) -> bytes:
-    """The filter of keys that more than one document may have. Its size does not depend on the data."""
+    """The filter of keys that more than one document may have."""
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(1 << log_bits - 3, np.uint8), np.zeros(1 << log_bits - 3, np.uint8)
@@ -70,9 +78,10 @@ def repeat_filter(rows: DataFrame, min_chars: int, log_bits: int) -> bytes:
                     _see(keys, once, twice, log_bits)
                     keys = []
             _see(keys, once, twice, log_bits)
+        release_memory()
         for i in range(0, len(once), PIECE):
             if once[i : i + PIECE].any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([i // PIECE], pa.int32()), "once": [once[i : i + PIECE].tobytes()], "twice": [twice[i : i + PIECE].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([i // PIECE], pa.int32()), "some": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), "once": [once[i : i + PIECE].tobytes()], "twice": [twice[i : i + PIECE].tobytes()]})
 
     def merge(pdf):
         once, twice = np.zeros(PIECE, np.uint8), np.zeros(PIECE, np.uint8)
@@ -80,9 +89,10 @@ def repeat_filter(rows: DataFrame, min_chars: int, log_bits: int) -> bytes:
             a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
             twice[: len(b)] |= b | once[: len(a)] & a
             once[: len(a)] |= a
-        return pdf.iloc[:1].assign(once=[b""], twice=[twice.tobytes()])
+        return pdf.iloc[:1].assign(once=[once.tobytes()], twice=[twice.tobytes()])
 
-    pieces = rows.select("text").mapInArrow(see, "piece int, once binary, twice binary").groupBy("piece").applyInPandas(merge, "piece int, once binary, twice binary")
+    schema = "piece int, some int, once binary, twice binary"
+    pieces = rows.select("text").mapInArrow(see, schema).groupBy("piece", "some").applyInPandas(merge, schema).groupBy("piece").applyInPandas(merge, schema)
     out = np.zeros(1 << log_bits - 3, np.uint8)
     for r in pieces.select("piece", "twice").toLocalIterator():
         out[r.piece * PIECE : r.piece * PIECE + PIECE] = np.frombuffer(r.twice, np.uint8)[: max(0, len(out) - r.piece * PIECE)]
@@ -129,12 +139,13 @@ def common_lines(rows: DataFrame, min_docs: int, min_chars: int, log_bits: int,
                     yield out()
                     at, keys, where = [], [], []
             yield out()
+            release_memory()
 
     found = rows.select("id", "text").mapInArrow(suspects, f"key binary, id {kind}, line int")
     return scratch.keep(found.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(F.struct("id", "line")).alias("first")).where(F.col("n_docs") >= min_docs))
 
 
-def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, carry: list[str] = (), id_col: str = "doc_id", text_col: str = "text", log_bits: int = LOG_BITS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, carry: list[str] = (), id_col: str = "doc_id", text_col: str = "text", log_bits: int | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each document without the lines that at least min_docs documents have.
 
     A text is cut at \\n (null and empty: one empty line). A line's key is the line without `[\\x20\\x09-\\x0D]` at both
@@ -148,7 +159,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_
     rows = pick(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
     rows = rows.select("id", "text", F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry))).alias("row")) if carry else rows.withColumn("row", F.lit(None).cast("int"))
     kind, row_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "row"))
-    common = common_lines(rows, min_docs, min_chars, log_bits, scratch)
+    common = common_lines(rows, min_docs, min_chars, log_bits or filter_bits(rows), scratch)
     size = common.agg(F.coalesce(F.sum(F.octet_length("key") + 24), F.lit(0)).alias("n")).first().n
     schema = f"id {kind}, n_lines long, n_dropped long, kept_sha256 string, text string, row {row_kind}"
 
