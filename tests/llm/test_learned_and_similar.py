@@ -139,6 +139,12 @@ def test_exact_topk(spark, monkeypatch):
     assert topk.exact_topk(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_scores_beyond_64_bits_are_cut(spark):
+    df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.exact_topk(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1, (1 << 63) - 1), (2, 3, 65536), (3, 2, -(1 << 63) + 1)]
+
+
 def test_blocks_below_the_bound_are_not_scored():
     v = np.zeros((256 * 8, 4), np.int64)
     v[:, 0] = np.repeat(np.arange(8), 256) * 100

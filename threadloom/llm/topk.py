@@ -52,10 +52,10 @@ def _search(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray,
     """Scores and ids of the k best vectors of each query, best first (ids -1: none), and the number of blocks scored."""
     d = max(q.shape[1], v.shape[1])
     q, v = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (q, v))
-    largest = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(d, 1)
-    kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64  # whole numbers stay exact
-    if largest >= 1 << 63:
-        raise OverflowError("a score does not fit 64 bits")
+    most_of = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+    largest = most_of(q) * most_of(v) * max(d, 1)
+    # whole numbers stay exact; beyond 64 bits Python's own are used, and a score becomes the largest or smallest that fits
+    kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 63 else object
     q, v = q.astype(kind), v.astype(kind)
     blocks = [slice(i, i + BLOCK) for i in range(0, len(v), BLOCK)]
     most, least = (np.stack([f(v[b], 0) for b in blocks]) for f in (np.max, np.min))
@@ -73,13 +73,14 @@ def _search(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray,
         for b in np.unique(nxt):
             who = live[nxt == b]
             some, done = v_ids[blocks[b]], done + len(who)
-            got = (q[who] @ v[blocks[b]].T).astype(np.int64)
+            got = q[who] @ v[blocks[b]].T
+            got = (np.clip(got, low + 1, np.iinfo(np.int64).max) if kind is object else got).astype(np.int64)
             if not_self:
                 got[q_ids[who][:, None] == some[None]] = low
             all_scores = np.concatenate([scores[who], got], 1)
             all_ids = np.concatenate([ids[who], np.broadcast_to(some, got.shape)], 1)
             all_ids[all_scores == low] = -1
-            best = np.lexsort((all_ids, -all_scores.astype(np.float64) if kind != np.int64 else np.invert(all_scores)), 1)[:, :k]
+            best = np.lexsort((all_ids, np.invert(all_scores)), 1)[:, :k]
             scores[who], ids[who] = np.take_along_axis(all_scores, best, 1), np.take_along_axis(all_ids, best, 1)
     return scores, ids, done
 
@@ -89,7 +90,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: flo
 
     Ties go to the smaller id. With not_self a query's own row is left out. Fewer rows come where there are fewer
     candidates. Vectors that are null or hold a null or non-finite component, and rows without id, take no part; a
-    shorter vector counts as filled up with zeros; an empty one scores 0. Repeated rows are candidates of their
+    shorter vector counts as filled up with zeros; an empty one scores 0. Components are cut to 64 bits after scaling, and so are scores. Repeated rows are candidates of their
     own; a query id that repeats counts once. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
