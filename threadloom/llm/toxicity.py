@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast, pick
+from .common import Scratch, maybe_broadcast, pick, release_memory
 
-#: Bounds of what is learned from: features that mark toxic tokens, lines with and without a mark, and documents of each
-#: label, about, from which the lines come too.
-MARKS, LINES, DOCS = 4096, 3000, 2500
+#: Bounds of the labelled rows that are learned from: lines with and without a mark, and documents of each label, about, from which the
+#: lines come.
+LINES, DOCS = 3000, 2500
 #: Feature slots, words in a sequence at most (a longer line goes on in the next sequence), words a worker keeps.
-SLOTS, LENGTH, CACHE = 1 << 18, 128, 1_000_000
+SLOTS, LENGTH, CACHE = 1 << 18, 128, 250_000
 #: Toxic documents that must have a feature, and the share of its documents that must be toxic.
 LEAST, SHARE = 4, 0.9
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -207,6 +207,7 @@ def _tagged(rows: DataFrame, f: Field, make, schema: list[tuple[str, str]]) -> D
                 got = [make(t, ls, p, held.value) for t, (ls, p) in zip(some, tagger.tag(some), strict=True)]
                 values = [pa.array(list(v), kinds[k]) for v, (_, k) in zip(zip(*got, strict=True), schema[len(first) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([c.slice(i, 256) for c in first] + values, names)
+        release_memory()
 
     return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in schema))
 
@@ -234,6 +235,15 @@ def _spans(text: str, p: np.ndarray, least: float) -> list[dict]:
     return out
 
 
+def _features(rows: DataFrame) -> DataFrame:
+    """(mark, n, bad): words and beginnings of words of the texts, with the documents and the toxic ones that have each word."""
+    tokens = rows.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("t"))
+    words = tokens.groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
+    words = words.withColumn("t", F.regexp_replace("t", r"(?U)^[\W_]+|[\W_]+$", "")).where("t != ''")
+    begin = lambda k: F.when(F.length("t") > k, F.concat(F.lit(f"p{k}="), F.substring("t", 1, k)))
+    return words.select(F.explode(F.array(F.concat(F.lit("w="), "t"), *map(begin, (3, 4, 5, 6)))).alias("mark"), "n", "bad").where("mark IS NOT NULL")
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """Learns from the labelled documents that aren't held out.
 
@@ -245,17 +255,19 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = maybe_broadcast(known, labels.count(), 16)
     rows = pick(docs, id=id_col, text=text_col).join(known, "id").select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
 
-    tokens = rows.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("t"))
-    words = tokens.groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
-    words = words.withColumn("t", F.regexp_replace("t", r"(?U)^[\W_]+|[\W_]+$", "")).where("t != ''")
-    begin = lambda k: F.when(F.length("t") > k, F.concat(F.lit(f"p{k}="), F.substring("t", 1, k)))
-    marks = words.select(F.explode(F.array(F.concat(F.lit("w="), "t"), *map(begin, (3, 4, 5, 6)))).alias("mark"), "n", "bad").where("mark IS NOT NULL")
-    marks = marks.groupBy("mark").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where((F.col("bad") >= LEAST) & (F.col("bad") >= F.col("n") * SHARE))
-    chosen = {r.mark for r in marks.orderBy(F.desc("bad"), "mark").limit(MARKS).collect()}
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
+    # The sample is cut by a hash at each row, so nothing of it meets in one task.
+    n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    share_of = F.when(F.col("y") == 1, F.lit(DOCS / max(DOCS, n.get(1, 0)))).otherwise(F.lit(DOCS / max(DOCS, n.get(0, 0))))
+    sample_rows = scratch.keep(rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < share_of * (1 << 24)).select("y", "text"))
+
+    # Marks: features that nearly only toxic documents have, by counts over all documents to learn from. Those of the sample are enough, as
+    # only its tokens are tagged, and so their number is bounded by the sample.
+    counted = _features(rows).groupBy("mark").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where((F.col("bad") >= LEAST) & (F.col("bad") >= F.col("n") * SHARE))
+    chosen = {r.mark for r in counted.join(_features(sample_rows.where("y = 1")).select("mark").distinct(), "mark", "left_semi").select("mark").collect()}
     if not chosen:
         return Field()
 
-    spark = docs.sparkSession
     held = spark.sparkContext.broadcast(chosen)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,15 +290,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 some = [g for g in got if g[0] == label]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in some], pa.bool_()), pa.array([g[1] for g in some], pa.int64()), pa.array([g[2] for g in some], pa.list_(pa.string())), pa.array([g[3] for g in some], pa.list_(pa.int32()))], ["toxic", "hash", "words", "tags"])
 
-    # The sample is cut by a hash at each row, so nothing of it meets in one task.
-    n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    share_of = F.when(F.col("y") == 1, F.lit(DOCS / max(DOCS, n.get(1, 0)))).otherwise(F.lit(DOCS / max(DOCS, n.get(0, 0))))
-    rows = Scratch(spark, "toxicity").keep(rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < share_of * (1 << 24)).select("y", "text"))
-    lines = rows.mapInArrow(mark, "toxic boolean, hash long, words array<string>, tags array<int>")
+    lines = sample_rows.mapInArrow(mark, "toxic boolean, hash long, words array<string>, tags array<int>")
     sample = [x for label in (True, False) for x in lines.where(F.col("toxic") == label).orderBy("hash", F.xxhash64("words")).limit(LINES).collect()]
     f = train_field([(r.words, r.tags) for r in sample])
 
-    got = _tagged(rows, f, lambda t, ls, p, f: (figures(p).tolist(),), [("y", "int"), ("x", "array<double>")]).collect()
+    got = _tagged(sample_rows, f, lambda t, ls, p, f: (figures(p).tolist(),), [("y", "int"), ("x", "array<double>")]).collect()
     f.score = fit_score(np.array([r.x for r in got]), np.array([float(r.y) for r in got]))
     share = known.agg(F.avg("y")).first()[0] or 0.5  # the sample holds the labels in other shares than all rows
     own = float(np.mean([r.y for r in got]))
