@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast, pick
+from .common import Scratch, maybe_broadcast, pick, release_memory
 from .graph import components
 from .hashing import Ranges, U, mix
 
@@ -143,6 +143,7 @@ def _sign(shingle: int, bands: int, rows: int):
                 sizes = np.bincount(doc, count, len(some)).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(list(map(_digest, some)), pa.binary()), pa.array(sizes), lists], ["id", "digest", "size", "keys"])
+            release_memory()
 
     return run
 
@@ -163,6 +164,7 @@ def _elements(shingle: int):
                 ends = np.cumsum(np.bincount(doc, count, len(mine))).astype(np.int64)
                 blobs = [each[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if mine else []
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)).take(pa.array(mine, pa.int64())), pa.array(blobs, pa.binary())], ["node", "bag"])
+            release_memory()
 
     return run
 
@@ -292,6 +294,7 @@ def _joined(members: DataFrame, bags_: DataFrame, least: float, scratch: Scratch
                 (a, of_a, x), (b, of_b, y) = sides
                 hits = joining(x, y, of_a, of_b, least)
                 yield pa.RecordBatch.from_arrays([pa.array(a[[h[0] for h in hits]] if hits else a[:0]), pa.array(b[[h[1] for h in hits]] if hits else b[:0])], ["a", "b"])
+            release_memory()
 
     found = met.mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
