@@ -461,7 +461,7 @@ def home_spotlight(spark, sf_dir):
 # Concepts: each unit of a user is annotated with its first words as new concepts or matches; some units are skipped.
 _ACTIONS = f"""{_UNITS}, s AS (SELECT conv_id // 20 AS owner, conv_id, {DAY.format("conv_id")} AS day, ref, message_no, unit_no, unit_text, (conv_id * 5 + message_no * 3 + unit_no) % 10 AS t FROM u WHERE role = 'user'),
     w AS (SELECT *, CASE WHEN t = 0 THEN 'skip' WHEN t = 1 THEN 'uncertain' ELSE 'new' END AS action, CASE WHEN t < 2 THEN '' WHEN t = 2 THEN unit_text || '?!' ELSE regexp_extract(unit_text, '^\\S+') END AS surface FROM s),
-    k AS (SELECT *, lower(surface) AS key, CASE WHEN t = 2 THEN 'surface_not_in_unit' END AS ground FROM w),
+    k AS (SELECT *, translate(surface, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, CASE WHEN t = 2 THEN 'surface_not_in_unit' END AS ground FROM w),
     f AS (SELECT *, t > 2 AND ground IS NULL AS ok FROM k), b AS (SELECT owner, key, min((day, CAST(conv_id AS VARCHAR), message_no * 1000 + unit_no)) AS first FROM f WHERE ok GROUP BY owner, key),
     g AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY first) AS nr FROM b),
     z AS (SELECT f.*, g.nr, (f.day, CAST(f.conv_id AS VARCHAR), f.message_no * 1000 + f.unit_no) AS spot, first FROM f LEFT JOIN g ON f.ok AND g.owner = f.owner AND g.key = f.key)"""
@@ -624,12 +624,12 @@ def annotation_failures(spark, sf_dir):
 
 @query("""WITH h AS (SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders), own AS (SELECT DISTINCT o_custkey AS ref, o_orderpriority AS s FROM h WHERE o_orderstatus = 'F'),
     m AS (SELECT o_orderkey AS pos, o_custkey AS cand, o_orderpriority AS s FROM h WHERE o_orderstatus = 'P'),
-    j AS (SELECT DISTINCT ref, cand, s FROM own JOIN m USING (s) WHERE cand <> ref AND ref % 10 = cand % 10)
+    j AS (SELECT DISTINCT ref, cand, s FROM own JOIN m USING (s) WHERE cand <> ref AND ref // 10 = cand // 10)
     SELECT ref, count(*) AS n FROM (SELECT DISTINCT ref, cand, s FROM j) GROUP BY ref""")
 def provisional_hints(spark, sf_dir):
-    """How many other concepts the surface forms of each were taken for; forms are told apart by the last digit of the concept."""
+    """How many other concepts the surface forms of each were taken for; ten concepts in a row share their forms."""
     o = _table(spark, sf_dir, "orders")
-    form = F.concat_ws(":", "o_orderpriority", (F.col("o_custkey") % 10).cast("string"))
+    form = F.concat_ws(":", "o_orderpriority", F.floor(F.col("o_custkey") / 10).cast("string"))
     own = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("concept_ref"), form.alias("surface_form"), F.lit("new").alias("resolved_as"))
     maybe = o.where("o_orderstatus = 'P'").groupBy(form.alias("surface_form"), F.col("o_custkey").alias("candidate_concept_ref")).agg(F.min("o_orderkey").alias("pos")).select("pos", "candidate_concept_ref", "surface_form", F.lit("e").alias("evidence_ref"), F.lit("l").alias("existing_canonical_label"))
     hints = admission.provisional_hints(own.select(F.col("concept_ref").alias("ref")).distinct(), own, maybe)
