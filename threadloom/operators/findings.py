@@ -19,7 +19,9 @@ def _rows(rows: DataFrame, kinds: dict[str, Column], ref: str, label: Column, de
 
 
 def of_concepts(concepts: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """concepts: ref, concept_id, canonical_label, normalized_key, aliases; occurrences: concept_id, session_id, evidence_ref."""
+    """concepts: ref, concept_id, canonical_label, normalized_key, aliases and optionally registry, within which concepts are compared;
+    occurrences: concept_id, session_id, evidence_ref."""
+    within = [c for c in ("registry",) if c in concepts.columns]
     units = occurrences.groupBy("concept_id").agg(F.countDistinct("session_id", "evidence_ref").alias("n_units"))
     c = concepts.join(units, "concept_id", "left")
     x = F.col("canonical_label")
@@ -31,15 +33,15 @@ def of_concepts(concepts: DataFrame, occurrences: DataFrame) -> DataFrame:
         },
         "ref", x,
     )
-    a = concepts.select("ref", F.explode("aliases").alias("alias"))
+    a = concepts.select(*within, "ref", F.explode("aliases").alias("alias"))
     of_alias = _rows(a, {"alias_honorific_person": T.has_honorific(F.col("alias")), "alias_long_clause": T.is_long_clause(F.col("alias")), "episodic_phrase": T.is_episodic(F.col("alias"))}, "ref", F.col("alias"))
     null = F.lit(None).cast("string")
-    keys = concepts.select("ref", "canonical_label", "normalized_key")
-    pairs = key_containment(keys, "ref", "normalized_key").select(F.least("inner_id", "outer_id").alias("a"), F.greatest("inner_id", "outer_id").alias("b")).distinct()
+    keys = concepts.select(*within, "ref", "canonical_label", "normalized_key")
+    pairs = key_containment(keys, "ref", "normalized_key", within).select(F.least("inner_id", "outer_id").alias("a"), F.greatest("inner_id", "outer_id").alias("b")).distinct()
     name = lambda side: keys.select(F.col("ref").alias(side), F.col("canonical_label").alias(f"{side}_label"))
     contained = pairs.join(name("a"), "a").join(name("b"), "b").select(F.lit("normalized_key_containment").alias("kind"), F.col("a").alias("concept_ref"), F.col("b").alias("other_ref"), F.concat_ws(" / ", "a_label", "b_label").alias("label"), null.alias("detail"))
     keyed = a.withColumn("key", T.concept_key(F.col("alias")))
-    clash = keyed.join(concepts.select(F.col("ref").alias("other_ref"), F.col("normalized_key").alias("key")), "key").where("ref <> other_ref")
+    clash = keyed.join(concepts.select(*within, F.col("ref").alias("other_ref"), F.col("normalized_key").alias("key")), [*within, "key"]).where("ref <> other_ref")
     clash = clash.select(F.lit("alias_canonical_collision").alias("kind"), F.col("ref").alias("concept_ref"), "other_ref", F.col("alias").alias("label"), null.alias("detail"))
     return own.unionByName(of_alias).unionByName(contained).unionByName(clash)
 

@@ -37,18 +37,20 @@ def alias_collisions(concepts: DataFrame, ref: str = "ref", key: str = "normaliz
 PIECE = 4
 
 
-def key_containment(keys: DataFrame, id_: str, key: str) -> DataFrame:
-    """Pairs (inner, outer) of different ids where the outer key has the inner one, of two characters or more, in it.
+def key_containment(keys: DataFrame, id_: str, key: str, within: list[str] = ()) -> DataFrame:
+    """Pairs (inner, outer) of different ids where the outer key has the inner one, of two characters or more, in it; only pairs that agree in
+    the columns of `within`.
 
     Each key is looked up by its rarest piece of PIECE characters (or by itself, if it is shorter) among the pieces of that length of all
     others, so only keys that share it meet, where a plain join would compare all with all.
     """
-    rows = keys.select(F.col(id_).alias("id"), F.col(key).alias("k")).where(F.length("k") >= 2)
+    rows = keys.select(*within, F.col(id_).alias("id"), F.col(key).alias("k")).where(F.length("k") >= 2)
     pieces = lambda n: F.when(F.length("k") >= n, F.transform(F.sequence(F.lit(1), F.length("k") - (n - 1)), lambda i: F.substring("k", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = rows.select("id", "k", F.explode(F.array_distinct(F.concat(*map(pieces, range(2, PIECE + 1))))).alias("gram"))
-    count = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    grams = rows.select(*within, "id", "k", F.explode(F.array_distinct(F.concat(*map(pieces, range(2, PIECE + 1))))).alias("gram"))
+    on = [*within, "gram"]
+    count = grams.groupBy(*on).agg(F.count("*").alias("n"))
     own = grams.where(F.length("gram") == F.least(F.length("k"), F.lit(PIECE)))
-    rare = own.join(count, "gram").groupBy("id", "k").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    inner = rare.select(F.col("id").alias("inner_id"), F.col("k").alias("inner_key"), "gram")
-    outer = grams.select(F.col("id").alias("outer_id"), F.col("k").alias("outer_key"), "gram")
-    return inner.join(outer, "gram").where((F.col("inner_id") != F.col("outer_id")) & F.col("outer_key").contains(F.col("inner_key"))).drop("gram")
+    rare = own.join(count, on).groupBy(*within, "id", "k").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    inner = rare.select(*within, F.col("id").alias("inner_id"), F.col("k").alias("inner_key"), "gram")
+    outer = grams.select(*within, F.col("id").alias("outer_id"), F.col("k").alias("outer_key"), "gram")
+    return inner.join(outer, on).where((F.col("inner_id") != F.col("outer_id")) & F.col("outer_key").contains(F.col("inner_key"))).drop("gram")

@@ -507,12 +507,12 @@ def admission_candidates(spark, sf_dir):
 
 
 _LABEL = "regexp_extract(unit_text, '^\\\\S+')".replace("\\\\", "\\")
-_FOUND = f"""WITH RECURSIVE {_ACTIONS}, c AS (SELECT owner || ':' || printf('C%02d', nr) AS ref, arg_min(surface, spot) AS x, any_value(key) AS key, count(DISTINCT (conv_id, ref)) AS n FROM z WHERE ok GROUP BY owner, nr)"""
+_FOUND = f"""WITH RECURSIVE {_ACTIONS}, c AS (SELECT owner, owner || ':' || printf('C%02d', nr) AS ref, arg_min(surface, spot) AS x, any_value(key) AS key, count(DISTINCT (conv_id, ref)) AS n FROM z WHERE ok GROUP BY owner, nr)"""
 
 
 @query(_FOUND + """
     SELECT 'singleton_new' AS kind, ref AS concept_ref, NULL AS other_ref FROM c WHERE n <= 1 UNION ALL SELECT 'long_label', ref, NULL FROM c WHERE length(x) > 12
-    UNION ALL SELECT DISTINCT 'normalized_key_containment', least(a.ref, b.ref), greatest(a.ref, b.ref) FROM c a JOIN c b ON a.ref <> b.ref AND contains(b.key, a.key) WHERE length(a.key) >= 2
+    UNION ALL SELECT DISTINCT 'normalized_key_containment', least(a.ref, b.ref), greatest(a.ref, b.ref) FROM c a JOIN c b ON a.owner = b.owner AND a.ref <> b.ref AND contains(b.key, a.key) WHERE length(a.key) >= 2
     UNION ALL SELECT 'clause_like', ref, NULL FROM c WHERE length(x) > 16 OR regexp_matches(x, '[。！？]')""")
 def concept_findings(spark, sf_dir):
     """Findings about the concepts of the pilot, of the kinds that these texts can bring about."""

@@ -55,7 +55,7 @@ def run(messages: DataFrame, sessions: DataFrame, annotated: DataFrame, seeds: D
     name = lambda c: F.concat_ws(":", F.col("owner").cast("string"), c)
     entries = concepts.catalog(outcomes, ["owner"], seeds).withColumns({"ref": name("concept_ref"), "normalized_key": concepts.T.concept_key(F.col("canonical_label"))})
     accepted = outcomes.where("status = 'accepted'").withColumn("ref", name("concept_ref"))
-    made = entries.join(stats.concept_stats(accepted, "ref"), "ref", "left").select("ref", F.col("ref").alias("concept_id"), "canonical_label", "normalized_key", "aliases", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("occurrence_count", "distinct_session_count")))
+    made = entries.join(stats.concept_stats(accepted, "ref"), "ref", "left").select(F.col("owner").alias("registry"), "ref", F.col("ref").alias("concept_id"), "canonical_label", "normalized_key", "aliases", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("occurrence_count", "distinct_session_count")))
     seen = accepted.select(F.col("ref").alias("concept_id"), "session_id", "evidence_ref")
     found = findings.of_concepts(made, seen).unionByName(findings.of_outcomes(accepted.select(F.col("ref").alias("concept_ref"), "surface_form", "canonical_label")))
     maybe = outcomes.where("status = 'provisional_match'")
@@ -63,7 +63,7 @@ def run(messages: DataFrame, sessions: DataFrame, annotated: DataFrame, seeds: D
     found = found.unionByName(findings.of_sessions(seen, units.join(failures.select(*keys), keys, "left_anti").groupBy("session_id").agg(F.count("*").alias("user_unit_count"))))
     acts = accepted.select("pos", F.col("ref").alias("concept_ref"), "session_id", "evidence_ref", "surface_form", "resolved_as", "match_kind")
     texts = units.select("session_id", "evidence_ref", F.col("unit_text").alias("text"))
-    return Pilot(units, failures, outcomes, made, found, admission.candidates(made.drop("occurrence_count", "distinct_session_count"), acts, found, sessions, texts))
+    return Pilot(units, failures, outcomes, made, found, admission.candidates(made.drop("registry", "occurrence_count", "distinct_session_count"), acts, found, sessions, texts))
 
 
 def reasons(outcomes: DataFrame) -> DataFrame:
