@@ -33,7 +33,7 @@ from .common import BROADCAST_BYTES, Scratch, maybe_broadcast, pick, release_mem
 from .hashing import BASE, Ranges, U, mix, words8
 
 #: Bytes whose hash chooses a place. Bytes of text handled at once, and bytes whose records make one run.
-SEED, CHUNK, RUN = 16, 1 << 18, 1 << 23
+SEED, CHUNK, RUN = 16, 1 << 16, 1 << 23
 #: Bits of a position within a chunk and of a seed's hash.
 POS, KEY = 26, 40
 #: Bytes of text for each range of seeds, about.
@@ -328,9 +328,8 @@ def suffixes(s: Spans, at: np.ndarray, k: int) -> np.ndarray:
 
 def _real(rows: np.ndarray, k: int) -> np.ndarray:
     """Which bytes of suffix rows count."""
-    j = np.arange(2 * k - SEED)
-    text = np.where(j < k, j < rows[:, 5:6], j - k < rows[:, 6:7])
-    return np.concatenate([np.ones((len(rows), HEAD), bool), text], 1)
+    x, y = (np.arange(n) < np.arange(n + 1)[:, None] for n in (k, k - SEED))  # a row of flags for each length
+    return np.concatenate([np.ones((len(rows), HEAD), bool), x[rows[:, 5]], y[rows[:, 6]]], 1)
 
 
 def front_code(rows: np.ndarray, k: int) -> bytes:
@@ -338,7 +337,8 @@ def front_code(rows: np.ndarray, k: int) -> bytes:
     column = np.zeros(len(rows), np.int64)
     column[1:] = (rows[1:] != rows[:-1]).argmax(1)
     shared = np.where(column < HEAD + k, column, column - k + rows[:, 5])  # of the bytes that count
-    rest = rows[_real(rows, k) & (np.arange(rows.shape[1]) >= column[:, None])].tobytes()
+    width = rows.shape[1]
+    rest = rows[_real(rows, k) & (np.arange(width) >= np.arange(width + 1)[:, None])[column]].tobytes()
     sizes = pack(shared.astype(np.uint8), (HEAD + rows[:, 5].astype(np.int64) + rows[:, 6]).astype(np.uint8))
     return len(sizes).to_bytes(4, "little") + sizes + len(rest).to_bytes(4, "little") + pa.Codec("zstd", compression_level=6).compress(rest, asbytes=True)
 
