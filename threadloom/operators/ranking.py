@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import spotlight_rank, spotlight_score, thought_date
 from ..functions.text import fnv1a
+from ..shared import kept
+
+#: Bits of a row's number within its partition in monotonically_increasing_id, a fixed value of Spark.
+_ROW_BITS = 33
 
 
 def top_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -47,6 +51,31 @@ def first_distinct(rows: DataFrame, keys: list[str], value: str, order: list[str
     return rows.withColumns({"reason": reason, "slot": F.when(reason.isNull(), F.col("_slot"))}).drop("_new", "_slot")
 
 
+def numbered(rows: DataFrame, order: list[Column], keys: list[str] = (), name: str = "place") -> DataFrame:
+    """Adds each row's number, from 1, in an order over the whole table, or over the rows of each key, without a window that holds them.
+
+    Rows are dealt by ranges of keys and order and sorted within; the first number of a range is the sum of the rows of those before
+    it, of which the driver gets one count a range. A key of any number of rows spreads over ranges. Of rows that are equal in the
+    order any comes first, but all in one range, so the order should end with a unique column.
+    """
+    by = [*(F.col(k).asc_nulls_first() for k in keys), *order]
+    at = F.monotonically_increasing_id()
+    ranges = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", at)
+    ranges = kept(ranges.withColumn("_range", F.shiftright("_at", _ROW_BITS).cast("int")), "numbered")
+    number = F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1) + 1
+    before, offsets = 0, []
+    for r in ranges.groupBy("_range").count().orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    out = ranges.join(F.broadcast(starts), "_range").withColumn(name, number + F.col("_before")).drop("_range", "_before", "_at")
+    if not keys:
+        return out
+    first = out.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg((F.min(name) - 1).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return out.join(first, same).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *(f"_{k}" for k in keys))
+
+
 def batch_count(n: Column, target: int = 6) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / target + 0.5)))
 
