@@ -61,9 +61,9 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, most: int | None = None) -> DataFrame:
     """Broadcasts df if its counted rows fit; else leaves the join to a shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= most else df
+    return F.broadcast(df) if rows * row_bytes <= (BROADCAST_BYTES if most is None else most) else df
 
 
 def release_memory() -> None:
