@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC",
         "spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"file://{shared}/warehouse",
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()

@@ -11,20 +11,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..shared import kept
+from . import export_scan
 
 #: Content types that are shown, and the title of a conversation without one.
 VISIBLE_TYPES, NO_TITLE = ["text", "multimodal_text"], "無題のConversation"
 
 
+def read_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Every object of the .json files (a list, one, or {"conversations": [...]}), read by many tasks: file, pos, the object as VARIANT
+    (null if it is no JSON), its external_id, and why it is skipped: no_conversation (no mapping or no id), repeated (the id came
+    before, by file and place), or null."""
+    rows = export_scan.scan_elements(spark, paths).select("file", "pos", F.try_parse_json("text").alias("c")).withColumn("external_id", external_id(F.col("c")))
+    fit = (F.col("external_id") != "") & F.try_variant_get("c", "$.mapping", "map<string,variant>").isNotNull()
+    rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
+    # the first of each id; an id of very many rows costs one row a task
+    first = rows.where("fit").groupBy(F.col("external_id").alias("_id")).agg(F.min(F.struct("file", "pos")).alias("_first"))
+    rows = rows.join(first, F.col("external_id") == F.col("_id"), "left")
+    reason = F.when(~F.col("fit"), "no_conversation").when(F.struct("file", "pos") != F.col("_first"), "repeated")
+    return rows.select("file", "pos", "c", "external_id", reason.alias("skip_reason"))
+
+
 def read_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Conversations of .json files (a list, one, or {"conversations": [...]}): file, pos and the conversation as VARIANT.
-    Only those with a mapping and an id; of an id that comes again, the first by file and place."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(paths).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
-    each = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.conversations", "array<variant>"), F.array("v"))
-    rows = whole.select("file", F.posexplode(each).alias("pos", "c"))
-    rows = rows.select("*", external_id(F.col("c")).alias("external_id")).where((F.col("external_id") != "") & F.try_variant_get("c", "$.mapping", "map<string,variant>").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("external_id").orderBy("file", "pos"))
-    return rows.withColumn("_n", nth).where("_n = 1").drop("_n")
+    """Conversations of .json files: file, pos and the conversation as VARIANT. Only those with a mapping and an id; of an id that comes
+    again, the first by file and place."""
+    return read_elements(spark, paths).where("skip_reason IS NULL").drop("skip_reason")
+
+
+def load_counts(spark: SparkSession, path: str, elements: DataFrame) -> DataFrame:
+    """One row about a load: files read, files skipped for their name, elements, those skipped by reason, and conversations."""
+    r = F.col("skip_reason")
+    counts = elements.agg(F.count("*").alias("elements"), F.count_if(r == "no_conversation").alias("no_conversation"), F.count_if(r == "repeated").alias("repeated"), F.count_if(r.isNull()).alias("conversations"))
+    both = export_scan.file_counts(spark, path).unionByName(counts, allowMissingColumns=True)
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns))
 
 
 def external_id(c: Column) -> Column:
