@@ -4,8 +4,9 @@ Only the queries' terms get postings. A list is one term's postings in order of
 a term of any number of documents spreads over tasks. For each query:
 
 1. the heads of its lists give partial sums, of which the k-th best is a lower bound of the k-th score;
-2. a k-th score needs a part of at least bound / lists in one list, so each list is read down to that threshold; the partial sums give a
-   better bound, and a document stays a candidate if its sum and what its other lists can still hold reach that;
+2. a k-th score needs a part of at least bound / lists in one list, so each list is read down to that threshold, and what was read meets by
+   blocks of documents; the partial sums give a better bound, and a document stays a candidate if its sum and what its other
+   lists can still hold reach that;
 3. the candidates' exact scores are looked up in the forward index, a row a document.
 """
 
@@ -25,6 +26,8 @@ from .common import LOWER, UPPER, Scratch, maybe_broadcast, pick, release_memory
 
 #: Fixed by the contract: a term.
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Documents in a block, and queries that are summed at once.
+BLOCK, PACK = 4096, 256
 _LOWER = str.maketrans(UPPER, LOWER)
 
 
@@ -137,11 +140,10 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "d
     reach = scratch.keep(reach.withColumn("hold", F.least(F.col("least") - 1, F.col("times") * F.col("most"))))
     cut = reach.groupBy("t").agg(F.min(_div(F.col("least") + F.col("times") - 1, F.col("times"))).alias("cut"))
     near = lists.join(small(cut), "t").where(F.col("part") >= F.col("cut")).drop("cut")
-    seen = near.join(small(reach.select("t", "item", "times", "least", "hold")), "t").where(own >= F.col("least"))
-    partial = scratch.keep(seen.groupBy("item", "row").agg(F.sum(own).alias("sum"), F.sum(own - F.col("hold")).alias("over")))
-    level = reach.groupBy("item").agg(F.sum("hold").alias("hold"), F.first("bound").alias("bound")).join(_kth(partial, k), "item", "left")
-    level = level.select("item", "hold", F.greatest("bound", "kth").alias("bound"))
-    candidates = scratch.keep(partial.join(few(level), "item").where(F.col("over") + F.col("hold") >= F.col("bound")).select("item", "row"))
+    reach = reach.select("t", "item", "times", "least", "hold", "bound")
+    partial = scratch.keep(_sums_by_block(near, reach, k) if n_asked * 64 <= common.BROADCAST_BYTES else _sums(near, reach))
+    level = reach.groupBy("item").agg(F.first("bound").alias("bound")).join(_kth(partial, k), "item", "left").select("item", F.greatest("bound", "kth").alias("bound"))
+    candidates = scratch.keep(partial.join(few(level), "item").where(F.col("most") >= F.col("bound")).select("item", "row"))
 
     # 3. exact scores from the forward index
     found = forward.join(maybe_broadcast(candidates, candidates.count(), 32), "row").select("item", "row", "id", "n", F.explode(F.arrays_zip("terms", "tf")).alias("p"))
@@ -153,6 +155,63 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "d
     return best.select(F.col("item").alias(item_col), "rank", F.col("id").alias(id_col), "score")
 
 
+def _sums(near: DataFrame, reach: DataFrame) -> DataFrame:
+    """(item, row, sum, most): each document's sum of what was read of an item's lists, and with what its other lists can hold."""
+    own = F.col("part") * F.col("times")
+    seen = near.join(reach.drop("bound"), "t").where(own >= F.col("least")).groupBy("item", "row").agg(F.sum(own).alias("sum"), F.sum(own - F.col("hold")).alias("over"))
+    rest = reach.groupBy("item").agg(F.sum("hold").alias("hold"))
+    return seen.join(rest, "item").select("item", "row", "sum", (F.col("over") + F.col("hold")).alias("most"))
+
+
+def _sums_by_block(near: DataFrame, reach: DataFrame, k: int) -> DataFrame:
+    """The same for queries that fit every task, by blocks of documents. Only documents that can still be among the k best of
+    their block come out; the k largest sums of a block are among them."""
+    given = reach.collect()
+    items = list(dict.fromkeys(r["item"] for r in given))
+    number = {x: i for i, x in enumerate(items)}
+    hold, bound = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    of: dict[int, list[tuple[int, int, int, int]]] = {}
+    for r in given:
+        i = number[r["item"]]
+        hold[i] += r["hold"]
+        bound[i] = r["bound"]
+        of.setdefault(r["t"], []).append((i, r["times"], r["least"], r["hold"]))
+    spark = near.sparkSession
+    held = spark.sparkContext.broadcast((of, hold, bound))
+
+    def run(table: pa.Table) -> pa.Table:
+        of, hold, bound = held.value
+        t, part = table.column("t").to_numpy(), table.column("part").to_numpy()
+        rows, at = np.unique(table.column("row").to_numpy(), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        names, starts = np.unique(t[order], return_index=True)
+        ends = [*starts[1:].tolist(), len(t)]
+        lists = [(name, part[order[a:b]], at[order[a:b]]) for name, a, b in zip(names.tolist(), starts.tolist(), ends, strict=True)]
+        out = []
+        for first in range(0, len(hold), PACK):
+            n = min(PACK, len(hold) - first)
+            sums, over = np.zeros((n, len(rows)), np.int64), np.zeros((n, len(rows)), np.int64)
+            for name, p, place in lists:
+                for i, times, least, most in of.get(name, ()):
+                    if first <= i < first + n:
+                        own = p * times
+                        read = own >= least
+                        sums[i - first, place[read]] += own[read]
+                        over[i - first, place[read]] += own[read] - most
+            over += hold[first : first + n, None]
+            level = bound[first : first + n]
+            if len(rows) >= k:
+                level = np.maximum(level, np.partition(sums, len(rows) - k, 1)[:, len(rows) - k])
+            # equal sums may be told apart by their documents' ids
+            i, j = np.nonzero((sums > 0) & (over >= level[:, None]))
+            out.append((i + first, rows[j], sums[i, j], over[i, j]))
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["no", "row", "sum", "most"])
+
+    found = near.withColumn("block", F.floor(F.col("row") / BLOCK)).groupBy("block").applyInArrow(run, "no long, row long, sum long, most long")
+    names = spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"no long, item {reach.schema['item'].dataType.simpleString()}")
+    return found.join(F.broadcast(names), "no").select("item", "row", "sum", "most")
+
+
 def _kth(sums: DataFrame, k: int) -> DataFrame:
     """(item, kth): the k-th largest sum of each item that has as many."""
     nth = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sum"), "row"))
