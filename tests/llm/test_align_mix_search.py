@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from threadloom.llm import align, common, lexical, mixing
@@ -81,11 +82,10 @@ def test_alignment_of_very_long_text_and_empty_table(spark):
 
 
 def test_labels_and_links():
-    marks = align.labels([1, 2, 3], [2, 1, 1, 2])
-    assert marks == b"abx" + b"b.x"
-    groups, links = align.align(marks, [1, 2, 3], [4, 5, 6, 7])
-    assert groups == [([1, 2], [4, 5]), ([3], [6, 7])]
-    assert [(x >> 32, x & 0xFFFFFFFF) for x in links] == [(1, 4), (2, 4), (2, 5), (3, 6), (3, 7)]
+    marks = align.labels(np.array([1, 2, 3]), np.array([2, 1, 1, 2]))
+    assert marks.tolist() == [1, 2, 3, 2, 0, 3]
+    assert align.spans(marks) == [(2, 2), (1, 2)] and align.written(align.spans(marks), list("123"), list("4567")) == ["1,2|4,5", "3|6,7"]
+    assert [(x >> 32, x & 0xFFFFFFFF) for x in align.links(marks, np.array([1, 2, 3]), np.array([4, 5, 6, 7])).tolist()] == [(1, 4), (2, 4), (2, 5), (3, 6), (3, 7)]
 
 
 def _mix(docs, block=16, shard=8192):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,56 +24,67 @@ from .bpe import byte_chars, load_spec
 from .common import Scratch, maybe_broadcast, pick, release_memory
 
 #: Labels of a byte: no end, an end of A, of B, of both; and a group: all up to and with an end of both.
-NONE, A_END, B_END, BOTH = b".abx"
+_, A_END, B_END, BOTH = b".abx"
 GROUP = re.compile(rb"[.ab]*x")
-#: Runs of characters with the white space before them, and what keeps a text from being cut into such runs.
-RUN, UNEVEN = re.compile(r"[ \n]?[^\s]+"), re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+#: Runs of characters with the white space before them; a text that they don't make up has other white space, and isn't cut.
+RUN = re.compile(r"[ \n]?[^\s]+")
 #: Runs that a worker keeps at most; when full, it starts anew.
-CACHE = 300_000
+CACHE = 800_000
 #: Texts that are handled at once.
 CHUNK = 256
 #: Bits of B's id in the code of a pair, a fixed value of sentencepiece.
 SHIFT = 32
+_MARKS = bytes.maketrans(b"\0\1\2\3", b".abx")
 
 
-def labels(a_lengths: list[int], b_lengths: list[int]) -> bytes:
-    """The label string of a text that both cut, from the lengths of their tokens in bytes."""
-    out = bytearray([NONE]) * sum(a_lengths)
-    at = -1
-    for n in a_lengths:
-        at += n
-        out[at] = A_END
-    at = -1
-    for n in b_lengths:
-        at += n
-        out[at] = BOTH if out[at] == A_END else B_END
-    return bytes(out)
-
-
-def align(marks: bytes, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
-    """Groups as (ids of A, ids of B), and the codes of all links in order."""
-    groups, links, i, j = [], [], 0, 0
-    for span in GROUP.findall(marks):
-        both = span.count(BOTH)
-        n_a, n_b = span.count(A_END) + both, span.count(B_END) + both
-        groups.append((a[i : i + n_a], b[j : j + n_b]))
-        p, q = i, j
-        links.append(a[p] << SHIFT | b[q])
-        if n_a + n_b > 2:
-            for mark in span[:-1]:
-                if mark != NONE:
-                    p, q = p + (mark == A_END), q + (mark == B_END)
-                    links.append(a[p] << SHIFT | b[q])
+def labels(a_lengths: np.ndarray, b_lengths: np.ndarray) -> np.ndarray:
+    """A label for each byte of a text that both cut, from the lengths of their tokens: 0 no end, 1 of A, 2 of B, 3 of both."""
+    out = np.zeros(int(a_lengths.sum()), np.uint8)
+    out[np.cumsum(a_lengths) - 1] = 1
+    out[np.cumsum(b_lengths) - 1] |= 2
+    return out
+
+
+def spans(marks: np.ndarray) -> list[tuple[int, int]]:
+    """How many tokens of A and of B each group has: a span goes up to a label of both, and its labels are counted."""
+    counts: dict[bytes, tuple[int, int]] = {}
+    out = []
+    for span in GROUP.findall(marks.tobytes().translate(_MARKS)):
+        if span not in counts:
+            counts[span] = (span.count(A_END) + span.count(BOTH), span.count(B_END) + span.count(BOTH))
+        out.append(counts[span])
+    return out
+
+
+def links(marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The codes of all pairs of tokens that share bytes, in order. Each label ends a pair, of the tokens that are open there."""
+    ends = marks[marks > 0]
+    of = lambda side: np.cumsum(side) - side
+    return a[of((ends & 1).astype(np.int64))] << SHIFT | b[of((ends >> 1).astype(np.int64))]
+
+
+def written(groups: list[tuple[int, int]], a: list[str], b: list[str]) -> list[str]:
+    out, i, j = [], 0, 0
+    for n_a, n_b in groups:
+        out.append(f"{a[i]}|{b[j]}" if n_a == n_b == 1 else ",".join(a[i : i + n_a]) + "|" + ",".join(b[j : j + n_b]))
         i, j = i + n_a, j + n_b
-    return groups, links
+    return out
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array(list(map(len, lists)), np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
 
 
-def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of each run of n values."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(n)
+    return sums[ends] - sums[ends - n]
 
 
 class Aligner:
-    """Both vocabularies in one Python worker."""
+    """Both vocabularies in one Python worker, and the alignments of runs: `number` has their places in the lists and arrays."""
 
     def __init__(self, spec: str, model: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -81,56 +93,88 @@ class Aligner:
         self.a = Tokenizer.from_str(spec)
         self.a.encode_special_tokens = True
         back = {c: b for b, c in byte_chars().items()}
-        self.a_bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocab = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocab.values(), default=-1) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
         self.b = SentencePieceProcessor(model_proto=model)
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         piece = lambda i: bytes([int(m[1], 16)]) if self.b.IsByte(i) and (m := byte.fullmatch(self.b.IdToPiece(i))) else self.b.IdToPiece(i).replace("▁", " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.GetPieceSize())]
+        self.a_length, self.b_length = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.decimal = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.mark = self.b.PieceToId("▁")
-        self.runs: dict[str, tuple | None] = {}
-
-    def _aligned(self, raw: str, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, link codes, groups) or None where a side's bytes aren't those of the text."""
-        x, y, want = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], raw.encode()
-        if b"".join(x) != want or b"".join(y) != want:
-            return None
-        groups, links = align(labels(list(map(len, x)), list(map(len, y))), a, b)
-        return len(a), len(b), len(groups), links, written(groups)
-
-    def whole(self, text: str) -> tuple | None:
-        raw = " " + text
-        return self._aligned(raw, self.a.encode(raw, add_special_tokens=False).ids, self.b.encode(text))
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str | None] = []  # None: a side doesn't give the run back
+        self.counts = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
+        self.starts, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def aligned(self, raws: list[str], a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+        """Counts of each text, all their link codes one after the other, and their groups; texts that a side doesn't give back have none."""
+        bytes_ = [r.encode() for r in raws]
+        (x, n_a), (y, n_b) = _flat(a), _flat(b)
+        size = np.array(list(map(len, bytes_)), np.int64)
+        same = lambda ids, of: b"".join(map(of.__getitem__, ids.tolist())) == b"".join(bytes_)
+        if not (np.array_equal(_sums(self.a_length[x], n_a), size) and np.array_equal(_sums(self.b_length[y], n_b), size) and same(x, self.a_bytes) and same(y, self.b_bytes)):
+            good = [b"".join(map(self.a_bytes.__getitem__, p)) == w == b"".join(map(self.b_bytes.__getitem__, q)) for w, p, q in zip(bytes_, a, b, strict=True)]
+            keep = [i for i, ok in enumerate(good) if ok]
+            counts, groups = np.zeros((4, len(raws)), np.int64), [None] * len(raws)
+            some, codes, texts = self.aligned(*([z[i] for i in keep] for z in (raws, a, b))) if keep else (counts[:, :0], np.zeros(0, np.int64), [])
+            counts[:, keep] = some
+            for i, t in zip(keep, texts, strict=True):
+                groups[i] = t
+            return counts, codes, groups
+        marks = labels(self.a_length[x], self.b_length[y])
+        n, n_links = _sums(marks == 3, size), _sums(marks > 0, size)
+        texts = written(spans(marks), *(list(map(self.decimal.__getitem__, z.tolist())) for z in (x, y)))
+        ends = np.cumsum(n)
+        groups = [";".join(texts[i:j]) for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+        return np.stack([n_a, n_b, n, n_links]), links(marks, x, y), groups
+
+    def _encode(self, raws: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """B puts a space before what it encodes: that of the text itself, or one that goes again."""
+        a = [e.ids for e in self.a.encode_batch_fast(raws, add_special_tokens=False)]
+        b = self.b.encode([r.removeprefix(" ") for r in raws], num_threads=1)
+        return a, [y if r[0] == " " else y[1:] if y[:1] == [self.mark] else [] for r, y in zip(raws, b, strict=True)]
 
     def learn(self, runs: list[str]) -> None:
-        """Keeps the alignment of each run. B puts a space before what it encodes: that of the run itself, or one that goes again."""
-        a = self.a.encode_batch_fast(runs, add_special_tokens=False)
-        b = self.b.encode([r.removeprefix(" ") for r in runs], num_threads=1)
-        for run, x, y in zip(runs, a, b, strict=True):
-            if run[0] != " ":
-                y = y[1:] if y[:1] == [self.mark] else []
-            self.runs[run] = self._aligned(run, x.ids, y)
-
-    def texts(self, some: list[str | None]) -> Iterator[tuple[int, int, int, list, str] | None]:
-        """For each text its counts, a list of lists of link codes, and its groups; None: it has no tokens."""
-        cut = [None if not t or UNEVEN.search(t) else RUN.findall(" " + t) for t in some]
-        if len(self.runs) > CACHE:
-            self.runs.clear()
-        new = {r for runs in cut if runs for r in runs if r not in self.runs}
+        """Keeps the alignment of each run."""
+        counts, codes, groups = self.aligned(runs, *self._encode(runs))
+        self.number.update(zip(runs, range(len(self.groups), len(self.groups) + len(runs)), strict=True))
+        self.groups += groups
+        self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(counts[3]) - counts[3]])
+        self.counts, self.codes = np.concatenate([self.counts, counts], 1), np.concatenate([self.codes, codes])
+
+    def texts(self, some: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, str] | None]:
+        """For each text its counts, its link codes in order and its groups; None: it has no tokens."""
+        cut = [RUN.findall(" " + t) if t else [] for t in some]
+        cut = [runs if t and sum(map(len, runs)) == len(t) + 1 else None for t, runs in zip(some, cut, strict=True)]
+        if len(self.number) > CACHE:
+            self.forget()
+        new = set(chain.from_iterable(runs for runs in cut if runs)).difference(self.number)
         if new:
             self.learn(list(new))
         for t, runs in zip(some, cut, strict=True):
             if not t or "▁" in t:
                 yield None
             elif runs is None:
-                one = self.whole(t)
-                yield one and (*one[:3], [one[3]], one[4])
+                raw = [" " + t]
+                counts, codes, groups = self.aligned(raw, *self._encode(raw))
+                yield None if groups[0] is None else (counts[:, 0].tolist(), codes, groups[0])
             else:
-                got = list(map(self.runs.__getitem__, runs))
-                if None in got:
+                at = list(map(self.number.__getitem__, runs))
+                groups = list(map(self.groups.__getitem__, at))
+                if None in groups:
                     yield None
                     continue
-                n_a, n_b, n, links, groups = zip(*got, strict=True)
-                yield sum(n_a), sum(n_b), sum(n), links, ";".join(groups)
+                at = np.array(at)
+                counts = self.counts[:, at]
+                n, first = counts[3], np.cumsum(counts[3]) - counts[3]
+                codes = self.codes[np.repeat(self.starts[at] - first, n) + np.arange(int(n.sum()))]
+                yield counts.sum(1).tolist(), codes, ";".join(groups)
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -168,9 +212,9 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "do
                 some = batch.slice(i, CHUNK)
                 counts, digests, codes, times, ends, groups = [], [], [], [], [0], []
                 for got in side.texts(some.column(2).to_pylist()):
-                    n_a, n_b, n, links, text = got or (0, 0, 0, [], "")
-                    pairs, n_of = np.unique(np.array([x for xs in links for x in xs], np.int64), return_counts=True)
-                    counts.append((n_a, n_b, n, int(n_of.sum())))
+                    n, of, text = got or ([0] * 4, np.zeros(0, np.int64), "")
+                    pairs, n_of = np.unique(of, return_counts=True)
+                    counts.append(n)
                     digests.append(hashlib.sha256(text.encode()).hexdigest() if got else "")
                     codes.append(pairs)
                     times.append(n_of)
