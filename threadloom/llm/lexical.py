@@ -141,9 +141,15 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "d
     cut = reach.groupBy("t").agg(F.min(_div(F.col("least") + F.col("times") - 1, F.col("times"))).alias("cut"))
     near = lists.join(small(cut), "t").where(F.col("part") >= F.col("cut")).drop("cut")
     reach = reach.select("t", "item", "times", "least", "hold", "bound")
-    partial = scratch.keep(_sums_by_block(near, reach, k) if n_asked * 64 <= common.BROADCAST_BYTES else _sums(near, reach))
-    level = reach.groupBy("item").agg(F.first("bound").alias("bound")).join(_kth(partial, k), "item", "left").select("item", F.greatest("bound", "kth").alias("bound"))
-    candidates = scratch.keep(partial.join(few(level), "item").where(F.col("most") >= F.col("bound")).select("item", "row"))
+    start = reach.groupBy("item").agg(F.first("bound").alias("bound"))
+    better = lambda sums: start.join(_kth(sums, k), "item", "left").select("item", F.greatest("bound", "kth").alias("bound"))
+    if n_asked * 64 <= common.BROADCAST_BYTES:
+        blocks = _Blocks(scratch.keep(_blocks(near)), reach)
+        level = better(blocks.best(k))
+        candidates = scratch.keep(blocks.above(level))
+    else:
+        sums = scratch.keep(_sums(near, reach))
+        candidates = scratch.keep(sums.join(few(better(sums)), "item").where(F.col("most") >= F.col("bound")).select("item", "row"))
 
     # 3. exact scores from the forward index
     found = forward.join(maybe_broadcast(candidates, candidates.count(), 32), "row").select("item", "row", "id", "n", F.explode(F.arrays_zip("terms", "tf")).alias("p"))
@@ -163,53 +169,87 @@ def _sums(near: DataFrame, reach: DataFrame) -> DataFrame:
     return seen.join(rest, "item").select("item", "row", "sum", (F.col("over") + F.col("hold")).alias("most"))
 
 
-def _sums_by_block(near: DataFrame, reach: DataFrame, k: int) -> DataFrame:
-    """The same for queries that fit every task, by blocks of documents. Only documents that can still be among the k best of
-    their block come out; the k largest sums of a block are among them."""
-    given = reach.collect()
-    items = list(dict.fromkeys(r["item"] for r in given))
-    number = {x: i for i, x in enumerate(items)}
-    hold, bound = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
-    of: dict[int, list[tuple[int, int, int, int]]] = {}
-    for r in given:
-        i = number[r["item"]]
-        hold[i] += r["hold"]
-        bound[i] = r["bound"]
-        of.setdefault(r["t"], []).append((i, r["times"], r["least"], r["hold"]))
-    spark = near.sparkSession
-    held = spark.sparkContext.broadcast((of, hold, bound))
+def _blocks(near: DataFrame) -> DataFrame:
+    """What was read of all lists, packed by blocks of documents: terms, documents and parts, in the order of the terms."""
 
     def run(table: pa.Table) -> pa.Table:
-        of, hold, bound = held.value
-        t, part = table.column("t").to_numpy(), table.column("part").to_numpy()
-        rows, at = np.unique(table.column("row").to_numpy(), return_inverse=True)
+        t = table.column("t").to_numpy()
         order = np.argsort(t, kind="stable")
-        names, starts = np.unique(t[order], return_index=True)
-        ends = [*starts[1:].tolist(), len(t)]
-        lists = [(name, part[order[a:b]], at[order[a:b]]) for name, a, b in zip(names.tolist(), starts.tolist(), ends, strict=True)]
-        out = []
-        for first in range(0, len(hold), PACK):
-            n = min(PACK, len(hold) - first)
-            sums, over = np.zeros((n, len(rows)), np.int64), np.zeros((n, len(rows)), np.int64)
-            for name, p, place in lists:
-                for i, times, least, most in of.get(name, ()):
-                    if first <= i < first + n:
-                        own = p * times
-                        read = own >= least
-                        sums[i - first, place[read]] += own[read]
-                        over[i - first, place[read]] += own[read] - most
-            over += hold[first : first + n, None]
-            level = bound[first : first + n]
-            if len(rows) >= k:
-                level = np.maximum(level, np.partition(sums, len(rows) - k, 1)[:, len(rows) - k])
-            # equal sums may be told apart by their documents' ids
-            i, j = np.nonzero((sums > 0) & (over >= level[:, None]))
-            out.append((i + first, rows[j], sums[i, j], over[i, j]))
-        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["no", "row", "sum", "most"])
-
-    found = near.withColumn("block", F.floor(F.col("row") / BLOCK)).groupBy("block").applyInArrow(run, "no long, row long, sum long, most long")
-    names = spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"no long, item {reach.schema['item'].dataType.simpleString()}")
-    return found.join(F.broadcast(names), "no").select("item", "row", "sum", "most")
+        cols = [t[order], table.column("row").to_numpy()[order], table.column("part").to_numpy()[order]]
+        return pa.table([pa.array([c.astype(np.int64).tobytes()], pa.binary()) for c in cols], ["t", "row", "part"])
+
+    return near.withColumn("block", F.floor(F.col("row") / BLOCK)).groupBy("block").applyInArrow(run, "t binary, row binary, part binary")
+
+
+class _Blocks:
+    """Partial sums of queries that fit every task, by blocks of documents."""
+
+    def __init__(self, blocks: DataFrame, reach: DataFrame):
+        self.blocks, self.spark = blocks, blocks.sparkSession
+        given = reach.collect()
+        items = list(dict.fromkeys(r["item"] for r in given))
+        self.number = {x: i for i, x in enumerate(items)}
+        self.hold = np.zeros(len(items), np.int64)
+        of: dict[int, list[tuple[int, int, int, int]]] = {}
+        for r in given:
+            i = self.number[r["item"]]
+            self.hold[i] += r["hold"]
+            of.setdefault(r["t"], []).append((i, r["times"], r["least"], r["hold"]))
+        self.of = of
+        names = self.spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"no long, item {reach.schema['item'].dataType.simpleString()}")
+        self.named = lambda rows: rows.join(F.broadcast(names), "no").drop("no")
+
+    def _run(self, choose, schema: str, names: list[str]) -> DataFrame:
+        held = self.spark.sparkContext.broadcast((self.of, self.hold))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, hold = held.value
+            for batch in batches:
+                for b in range(batch.num_rows):
+                    t, row, part = (np.frombuffer(batch.column(c)[b].as_py(), np.int64) for c in ("t", "row", "part"))
+                    rows, at = np.unique(row, return_inverse=True)
+                    terms_, starts = np.unique(t, return_index=True)
+                    lists = list(zip(terms_.tolist(), starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True))
+                    for first in range(0, len(hold), PACK):
+                        n = min(PACK, len(hold) - first)
+                        sums, over = np.zeros((n, len(rows)), np.int64), np.zeros((n, len(rows)), np.int64)
+                        for term, x, y in lists:
+                            for i, times, least, most in of.get(term, ()):
+                                if first <= i < first + n:
+                                    own = part[x:y] * times
+                                    read = own >= least
+                                    sums[i - first, at[x:y][read]] += own[read]
+                                    over[i - first, at[x:y][read]] += own[read] - most
+                        over += hold[first : first + n, None]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in choose(first, rows, sums, over)], names)
+            release_memory()
+
+        return self.named(self.blocks.mapInArrow(run, schema))
+
+    def best(self, k: int) -> DataFrame:
+        """(item, row, sum): the k largest sums of each block."""
+
+        def choose(first, rows, sums, over):
+            m = min(k, len(rows))
+            j = np.argpartition(sums, len(rows) - m, 1)[:, len(rows) - m :]
+            i = np.repeat(np.arange(len(sums)), m)
+            got = sums[i, j.ravel()]
+            return (i + first)[got > 0], rows[j.ravel()][got > 0], got[got > 0]
+
+        return self._run(choose, "no long, row long, sum long", ["no", "row", "sum"])
+
+    def above(self, level: DataFrame) -> DataFrame:
+        """(item, row): the documents that can reach their item's bound."""
+        bound = np.zeros(len(self.hold), np.int64)
+        for r in level.collect():
+            bound[self.number[r["item"]]] = r["bound"]
+        held = self.spark.sparkContext.broadcast(bound)
+
+        def choose(first, rows, sums, over):
+            i, j = np.nonzero((sums > 0) & (over >= held.value[first : first + len(sums), None]))
+            return i + first, rows[j]
+
+        return self._run(choose, "no long, row long", ["no", "row"])
 
 
 def _kth(sums: DataFrame, k: int) -> DataFrame:
