@@ -77,7 +77,7 @@ def _catalog(seeds: DataFrame, registry: list[str]) -> tuple[DataFrame, DataFram
     return own, alias
 
 
-def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = None, batch: str = "batch_no") -> DataFrame:
+def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = None, batch: str = "batch_no", trace: list | None = None) -> DataFrame:
     """Resolves an annotator's actions, in order of `pos` within each registry, to concepts: one outcome an action, and one more for
     each provisional match.
 
@@ -90,8 +90,9 @@ def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = N
     the next number. A unit has three concepts at most, each once. Adds status, resolved_as, match_kind, concept_id, concept_ref,
     canonical_label, candidate_ref, existing_label, reason and detail.
 
-    Which refs are known depends on what earlier actions made. So the order of creation is worked out in rounds, each from the last one's,
-    until it doesn't change: in each round at least the first action that was still wrong comes right.
+    Only a match that no seed serves depends on what earlier actions made: on its key, and on the concept that has its ref. Units without
+    such a match are decided once. The others are decided by change: each round tells which keys and refs came to be made at another
+    place, and only units that hold one of them are decided again, until none is. `trace` gets the number of actions decided in each round.
     """
     null = F.lit(None).cast("string")
     spark = actions.sparkSession
@@ -106,34 +107,75 @@ def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = N
     by_ref = seeds.select(*registry, F.col("concept_ref").alias("existing_ref"), F.col("canonical_label").alias("_seed_label"))
     rows = rows.withColumn("refused", refused).join(own, [*registry, "key"], "left").join(alias, [*registry, "key"], "left").join(fixed, registry, "left").join(by_ref, [*registry, "existing_ref"], "left")
     rows = rows.withColumns({"_seeds": F.coalesce("_seeds", F.lit(0)), "known": F.coalesce("seed", "alias_seed")})
-    rows = kept(rows.drop("_bad", "alias_seed"), "actions")
-
-    acts = rows.where(F.col("action").isin("match", "new") & F.col("ground_reason").isNull())
-    made = None  # (registry, key, first_pos, first_batch, n, made_label) of the concepts that are created
-    while True:
-        now = acts
-        if made is None:
-            now = now.withColumns({"first_pos": F.lit(None).cast(actions.schema["pos"].dataType), "first_batch": F.lit(None).cast(actions.schema[batch].dataType), "n": F.lit(None).cast("long"), "made_label": null, "_ref_pos": F.col("pos"), "_ref_label": null})
-            there = F.col("existing_ref").isNotNull()
-        else:
-            refs = made.select(*registry, F.format_string("C%02d", "n").alias("existing_ref"), F.col("first_pos").alias("_ref_pos"), F.col("made_label").alias("_ref_label"))
-            now = now.join(made, [*registry, "key"], "left").join(refs, [*registry, "existing_ref"], "left")
-            there = F.col("_seed_label").isNotNull() | F.coalesce(F.col("_ref_pos") < F.col("pos"), F.lit(False))
-        exact = F.col("seed").isNotNull() | F.coalesce(F.col("first_pos") < F.col("pos"), F.lit(False))
-        served = exact | F.col("known").isNotNull()
-        is_match = F.col("action") == "match"
-        lost = is_match & ~served & ~there
-        why = F.when(lost, F.struct(F.lit("unknown_concept_ref").alias("reason"), F.col("existing_ref").alias("detail"))).when(~(is_match & served), F.col("refused"))
+    is_match = F.col("action") == "match"
+    unit = [*registry, "session_id", "evidence_ref"]
+    acted = F.col("action").isin("match", "new") & F.col("ground_reason").isNull()
+    # a unit is open if what it gives may depend on other units; its rows are windows of their own below anyway
+    waits = acted & is_match & F.col("known").isNull() & F.col("_seed_label").isNull()
+    rows = kept(rows.drop("_bad", "alias_seed").withColumn("open", F.max(waits.cast("int")).over(Window.partitionBy(*unit)) == 1), "actions")
+    acts = rows.where(acted)
+
+    def decided(some: DataFrame) -> DataFrame:
+        """Actions (with served and there) with why they are refused, or their concept and whether their unit takes it."""
+        lost = is_match & ~F.col("served") & ~F.col("there")
+        why = F.when(lost, F.struct(F.lit("unknown_concept_ref").alias("reason"), F.col("existing_ref").alias("detail"))).when(~(is_match & F.col("served")), F.col("refused"))
         why = F.coalesce(why, F.when(F.col("occurrence_reason").isNotNull(), F.struct(F.lit("invalid_occurrence").alias("reason"), F.col("occurrence_reason").alias("detail"))))
-        now = now.withColumns({"why": why, "exact": exact, "provisional": is_match & ~served & there, "concept": F.coalesce("known.concept_id", F.concat(F.lit("virtual:"), F.col("key")))})
-        fit = ranking.first_distinct(now.where("why IS NULL"), [*registry, "session_id", "evidence_ref"], "concept", ["pos"], PER_UNIT).drop("slot")
-        fit = kept(fit, "fit")
-        new = fit.where("reason IS NULL AND known IS NULL").groupBy(*registry, "key", "_seeds").agg(F.min("pos").alias("first_pos"), F.min_by(batch, "pos").alias("first_batch"), F.min_by("label", "pos").alias("made_label"))
-        order = F.row_number().over(Window.partitionBy(*registry).orderBy("first_pos"))
-        new = kept(new.select(*registry, "key", "first_pos", "first_batch", (order + F.col("_seeds")).alias("n"), "made_label"), "made")
-        if made is not None and not new.join(made, [*registry, "key", "first_pos"], "left_anti").limit(1).count() and new.count() == made.count():
+        some = some.withColumns({"why": why, "provisional": is_match & ~F.col("served") & F.col("there"), "concept": F.coalesce("known.concept_id", F.concat(F.lit("virtual:"), F.col("key")))})
+        fit = ranking.first_distinct(some.where("why IS NULL"), unit, "concept", ["pos"], PER_UNIT).drop("slot")
+        return fit.unionByName(some.where("why IS NOT NULL").withColumn("reason", null))
+
+    def first_made(fit: DataFrame, more: list[str] = ()) -> DataFrame:
+        return fit.groupBy(*registry, *more, "key", "_seeds").agg(F.min("pos").alias("first_pos"), F.min_by(batch, "pos").alias("first_batch"), F.min_by("label", "pos").alias("made_label"))
+
+    makes = F.col("why").isNull() & F.col("reason").isNull() & F.col("known").isNull()
+    seeded = {"served": F.col("known").isNotNull(), "there": F.col("_seed_label").isNotNull()}
+    closed = kept(decided(acts.where("NOT open").withColumns(seeded)), "fit")
+    base = kept(first_made(closed.where(makes)), "made")
+    open_ = acts.where("open")
+    if trace is not None:
+        trace.append(acts.count())
+    given = kept(first_made(decided(open_.withColumns({"served": F.col("known").isNotNull(), "there": F.col("existing_ref").isNotNull()})).where(makes), ["session_id", "evidence_ref"]), "made")  # of each open unit, as if all refs were there
+    asked = kept(open_.where(is_match & F.col("existing_ref").isNotNull()).select(*registry, "existing_ref").distinct(), "asked")
+
+    def places(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(registry, key, ...) of the concepts that are made, with their number; and those that open units ask for by ref."""
+        all_ = base.select(*registry, "key", "_seeds", "first_pos", "first_batch", "made_label").unionByName(given.drop("session_id", "evidence_ref"))
+        all_ = all_.groupBy(*registry, "key", "_seeds").agg(F.min("first_pos").alias("first_pos"), F.min_by("first_batch", "first_pos").alias("first_batch"), F.min_by("made_label", "first_pos").alias("made_label"))
+        made = ranking.numbered(all_, [F.asc("first_pos"), F.asc("key")], registry, "n").withColumn("n", F.col("n") + F.col("_seeds")).drop("_seeds")
+        made = kept(made.withColumn("ref", F.format_string("C%02d", "n")), "made")
+        refs = kept(made.select(*registry, F.col("ref").alias("existing_ref"), F.col("first_pos").alias("_ref_pos"), F.col("made_label").alias("_ref_label")).join(asked, [*registry, "existing_ref"]), "refs")
+        return made, refs
+
+    def with_state(some: DataFrame, made: DataFrame, refs: DataFrame) -> DataFrame:
+        some = some.join(made.drop("ref"), [*registry, "key"], "left").join(refs, [*registry, "existing_ref"], "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("pos"), F.lit(False))
+        return some.withColumns({"served": F.col("known").isNotNull() | before("first_pos"), "there": F.col("_seed_label").isNotNull() | before("_ref_pos")})
+
+    made, refs = places(given)
+    changed = open_.select(*unit).distinct()  # all that are open were decided without places
+    while True:
+        again = kept(decided(with_state(open_.join(changed, unit, "left_semi"), made, refs)), "fit")
+        n = again.count()
+        if not n:
             break
-        made = new
+        if trace is not None:
+            trace.append(n)
+        now = first_made(again.where(makes), ["session_id", "evidence_ref"])
+        given = kept(given.join(again.select(*unit).distinct(), unit, "left_anti").unionByName(now), "made")
+        was_made, was_refs = made, refs
+        made, refs = places(given)
+        moved = lambda new, old, on: new.join(old, on, "left_anti").unionByName(old.join(new, on, "left_anti")).select(*on[:-1]).distinct()
+        keys = moved(made.select(*registry, "key", "first_pos"), was_made.select(*registry, "key", "first_pos"), [*registry, "key", "first_pos"])
+        names = moved(refs.select(*registry, "existing_ref", "_ref_pos"), was_refs.select(*registry, "existing_ref", "_ref_pos"), [*registry, "existing_ref", "_ref_pos"])
+        waiting = open_.where(is_match)
+        changed = kept(waiting.join(keys, [*registry, "key"], "left_semi").select(*unit).unionByName(waiting.join(names, [*registry, "existing_ref"], "left_semi").select(*unit)).distinct(), "changed")
+
+    # all that was decided last, with the concepts as they are in the end
+    fit = closed.join(made.drop("ref"), [*registry, "key"], "left").join(refs, [*registry, "existing_ref"], "left")
+    fit = fit.unionByName(decided(with_state(open_, made, refs)))
+    exact = F.col("seed").isNotNull() | F.coalesce(F.col("first_pos") < F.col("pos"), F.lit(False))
+    fit = kept(fit.withColumn("exact", exact), "fit")
+    now, fit = fit, fit.where("why IS NULL")
 
     names = {"duplicate": "duplicate_concept_in_unit", "over_limit": "max_concepts_per_unit"}
     ok = F.col("reason").isNull()
