@@ -476,3 +476,19 @@ def test_quotes_of_any_length_are_found(spark, tmp_path):
         spark.createDataFrame(list(enumerate(given)), f"{id_} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
     want = sorted((i, j) for i, q in enumerate(quotes) for j, d in enumerate(docs) if q and d and q.strip() and q.strip() in d)
     assert sorted(tuple(r) for r in queries.quote_grounding(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_chain_of_refs_is_decided_by_change(spark):
+    """200 actions that each name the concept of the one before; a wrong one in the middle moves all that follow."""
+    actions = lambda bad: [(p, p // 10, f"u{p}", "new" if p == 1 else "match", f"word{p}", "C99" if p == bad else f"C{p - 1:02d}", None) for p in range(1, 201)]
+    for bad in (None, 100):
+        rows, trace = actions(bad), []
+        df = spark.createDataFrame([("r", "s", b, p, u, a, x, e, g) for p, b, u, a, x, e, g in rows], ACTIONS)
+        out = concepts.resolve(df, ["reg"], trace=trace).collect()
+        assert sorted((r.pos, r.status, r.concept_ref) for r in out) == sorted(((p, s, c) for p, s, c in _fold(rows)), key=lambda x: (x[0], x[1], x[2] or ""))
+        assert trace[0] == 200 and len(trace) <= 5 and all(n <= 199 for n in trace[1:])
+    # only units that hold a moved key or ref are decided again
+    calm = [("q", "s", 0, p, f"u{p}", "new", f"calm{p}", None, None) for p in range(1000)]
+    trace = []
+    concepts.resolve(spark.createDataFrame([("r", "s", b, p, u, a, x, e, g) for p, b, u, a, x, e, g in actions(None)] + calm, ACTIONS), ["reg"], trace=trace).count()
+    assert trace[0] == 1200 and sum(trace[1:]) < 1000

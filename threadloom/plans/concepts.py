@@ -111,7 +111,7 @@ def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = N
     unit = [*registry, "session_id", "evidence_ref"]
     acted = F.col("action").isin("match", "new") & F.col("ground_reason").isNull()
     # a unit is open if what it gives may depend on other units; its rows are windows of their own below anyway
-    waits = acted & is_match & F.col("known").isNull() & F.col("_seed_label").isNull()
+    waits = acted & is_match & F.col("known").isNull()
     rows = kept(rows.drop("_bad", "alias_seed").withColumn("open", F.max(waits.cast("int")).over(Window.partitionBy(*unit)) == 1), "actions")
     acts = rows.where(acted)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import derived  # noqa: F401  registers its queries
+from .plans import derived, stateful  # noqa: F401  they register their queries
 from .plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
