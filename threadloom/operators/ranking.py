@@ -92,3 +92,15 @@ def balanced_batches(rows: DataFrame, keys: list[str], ref: str, seed: str, targ
     at = F.col("place") - 1
     batch = F.when(at < long_part, F.floor(at / (small + 1))).otherwise(more + F.floor((at - long_part) / small)) + 1
     return rows.withColumn("batch_no", batch.cast("int")).drop("_n")
+
+
+def batches_over_all(rows: DataFrame, ref: str, seed: str, target: int = 6) -> DataFrame:
+    """As balanced_batches over the whole table, of any size: places come from ranges of the hash, so no task holds all rows."""
+    placed = numbered(rows.withColumn("hash", fnv1a(F.concat(F.lit(f"{seed}:"), F.col(ref)))), [F.asc("hash"), F.asc(ref)])
+    n = placed.count()
+    k = max(1, int(n / target + 0.5))
+    small, more = divmod(n, k)
+    long_part = more * (small + 1)
+    at = F.col("place") - 1
+    batch = F.when(at < long_part, F.floor(at / (small + 1))).otherwise(more + F.floor((at - long_part) / max(small, 1))) + 1
+    return placed.withColumn("batch_no", batch.cast("int"))

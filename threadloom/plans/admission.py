@@ -61,16 +61,46 @@ def provisional_hints(candidates_: DataFrame, actions: DataFrame, matches: DataF
     return candidates_.select("ref").join(once.groupBy("ref").agg(F.transform(hints, lambda h: h.dropFields("pos")).alias("hints")), "ref", "left")
 
 
+def assessment_failures(candidates_: DataFrame, calls: DataFrame, assessments: DataFrame, keys: list[str] = ("batch_no",)) -> DataFrame:
+    """The calls (keys and more columns) with reason and detail of the first failure in what each gave, in order of pos, else the first of
+    its candidates, by their pos, that it left out; null if it has none.
+
+    candidates_: keys, ref, pos; assessments: the columns of calls, candidate_ref, pos, concept_form, evidence_role,
+    longitudinal_potential.
+    """
+    call = calls.columns
+    known = candidates_.select(*keys, F.col("ref").alias("candidate_ref"), (F.col("pos") if "pos" in candidates_.columns else F.col("ref")).alias("place"))
+    again = F.row_number().over(Window.partitionBy(*call, "candidate_ref").orderBy("pos")) > 1
+    rows = assessments.withColumn("again", again).join(known.withColumn("known", F.lit(True)), [*keys, "candidate_ref"], "left")
+    other = lambda c, values: ~F.coalesce(F.col(c).isin(values), F.lit(False))
+    reason = F.when(F.col("known").isNull(), "unknown_candidate_ref").when(F.col("again"), "duplicate_candidate_ref").when(other("concept_form", FORMS), "invalid_concept_form").when(other("evidence_role", ROLES), "invalid_evidence_role").when(other("longitudinal_potential", POTENTIALS), "invalid_longitudinal_potential")
+    bad = rows.withColumn("reason", reason).where("reason IS NOT NULL").groupBy(*call).agg(F.min_by(F.struct("reason", F.col("candidate_ref").alias("detail")), "pos").alias("bad"))
+    gone = calls.join(known, list(keys)).join(assessments.select(*call, "candidate_ref"), [*call, "candidate_ref"], "left_anti")
+    gone = gone.groupBy(*call).agg(F.struct(F.lit("missing_candidate_ref").alias("reason"), F.min_by("candidate_ref", "place").alias("detail")).alias("gone"))
+    return calls.join(bad, call, "left").join(gone, call, "left").withColumn("f", F.coalesce("bad", "gone")).select(*call, "f.reason", "f.detail")
+
+
 def assessment_failure(candidates_: DataFrame, assessments: DataFrame) -> DataFrame:
-    """The first failure of the assessments, in order of pos, else missing refs: (reason, detail), no row if there is none."""
-    known = candidates_.select(F.col("ref").alias("candidate_ref")).withColumn("known", F.lit(True))
-    again = F.row_number().over(Window.partitionBy("candidate_ref").orderBy("pos")) > 1
-    rows = assessments.withColumn("again", again).join(known, "candidate_ref", "left")
-    reason = F.when(F.col("known").isNull(), "unknown_candidate_ref").when(F.col("again"), "duplicate_candidate_ref").when(~F.col("concept_form").isin(FORMS), "invalid_concept_form").when(~F.col("evidence_role").isin(ROLES), "invalid_evidence_role").when(~F.col("longitudinal_potential").isin(POTENTIALS), "invalid_longitudinal_potential")
-    bad = rows.withColumn("reason", reason).where("reason IS NOT NULL").orderBy("pos").limit(1).select("reason", F.col("candidate_ref").alias("detail"), F.lit(0).alias("later"))
-    gone = known.join(assessments, "candidate_ref", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("candidate_ref")), ",").alias("detail")).where("detail <> ''")
-    gone = gone.select(F.lit("missing_candidate_ref").alias("reason"), "detail", F.lit(1).alias("later"))
-    return bad.unionByName(gone).orderBy("later").limit(1).drop("later")
+    """The first failure of the assessments, in order of pos, else the first missing ref, by the candidates' pos: (reason, detail), no
+    row if there is none."""
+    one = lambda df: df.withColumn("batch_no", F.lit(0))
+    calls = candidates_.sparkSession.createDataFrame([(0,)], "batch_no int")
+    return assessment_failures(one(candidates_), calls, one(assessments)).where("reason IS NOT NULL").select("reason", "detail")
+
+
+def repairs(failures: DataFrame, most: int = 2) -> DataFrame:
+    """The batches that go out once more, with the failure that the annotator is told: those whose last call failed, if they had fewer
+    than `most`. failures: batch_no, attempt, reason, detail."""
+    last = failures.groupBy("batch_no").agg(F.max_by(F.struct("attempt", "reason", "detail"), "attempt").alias("l")).select("batch_no", "l.*")
+    return last.where(F.col("reason").isNotNull() & (F.col("attempt") < most)).select("batch_no", (F.col("attempt") + 1).alias("attempt"), "reason", "detail")
+
+
+def settled(failures: DataFrame, assessments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The assessments that count, those of each batch's latest call without failure; and the batches that have none, with the
+    last failure."""
+    good = failures.groupBy("batch_no").agg(F.max(F.when(F.col("reason").isNull(), F.col("attempt"))).alias("good"), F.max_by(F.struct("attempt", "reason", "detail"), "attempt").alias("l"))
+    counts = assessments.join(good.select("batch_no", F.col("good").alias("attempt")), ["batch_no", "attempt"], "left_semi")
+    return counts, good.where("good IS NULL").select("batch_no", "l.attempt", "l.reason", "l.detail")
 
 
 #: The reasons that each decision of the first admission version may have.
@@ -173,6 +203,11 @@ def report_lists(judged: DataFrame) -> DataFrame:
     return judged.groupBy("decision").agg(F.array_sort(F.collect_list("candidate_ref")).alias("refs"))
 
 
+def report_rows(judged: DataFrame) -> DataFrame:
+    """The same as rows: decision, place (from 1) and candidate_ref, so that a decision of any number of candidates is no one value."""
+    return ranking.numbered(judged.select("decision", "candidate_ref"), [F.asc("candidate_ref")], ["decision"])
+
+
 def shares(judged: DataFrame) -> DataFrame:
     """The first version's figures: shares of A and B, and of C and D, among labelled admissions; admitted A; rejected D. Null without cases."""
     d, k, n = F.col("decision"), F.col("class"), F.count_if
@@ -212,7 +247,7 @@ def assessment_lines(candidates_: DataFrame, unit_texts: DataFrame) -> DataFrame
 
 def batches(candidates_: DataFrame, seed: str, target: int = 6) -> DataFrame:
     """Candidates with the batch in which an annotator assesses them."""
-    return ranking.balanced_batches(candidates_.withColumn("_all", F.lit(0)), ["_all"], "ref", seed, target).drop("_all")
+    return ranking.batches_over_all(candidates_, "ref", seed, target)
 
 
 def reassemble(candidates_: DataFrame, assessments: DataFrame) -> DataFrame:

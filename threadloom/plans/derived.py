@@ -605,7 +605,8 @@ def assessment_pilot(spark, sf_dir):
     dealt = admission.batches(cands, "seed").select(F.col("ref").alias("candidate_ref"), _term(i, admission.FORMS).alias("concept_form"), F.lit("supporting").alias("evidence_role"), _term(i, admission.POTENTIALS).alias("longitudinal_potential"), "pos")
     out = admission.assess(cands.withColumns({"distinct_session_count": F.lit(1), "match_kinds": F.array(F.lit("new")), "session_ids": F.array(F.lit("s"))}), texts, dealt, "named_or_high")
     n = out["judged"].groupBy("decision").agg(F.count("*").alias("n"), F.count_if("evidence_resolved").alias("resolved"))
-    return n.join(out["lists"], "decision").select("decision", "n", "resolved", F.array_join(F.slice("refs", 1, 3), ",").alias("refs"))
+    few = admission.report_rows(out["judged"]).where("place <= 3").groupBy("decision").agg(F.array_join(F.array_sort(F.collect_list("candidate_ref")), ",").alias("refs"))
+    return n.join(few, "decision").select("decision", "n", "resolved", "refs")
 
 
 @query("""SELECT 'assessments' AS run, 'invalid_concept_form' AS reason, 'C' || min(c_custkey) AS detail FROM customer WHERE c_custkey IN (3, 4) UNION ALL SELECT 'decisions', 'invalid_decision_reason', 'C' || min(c_custkey) FROM customer WHERE c_custkey IN (5, 6)

@@ -26,10 +26,16 @@ class Pilot:
     candidates: DataFrame
 
 
+def last_units(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Units by ref; of equal refs the last in their order counts."""
+    found = units.groupBy(*keys, "evidence_ref").agg(F.max_by(F.struct("unit_text", "message_id", "message_at"), F.struct("message_no", "unit_no", "unit_start")).alias("u"))
+    return found.select(*keys, "evidence_ref", "u.*")
+
+
 def actions(units: DataFrame, annotated: DataFrame, keys: list[str]) -> DataFrame:
     """The annotator's actions in order, each with why its surface form isn't in its unit or its unit can't have an occurrence."""
     rows = concepts.flatten_actions(annotated).withColumn("pos", F.struct("occurred_at", "session_id", "pos", "nth")).drop("nth", "disposition")
-    rows = rows.join(units.select(*keys, "evidence_ref", "unit_text", "message_id", "message_at").dropDuplicates([*keys, "evidence_ref"]), [*keys, "evidence_ref"], "left")
+    rows = rows.join(last_units(units, keys), [*keys, "evidence_ref"], "left")
     idle = F.col("action").isin("skip", "uncertain")
     surface = F.when(idle, F.col("unit_text")).otherwise(F.col("surface_form"))  # idle actions have none to look for
     ground = concepts.grounding_reason(F.col("evidence_ref"), F.col("unit_text"), surface)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import concepts
+from ..operators import ranking
+from . import admission, concepts
 from .queries import _table, query
 
 #: What the derived actions name, and the registry that each owner has before: ref, id, label, aliases ("shared" is ambiguous).
@@ -104,3 +105,65 @@ def registry_metrics(spark, sf_dir):
     """Outcomes of each kind of each owner's actions."""
     rows, seeds = _registry(spark, sf_dir)
     return concepts.metrics(concepts.resolve(rows, ["owner"], seeds), ["owner"])
+
+
+@query("""
+    WITH h AS (
+        SELECT 'C' || p_partkey AS ref, list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(string_split('seed:C' || p_partkey, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: xor(a, c) * 16777619 % 4294967296) AS hash FROM part
+    ), n AS (SELECT *, row_number() OVER (ORDER BY hash, ref) AS place, count(*) OVER () AS n FROM h),
+    k AS (SELECT *, greatest(1, CAST(floor(n / 6.0 + 0.5) AS BIGINT)) AS k FROM n)
+    SELECT ref, hash, place, CAST(CASE WHEN place - 1 < (n % k) * (n // k + 1) THEN (place - 1) // (n // k + 1) ELSE n % k + (place - 1 - (n % k) * (n // k + 1)) // (n // k) END + 1 AS INTEGER) AS batch_no FROM k""")
+def batches_over_all(spark, sf_dir):
+    """A whole table dealt into batches of about six in the order of a hash."""
+    p = _table(spark, sf_dir, "part").select(F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("ref"))
+    return ranking.batches_over_all(p, "ref", "seed").select("ref", "hash", "place", "batch_no")
+
+
+# Batches of six customers are assessed; three of four first calls have a fault, often two; a batch in eight fails twice, one call gives nothing.
+_CALLS = """
+    c AS (SELECT c_custkey AS pos, 'C' || c_custkey AS ref, c_custkey // 6 AS batch_no, c_custkey % 6 AS k FROM customer),
+    calls AS (SELECT DISTINCT batch_no, 1 AS attempt FROM c UNION SELECT DISTINCT batch_no, 2 FROM c WHERE batch_no % 4 > 0),
+    given AS (
+        SELECT batch_no, attempt, pos, k, CASE WHEN attempt = 1 AND batch_no % 4 = 3 AND k = 4 THEN 'Z' || pos WHEN attempt = 1 AND batch_no % 4 = 1 AND k = 5 THEN 'C' || (pos - 1) ELSE ref END AS ref,
+            CASE WHEN attempt = 1 AND batch_no % 4 = 1 AND k IN (3, 4) THEN 'odd' ELSE 'pii' END AS form, CASE WHEN batch_no % 8 = 7 AND k = 2 THEN 'odd' ELSE 'central' END AS role, CASE WHEN attempt = 1 AND batch_no % 4 = 1 AND k = 3 THEN 'odd' ELSE 'low' END AS potential
+        FROM c JOIN calls USING (batch_no) WHERE NOT (attempt = 1 AND batch_no % 4 = 2 AND (k IN (1, 4) OR batch_no % 3 = 0))
+    ), v AS (
+        SELECT g.*, CASE WHEN c.ref IS NULL THEN 'unknown_candidate_ref' WHEN row_number() OVER (PARTITION BY g.batch_no, attempt, g.ref ORDER BY g.pos) > 1 THEN 'duplicate_candidate_ref' WHEN form = 'odd' THEN 'invalid_concept_form' WHEN role = 'odd' THEN 'invalid_evidence_role' WHEN potential = 'odd' THEN 'invalid_longitudinal_potential' END AS reason
+        FROM given g LEFT JOIN c ON c.batch_no = g.batch_no AND c.ref = g.ref
+    ), bad AS (SELECT batch_no, attempt, arg_min(reason, pos) AS reason, arg_min(ref, pos) AS detail FROM v WHERE reason IS NOT NULL GROUP BY batch_no, attempt),
+    gone AS (SELECT calls.batch_no, attempt, arg_min(c.ref, c.pos) AS detail FROM calls JOIN c USING (batch_no) WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.batch_no = calls.batch_no AND g.attempt = calls.attempt AND g.ref = c.ref) GROUP BY calls.batch_no, attempt),
+    f AS (SELECT calls.batch_no, calls.attempt, coalesce(bad.reason, CASE WHEN gone.detail IS NOT NULL THEN 'missing_candidate_ref' END) AS reason, coalesce(bad.detail, gone.detail) AS detail
+        FROM calls LEFT JOIN bad ON bad.batch_no = calls.batch_no AND bad.attempt = calls.attempt LEFT JOIN gone ON gone.batch_no = calls.batch_no AND gone.attempt = calls.attempt)"""
+
+
+def _calls(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    key = F.col("c_custkey")
+    c = _table(spark, sf_dir, "customer").select(key.alias("pos"), F.concat(F.lit("C"), key.cast("string")).alias("ref"), F.floor(key / 6).alias("batch_no"), (key % 6).alias("k"))
+    b, k, first = F.col("batch_no"), F.col("k"), F.col("attempt") == 1
+    calls = c.select("batch_no").distinct().withColumn("attempt", F.explode(F.when(b % 4 > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    ref = F.when(first & (b % 4 == 3) & (k == 4), F.concat(F.lit("Z"), F.col("pos").cast("string"))).when(first & (b % 4 == 1) & (k == 5), F.concat(F.lit("C"), (F.col("pos") - 1).cast("string"))).otherwise(F.col("ref"))
+    given = c.join(calls, "batch_no").where(~(first & (b % 4 == 2) & (k.isin(1, 4) | (b % 3 == 0)))).select(
+        "batch_no", "attempt", "pos", ref.alias("candidate_ref"), F.when(first & (b % 4 == 1) & k.isin(3, 4), "odd").otherwise("pii").alias("concept_form"),
+        F.when((b % 8 == 7) & (k == 2), "odd").otherwise("central").alias("evidence_role"), F.when(first & (b % 4 == 1) & (k == 3), "odd").otherwise("low").alias("longitudinal_potential"),
+    )
+    return c.drop("k"), calls, given
+
+
+@query(f"WITH {_CALLS} SELECT CAST(batch_no AS BIGINT) AS batch_no, CAST(attempt AS INTEGER) AS attempt, reason, detail FROM f")
+def assessment_calls(spark, sf_dir):
+    """Each call of an annotator of batches with its first failure, or none."""
+    return admission.assessment_failures(*_calls(spark, sf_dir))
+
+
+@query(f"""WITH {_CALLS}, good AS (SELECT batch_no, max(attempt) AS attempt FROM f WHERE reason IS NULL GROUP BY batch_no), one AS (SELECT batch_no, arg_max(reason, attempt) AS reason, arg_max(detail, attempt) AS detail FROM f WHERE attempt = 1 GROUP BY batch_no)
+    SELECT CAST(c.pos AS BIGINT) AS pos, c.ref, CAST(g.attempt AS INTEGER) AS attempt, g.form AS concept_form, one.reason AS repaired, CASE WHEN good.batch_no IS NULL THEN f.reason || ':' || f.detail END AS failed
+    FROM c LEFT JOIN good USING (batch_no) LEFT JOIN given g ON g.batch_no = c.batch_no AND g.attempt = good.attempt AND g.ref = c.ref LEFT JOIN one ON one.batch_no = c.batch_no LEFT JOIN f ON f.batch_no = c.batch_no AND f.attempt = 2""")
+def assessment_repairs(spark, sf_dir):
+    """Batches that failed go out once more; the latest valid call counts, and candidates come in their order with it or with what failed."""
+    c, calls, given = _calls(spark, sf_dir)
+    failures = admission.assessment_failures(c, calls, given)
+    told = admission.repairs(failures.where("attempt = 1")).select("batch_no", F.col("reason").alias("repaired"))
+    counts, failed = admission.settled(failures, given)
+    failed = failed.select("batch_no", F.concat_ws(":", "reason", "detail").alias("failed"))
+    own = counts.select(F.col("candidate_ref").alias("ref"), "attempt", "concept_form")
+    return c.join(own, "ref", "left").join(told, "batch_no", "left").join(failed, "batch_no", "left").select("pos", "ref", "attempt", "concept_form", "repaired", "failed")
