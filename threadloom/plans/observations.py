@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from ..functions import labels as L
 from ..functions.dates import thought_date
 from ..operators import joins, ranking
+from ..shared import kept
 from ..sources.payloads import parse_strict
 
 #: Versions that project, the version of the projection, and the kinds.
@@ -73,6 +74,28 @@ def backfill_counts(reviews: DataFrame, projected: DataFrame, existing: DataFram
     return a.join(F.broadcast(b)).join(F.broadcast(c))  # three single rows
 
 
+def _digested(reviews: DataFrame) -> DataFrame:
+    return reviews.withColumn("digest", F.sha2(F.to_json(F.struct(*reviews.columns)), 256))
+
+
+def store_tables(reviews: DataFrame, sessions: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The tables of a store that backfill_changes writes, with their keys: observations, and the reviews that were projected."""
+    return {"observations": (project(reviews, sessions), IDENTITY), "projected_reviews": (_digested(reviews).select("review_id", "digest"), ["review_id", "digest"])}
+
+
+def backfill_changes(store, run: str, reviews: DataFrame, sessions: DataFrame) -> tuple[int, int, int]:
+    """Projects the reviews that are new, or have another content than when they were projected, and adds the observations that aren't
+    there yet: (reviews read, of these changed, observations added). A review that is unchanged isn't read beyond its digest."""
+    digested = _digested(reviews)
+    seen = store.read("projected_reviews")
+    fresh = kept(joins.missing(digested, seen, ["review_id", "digest"]), "reviews")
+    changed = joins.present(fresh, seen.select("review_id").distinct(), ["review_id"])
+    counts = fresh.count(), changed.count()
+    tables = store_tables(fresh.drop("digest"), sessions)
+    done = store.commit(run, {"observations": tables["observations"][0], "projected_reviews": fresh.select("review_id", "digest")})
+    return *counts, done["observations"]
+
+
 SUPPORTS = ["direct", "cross_session_interpretation", "hypothesis"]
 _SIDE = StructType([StructField("text", StringType())])
 _TEXTS = ["text", "interpretation", "before", "after", "relationType", "supportType"]

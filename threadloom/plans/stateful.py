@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from . import admission, concepts
+from ..shared import shared_dir
+from ..sources import sinks
+from ..sources.store import Store
+from . import admission, concepts, observations
 from .queries import _table, query
 
 #: What the derived actions name, and the registry that each owner has before: ref, id, label, aliases ("shared" is ambiguous).
@@ -167,3 +172,67 @@ def assessment_repairs(spark, sf_dir):
     failed = failed.select("batch_no", F.concat_ws(":", "reason", "detail").alias("failed"))
     own = counts.select(F.col("candidate_ref").alias("ref"), "attempt", "concept_form")
     return c.join(own, "ref", "left").join(told, "batch_no", "left").join(failed, "batch_no", "left").select("pos", "ref", "attempt", "concept_form", "repaired", "failed")
+
+
+def _new_store(spark, tables: dict, references: list = ()) -> Store:
+    """An empty store for rows like those of tables: (rows, keys) by name."""
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", {n: list(k) for n, (_, k) in tables.items()}, {n: r.schema for n, (r, _) in tables.items()}, references)
+
+
+@query("""
+    WITH m AS (SELECT conv_id, turn, role FROM conversations), s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS u FROM m GROUP BY conv_id),
+    a AS (SELECT *, CASE WHEN conv_id % 10 = 0 THEN 0 WHEN conv_id % 5 = 0 THEN 2 ELSE n END AS parsed, conv_id % 7 = 0 AS gone, conv_id % 2 = 1 AS late FROM s)
+    SELECT 'sessions' AS name, count(*) FILTER (NOT gone) AS rows, count(*) FILTER (NOT late) AS first, count(*) FILTER (late) AS second, count(*) FILTER (gone) AS deleted FROM a
+    UNION ALL SELECT 'messages', CAST(sum(parsed) FILTER (NOT gone) AS BIGINT), CAST(sum(n) FILTER (NOT late) AS BIGINT), CAST(sum(n) FILTER (late) AS BIGINT), CAST(coalesce(sum(parsed) FILTER (gone), 0) AS BIGINT) FROM a
+    UNION ALL SELECT 'analyses', count(*) FILTER (NOT gone), 0, count(*), count(*) FILTER (gone) FROM a
+    UNION ALL SELECT 'evidences', CAST(coalesce(sum(u) FILTER (NOT gone), 0) AS BIGINT), 0, CAST(sum(u) AS BIGINT), CAST(coalesce(sum(u) FILTER (gone), 0) AS BIGINT) FROM a
+    UNION ALL SELECT 'session_status', count(*) FILTER (NOT gone), 0, count(*), count(*) FILTER (gone) FROM a
+    UNION ALL SELECT 'reviews', count(DISTINCT conv_id // 20), 0, count(DISTINCT conv_id // 20), 0 FROM a
+    UNION ALL SELECT 'review_sessions', count(*) FILTER (NOT gone), 0, count(*), count(*) FILTER (gone) FROM a
+    UNION ALL SELECT 'packs', count(DISTINCT conv_id // 50), 0, count(DISTINCT conv_id // 50), 0 FROM a
+    UNION ALL SELECT 'pack_sessions', count(*) FILTER (NOT gone), 0, count(*), count(*) FILTER (gone) FROM a""")
+def store_runs(spark, sf_dir):
+    """A store of nine tables: half of the sessions, then all with their analyses, reviews and packs, messages of some parsed again (of
+    some from a text that is now empty), and sessions deleted with all that hangs on them. Rows that are left, and what each run did."""
+    c = _table(spark, sf_dir, "conversations")
+    i = F.col("conv_id")
+    id_ = i.cast("string").alias("session_id")
+    sessions = c.select(id_, "conv_id").distinct().select("session_id", "conv_id", F.concat(F.lit("Conversation "), "session_id").alias("title"))
+    messages = c.select(id_, F.col("turn").cast("int").alias("index"), "role", F.col("text").alias("content"))
+    item = F.struct(F.array(F.struct(F.concat_ws(":", i.cast("string"), F.col("turn").cast("string")).alias("message_id"), F.substring("text", 1, 20).alias("quote"), F.lit(True).alias("validated"))).alias("evidence"))
+    items = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", item.alias("i"))))), lambda x: x["i"]).alias("items"))
+    analysed = sinks.analysis_tables(items.select(F.concat(F.lit("a"), i.cast("string")).alias("analysis_id"), id_, "items"))
+    analysed["analyses"] = (analysed["analyses"][0].drop("items"), analysed["analyses"][1])
+    grouped = lambda n, name: c.select(F.floor(i / n).alias(name), id_).distinct().groupBy(name).agg(F.collect_list("session_id").alias("session_ids"))
+    reviews, packs = sinks.bridge_tables(grouped(20, "review_id"), "review_id", "session_ids", "review"), sinks.bridge_tables(grouped(50, "pack_id"), "pack_id", "session_ids", "pack")
+    tables = {"sessions": (sessions.drop("conv_id"), ["session_id"]), "messages": (messages, ["session_id", "index"])} | analysed | reviews | packs
+    below = [("sessions", n, "session_id") for n in ("messages", "analyses", "evidences", "session_status", "review_sessions", "pack_sessions")]
+    store = _new_store(spark, tables, [*below, ("analyses", "evidences", "analysis_id"), ("reviews", "review_sessions", "review_id"), ("packs", "pack_sessions", "pack_id")])
+    even = sessions.where(i % 2 == 0)
+    first = store.commit("first", {"sessions": even, "messages": messages.join(even, "session_id", "left_semi")})
+    second = store.commit("second", {n: rows for n, (rows, _) in tables.items()})
+    again = sessions.where(i % 5 == 0).select("session_id", F.when(i % 10 == 0, " ").otherwise("User: hi\nAssistant: yes").alias("raw_content"))
+    parsed = sinks.parsed_sessions(again)[1].where(F.trim("content") != "").select("session_id", F.col("index").cast("int").alias("index"), "role", "content")
+    store.replace("parsed", "messages", "session_id", again, parsed)
+    deleted = store.cascade("deleted", "sessions", sessions.where(i % 7 == 0))
+    parts = [store.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows"), *(F.lit(d.get(n, 0)).cast("long").alias(k) for k, d in (("first", first), ("second", second), ("deleted", deleted)))) for n in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""
+    WITH r AS (SELECT DISTINCT conv_id // 20 AS review_id FROM conversations), i AS (SELECT DISTINCT conv_id, conv_id // 20 AS review_id FROM conversations),
+    v AS (SELECT review_id, count(*) FILTER (conv_id % 7 <> 0 AND review_id % 4 <> 3) AS items FROM i GROUP BY review_id)
+    SELECT 'first' AS run, count(*) AS considered, CAST(0 AS BIGINT) AS changed, CAST(sum(items) AS BIGINT) AS inserted FROM v UNION ALL SELECT 'again', 0, 0, 0
+    UNION ALL SELECT 'later', count(*) FILTER (review_id % 3 = 0), count(*) FILTER (review_id % 3 = 0), 0 FROM v""")
+def observation_changes(spark, sf_dir):
+    """Reviews projected to observations, the same again, and again after a third of them has changed: only these are read."""
+    from .derived import _review_rows, _session_days
+
+    reviews, days = _review_rows(spark, sf_dir), _session_days(spark, sf_dir)
+    store = _new_store(spark, observations.store_tables(reviews, days))
+    later = reviews.withColumn("detected_at", F.when(F.col("review_id") % 3 == 0, "2024-03-01").otherwise(F.col("detected_at")))
+    runs = [(n, *observations.backfill_changes(store, n, r, days)) for n, r in (("first", reviews), ("again", reviews), ("later", later))]
+    return spark.createDataFrame(runs, "run string, considered long, changed long, inserted long")
