@@ -492,3 +492,28 @@ def test_a_chain_of_refs_is_decided_by_change(spark):
     trace = []
     concepts.resolve(spark.createDataFrame([("r", "s", b, p, u, a, x, e, g) for p, b, u, a, x, e, g in actions(None)] + calm, ACTIONS), ["reg"], trace=trace).count()
     assert trace[0] == 1200 and sum(trace[1:]) < 1000
+
+
+def test_normal_forms_of_all_characters(spark):
+    """Every character by itself and after letters: as unicodedata has it, and calm ones aren't sent to Python."""
+    import unicodedata
+
+    chars = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]
+    texts = [(x,) for c in chars for x in (c, "aか한" + c)] + [("plain ASCII text",), ("日本語のテキスト、です。",), ("",), (None,)]
+    df = spark.createDataFrame(texts, "t string").repartition(4)
+    got = df.select("t", T.nfkc(F.col("t")).alias("k"), T.nfc(F.col("t")).alias("c"), T.unusual(F.col("t"), "NFKC").alias("u"), T.unusual(F.col("t"), "NFC").alias("v")).collect()
+    assert all(r.k == (r.t and unicodedata.normalize("NFKC", r.t)) and r.c == (r.t and unicodedata.normalize("NFC", r.t)) for r in got)
+    assert {r.t: (r.u, r.v) for r in got if r.t in ("plain ASCII text", "日本語のテキスト、です。", "é")} == {"plain ASCII text": (None, None), "日本語のテキスト、です。": (None, None), "é": ("é", None)}
+
+
+def test_pairs_of_calm_characters_do_not_compose():
+    import re
+    import unicodedata
+
+    for form, pattern in T._UNUSUAL.items():
+        odd = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U%08x" % int(m[1], 16), pattern))
+        calm = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and not odd.search(chr(i))]
+        assert len(calm) > 20_000 and all(unicodedata.is_normalized(form, c) and not unicodedata.combining(c) for c in calm)
+        # what can be the second of a composition is never calm
+        second = {d[1] for i in range(0x10000) if not 0xD800 <= i < 0xE000 and len(d := unicodedata.normalize("NFD", chr(i))) > 1}
+        assert not second & set(calm)

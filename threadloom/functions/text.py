@@ -37,6 +37,22 @@ GRAMMATICAL = "^(を|が|は|て|に|と|で|こと|している|感じている
 LONG_LABEL, MAX_ALIAS = 12, 16
 
 
+#: Characters that no normal form changes and that compose with none of the others: ASCII, of NFC all below the combining marks, and the
+#: common ranges of Japanese.
+_CALM = r"\x{3001}\x{3002}\x{300C}\x{300D}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{30FC}\x{4E00}-\x{9FFF}"
+_UNUSUAL = {"NFKC": rf"[^\x{{0}}-\x{{9F}}{_CALM}]", "NFC": rf"[^\x{{0}}-\x{{2FF}}{_CALM}]"}
+
+
+def unusual(text: Column, form: str) -> Column:
+    """The text if the normal form may change it, else null."""
+    return F.when(text.rlike(_UNUSUAL[form]), text)
+
+
+def _in_form(text: Column, form: str) -> Column:
+    """Only texts that may change go to Python."""
+    return F.coalesce(_normal(form)(unusual(text, form)), text)
+
+
 def _normal(form: str):
     @F.pandas_udf(StringType())
     def run(text: pd.Series) -> pd.Series:
@@ -56,11 +72,11 @@ def ascii_lower(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Compatibility form. Spark has no such function, so this runs in Python, in Arrow batches."""
-    return _normal("NFKC")(text)
+    return _in_form(text, "NFKC")
 
 
 def nfc(text: Column) -> Column:
-    return _normal("NFC")(text)
+    return _in_form(text, "NFC")
 
 
 def squeeze(text: Column) -> Column:
