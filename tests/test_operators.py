@@ -517,3 +517,13 @@ def test_pairs_of_calm_characters_do_not_compose():
         # what can be the second of a composition is never calm
         second = {d[1] for i in range(0x10000) if not 0xD800 <= i < 0xE000 and len(d := unicodedata.normalize("NFD", chr(i))) > 1}
         assert not second & set(calm)
+
+
+def test_containment_of_keys_with_a_common_piece(spark, monkeypatch):
+    keys = [(i, "common") for i in range(40)] + [(100 + i, f"xx{i}common{i}yy") for i in range(40)] + [(200, "mm"), (201, "c"), (202, "mon")]
+    df = spark.createDataFrame(keys, "id int, k string")
+    want = sorted((i, j) for i, a in keys for j, b in keys if i != j and len(a) >= 2 and a in b)
+    for together in (4096, 3):
+        monkeypatch.setattr(joins, "TOGETHER", together)
+        pairs = joins.key_containment(df, "id", "k")
+        assert sorted((r.inner_id, r.outer_id) for r in pairs.collect()) == want

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import guards, ranking
 from ..shared import shared_dir
 from ..sources import sinks
 from ..sources.store import Store
 from . import admission, concepts, observations
+from .derived import _CITED, _HARD, _SOFT, _cited, _review_rows, _said, _session_days
 from .queries import _table, query
 
 #: What the derived actions name, and the registry that each owner has before: ref, id, label, aliases ("shared" is ambiguous).
@@ -229,10 +230,20 @@ def store_runs(spark, sf_dir):
     UNION ALL SELECT 'later', count(*) FILTER (review_id % 3 = 0), count(*) FILTER (review_id % 3 = 0), 0 FROM v""")
 def observation_changes(spark, sf_dir):
     """Reviews projected to observations, the same again, and again after a third of them has changed: only these are read."""
-    from .derived import _review_rows, _session_days
-
     reviews, days = _review_rows(spark, sf_dir), _session_days(spark, sf_dir)
     store = _new_store(spark, observations.store_tables(reviews, days))
     later = reviews.withColumn("detected_at", F.when(F.col("review_id") % 3 == 0, "2024-03-01").otherwise(F.col("detected_at")))
     runs = [(n, *observations.backfill_changes(store, n, r, days)) for n, r in (("first", reviews), ("again", reviews), ("later", later))]
     return spark.createDataFrame(runs, "run string, considered long, changed long, inserted long")
+
+
+@query(f"""WITH {_CITED}, o AS (SELECT conv_id, turn, bool_or(NOT ok AND why = 'quote_not_found') AS invalid, coalesce(list_sort(list(DISTINCT s) FILTER (ok)), []) AS ss FROM e GROUP BY conv_id, turn),
+    p AS (SELECT x.conv_id, x.turn, x.invalid OR y.invalid AS side_invalid, len(x.ss) = 1 AND len(y.ss) = 1 AND x.ss = y.ss AS one FROM o x JOIN o y ON y.conv_id = x.conv_id + 1 AND y.turn = x.turn)
+    SELECT conv_id, turn, CASE WHEN invalid OR side_invalid THEN 'invalid_evidence_ref|hard' WHEN one THEN 'insufficient_distinct_sessions|interpretation' {_HARD} WHEN n < 2 THEN 'insufficient_distinct_sessions|interpretation' {_SOFT} ELSE '|interpretation' END AS verdict
+    FROM a JOIN p USING (conv_id, turn)""")
+def tension_verdicts(spark, sf_dir):
+    """Tensions between what is cited at a turn and at the same turn of the next conversation: the whole verdict of each."""
+    a = _cited(spark, sf_dir)
+    sides = a.where(F.size("evidence") > 0).select("conv_id", "turn", F.col("evidence").alias("a"))
+    rows = a.join(sides, ["conv_id", "turn"]).join(sides.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("a").alias("b")), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", _said(guards.tension(F.col("claim"), F.col("evidence"), F.col("a"), F.col("b"))).alias("verdict"))
