@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import guards, ranking
-from ..shared import shared_dir
+from ..operators import guards, ranking, units
+from ..shared import kept, shared_dir
 from ..sources import sinks
 from ..sources.store import Store
-from . import admission, concepts, observations
-from .derived import _CITED, _HARD, _SOFT, _cited, _review_rows, _said, _session_days
+from . import admission, analysis, concepts, observations
+from .derived import _ALLOWED, _CITED, _HARD, _KINDS, _ROLE, _SOFT, _SUBJECTS, _UNITS, _cited, _review_rows, _said, _session_days, _term
 from .queries import _table, query
 
 #: What the derived actions name, and the registry that each owner has before: ref, id, label, aliases ("shared" is ambiguous).
@@ -247,3 +247,31 @@ def tension_verdicts(spark, sf_dir):
     sides = a.where(F.size("evidence") > 0).select("conv_id", "turn", F.col("evidence").alias("a"))
     rows = a.join(sides, ["conv_id", "turn"]).join(sides.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("a").alias("b")), ["conv_id", "turn"])
     return rows.select("conv_id", "turn", _said(guards.tension(F.col("claim"), F.col("evidence"), F.col("a"), F.col("b"))).alias("verdict"))
+
+
+@query(f"""WITH RECURSIVE {_UNITS}, it AS (
+        SELECT conv_id, turn, {_listed(_KINDS)}[1 + (conv_id + turn) % 6] AS kind, {_listed(_SUBJECTS)}[1 + conv_id % 4] AS subject,
+            CASE (conv_id + turn) % 4 WHEN 0 THEN [ref] WHEN 1 THEN [ref, 'M999:E01'] WHEN 2 THEN ['M001:E01', ref] ELSE CAST([] AS VARCHAR[]) END AS refs FROM u WHERE unit_no = 1
+    ), ex AS (SELECT conv_id, turn, unnest(refs) AS r FROM it),
+    ev AS (SELECT ex.conv_id, ex.turn, count(*) AS n_all, count(u.ref) AS n_ok, bool_or(u.ref IS NULL) AS invalid, bool_or(coalesce(u.role = 'user', false)) AS usr FROM ex LEFT JOIN u ON u.conv_id = ex.conv_id AND u.ref = ex.r GROUP BY ex.conv_id, ex.turn),
+    x AS (SELECT it.*, coalesce(n_all, 0) AS n_all, coalesce(n_ok, 0) AS n_ok, coalesce(invalid, false) AS invalid, coalesce(usr, false) AS usr, coalesce(n_ok, 0) > 0 AS valid FROM it LEFT JOIN ev USING (conv_id, turn)),
+    j AS (
+        SELECT *, CASE WHEN NOT ({_ALLOWED}) THEN 'unsupported_subject_kind' WHEN invalid THEN 'invalid_evidence_ref' WHEN (kind IN ('decision', 'action') OR kind IN ('fact', 'insight') AND subject = 'user') AND NOT usr THEN {_ROLE} END AS why,
+            CASE WHEN kind = 'fact' THEN NOT valid WHEN kind IN ('decision', 'action') THEN NOT usr ELSE false END AS unsupported FROM x
+    )
+    SELECT conv_id, 'Summary ' || conv_id AS summary, string_agg(kind || ':' || coalesce(why, 'ok') || CASE WHEN unsupported THEN '!' ELSE '' END, ',' ORDER BY turn) AS items, CAST(sum(n_all) AS BIGINT) AS evidence_count, CAST(sum(n_ok) AS BIGINT) AS validated_count,
+        round(CASE WHEN sum(n_all) > 0 THEN sum(n_ok) / sum(n_all) ELSE 0 END, 9) AS validation_rate, count(*) AS semantic_item_count, count(*) FILTER (why IS NULL) AS semantic_valid_count, round(count(*) FILTER (why IS NULL) / count(*), 9) AS semantic_validation_rate
+    FROM j GROUP BY conv_id""")
+def session_analyses(spark, sf_dir):
+    """Sessions analysed from an annotator's items and refs to stored payloads with their metrics."""
+    i, t = F.col("conv_id"), F.col("turn")
+    c = _table(spark, sf_dir, "conversations").withColumn("message_id", F.concat_ws(":", i.cast("string"), t.cast("string")))
+    u = kept(units.evidence_units(c, ["conv_id"], ["turn"], content="text"), "units")
+    refs = F.when((i + t) % 4 == 0, F.array("ref")).when((i + t) % 4 == 1, F.array(F.col("ref"), F.lit("M999:E01"))).when((i + t) % 4 == 2, F.array(F.lit("M001:E01"), F.col("ref"))).otherwise(F.array().cast("array<string>"))
+    items = u.where("unit_no = 1").select("conv_id", t.alias("item_id"), _term(i + t, _KINDS).alias("kind"), _term(i, _SUBJECTS).alias("subject"), F.col("unit_text").alias("text"), refs.alias("refs"))
+    analysed = kept(analysis.analyse(items, u, c.withColumnRenamed("text", "content"), ["conv_id"]), "analysed")
+    summaries = items.select("conv_id").distinct().select("conv_id", F.concat(F.lit("Summary "), i.cast("string")).alias("summary"))
+    out = analysis.payloads(analysed, summaries, ["conv_id"])
+    shown = F.transform("items", lambda x: F.concat(x["kind"], F.lit(":"), F.coalesce(x["invalid_reason"], F.lit("ok")), F.when(x["unsupported_claim"], "!").otherwise("")))
+    rates = {r: F.round(r, 9) for r in ("validation_rate", "semantic_validation_rate")}
+    return out.withColumn("items", F.array_join(shown, ",")).withColumns(rates).select("conv_id", "summary", "items", "evidence_count", "validated_count", "validation_rate", "semantic_item_count", "semantic_valid_count", "semantic_validation_rate")
