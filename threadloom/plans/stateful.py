@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import guards, ranking, units
 from ..shared import kept, shared_dir
-from ..sources import sinks
+from ..sources import export, sinks
 from ..sources.store import Store
 from . import admission, analysis, concepts, observations
 from .derived import _ALLOWED, _CITED, _HARD, _KINDS, _ROLE, _SOFT, _SUBJECTS, _UNITS, _cited, _review_rows, _said, _session_days, _term
@@ -275,3 +275,21 @@ def session_analyses(spark, sf_dir):
     shown = F.transform("items", lambda x: F.concat(x["kind"], F.lit(":"), F.coalesce(x["invalid_reason"], F.lit("ok")), F.when(x["unsupported_claim"], "!").otherwise("")))
     rates = {r: F.round(r, 9) for r in ("validation_rate", "semantic_validation_rate")}
     return out.withColumn("items", F.array_join(shown, ",")).withColumns(rates).select("conv_id", "summary", "items", "evidence_count", "validated_count", "validation_rate", "semantic_item_count", "semantic_valid_count", "semantic_validation_rate")
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT count(DISTINCT conv_id // 25) AS files, CAST(1 AS BIGINT) AS skipped_files, count(*) + count(*) FILTER (conv_id % 6 = 0) + count(*) FILTER (conv_id % 4 = 1) AS elements, count(*) FILTER (conv_id % 6 = 0) AS no_conversation, count(*) FILTER (conv_id % 4 = 1) AS repeated, count(*) AS conversations FROM c""")
+def export_load(spark, sf_dir):
+    """Conversations written as export files of 25, some twice and some broken, beside a file of another kind, and read as elements: counts
+    of what is read and skipped."""
+    i = F.col("conv_id")
+    node = F.struct(F.col("turn").cast("string").alias("id"), F.struct("role", F.col("text").alias("parts")).alias("message"))
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string").alias("k"), node.alias("v")))).alias("mapping"))
+    whole = F.struct(i.cast("string").alias("id"), F.lit('a "title" } ] {').alias("title"), "mapping")
+    broken = F.struct(i.cast("string").alias("id"), F.lit("none").alias("title"), F.lit(None).cast(c.schema["mapping"].dataType).alias("mapping"))
+    each = F.array_compact(F.array(whole, F.when(i % 4 == 1, whole), F.when(i % 6 == 0, broken)))
+    files = c.select(F.floor(i / 25).alias("file"), F.explode(each).alias("e")).groupBy("file").agg(F.collect_list("e").alias("conversations"))
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    files.select("conversations").write.option("maxRecordsPerFile", 1).json(f"{path}/chats")
+    spark.range(1).select(F.lit("not an export").alias("t")).coalesce(1).write.text(f"{path}/notes")
+    return export.load_counts(spark, path, export.read_elements(spark, path))
