@@ -28,8 +28,8 @@ _, A_END, B_END, BOTH = b".abx"
 GROUP = re.compile(rb"[.ab]*x")
 #: Runs of characters with the white space before them; a text that they don't make up has other white space, and isn't cut.
 RUN = re.compile(r"[ \n]?[^\s]+")
-#: Runs that a worker keeps at most; when full, it starts anew.
-CACHE = 800_000
+#: Runs that a worker keeps at most, about; when full, it starts anew. A larger dict would double.
+CACHE = 640_000
 #: Texts that are handled at once.
 CHUNK = 256
 #: Bits of B's id in the code of a pair, a fixed value of sentencepiece.
@@ -108,9 +108,9 @@ class Aligner:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str | None] = []  # None: a side doesn't give the run back
-        self.counts = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
-        self.starts, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.groups: list[bytes | None] = []  # None: a side doesn't give the run back
+        self.counts = np.zeros((4, 0), np.int32)  # tokens of A, of B, groups, links
+        self.starts, self.codes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def aligned(self, raws: list[str], a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
         """Counts of each text, all their link codes one after the other, and their groups; texts that a side doesn't give back have none."""
@@ -144,11 +144,11 @@ class Aligner:
         """Keeps the alignment of each run."""
         counts, codes, groups = self.aligned(runs, *self._encode(runs))
         self.number.update(zip(runs, range(len(self.groups), len(self.groups) + len(runs)), strict=True))
-        self.groups += groups
-        self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(counts[3]) - counts[3]])
-        self.counts, self.codes = np.concatenate([self.counts, counts], 1), np.concatenate([self.codes, codes])
+        self.groups += [g if g is None else g.encode() for g in groups]
+        self.starts = np.concatenate([self.starts, (len(self.codes) + np.cumsum(counts[3]) - counts[3]).astype(np.int32)])
+        self.counts, self.codes = np.concatenate([self.counts, counts.astype(np.int32)], 1), np.concatenate([self.codes, codes])
 
-    def texts(self, some: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, str] | None]:
+    def texts(self, some: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, bytes] | None]:
         """For each text its counts, its link codes in order and its groups; None: it has no tokens."""
         cut = [RUN.findall(" " + t) if t else [] for t in some]
         cut = [runs if t and sum(map(len, runs)) == len(t) + 1 else None for t, runs in zip(some, cut, strict=True)]
@@ -163,7 +163,7 @@ class Aligner:
             elif runs is None:
                 raw = [" " + t]
                 counts, codes, groups = self.aligned(raw, *self._encode(raw))
-                yield None if groups[0] is None else (counts[:, 0].tolist(), codes, groups[0])
+                yield None if groups[0] is None else (counts[:, 0].tolist(), codes, groups[0].encode())
             else:
                 at = list(map(self.number.__getitem__, runs))
                 groups = list(map(self.groups.__getitem__, at))
@@ -171,10 +171,10 @@ class Aligner:
                     yield None
                     continue
                 at = np.array(at)
-                counts = self.counts[:, at]
+                counts = self.counts[:, at].astype(np.int64)
                 n, first = counts[3], np.cumsum(counts[3]) - counts[3]
                 codes = self.codes[np.repeat(self.starts[at] - first, n) + np.arange(int(n.sum()))]
-                yield counts.sum(1).tolist(), codes, ";".join(groups)
+                yield counts.sum(1).tolist(), codes, b";".join(groups)
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -212,14 +212,15 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "do
                 some = batch.slice(i, CHUNK)
                 counts, digests, codes, times, ends, groups = [], [], [], [], [0], []
                 for got in side.texts(some.column(2).to_pylist()):
-                    n, of, text = got or ([0] * 4, np.zeros(0, np.int64), "")
+                    n, of, text = got or ([0] * 4, np.zeros(0, np.int64), b"")
                     pairs, n_of = np.unique(of, return_counts=True)
                     counts.append(n)
-                    digests.append(hashlib.sha256(text.encode()).hexdigest() if got else "")
+                    digests.append(hashlib.sha256(text).hexdigest() if got else "")
                     codes.append(pairs)
                     times.append(n_of)
                     ends.append(ends[-1] + len(pairs))
-                    groups.append(text)
+                    if full:
+                        groups.append(text.decode())
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), pa.int64())) for x in (codes, times)]
                 numbers = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *numbers, pa.array(digests, pa.string()), *lists, *[pa.array(groups, pa.string())] * full], names)
