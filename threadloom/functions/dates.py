@@ -27,6 +27,25 @@ def last_days(day: Column, n: int) -> Column:
     return F.struct(F.date_format(F.date_sub(day, n - 1), "yyyy-MM-dd").alias("start"), F.date_format(day, "yyyy-MM-dd").alias("end"))
 
 
+#: The ranges that a picker offers by name; all has no bounds.
+PRESETS = ["this-week", "last-week", "last-7-days", "last-30-days", "all"]
+
+
+def preset_range(preset: Column, day: Column) -> Column:
+    """Start and end of a named range as seen from a day; both empty, so open, for "all" and unknown names."""
+    none = F.struct(F.lit("").alias("start"), F.lit("").alias("end"))
+    out = F.when(preset == "this-week", week_range(day)).when(preset == "last-week", week_range(day, 1))
+    return out.when(preset == "last-7-days", last_days(day, 7)).when(preset == "last-30-days", last_days(day, 30)).otherwise(none)
+
+
+def iso_instant(seconds: Column) -> Column:
+    """Seconds since 1970 as YYYY-MM-DDTHH:MM:SS.mmmZ, cut to milliseconds; null for null and what isn't finite."""
+    x = seconds.cast("double")
+    fine = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    ms = F.when(fine, F.when(x < 0, F.ceil(x * 1000)).otherwise(F.floor(x * 1000)))
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def slashed(instant: Column) -> Column:
     """YYYY/MM/DD from the first 10 characters, null if they have no such form."""
     head = F.substring(instant, 1, 10)

@@ -58,3 +58,14 @@ def hard_excluded(excluded: Column, items: Column, valid: Column) -> Column:
 def question_preview(question: Column, default: str, n: int = 48) -> Column:
     text = F.trim(F.coalesce(question, F.lit("")))
     return F.when(text == "", default).when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
+
+
+def selection_hint(n: Column) -> Column:
+    """What a picker says while too few sessions are chosen for a review; null once they are enough."""
+    return F.when(n == 0, "レビューするSessionを選んでください").when(n == 1, "統合レビューには2件以上のSessionが必要です")
+
+
+def input_estimate(chars: Column, most: int) -> Column:
+    """About how many characters a choice has, with the limit where it is over."""
+    about = F.concat(F.lit("約 "), F.format_number(chars, 0), F.lit(" 文字"))
+    return F.when(chars > most, F.concat(about, F.lit(f" / 上限 {most:,} 文字"))).otherwise(about)

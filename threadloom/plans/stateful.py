@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates, labels
 from ..operators import guards, ranking, units
 from ..shared import kept, shared_dir
 from ..sources import export, sinks
@@ -293,3 +294,25 @@ def export_load(spark, sf_dir):
     files.select("conversations").write.option("maxRecordsPerFile", 1).json(f"{path}/chats")
     spark.range(1).select(F.lit("not an export").alias("t")).coalesce(1).write.text(f"{path}/notes")
     return export.load_counts(spark, path, export.read_elements(spark, path))
+
+
+@query("""WITH d AS (SELECT DISTINCT o_orderdate AS d FROM orders), p AS (SELECT d, unnest(['this-week', 'last-week', 'last-7-days', 'last-30-days', 'all']) AS preset FROM d),
+    w AS (SELECT *, date_trunc('week', d) AS monday FROM p)
+    SELECT strftime(d, '%Y-%m-%d') AS day, preset, CASE preset WHEN 'this-week' THEN strftime(monday, '%Y-%m-%d') WHEN 'last-week' THEN strftime(monday - INTERVAL 7 DAY, '%Y-%m-%d') WHEN 'last-7-days' THEN strftime(d - INTERVAL 6 DAY, '%Y-%m-%d') WHEN 'last-30-days' THEN strftime(d - INTERVAL 29 DAY, '%Y-%m-%d') ELSE '' END AS start_day,
+        CASE preset WHEN 'this-week' THEN strftime(monday + INTERVAL 6 DAY, '%Y-%m-%d') WHEN 'last-week' THEN strftime(monday - INTERVAL 1 DAY, '%Y-%m-%d') WHEN 'all' THEN '' ELSE strftime(d, '%Y-%m-%d') END AS end_day FROM w""")
+def preset_ranges(spark, sf_dir):
+    """The ranges of a picker by name, as seen from each day."""
+    d = _table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("preset", F.explode(F.array(*map(F.lit, dates.PRESETS))))
+    r = dates.preset_range(F.col("preset"), F.col("d"))
+    return d.select(F.date_format("d", "yyyy-MM-dd").alias("day"), "preset", r["start"].alias("start_day"), r["end"].alias("end_day"))
+
+
+@query("""WITH s AS (SELECT conv_id, sum(length(text)) AS chars FROM conversations GROUP BY conv_id), g AS (SELECT conv_id // 12 AS choice, count(*) FILTER (conv_id % 12 < (conv_id // 12) % 12) AS n, CAST(coalesce(sum(chars) FILTER (conv_id % 12 < (conv_id // 12) % 12), 0) AS BIGINT) AS chars FROM s GROUP BY conv_id // 12)
+    SELECT choice, n, CASE n WHEN 0 THEN 'レビューするSessionを選んでください' WHEN 1 THEN '統合レビューには2件以上のSessionが必要です' END AS hint, '約 ' || format('{:,}', chars) || ' 文字' || CASE WHEN chars > 2000 THEN ' / 上限 2,000 文字' ELSE '' END AS estimate FROM g""")
+def picker_choices(spark, sf_dir):
+    """What a picker says of choices of no, one and more sessions."""
+    i = F.col("conv_id")
+    s = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
+    chosen = i % 12 < F.floor(i / 12) % 12
+    g = s.groupBy(F.floor(i / 12).alias("choice")).agg(F.count_if(chosen).alias("n"), F.coalesce(F.sum(F.when(chosen, F.col("chars"))), F.lit(0)).alias("chars"))
+    return g.select("choice", "n", labels.selection_hint(F.col("n")).alias("hint"), labels.input_estimate(F.col("chars"), 2000).alias("estimate"))
