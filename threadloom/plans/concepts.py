@@ -134,8 +134,12 @@ def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = N
     open_ = acts.where("open")
     if trace is not None:
         trace.append(acts.count())
-    given = kept(first_made(decided(open_.withColumns({"served": F.col("known").isNotNull(), "there": F.col("existing_ref").isNotNull()})).where(makes), ["session_id", "evidence_ref"]), "made")  # of each open unit, as if all refs were there
-    asked = kept(open_.where(is_match & F.col("existing_ref").isNotNull()).select(*registry, "existing_ref").distinct(), "asked")
+    waiting_some = open_.limit(1).count() > 0
+    # of each open unit, as if all refs were there; and the refs that open units ask for
+    given = first_made(decided(open_.withColumns({"served": F.col("known").isNotNull(), "there": F.col("existing_ref").isNotNull()})).where(makes), ["session_id", "evidence_ref"])
+    asked = open_.where(is_match & F.col("existing_ref").isNotNull()).select(*registry, "existing_ref").distinct()
+    none = lambda df: spark.createDataFrame([], df.schema)
+    given, asked = (kept(given, "made"), kept(asked, "asked")) if waiting_some else (none(given), none(asked))
 
     def places(given: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(registry, key, ...) of the concepts that are made, with their number; and those that open units ask for by ref."""
@@ -143,8 +147,8 @@ def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = N
         all_ = all_.groupBy(*registry, "key", "_seeds").agg(F.min("first_pos").alias("first_pos"), F.min_by("first_batch", "first_pos").alias("first_batch"), F.min_by("made_label", "first_pos").alias("made_label"))
         made = ranking.numbered(all_, [F.asc("first_pos"), F.asc("key")], registry, "n").withColumn("n", F.col("n") + F.col("_seeds")).drop("_seeds")
         made = kept(made.withColumn("ref", F.format_string("C%02d", "n")), "made")
-        refs = kept(made.select(*registry, F.col("ref").alias("existing_ref"), F.col("first_pos").alias("_ref_pos"), F.col("made_label").alias("_ref_label")).join(asked, [*registry, "existing_ref"]), "refs")
-        return made, refs
+        refs = made.select(*registry, F.col("ref").alias("existing_ref"), F.col("first_pos").alias("_ref_pos"), F.col("made_label").alias("_ref_label")).join(asked, [*registry, "existing_ref"])
+        return made, kept(refs, "refs") if waiting_some else none(refs)
 
     def with_state(some: DataFrame, made: DataFrame, refs: DataFrame) -> DataFrame:
         some = some.join(made.drop("ref"), [*registry, "key"], "left").join(refs, [*registry, "existing_ref"], "left")
@@ -153,7 +157,7 @@ def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = N
 
     made, refs = places(given)
     changed = open_.select(*unit).distinct()  # all that are open were decided without places
-    while True:
+    while waiting_some:
         again = kept(decided(with_state(open_.join(changed, unit, "left_semi"), made, refs)), "fit")
         n = again.count()
         if not n:
@@ -172,7 +176,7 @@ def resolve(actions: DataFrame, registry: list[str], seeds: DataFrame | None = N
 
     # all that was decided last, with the concepts as they are in the end
     fit = closed.join(made.drop("ref"), [*registry, "key"], "left").join(refs, [*registry, "existing_ref"], "left")
-    fit = fit.unionByName(decided(with_state(open_, made, refs)))
+    fit = fit.unionByName(decided(with_state(open_, made, refs))) if waiting_some else fit
     exact = F.col("seed").isNotNull() | F.coalesce(F.col("first_pos") < F.col("pos"), F.lit(False))
     fit = kept(fit.withColumn("exact", exact), "fit")
     now, fit = fit, fit.where("why IS NULL")
