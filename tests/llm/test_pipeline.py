@@ -118,4 +118,4 @@ def test_queries_are_registered():
 
     assert set(queries.QUERIES) <= set(e.queries()) and "pipeline" in e.queries()
     assert set(queries.ORACLES) <= set(queries.QUERIES)
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
