@@ -461,6 +461,37 @@ def test_near_duplicate_documents_have_no_length_limit(spark, tmp_path):
     assert got == {("equal", 2, 1), ("contained", 3, 1)}
 
 
+def test_short_texts_are_looked_for_by_their_first_characters(spark):
+    text = "".join(chr(97 + i * i * 7 % 26) for i in range(60)) + "aaaa\0é😀bbbb" + "ab" * 20
+    texts = [text, *(text[i : i + n] for n in range(1, 31) for i in (0, 3, 40, len(text) - n)), *("x" + text[7 : 7 + n] for n in range(1, 26))]
+    texts = list(dict.fromkeys(texts))
+    got = sorted((r.inner_id, r.outer_id) for r in containment.text_containment(spark.createDataFrame(list(enumerate(texts)), "id long, k string"), "id", "k").collect())
+    assert got == sorted((i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and a in b)
+    # however many lengths short texts have, few are hashed at every place of all texts
+    assert len({containment._head(n) for n in range(1, containment.GRAM)}) <= 4
+
+
+def test_keys_of_containment_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(text):
+        made.add(1)
+        return text
+
+    df = spark.createDataFrame([(i, f"text {i} " * 9) for i in range(7)], "id long, text string").withColumn("k", key.asNondeterministic()("text"))
+    assert containment.text_containment(df, "id", "k").count() == 0
+    assert made.value == 7
+
+
+def test_bare_texts(spark):
+    space = "".join(c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000)
+    df = spark.createDataFrame([(space,), ("a。b、 c．d，\n\te\u2003f😀",), ("",), (None,)], "x string")
+    x = F.col("x")
+    want = df.select(F.regexp_replace(x, "(?U)" + T.SPACE, "").alias("c"), F.regexp_replace(x, "(?U)" + T.SPACE + "|[。、．，]", "").alias("b")).collect()
+    assert df.select(T.compact(x).alias("c"), T.bare(x).alias("b")).collect() == want
+
+
 def test_long_branches(spark):
     long = [("a", i, i - 1, i == 300) for i in range(301)]
     others = [("b", 1, 2, True), ("b", 2, 3, False), ("b", 3, 1, False), ("c", 5, 4, True), ("d", 1, None, False), ("d", 2, 1, True), ("d", 2, 1, True), ("d", 3, 1, True), ("e", 1, None, False)]

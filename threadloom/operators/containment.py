@@ -3,6 +3,7 @@
 Equal texts are one class. A text of GRAM characters or more has an anchor: of the SKETCH windows of that length with the
 smallest hashes, the one that the fewest texts have in theirs; a shorter text is its own anchor. Windows of all texts that may be
 an anchor (a bitmap lets through the others rarely) are spots where a text may stand; there the digest of the characters decides.
+Shorter texts are looked for only where their first characters (HEADS) stand, so few window lengths are hashed at every place.
 """
 
 from __future__ import annotations
@@ -21,31 +22,45 @@ from ..shared import kept
 GRAM, SKETCH = 24, 16
 #: Tables of at most so many rows are broadcast; bits of the bitmap for each anchor, and at most.
 BROADCAST_ROWS, BITS, MOST_BITS = 300_000, 32, 1 << 29
-_BASE = 0x9E3779B97F4A7C15
+#: Characters at the start of a shorter text, of which the most that it has are looked for first.
+HEADS = (8, 4, 2, 1)
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _powers(first: int, base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.array([first], np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
 
 
 class _Windows:
-    """Hashes of all windows of a text, for any window length."""
+    """Hashes of windows of a text, for any window length; they spread in their high bits."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = self.down = np.ones(0, np.uint64)
 
-    def of(self, text: str, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
-        n = len(codes)
+    def read(self, text: str) -> int:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n = self.n = len(codes)
         if len(self.up) < n:
-            self.up, self.down = (np.cumprod(np.array([1, *[b] * 2 * n], np.uint64), dtype=np.uint64) for b in (_BASE, _INVERSE))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(codes + np.uint64(1)) * self.up[:n], dtype=np.uint64)])
-        for size in lengths:
-            if size <= n:
-                yield size, _mix((sums[size:] - sums[: n - size + 1]) * self.down[: n - size + 1] + np.uint64(size)).view(np.int64)
+            self.up, self.down = _powers(1, _BASE, 2 * n), _powers(_SPREAD, _INVERSE, 2 * n)
+        codes *= self.up[:n]
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes, out=self.sums[1:])
+        return n
+
+    def all(self, size: int) -> np.ndarray:
+        """Of each place where a window of this length fits."""
+        h = self.sums[size:] - self.sums[: self.n - size + 1]
+        h *= self.down[: len(h)]
+        h += np.uint64(size * _BASE & (1 << 64) - 1)
+        return h
+
+    def some(self, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (self.sums[at + size] - self.sums[at]) * self.down[at] + size.astype(np.uint64) * np.uint64(_BASE)
+
+
+def _head(size: int) -> int:
+    return next(n for n in HEADS if n <= size)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], *cols: int) -> Iterator[tuple]:
@@ -76,36 +91,40 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
-    """(d, h, off, size) of each text (d, k): the one of its SKETCH windows with the smallest hashes that the fewest texts have in theirs,
-    where it stands, and the text's length."""
+    """(d, h, off, size, head) of each text (d, k): the one of its SKETCH windows with the smallest hashes that the fewest texts have in
+    theirs, where it stands, the text's length, and the hash of the first characters of a text that is shorter than a window."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows()
 
         def each():
             for d, k in _texts(batches, 0, 1):
-                size, h = next(windows.of(k, [min(len(k), GRAM)]))
+                n = windows.read(k)
+                h = windows.all(min(n, GRAM)).view(np.int64)
                 first = np.argpartition(h, SKETCH)[:SKETCH] if len(h) > SKETCH else np.arange(len(h))
                 h, at = np.unique(h[first], return_index=True)
-                yield len(h), d, len(k), h, first[at].astype(np.int32)
+                head = windows.some(np.array([_head(n)]), np.zeros(1, np.int64)).view(np.int64)[0] if n < GRAM else h[0]
+                yield len(h), d, n, h, first[at].astype(np.int32), np.full(len(h), head)
 
-        yield from _out(each(), pa.schema([("d", pa.binary()), ("size", pa.int32()), ("h", pa.int64()), ("off", pa.int32())]))
+        yield from _out(each(), pa.schema([("d", pa.binary()), ("size", pa.int32()), ("h", pa.int64()), ("off", pa.int32()), ("head", pa.int64())]))
 
-    sketches = kept(texts.select("d", "k").mapInArrow(sketch, "d binary, size int, h long, off int"), "sketches")
+    sketches = kept(texts.select("d", "k").mapInArrow(sketch, "d binary, size int, h long, off int, head long"), "sketches")
     often = sketches.groupBy("h").agg(F.count("*").alias("n"))
-    return sketches.join(often, "h").groupBy("d").agg(F.min_by(F.struct("h", "off", "size"), F.struct("n", "h")).alias("a")).select("d", "a.*")
+    return sketches.join(often, "h").groupBy("d").agg(F.min_by(F.struct("h", "off", "size", "head"), F.struct("n", "h")).alias("a")).select("d", "a.*")
 
 
 def _spots(texts: DataFrame, kind: str, anchors: DataFrame, whole: bool) -> DataFrame:
     """(d, spots) of the texts (d, k): where a text of one of the anchors may stand; `whole`: also one as long as the text itself."""
     spark = texts.sparkSession
-    spots = kept(anchors.select("h", "off", "size").distinct(), "spots")
+    spots = kept(anchors.select("h", "off", "size", "head").distinct(), "spots")
     n_spots = spots.count()
-    bits = min(MOST_BITS, 1 << max(20, (BITS * n_spots).bit_length()))
+    log = min(MOST_BITS, 1 << max(20, (BITS * n_spots).bit_length())).bit_length() - 1
     lengths = sorted(r.n for r in spots.select(F.least("size", F.lit(GRAM)).alias("n")).distinct().collect())
-    bit = F.col("h").bitwiseAND(bits - 1)
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in spots.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("b")).toLocalIterator():
+    heads = {n: np.array([size for size in lengths if size < GRAM and _head(size) == n], np.int64) for n in HEADS}
+    bitmap = np.zeros(1 << log - 3, np.uint8)
+    hashes = spots.select("h").unionByName(spots.where(F.col("size") < GRAM).select(F.col("head").alias("h")))
+    bit = F.shiftrightunsigned("h", 64 - log)
+    for r in hashes.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(32767)).alias("b")).toLocalIterator():
         bitmap[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.b, np.uint8)
     held = spark.sparkContext.broadcast(bitmap.tobytes())
     d_type = pa.binary() if kind == "binary" else pa.int64()
@@ -113,19 +132,30 @@ def _spots(texts: DataFrame, kind: str, anchors: DataFrame, whole: bool) -> Data
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, known = _Windows(), np.frombuffer(held.value, np.uint8)
 
+        def maybe(h: np.ndarray) -> np.ndarray:
+            b = (h >> np.uint64(64 - log)).view(np.int64)
+            return np.flatnonzero((known[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
+
         def each():
             for d, k in _texts(batches, 0, 1):
-                for size, h in windows.of(k or "", lengths):
-                    b = h & (bits - 1)
-                    at = np.flatnonzero((known[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
-                    if size < GRAM:
-                        at = at[np.unique(h[at], return_index=True)[1]]
-                    if len(at):
-                        yield len(at), d, len(k), h[at], at.astype(np.int32)
+                n = windows.read(k or "")
+                if lengths[-1:] == [GRAM] and n >= GRAM:
+                    h = windows.all(GRAM)
+                    if len(at := maybe(h)):
+                        yield len(at), d, n, h[at].view(np.int64), at.astype(np.int32)
+                for head, sizes in heads.items():
+                    if not len(sizes) or n < sizes[0] or not len(begin := maybe(windows.all(head))):
+                        continue
+                    at, size = np.repeat(begin, len(sizes)), np.tile(sizes, len(begin))
+                    at, size = at[fit := at + size <= n], size[fit]
+                    h = windows.some(size, at)
+                    if len(found := maybe(h)):
+                        h, first = np.unique(h[found], return_index=True)
+                        yield len(h), d, n, h.view(np.int64), at[found[first]].astype(np.int32)
 
         yield from _out(each(), pa.schema([("d", d_type), ("n", pa.int32()), ("h", pa.int64()), ("at", pa.int32())]))
 
-    seen = texts.select("d", "k").mapInArrow(look, f"d {kind}, n int, h long, at int").join(_small(spots, n_spots), "h")
+    seen = texts.select("d", "k").mapInArrow(look, f"d {kind}, n int, h long, at int").join(_small(spots.drop("head"), n_spots), "h")
     start = F.col("at") - F.col("off")
     shorter = F.lit(True) if whole else F.col("size") < F.col("n")
     maybe = seen.where((start >= 0) & (start + F.col("size") <= F.col("n")) & shorter)
@@ -159,7 +189,8 @@ def text_containment(rows: DataFrame, id_: str, key: str) -> DataFrame:
     classes, of which the outer's text has the inner's in it. So a pair of ids is near when both are of one class, or their
     classes are a contained pair. Rows that repeat are one; ids must be unique otherwise.
     """
-    mine = rows.select(F.col(id_).alias("id"), F.col(key).alias("k")).where("k <> ''").withColumn("d", F.unhex(F.sha2("k", 256)))
+    mine = rows.select(F.col(id_).alias("id"), F.col(key).alias("k")).where("k <> ''")
+    mine = kept(mine.withColumn("d", F.unhex(F.sha2("k", 256))), "texts")  # the key may be dear, and is read twice
     classes = kept(mine.groupBy("d").agg(F.min("id").alias("id"), F.first("k").alias("k")), "classes")
     n = classes.count()
 
