@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space as JavaScript's \s has it.
 SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _U = "(?U)"
+SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+PUNCTUATION = "。、．，"
 
 # Word lists and patterns of the rules.
 GENERIC_THEMES = ["AI活用", "知識整理", "ツール開発", "AIとの対話", "AIの利用方法"]
@@ -103,7 +105,12 @@ def quote_found(content: Column, quote: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(text, f"{_U}{SPACE}", "")
+    return F.translate(text, SPACES, "")
+
+
+def bare(text: Column) -> Column:
+    """Without white space and Japanese punctuation."""
+    return F.translate(text, SPACES + PUNCTUATION, "")
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -123,7 +130,7 @@ def leaps_domain(claim: Column, evidence: Column) -> Column:
 
 
 def near_duplicates(a: Column, b: Column) -> Column:
-    a, b = (F.regexp_replace(compact(x), "[。、．，]", "") for x in (a, b))
+    a, b = bare(a), bare(b)
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
 
 

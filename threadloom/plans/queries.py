@@ -172,7 +172,7 @@ _NEAR_SQL = """
 
 
 def _compact(df: DataFrame, id_: Column) -> DataFrame:
-    return df.select(id_.alias("id"), F.regexp_replace(T.compact(F.col("text")), "[。、．，]", "").alias("k"))
+    return df.select(id_.alias("id"), T.bare(F.col("text")).alias("k"))
 
 
 @query(f"WITH d AS (SELECT doc_id AS id, {_COMPACT} AS k FROM documents UNION ALL SELECT -1 - item_id, {_COMPACT} FROM benchmark)," + _NEAR_SQL)
