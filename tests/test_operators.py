@@ -1,6 +1,7 @@
 """Cases with rows worked out by hand."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -484,6 +485,33 @@ def test_keys_of_containment_are_made_once(spark):
     assert made.value == 7
 
 
+def test_label_rules_take_long_texts(spark):
+    han, u = "[\\p{IsHan}\\p{IsKatakana}A-Za-z0-9]{2,}", "(?U)"
+    compound = "[×↔⇔]|(?i:(^|\\s)vs(\\s|$))|" + han + "と" + han
+    label = ["今日", " 今 日\n", "A vs B", "vs", "xVs\tvS", "canvas vs", "犬と猫", "犬猫と猫犬", "ab1とcd", "aとbc", "×", "田中さん", "皆さん", "田中さんと予定", "さん", "予定", "短い。", "忘れたのに言わないこと", "散歩すること\n", "しんどい状況", "", " ", "気持ち", "設計したい欲求", "Ab C", "今後確認\u3000する。", "a \x85", None]
+    long = [" " * 700 + "今日", "x" + " " * 700, " \n" * 400 + "a  b" * 90, "田中さん" * 300, "word " * 300 + "すること", "言葉" * 200 + "皆さん"]
+    df = spark.createDataFrame([(x,) for x in label + long], "x string")
+    x = F.col("x")
+    key = T.ascii_lower(F.regexp_replace(x, u + T.SPACE, ""))
+    found = F.regexp_extract_all(x, F.lit(f"{u}([^\\s、。，]{{1,12}}{T.HONORIFIC})"), 1)
+    person = F.size(F.array_except(found, F.array(*map(F.lit, T.HONORIFIC_ALLOWED)))) > 0
+    lengthy = (F.length(x) > 16) | x.rlike("[。！？]") | x.rlike("(のに|こと)$") & (F.length(x) > 8)
+    squeezed = F.regexp_replace(F.regexp_replace(x, f"{u}^{T.SPACE}+|{T.SPACE}+\\z", ""), f"{u}{T.SPACE}+", " ")
+    rules = [
+        (T.is_compound(x), x.rlike(compound)), (T.is_denied(x), key.isin(T.DENIED_CONCEPTS)), (T.is_honorific(x), x.rlike(f"{T.HONORIFIC}$") & ~x.isin(T.HONORIFIC_ALLOWED)), (T.has_honorific(x), person), (T.is_long_clause(x), lengthy),
+        (T.is_episodic(x), x.rlike(T.EPISODIC) | person & x.rlike(T.EPISODIC_WITH_PERSON)), (T.is_broad(x), key.isin(T.BROAD_SURFACES)), (T.is_generic_surface(x), key.isin(T.GENERIC_SURFACES)), (T.is_adjective(x), key.isin(T.ADJECTIVES)), (T.is_vague_idea(x), key.isin("", *T.VAGUE_IDEAS)),
+        (T.is_clause_like(x), lengthy | (F.length(x) >= 5) & x.endswith("こと") | (F.length(x) >= 8) & x.endswith("欲求") | (F.length(x) >= 6) & x.rlike(T.CLAUSE_TAIL)), (T.concept_key(x), key), (T.squeeze(x), squeezed), (T.shorten(x), F.substring(squeezed, 1, 80)),
+    ]
+    for i, (got, want) in enumerate(rules):
+        assert df.select(got).collect() == df.select(want).collect(), i
+    pair = spark.createDataFrame([("ab " * 150 + "xyz", "xyz"), ("ab " * 150 + "xyz", "q"), ("ab" * 150 + "xyz", "ab" * 150 + "q")], "a string, b string")
+    assert [tuple(r) for r in pair.select(T.is_divergent(F.col("a"), F.col("b")), T.is_over_general(F.col("a"), F.col("b"))).collect()] == [(False, True), (True, False), (False, False)]
+    # each place of a long word was tried up to the word's end
+    start = time.monotonic()
+    assert spark.range(1).select(F.repeat(F.lit("a"), 400_000).alias("x")).select(T.candidate_reason(x)).first()[0] is None
+    assert time.monotonic() - start < 20
+
+
 def test_bare_texts(spark):
     space = "".join(c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000)
     df = spark.createDataFrame([(space,), ("a。b、 c．d，\n\te\u2003f😀",), ("",), (None,)], "x string")

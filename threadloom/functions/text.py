@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,7 +30,7 @@ INNER_STATE = "ユーザーは.{0,24}(気づいた|と考えている|と感じ
 DENIED_CONCEPTS = ["今日", "質問", "相談", "重要", "方法"]
 HONORIFIC = "(さん|くん|ちゃん|様)"
 HONORIFIC_ALLOWED = ["皆さん", "みなさん"]
-COMPOUND = "[×↔⇔]|(?i:(^|\\s)vs(\\s|$))|[\\p{IsHan}\\p{IsKatakana}A-Za-z0-9]{2,}と[\\p{IsHan}\\p{IsKatakana}A-Za-z0-9]{2,}"
+VERSUS, AND = "(^|\\s)[vV][sS](\\s|$)", "[\\p{IsHan}\\p{IsKatakana}A-Za-z0-9]{2}と[\\p{IsHan}\\p{IsKatakana}A-Za-z0-9]{2}"
 EPISODIC = "を送って|セッティング|してください|してほしい|お願い|プレゼントや"
 EPISODIC_WITH_PERSON = "誕生日|予定|メッセージ"
 BROAD_SURFACES = ["気持ち", "こと", "状態", "関係"]
@@ -37,6 +39,8 @@ ADJECTIVES = ["論理的", "臨機応変", "高性能", "辛い", "怖い", "ど
 CLAUSE_TAIL = "(すること|したい欲求|しんどい状況|状況|方法)$"
 GRAMMATICAL = "^(を|が|は|て|に|と|で|こと|している|感じている)+$"
 LONG_LABEL, MAX_ALIAS = 12, 16
+#: Characters of the longest text of a list, and of the longest fixed end, at most.
+MAX_LISTED = 16
 
 
 #: Characters that no normal form changes and that compose with none of the others: ASCII, of NFC all below the combining marks, and the
@@ -82,7 +86,7 @@ def nfc(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.regexp_replace(trim(text), f"{_U}{SPACE}+", " ")
+    return F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), "  +", " "))
 
 
 def concept_label(text: Column, normalised: bool = False) -> Column:
@@ -91,7 +95,7 @@ def concept_label(text: Column, normalised: bool = False) -> Column:
 
 def concept_key(text: Column, normalised: bool = False) -> Column:
     """Key by which concepts are equal: compatibility form, no white space, A-Z in lower case."""
-    return ascii_lower(F.replace(concept_label(text, normalised), F.lit(" "), F.lit("")))
+    return F.translate(text if normalised else nfkc(text), UPPER + SPACES, LOWER)
 
 
 def quote_text(text: Column, normalised: bool = False) -> Column:
@@ -117,6 +121,26 @@ def has_any(text: Column, terms: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, terms)), lambda t: text.contains(t))
 
 
+def _contains(text: Column, terms: Iterable[str]) -> Column:
+    return reduce(Column.__or__, map(text.contains, terms))
+
+
+def _if(guard: Column, rule: Column) -> Column:
+    """The rule, which the guard's being false rules out; CASE doesn't try it then, even where it is a common expression."""
+    return F.when(guard, rule).otherwise(guard)
+
+
+def _listed(key: Callable[[Column], Column], text: Column) -> Column:
+    """The key of a text, to compare with those of a list: of a long text only as much as tells that it is none of them."""
+    first = key(F.substring(text, 1, 256))
+    return F.when(F.length(first) > MAX_LISTED, first).otherwise(key(text))
+
+
+def _tail(text: Column) -> Column:
+    """What a pattern of a few fixed characters at the end has to see."""
+    return F.substring(text, -MAX_LISTED, MAX_LISTED)
+
+
 def is_weak_question(text: Column) -> Column:
     return (trim(text) == "") | trim(text).rlike(WEAK_QUESTIONS)
 
@@ -143,7 +167,8 @@ def is_unverifiable(text: Column) -> Column:
 
 
 def is_vague_idea(text: Column) -> Column:
-    return (compact(text) == "") | compact(text).isin(VAGUE_IDEAS)
+    key = _listed(compact, text)
+    return (key == "") | key.isin(VAGUE_IDEAS)
 
 
 def is_psychological(text: Column) -> Column:
@@ -161,34 +186,38 @@ def _key(label: Column) -> Column:
     return concept_key(label, normalised=True)
 
 
+def _list_key(label: Column) -> Column:
+    return _listed(_key, label)
+
+
 def is_denied(label: Column) -> Column:
-    return _key(label).isin(DENIED_CONCEPTS)
+    return _list_key(label).isin(DENIED_CONCEPTS)
 
 
 def is_honorific(label: Column) -> Column:
-    return label.rlike(f"{HONORIFIC}$") & ~label.isin(HONORIFIC_ALLOWED)
+    return _tail(label).rlike(f"{HONORIFIC}$") & ~label.isin(HONORIFIC_ALLOWED)
 
 
 def has_honorific(label: Column) -> Column:
     found = F.regexp_extract_all(label, F.lit(f"{_U}([^\\s、。，]{{1,12}}{HONORIFIC})"), 1)
-    return F.size(F.array_except(found, F.array(*map(F.lit, HONORIFIC_ALLOWED)))) > 0
+    return _if(_contains(label, HONORIFIC.strip("()").split("|")), F.size(F.array_except(found, F.array(*map(F.lit, HONORIFIC_ALLOWED)))) > 0)
 
 
 def is_compound(label: Column) -> Column:
-    return label.rlike(COMPOUND)
+    return _contains(label, "×↔⇔") | _if(_contains(label, ["vs", "vS", "Vs", "VS"]), label.rlike(VERSUS)) | _if(label.contains("と"), label.rlike(AND))
 
 
 def candidate_reason(label: Column) -> Column:
     """Why a label can't be a concept; null if it can."""
-    return F.when(_key(label) == "", "empty").when(is_denied(label), "generic_term").when(is_compound(label), "compound_relation")
+    return F.when(_list_key(label) == "", "empty").when(is_denied(label), "generic_term").when(is_compound(label), "compound_relation")
 
 
 def is_long_clause(label: Column) -> Column:
-    return (F.length(label) > MAX_ALIAS) | label.rlike("[。！？]") | label.rlike("(のに|こと)$") & (F.length(label) > 8)
+    return (F.length(label) > MAX_ALIAS) | _contains(label, "。！？") | _tail(label).rlike("(のに|こと)$") & (F.length(label) > 8)
 
 
 def is_episodic(label: Column) -> Column:
-    return label.rlike(EPISODIC) | has_honorific(label) & label.rlike(EPISODIC_WITH_PERSON)
+    return _contains(label, EPISODIC.split("|")) | _if(_contains(label, EPISODIC_WITH_PERSON.split("|")), has_honorific(label))
 
 
 def is_divergent_alias(canonical: Column, alias: Column) -> Column:
@@ -197,25 +226,25 @@ def is_divergent_alias(canonical: Column, alias: Column) -> Column:
 
 def alias_reason(alias: Column, canonical: Column | None = None) -> Column:
     """Why a label can't be an alias; null if it can."""
-    out = F.when(_key(alias) == "", "empty").when(is_denied(alias), "generic_term").when(has_honorific(alias), "honorific_person").when(is_episodic(alias), "episodic_phrase").when(is_long_clause(alias), "long_clause")
+    out = F.when(_list_key(alias) == "", "empty").when(is_denied(alias), "generic_term").when(has_honorific(alias), "honorific_person").when(is_episodic(alias), "episodic_phrase").when(is_long_clause(alias), "long_clause")
     return out if canonical is None else out.when(is_divergent_alias(canonical, alias), "too_divergent")
 
 
 def is_broad(label: Column) -> Column:
-    return _key(label).isin(BROAD_SURFACES)
+    return _list_key(label).isin(BROAD_SURFACES)
 
 
 def is_generic_surface(label: Column) -> Column:
-    return _key(label).isin(GENERIC_SURFACES)
+    return _list_key(label).isin(GENERIC_SURFACES)
 
 
 def is_adjective(label: Column) -> Column:
-    return _key(label).isin(ADJECTIVES)
+    return _list_key(label).isin(ADJECTIVES)
 
 
 def is_clause_like(label: Column) -> Column:
     n = F.length(label)
-    return is_long_clause(label) | (n >= 5) & label.endswith("こと") | (n >= 8) & label.endswith("欲求") | (n >= 6) & label.rlike(CLAUSE_TAIL)
+    return is_long_clause(label) | (n >= 5) & label.endswith("こと") | (n >= 8) & label.endswith("欲求") | (n >= 6) & _tail(label).rlike(CLAUSE_TAIL)
 
 
 def _bigrams(key: Column) -> Column:
@@ -239,7 +268,8 @@ def is_over_general(surface: Column, canonical: Column) -> Column:
 
 
 def shorten(text: Column, n: int = 80) -> Column:
-    return F.substring(squeeze(text), 1, n)
+    first = squeeze(F.substring(text, 1, 4 * n))  # squeezed, the whole text begins with it
+    return F.substring(F.when(F.length(first) >= n, first).otherwise(squeeze(text)), 1, n)
 
 
 def fnv1a(text: Column) -> Column:
