@@ -565,6 +565,15 @@ def test_normal_forms_of_all_characters(spark):
     assert {r.t: (r.u, r.v) for r in got if r.t in ("plain ASCII text", "日本語のテキスト、です。", "é")} == {"plain ASCII text": (None, None), "日本語のテキスト、です。": (None, None), "é": ("é", None)}
 
 
+def test_concepts_take_no_python_workers(spark):
+    """Forms of texts, and all that is done to resolve concepts by them, run in the JVM."""
+    df = spark.createDataFrame([("Ｇｏｏｄ\U0001ccd6é\U0001ccd7ｱﾞ",), (None,)], "t string")
+    got = df.select(T.nfkc(F.col("t")).alias("k"), T.nfc(F.col("t")).alias("c"))
+    assert [tuple(r) for r in got.collect()] == [("Good\U0001ccd6é\U0001ccd7ア\u3099", "Ｇｏｏｄ\U0001ccd6é\U0001ccd7ｱﾞ"), (None, None)]
+    plan = df.select(T.concept_key(F.col("t")), T.concept_label(F.col("t")), T.quote_text(F.col("t")), T.quote_found(T.quote_text(F.col("t")), T.quote_text(F.col("t"))))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_pairs_of_calm_characters_do_not_compose():
     import re
     import unicodedata

@@ -1,15 +1,12 @@
-"""Text rules as Column expressions. Only Unicode normalisation, which Spark lacks, runs in Python (Arrow)."""
+"""Text rules as Column expressions. Unicode normalisation, which Spark lacks, is a call of a Java library that it brings along."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space as JavaScript's \s has it.
@@ -46,6 +43,8 @@ MAX_LISTED = 16
 #: Characters that no normal form changes and that compose with none of the others: ASCII, of NFC all below the combining marks, and the
 #: common ranges of Japanese.
 _CALM = r"\x{3001}\x{3002}\x{300C}\x{300D}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{30FC}\x{4E00}-\x{9FFF}"
+#: Outlined letters and digits, which have forms since Unicode 16 only; these rules keep to 15.1.
+NEWER = r"[\x{1CCD6}-\x{1CCF9}]"
 _UNUSUAL = {"NFKC": rf"[^\x{{0}}-\x{{9F}}{_CALM}]", "NFC": rf"[^\x{{0}}-\x{{2FF}}{_CALM}]"}
 
 
@@ -54,17 +53,14 @@ def unusual(text: Column, form: str) -> Column:
     return F.when(text.rlike(_UNUSUAL[form]), text)
 
 
-def _in_form(text: Column, form: str) -> Column:
-    """Only texts that may change go to Python."""
-    return F.coalesce(_normal(form)(unusual(text, form)), text)
-
+def _composed(text: Column, form: str) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(form == "NFKC"))
 
-def _normal(form: str):
-    @F.pandas_udf(StringType())
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
 
-    return run
+def _in_form(text: Column, form: str) -> Column:
+    """Only texts that may change are put in the form, by the ICU library that Spark has for its collations; NEWER characters stay."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(f"{NEWER}+|{NEWER.replace('[', '[^')}+"), 0), lambda t: F.when(t.rlike(NEWER), t).otherwise(_composed(t, form)))
+    return F.when(text.rlike(NEWER), F.array_join(parts, "")).when(text.rlike(_UNUSUAL[form]), _composed(text, form)).otherwise(text)
 
 
 def trim(text: Column) -> Column:
@@ -77,7 +73,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility form. Spark has no such function, so this runs in Python, in Arrow batches."""
+    """Compatibility form."""
     return _in_form(text, "NFKC")
 
 
