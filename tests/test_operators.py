@@ -574,6 +574,21 @@ def test_concepts_take_no_python_workers(spark):
     assert "Python" not in plan
 
 
+def test_units_of_a_batch_are_few_objects_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array(["One sentence of some length here. " * 20, None, ""] * 1000)
+    want = [units.split_text(c or "") for c in batch.slice(0, 3).to_pylist()]
+    tracemalloc.start()
+    got = units.units_of.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3000 and got.slice(0, 3).to_pylist() == want
+    assert peak < 2 << 20
+
+
 def test_pairs_of_calm_characters_do_not_compose():
     import re
     import unicodedata

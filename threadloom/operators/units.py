@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -16,6 +16,7 @@ _BREAK = re.compile(r"\n|[。！？]|(?:[!?]|(?<![0-9])\.|(?<=[0-9])\.(?![0-9]))
 #: White space by the wide definition of functions.text.
 _SPACE = "\t\n\x0b\x0c\r \xa0                　﻿"
 _UNIT = StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+_UNITS = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def split_text(content: str) -> list[dict]:
@@ -34,9 +35,11 @@ def split_text(content: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ArrayType(_UNIT))
-def units_of(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: split_text(c or ""))
+@F.arrow_udf(ArrayType(_UNIT))
+def units_of(content: pa.Array) -> pa.Array:
+    """Some texts at a time are Python objects; a batch of 10,000 has them in Arrow only."""
+    parts = [pa.array([split_text(c or "") for c in content.slice(i, 128).to_pylist()], _UNITS) for i in range(0, len(content), 128)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _UNITS)
 
 
 def normal_role(role: Column) -> Column:
