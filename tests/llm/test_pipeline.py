@@ -119,3 +119,23 @@ def test_queries_are_registered():
     assert set(queries.QUERIES) <= set(e.queries()) and "pipeline" in e.queries()
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
+
+
+def test_texts_do_not_go_along_twice(spark, monkeypatch):
+    """What a stage carries is neither the text nor its length, and cut texts come back some rows at a time."""
+    from threadloom.llm import lines, substrings
+
+    seen = []
+    for module, name in ((lines, "drop_lines"), (substrings, "remove_repeats")):
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, whole=whole, **k: seen.append(len(k["carry"])) or whole(*a, **k))
+    docs = spark.createDataFrame([(1, "x" * 60 + "\n", "a", 61), (2, "y" + "x" * 60, "b", 61)], "doc_id long, text string, source string, n_chars long")
+    got = [sorted(map(tuple, stage(spark, docs, "").collect())) for stage in (cp.drop_common_lines, cp.drop_repeated_substrings)]
+    assert seen == [2, 2]
+    assert got == [[(1, "x" * 60 + "\n", "a", 61), (2, "y" + "x" * 60, "b", 61)], [(1, "x" * 60 + "\n", "a", 61), (2, "y", "b", 1)]]
+    import pyarrow as pa
+
+    n = 2 * substrings.ROWS + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([f"text {i}" for i in range(n)]), pa.array([b""] * n, pa.binary()), pa.array([None] * n, pa.int32())], ["id", "text", "found", "row"])
+    out = list(substrings._cut(50, "text")(iter([batch])))
+    assert [b.num_rows for b in out] == [substrings.ROWS, substrings.ROWS, 1] and [t for b in out for t in b.column(5).to_pylist()] == batch.column(1).to_pylist()

@@ -42,6 +42,8 @@ BUCKET = 12 << 20
 HOT = 512
 #: A document of more bytes is handled in overlapping parts.
 PART = 1 << 18
+#: Rows that are cut and given back at once.
+ROWS = 512
 #: Stands for a null id: smaller than all others.
 NULL_ID = -(1 << 63)
 
@@ -658,7 +660,7 @@ def remove_repeats(docs: DataFrame, *, k: int = 50, keep: str | None = "bytes",
 
 def _cut(k: int, keep: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             found = batch.column(2)
             texts, marks = {}, {}
             out: list[list] = [[], [], [], [], []]
