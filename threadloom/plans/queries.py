@@ -192,7 +192,7 @@ def near_duplicate_documents(spark, sf_dir):
     WITH k AS (SELECT min(p_partkey) AS id, lower(replace(p_name, ' ', '')) AS k FROM part GROUP BY ALL)
     SELECT a.id AS inner_id, b.id AS outer_id, a.k AS inner_key, b.k AS outer_key FROM k a JOIN k b ON a.id <> b.id AND contains(b.k, a.k) WHERE length(a.k) >= 2""")
 def key_containment(spark, sf_dir):
-    k = _table(spark, sf_dir, "part").groupBy(T.concept_key(F.col("p_name")).alias("k")).agg(F.min("p_partkey").alias("id"))
+    k = _table(spark, sf_dir, "part").select("p_partkey", T.concept_key(F.col("p_name")).alias("k")).groupBy("k").agg(F.min("p_partkey").alias("id"))
     return joins.key_containment(k, "id", "k").select("inner_id", "outer_id", "inner_key", "outer_key")
 
 
