@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import os
 import random
 import re
@@ -7,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import bpe, dac, exact, html, lines, packing, substrings
@@ -76,6 +78,54 @@ def test_codec_matches_libraries(text):
     assert np.frombuffer(multi.encode(text), "<u4").tolist() == _tiktoken().encode_ordinary(text)
 
 
+def _specs():
+    return [bpe.load_spec(P.path("byte_bpe_50k.json")), bpe.load_spec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)]
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_codec_matches_library_on_many_texts(monkeypatch, which):
+    rng = random.Random(which)
+    c = bpe.codec(_specs()[which])
+    some = ["a", "Be", "é", "ª", "²", "½", "1", "１", "日", "e\u0301", "\u0301", "'s", "'", ".", ",", "!?", "$$$", "€", "_", "-", "\n", "\n", "\n\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u2028", "\0", "<|endoftext|>", *" " * 12]
+    texts_ = ["".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts_ += ["\n".join(" ".join(rng.choice(["stone", "Paper", "grün", "x²", "4"]) + rng.choice(["", "", ".", ",***"]) for _ in range(5)) for _ in range(3)) for _ in range(300)]
+    for chunk in (1, 300, 1 << 22):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        c.pieces.clear()
+        got = list(bpe.encoded(c, pa.array(["skipped", None, *texts_]).slice(1)))
+        assert got == [b"", *map(c.encode_whole, texts_)]
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_codec_reuses_words_across_lines_and_marks(which):
+    c = bpe.Codec(_specs()[which])
+    sent = []
+    c._encode, real = lambda parts: sent.extend(parts) or real(parts), c._encode
+    texts_ = ["x stone paper", "x paper, stone.\nPaper stone!!\nPaper stone."]
+    assert c.encode_many(pa.array(texts_)) == list(map(c.encode_whole, texts_))
+    assert sorted(sent) == ["\nPaper", "paper", "stone"]
+    assert sorted(c.pieces) == ["\nPaper", "paper", "paper,", "stone", "stone!!", "stone."]
+
+
+def test_codec_keeps_pieces_apart_from_added_tokens():
+    spec = json.loads(_specs()[0])
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "stone paper"})
+    c = bpe.Codec(json.dumps(spec))
+    texts_ = ["x stone", "x paper", "x stone paper"]
+    for given in (texts_, texts_[2:] + texts_):
+        c.pieces.clear()
+        assert c.encode_many(pa.array(given)) == list(map(c.encode_whole, given))
+
+
+def test_codec_cuts_only_where_the_file_does():
+    spec = json.loads(_specs()[0])
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"}, "behavior": "Isolated", "invert": False}, spec["pre_tokenizer"] | {"use_regex": False}]}
+    c = bpe.Codec(json.dumps(spec))
+    texts_ = ["x stone.\nPaper stone,\n1 a\nb", "x stone paper"]
+    assert not c.lines
+    assert c.encode_many(pa.array(texts_)) == list(map(c.encode_whole, texts_))
+
+
 def test_token_files(spark, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -1,8 +1,10 @@
 """Byte-level BPE with the tokenizers library: encoding and decoding over Arrow batches.
 
 A text is cut at its single spaces. Where both neighbours of a space are no white space, a pre-token always
-begins at that space, so each piece can be encoded by itself and its ids kept for later texts. Any other text, and one with
-an added token of the file, goes through the library as a whole. Ids are the same either way.
+begins at that space, so each piece can be encoded by itself and its ids kept for later texts. Texts are cut before single line
+breaks too, and marks at the end of a piece are encoded apart, if the file's pre-tokenizer turns out to cut there (see Codec).
+Any other text, and one with an added token of the file, goes through the library as a whole. Ids are the same either way.
+Arrow cuts the texts and finds their different pieces, so that each piece is looked up once for many texts.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import pick
 
 #: Pieces that a worker keeps at most; when full, it starts anew.
 CACHE = 1_500_000
-#: Texts that are handled at once.
-CHUNK = 256
+#: Where one of these ends a part, its ids are those of the letters and digits before and those of the marks.
+MARKS = "!#$%&*,.:;?"
+#: Bytes of texts that are handled at once; a text is never cut.
+CHUNK = 1 << 22
 
 
 def byte_chars() -> dict[int, str]:
@@ -56,7 +61,13 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
-        self.model = self.whole.model
+        self.plain = Tokenizer(self.whole.model)  # finds no added tokens
+        for part in ("normalizer", "pre_tokenizer"):
+            if getattr(self.whole, part) is not None:
+                setattr(self.plain, part, getattr(self.whole, part))
+        own = self.whole.normalizer is None
+        self.lines = own and self._cuts(" a", "\n", "b", ".", "\n", ".", "\n", "B", "1", "\n", "1", " ,", "\n", "é")
+        self.marks = own and all(self._cuts(" " + x, m * n) for x in "aZé½1" for m in MARKS for n in (1, 2))
         chars = byte_chars()
         self.to_char = {b: ord(c) for b, c in chars.items()}
         back = {c: b for b, c in chars.items()}
@@ -65,43 +76,88 @@ class Codec:
         for t, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
         added = self.whole.get_added_tokens_decoder()
-        self.added = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
+        self.added = "|".join(re.escape(t.content) for t in added.values())
         for i, t in added.items():
             self.bytes_of += [b""] * (i + 1 - len(self.bytes_of))
             self.bytes_of[i] = t.content.encode()
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
         self.pieces: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _learn(self, parts: list[str]) -> None:
-        """Keeps the ids of a space and each part. Many parts are encoded as one text and cut by their bytes."""
+        """Keeps the ids of each part, after its space. Parts with marks at their end come last, as the rest of each may be known by then."""
+        cores = [p.rstrip(MARKS) for p in parts] if self.marks else parts
+        self._encode([p for p, c in zip(parts, cores, strict=True) if len(c) == len(p)])
+        left = []
+        for p, c in zip(parts, cores, strict=True):
+            if len(c) < len(p):
+                ids = self.pieces.get(c) if c and c[-1] < "\u0250" and c[-1].isalnum() else None
+                if ids is None:
+                    left.append(p)
+                else:
+                    self.pieces[p] = ids + self._mark(p[len(c) :])
+        self._encode(left)
+
+    def _encode(self, parts: list[str]) -> None:
+        """Many parts are encoded as one text and cut by their bytes."""
         for i in range(0, len(parts), 2048):
-            some = parts[i : i + 2048]
-            ids = np.array(self.whole.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode()) + 1 for p in some])
+            some = [p if self.lines and p[0] == "\n" else " " + p for p in parts[i : i + 2048]]
+            ids = np.array(self.plain.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in some])
             at = [0, *(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()]
             raw = ids.tobytes()
-            self.pieces.update((p, raw[4 * j : 4 * k]) for p, j, k in zip(some, at, at[1:], strict=False))
-
-    def encode_many(self, some: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.split(" ") for t in some]
-        firsts = [p[0] for p in parts]
-        special = [bool(self.added and self.added.search(t)) for t in some]
-        parts = [[] if s else p[1:] for p, s in zip(parts, special, strict=True)]
+            self.pieces.update((p, raw[4 * j : 4 * k]) for p, j, k in zip(parts[i : i + 2048], at, at[1:], strict=False))
+
+    def _mark(self, text: str) -> bytes:
+        if text not in self.ends:
+            self.ends[text] = np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ends[text]
+
+    def _cuts(self, *parts: str) -> bool:
+        """Whether the pre-tokens of a text are just these parts."""
+        got = self.plain.pre_tokenizer.pre_tokenize_str("".join(parts)) if self.plain.pre_tokenizer else []
+        return [x for _, x in got] == [(sum(map(len, parts[:i])), sum(map(len, parts[: i + 1]))) for i in range(len(parts))]
+
+    def encode_many(self, some: pa.Array) -> list[bytes]:
+        """The ids of each text, none null, as little-endian unsigned 32-bit integers."""
+        parts = pc.split_pattern(pc.replace_substring(some, "\n", " \n") if self.lines else some, " ")
+        values, bounds = parts.flatten(), parts.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        rest = np.ones(len(values), bool)
+        rest[bounds[:-1]] = False
+        words = values.filter(pa.array(rest)).dictionary_encode()
+        known, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        until = bounds[1:] - np.arange(1, len(some) + 1)  # words up to the end of each text
+
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        found = [list(map(self.pieces.get, p)) for p in parts]
-        new = {p for ps, f in zip(parts, found, strict=True) if None in f for p, x in zip(ps, f, strict=True) if x is None}
-        bad = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        self._learn(list(new - bad))
-        whole = [s or bool(f) and f[-1].isspace() or bool(bad) and not bad.isdisjoint(p) for f, p, s in zip(firsts, parts, special, strict=True)]
-        heads = self.whole.encode_batch_fast([t if w else f for t, f, w in zip(some, firsts, whole, strict=True)], add_special_tokens=False)
-        get = self.pieces.__getitem__
-        return [np.array(h.ids, "<u4").tobytes() + (b"" if w else b"".join(map(get, p) if None in f else f)) for h, w, p, f in zip(heads, whole, parts, found, strict=True)]
+        found = list(map(self.pieces.get, known))
+        new = [j for j, x in enumerate(found) if x is None]
+        bad = {j for j in new if not (p := known[j].removeprefix("\n") if self.lines else known[j]) or p[0].isspace() or p[-1].isspace()}
+        self._learn([known[j] for j in new if j not in bad])
+        for j in new:
+            found[j] = b"" if j in bad else self.pieces[known[j]]
+
+        whole = pc.match_substring_regex(some, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(some), bool)
+        if bad:
+            whole[np.searchsorted(until, np.flatnonzero(np.isin(at, list(bad))), "right")] = True
+        heads = values.take(pa.array(bounds[:-1])).to_pylist()
+        whole = [w or f[-1:].isspace() for w, f in zip(whole.tolist(), heads, strict=True)]
+        heads = [some[i].as_py() if w else f for i, (w, f) in enumerate(zip(whole, heads, strict=True))]
+        heads = [np.array(h.ids, "<u4").tobytes() for h in self.whole.encode_batch_fast(heads, add_special_tokens=False)]
+
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, many = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(many)
+        from_ = np.repeat(starts[at] - ends + many, many)
+        from_ += np.arange(len(from_))
+        raw = np.frombuffer(b"".join(found), "<u4")[from_].tobytes()
+        cuts = (4 * np.append(0, ends)[np.append(0, until)]).tolist()
+        return [h if w else h + raw[i:j] for h, w, i, j in zip(heads, whole, cuts, cuts[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_many(pa.array([text], pa.string()))[0]
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -133,8 +189,12 @@ def codec(spec: str) -> Codec:
 
 def encoded(c: Codec, col: pa.Array) -> Iterator[bytes]:
     """The ids of each text of a column, a few texts at a time in memory; null is empty."""
-    for i in range(0, len(col), CHUNK):
-        yield from c.encode_many([t or "" for t in col.slice(i, CHUNK).to_pylist()])
+    col = col.fill_null("")
+    ends, i = np.cumsum(pc.binary_length(col).to_numpy()), 0
+    while i < len(col):
+        k = max(i + 1, int(np.searchsorted(ends, CHUNK + (ends[i - 1] if i else 0), "right")))
+        yield from c.encode_many(col.slice(i, k - i))
+        i = k
 
 
 def load_spec(path: str, pattern: str | None = None) -> str:
