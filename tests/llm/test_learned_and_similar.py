@@ -139,6 +139,16 @@ def test_exact_topk(spark, monkeypatch):
     assert topk.exact_topk(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_packs_and_blocks_meet_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 64)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    got = topk.exact_topk(df, df.where("vec_id % 50 = 0"))
+    assert len(got.collect()) == 40
+    plan = got._jdf.queryExecution().executedPlan().toString()  # the one that ran
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scores_beyond_64_bits_are_cut(spark):
     df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["rank"], r.vec_id, r.score) for r in topk.exact_topk(df, df.where("vec_id = 0")).orderBy("rank").collect()]
