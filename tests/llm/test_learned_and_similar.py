@@ -139,6 +139,14 @@ def test_exact_topk(spark, monkeypatch):
     assert topk.exact_topk(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_weights_travel_in_few_bytes():
+    for top, size in ((127, 1), (128, 2), (-129, 2), (32768, 4), (-(1 << 31), 4), (1 << 31, 8), (-(1 << 63), 8)):
+        m = np.array([[top, -1, 0], [3, 2, 1]], np.int64)
+        raw = topk._narrow(m).tobytes()
+        assert len(raw) == 6 * size and np.array_equal(topk._wide(raw, 2, 3), m)
+    assert topk._wide(topk._narrow(np.zeros((2, 0), np.int64)).tobytes(), 2, 0).shape == (2, 0)
+
+
 def test_packs_and_blocks_meet_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(topk, "RANGE", 64)
     rng = np.random.default_rng(3)

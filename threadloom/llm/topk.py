@@ -35,6 +35,17 @@ def _matrix(rows: list[list[int]]) -> np.ndarray:
     return out
 
 
+def _narrow(m: np.ndarray) -> np.ndarray:
+    """m in the narrowest whole numbers that hold it."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    return m.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _wide(raw: bytes, n: int, dims: int) -> np.ndarray:
+    """The n rows of dims weights that _narrow made."""
+    return np.frombuffer(raw, f"i{len(raw) // max(n * dims, 1) or 8}").reshape(n, dims)
+
+
 def _packed(size: int):
     """Rows (part, id, w) to packs of at most `size` rows: ids and weights as bytes."""
 
@@ -43,7 +54,7 @@ def _packed(size: int):
             for i in range(0, batch.num_rows, size):
                 some = batch.slice(i, size)
                 m = _matrix(some.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(0, 1), pa.array([m.shape[1]], pa.int32()), pa.array([np.array(some.column(1).to_pylist(), np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["part", "dims", "ids", "w"])
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(0, 1), pa.array([m.shape[1]], pa.int32()), pa.array([np.array(some.column(1).to_pylist(), np.int64).tobytes()], pa.binary()), pa.array([_narrow(m).tobytes()], pa.binary())], ["part", "dims", "ids", "w"])
 
     return run
 
@@ -113,7 +124,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: flo
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in ("dims", "ids", "w", "q_dims", "q_ids", "q_w")}
                 q_ids, v_ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
-                q, v = (np.frombuffer(r[c], np.int64).reshape(len(x), r[m]) for c, x, m in (("q_w", q_ids, "q_dims"), ("w", v_ids, "dims")))
+                q, v = (_wide(r[c], len(x), r[m]) for c, x, m in (("q_w", q_ids, "q_dims"), ("w", v_ids, "dims")))
                 scores, ids, _ = _search(q, q_ids, v, v_ids, k, not_self)
                 ok = scores.ravel() > np.iinfo(np.int64).min
                 yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[ok]) for x in (np.repeat(q_ids, k), ids, scores)], ["query_id", "vec_id", "score"])
