@@ -155,6 +155,7 @@ def test_packs_and_blocks_meet_by_a_shuffle(spark, monkeypatch):
     assert len(got.collect()) == 40
     plan = got._jdf.queryExecution().executedPlan().toString()  # the one that ran
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan.split("Initial Plan")[0].count("hashpartitioning(part#") == 2 == plan.split("Initial Plan")[0].count(", 7), REPARTITION_BY_NUM")
 
 
 def test_scores_beyond_64_bits_are_cut(spark):

@@ -130,7 +130,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: flo
                 yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[ok]) for x in (np.repeat(q_ids, k), ids, scores)], ["query_id", "vec_id", "score"])
 
     # Always by a shuffle: Spark guesses the packs' size from what it is before they are copied, and would send all copies through the driver.
-    cells = packs.join(index.hint("merge"), "part").select("dims", "ids", "w", "q_dims", "q_ids", "q_w")
+    # As many partitions as ranges: by their bytes, which say little of the work, Spark would put many ranges into one task.
+    cells = packs.repartition(parts + 1, "part").join(index.repartition(parts + 1, "part").hint("merge"), "part").select("dims", "ids", "w", "q_dims", "q_ids", "q_w")
     found = cells.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
