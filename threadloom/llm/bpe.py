@@ -119,8 +119,9 @@ class Codec:
         got = self.plain.pre_tokenizer.pre_tokenize_str("".join(parts)) if self.plain.pre_tokenizer else []
         return [x for _, x in got] == [(sum(map(len, parts[:i])), sum(map(len, parts[: i + 1]))) for i in range(len(parts))]
 
-    def encode_many(self, some: pa.Array) -> list[bytes]:
+    def encode_many(self, some: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text, none null, as little-endian unsigned 32-bit integers."""
+        some = pa.array(some, pa.string()) if isinstance(some, list) else some
         parts = pc.split_pattern(pc.replace_substring(some, "\n", " \n") if self.lines else some, " ")
         values, bounds = parts.flatten(), parts.offsets.to_numpy()
         bounds = bounds - bounds[0]
