@@ -185,6 +185,23 @@ def _labelled(n=900, seed=4):
     return docs, labels
 
 
+def test_toxicity_looks_up_tokens_by_piece(monkeypatch):
+    """Each new token of a piece is weighed once, with the others; all get what their features add up to one by one."""
+    monkeypatch.setattr(toxicity, "CACHE", 9)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    f = toxicity.Field(weights=np.random.default_rng(4).normal(0, 1, toxicity.SLOTS).astype(np.float32), bias=np.float64(-3.25))
+    texts = ["", " \t\n", "Don't don't, _x_ ... İb ﬁ 日本語日本語 éa abcd abcde abcdef abcdefg abcdefgh", "a\x1cb same same same same same same same same\nsame", "... ___"]
+    plain = lambda t: float(f.weights[[zlib.crc32(x.encode()) % toxicity.SLOTS for x in toxicity.features(toxicity._EDGE.sub("", t.lower()))]].sum() + f.bias)
+    learned, tagger = [], toxicity.Tagger(f)
+    monkeypatch.setattr(tagger, "_learn", lambda new, learn=tagger._learn: learned.append(list(new)) or learn(new))
+    tokens = [w for t in texts for w in t.split()]
+    assert list(tagger._emissions(iter(tokens))) == [plain(t) for t in tokens]
+    assert len(learned) == -(-len(tokens) // 7) and all(len(set(x)) == len(x) <= 7 for x in learned) and len(tagger.known) <= 9
+    got = list(tagger.tag(texts))
+    assert [ls for ls, _ in got] == [[x.split() for x in t.split("\n")] for t in texts]
+    assert [len(p) for _, p in got] == [len(t.split()) for t in texts]
+
+
 def test_toxicity(spark):
     docs, labels = _labelled()
     more = [(5000, None), (5001, ""), (5002, " \n "), (5003, "plain " * 20000), (5003, "plain words")]
