@@ -173,6 +173,16 @@ def test_drop_lines(spark, most_bytes, log_bits):
     assert {r["row"]["row"] for r in df.collect()} == {2}
 
 
+def test_drop_lines_merges_filters_of_neighbouring_tasks(spark):
+    """The first merge leaves a sixteenth of the pieces, and at most GROUPS of each, however many tasks there are."""
+    assert [len({lines._group(t) for t in range(n)}) for n in (1, 16, 17, 32, 4096, 100_000)] == [1, 1, 2, 2, 256, lines.GROUPS]
+    assert max(Counter(lines._group(t) for t in range(100_000)).values()) <= 16 * 25
+    given = texts() + [(None, "null id\nCOMMON line"), (None, None), *((400 + i, f"twelve\nonly {i}") for i in range(12))]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(40)
+    got = sorted_rows(lines.drop_lines(df, log_bits=20), "doc_id", "n_lines", "n_dropped", "kept_sha256", "text")
+    assert got == _lines_by_hand([(i, t or "") for i, t in given], 10)
+
+
 @pytest.mark.parametrize("most_bytes", [1 << 20, -1])
 def test_drop_lines_keeps_first(spark, most_bytes):
     given = [("x", i, "a\nSAME\nb" if i else "SAME\nsame", "", 0, 0, "", 0, "") for i in range(12)]

@@ -27,8 +27,8 @@ STRIP = b" \t\n\x0b\x0c\r"
 LEAST_LOG_BITS, MOST_LOG_BITS, LINE_BITS = 20, 27, 8
 #: Bits set for a line.
 HASHES = 3
-#: Bytes of a filter that are merged together, and groups of tasks whose filters are merged first.
-PIECE, GROUPS = 1 << 15, 256
+#: Bytes of a filter that are merged together; neighbouring tasks whose filters are merged first, and groups of these at most.
+PIECE, TOGETHER, GROUPS = 1 << 15, 16, 256
 
 
 def line_key(line: bytes) -> bytes:
@@ -59,6 +59,12 @@ def _documents(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
             yield (t or b"").split(b"\n")
 
 
+def _group(task: int) -> int:
+    """The group of tasks whose filters are merged first. There are few groups where there are few tasks, so that little is left to be
+    merged a second time, and never more than GROUPS."""
+    return task // TOGETHER % GROUPS
+
+
 def filter_bits(rows: DataFrame) -> int:
     """The size of a filter for the lines of the texts, as a power of two."""
     n = rows.agg(F.coalesce(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1), F.lit(0)).alias("n")).first().n
@@ -81,7 +87,7 @@ def repeat_filter(rows: DataFrame, min_chars: int, log_bits: int) -> bytes:
         release_memory()
         for i in range(0, len(once), PIECE):
             if once[i : i + PIECE].any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([i // PIECE], pa.int32()), "some": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), "once": [once[i : i + PIECE].tobytes()], "twice": [twice[i : i + PIECE].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([i // PIECE], pa.int32()), "some": pa.array([_group(TaskContext.get().partitionId())], pa.int32()), "once": [once[i : i + PIECE].tobytes()], "twice": [twice[i : i + PIECE].tobytes()]})
 
     def merge(pdf):
         once, twice = np.zeros(PIECE, np.uint8), np.zeros(PIECE, np.uint8)
