@@ -85,6 +85,20 @@ def test_near_duplicates(spark, monkeypatch, stars, block, columns):
     assert minhash.near_duplicates(spark.createDataFrame([], DDL)).count() == 0
 
 
+@pytest.mark.parametrize("fits", [True, False])
+def test_bags_meet_their_blocks_without_a_shuffle_where_these_are_few(spark, monkeypatch, fits):
+    told, two, broadcast = [], minhash._stars, minhash.maybe_broadcast
+    monkeypatch.setattr(minhash, "_stars", lambda cand, scratch: two(cand.where("n = 2"), scratch))
+    monkeypatch.setattr(minhash, "maybe_broadcast", lambda df, n, row_bytes: told.append((df.columns, n)) or broadcast(df, n, row_bytes, None if fits else -1))
+    base = sentence(random.Random(8), 120).split()
+    given = [(500 + i, " ".join([*base[:i], "new", *base[i + 1 :]])) for i in range(6)] + [(600, None), (600, ""), (601, "same"), (601, "same"), (None, "same")]
+    want = _classes([g for g in given if g[0] is not None])
+    got = minhash.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == sorted((i, want[(i, t or "")]) for i, t in ((i, t or "") for i, t in given if i is not None))
+    assert [(r.class_id, r.class_size) for r in got if r.doc_id is None] == [(None, 1)]
+    assert [n for columns, n in told if columns == ["node", "component", "block"]] == [6]
+
+
 def test_similarities_are_those_of_each_pair(monkeypatch):
     monkeypatch.setattr(minhash, "COLUMNS", 7)
     rng = np.random.default_rng(6)

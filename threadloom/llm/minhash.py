@@ -279,7 +279,9 @@ def _joined(members: DataFrame, bags_: DataFrame, least: float, scratch: Scratch
     other = names.select("key", F.col("owner").alias("owner_b"), F.col("block").alias("block_b"))
     cells = names.join(other, "key").where("block <= block_b").where(~F.coalesce(F.col("owner") == F.col("owner_b"), F.lit(False)))
     cells = scratch.keep(cells.select("block", "block_b").distinct())
-    texts = rows.select("node", "component", "block").distinct().join(bags_, "node").groupBy("block").agg(F.collect_list(F.struct("node", "component", "bag")).alias("texts"))
+    placed = scratch.keep(rows.select("node", "component", "block").distinct())
+    # These are few of all texts that have a bag; the bags of the others needn't be shuffled to find that out.
+    texts = bags_.join(maybe_broadcast(placed, placed.count(), 24), "node").groupBy("block").agg(F.collect_list(F.struct("node", "component", "bag")).alias("texts"))
     texts = scratch.keep(texts)
     met = cells.join(texts, "block").join(texts.toDF("block_b", "texts_b"), "block_b").select("texts", "texts_b")
 
